@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 U64 = np.uint64
 #: Text handled at once by the vectorised code, in bytes; bounds a worker's memory, not the input.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession, limit: int = 8 << 20) -> None:
+    """Lowers the session's bytes in an Arrow batch to `limit`, so that a batch of long texts stays small."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) in (None, "-1") or int(spark.conf.get(key).rstrip("bB")) > limit:
+        spark.conf.set(key, str(limit))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder for checkpoints: the session's spark.checkpoint.dir; one of our own only where it is unset."""
     sc = spark.sparkContext
@@ -72,6 +79,7 @@ def map_text(docs: DataFrame, keep: list[str], text: str, schema: str, each: Cal
                 if out is not None and (len(out) and len(out[0])):
                     yield pa.RecordBatch.from_arrays(out, names=columns)
 
+    small_batches(docs.sparkSession)
     columns = names or [x.split()[0] for x in schema.split(",")]
     return docs.select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{text}`").alias("__text")).mapInArrow(run, schema)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tercet.llm import bpe, decontaminate, quality, toxicity
+from tercet.llm import bpe, decontaminate, licenses, quality, toxicity, va_search
 from tercet.llm.common import table
 
 #: Scores from here up predict label 1.
@@ -31,6 +31,14 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", held_out(3, 1).alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"), "n_hits")
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.report(table(spark, sf_dir, "documents"))
+
+
+def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return va_search.search(table(spark, sf_dir, "embeddings"), every=20, k=20, scale=64.0)
+
+
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality.train(docs, table(spark, sf_dir, "labels").where(~held_out(4, 2)))
@@ -48,11 +56,15 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
+    "op2_license_scan": op2_license_scan,
+    "op4_exact_topk": op4_exact_topk,
     "op6_quality_classifier": op6_quality_classifier,
     "op8_decontaminate": op8_decontaminate,
     "op10_byte_bpe": op10_byte_bpe,
 }
 
 SQL: dict[str, str] = {
+    "op2_license_scan": licenses.SQL,
+    "op4_exact_topk": va_search.SQL,
     "op8_decontaminate": decontaminate.SQL,
 }
