@@ -365,3 +365,28 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
     tokens = encode(docs, path, with_offsets=False)
     back = decode(tokens, path, keep=("doc_id", "n_tokens", "ids"))
     return back.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def encode_by_library(docs: DataFrame, path: str, pattern: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """keep columns, ids binary and n_tokens long, as encode() gives them, by the installed tiktoken library.
+
+    For callers whose own work is not the encoding; the defined results are those of encode().
+    """
+    kinds = dict(docs.dtypes)
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "ids binary", "n_tokens long"])
+
+    def each(batch: pa.RecordBatch, data: np.ndarray, off: np.ndarray) -> list[pa.Array]:
+        coder = _library(path, pattern)
+        got = [coder.encode_to_numpy(x or "", disallowed_special=()) for x in batch.column(len(keep)).to_pylist()]
+        return [*batch.columns[: len(keep)], pa.array([x.astype("<u4").tobytes() for x in got], pa.binary()), pa.array([len(x) for x in got], pa.int64())]
+
+    return map_text(docs, list(keep), text, schema, each, [*keep, "ids", "n_tokens"])
+
+
+@lru_cache(2)
+def _library(path: str, pattern: str):
+    import tiktoken
+
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+    return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})

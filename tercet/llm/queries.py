@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tercet.llm import bpe, decontaminate, licenses, quality, toxicity, va_search
+from tercet.llm import bpe, decontaminate, licenses, packing, quality, toxicity, va_search
 from tercet.llm.common import table
 
 #: Scores from here up predict label 1.
@@ -46,6 +46,14 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", held_out(4, 2).alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))
 
 
+def op7_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sequences of 2048 ids; 50256, which the vocabulary leaves free, ends documents and fills up rows."""
+    import public_tokenizers
+
+    tokens = bpe.encode_by_library(table(spark, sf_dir, "documents"), tokenizer_path(), public_tokenizers.PATTERN)
+    return packing.pack(tokens, length=2048, pad=50256, end=50256, dtype="<u2")
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digests(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -59,6 +67,7 @@ QUERIES = {
     "op2_license_scan": op2_license_scan,
     "op4_exact_topk": op4_exact_topk,
     "op6_quality_classifier": op6_quality_classifier,
+    "op7_token_packing": op7_token_packing,
     "op8_decontaminate": op8_decontaminate,
     "op10_byte_bpe": op10_byte_bpe,
 }
