@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tercet.llm import bpe, decontaminate, licenses, packing, quality, toxicity, va_search
+from tercet.llm import bpe, decontaminate, licenses, near_duplicates, packing, quality, toxicity, va_search
 from tercet.llm.common import table
 
 #: Scores from here up predict label 1.
@@ -39,6 +39,10 @@ def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return va_search.search(table(spark, sf_dir, "embeddings"), every=20, k=20, scale=64.0)
 
 
+def op5_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.link(table(spark, sf_dir, "documents"), n=2, percent=80)
+
+
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality.train(docs, table(spark, sf_dir, "labels").where(~held_out(4, 2)))
@@ -66,6 +70,7 @@ QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_license_scan": op2_license_scan,
     "op4_exact_topk": op4_exact_topk,
+    "op5_minhash_near_duplicates": op5_minhash_near_duplicates,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_token_packing": op7_token_packing,
     "op8_decontaminate": op8_decontaminate,
@@ -75,5 +80,6 @@ QUERIES = {
 SQL: dict[str, str] = {
     "op2_license_scan": licenses.SQL,
     "op4_exact_topk": va_search.SQL,
+    "op5_minhash_near_duplicates": near_duplicates.SQL,
     "op8_decontaminate": decontaminate.SQL,
 }
