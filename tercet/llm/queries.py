@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tercet.llm import bpe, decontaminate, licenses, near_duplicates, packing, quality, toxicity, va_search
+from tercet.llm import bpe, decontaminate, licenses, near_duplicates, packing, quality, suffix_dedup, toxicity, va_search
 from tercet.llm.common import table
 
 #: Scores from here up predict label 1.
@@ -35,6 +35,10 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.report(table(spark, sf_dir, "documents"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digests(table(spark, sf_dir, "documents"), width=200)
+
+
 def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return va_search.search(table(spark, sf_dir, "embeddings"), every=20, k=20, scale=64.0)
 
@@ -69,6 +73,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_license_scan": op2_license_scan,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_exact_topk": op4_exact_topk,
     "op5_minhash_near_duplicates": op5_minhash_near_duplicates,
     "op6_quality_classifier": op6_quality_classifier,
