@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from tercet.llm.common import map_text, ranges, slice_hashes
 
 #: Pieces whose ids a worker keeps; a full cache is emptied, results do not depend on it.
-CACHE_PIECES = 600_000
+CACHE_PIECES = 120_000
 #: Pieces up to this many bytes are merged in matrices, longer ones one by one with a heap.
 MATRIX_BYTES = 48
 LANE = 512
@@ -162,31 +162,33 @@ class Vocabulary:
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
         self.byte = np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
-        size = max(self.ranks.values()) + 1
+        self.none = size = max(self.ranks.values()) + 1
         self.token = [b""] * size
         for t, r in self.ranks.items():
             self.token[r] = t
         self.lengths = np.array([len(t) for t in self.token], np.int64)
         self.starts = np.cumsum(self.lengths) - self.lengths
         self.pool = np.frombuffer(b"".join(self.token), np.uint8)
+        self.keys = None
+        self.clear()
+
+    def _index_pairs(self) -> None:
+        """The table of mergeable pairs; only encoding needs it."""
         found: dict[int, int] = {}
         for t, r in self.ranks.items():
             for k in range(1, len(t)):
                 a, b = self.ranks.get(t[:k]), self.ranks.get(t[k:])
                 if a is not None and b is not None:
                     found[a << 32 | b] = r
-        self.pairs = found
         self.bits = max(4, (4 * len(found)).bit_length())
         keys = np.full(1 << self.bits, -1, np.int64)
-        values = np.full(1 << self.bits, size, np.int64)
-        self.none = size
+        values = np.full(1 << self.bits, self.none, np.int64)
         for key, r in found.items():
             at = int(self._slot(np.array([key], np.int64))[0])
             while keys[at] >= 0:
                 at = (at + 1) & (len(keys) - 1)
             keys[at], values[at] = key, r
-        self.keys, self.values = keys, values
-        self.clear()
+        self.keys, self.values, self.pairs = keys, values, found
 
     def clear(self) -> None:
         self.cache: dict[bytes, int] = {}
@@ -197,6 +199,8 @@ class Vocabulary:
 
     def merged(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The rank of each pair's concatenation; self.none where there is none."""
+        if self.keys is None:
+            self._index_pairs()
         key = a << 32 | b
         at = self._slot(key)
         out = np.where(self.keys[at] == key, self.values[at], self.none)
@@ -241,6 +245,8 @@ class Vocabulary:
         """Token ids of one piece of any length, with a heap of adjacent pairs over a linked list."""
         import heapq
 
+        if self.keys is None:
+            self._index_pairs()
         ids = [int(self.byte[b]) for b in word]
         after, before = list(range(1, len(ids) + 1)), list(range(-1, len(ids) - 1))
         heap = []
