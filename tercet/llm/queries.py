@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tercet.llm import bpe, decontaminate, licenses, near_duplicates, packing, quality, suffix_dedup, toxicity, va_search
+from tercet.llm import bpe, decontaminate, html_extract, licenses, near_duplicates, packing, quality, suffix_dedup, toxicity, va_search
 from tercet.llm.common import table
 
 #: Scores from here up predict label 1.
@@ -66,6 +66,10 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digests(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -79,6 +83,7 @@ QUERIES = {
     "op6_quality_classifier": op6_quality_classifier,
     "op7_token_packing": op7_token_packing,
     "op8_decontaminate": op8_decontaminate,
+    "op9_html_extract": op9_html_extract,
     "op10_byte_bpe": op10_byte_bpe,
 }
 
