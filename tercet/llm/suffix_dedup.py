@@ -350,6 +350,17 @@ def remove(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), id: str = "doc_
     return out.select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(keep)), "n_bytes", "kept", "spans")
 
 
+def as_text(removed: DataFrame, keep: list[str], out: str = "text") -> DataFrame:
+    """keep columns and `kept` of remove() as a string; bytes of a character that was cut in two are left out."""
+    kinds = dict(removed.dtypes)
+
+    def each(batch: pa.RecordBatch, data: np.ndarray, off: np.ndarray) -> list[pa.Array]:
+        raw = data.tobytes()
+        return [*batch.columns[: len(keep)], pa.array([raw[a:b].decode("utf-8", "ignore") for a, b in zip(off.tolist(), off[1:].tolist(), strict=False)], pa.string())]
+
+    return map_text(removed, keep, "kept", ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), f"`{out}` string"]), each, [*keep, out])
+
+
 def digests(docs: DataFrame, width: int = 200) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 from remove()."""
     got = remove(docs, width=width)
