@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tercet.operators import cleaning, events, hedges, residuals
+from tercet.functions.expressions import over, sigmoid
+from tercet.operators import backtest, cleaning, events, features, hedges, models, residuals
 from tercet.sources import panel
 
 WINDOW = 60
 CONFIG = events.LabelingConfig()
+FEATURES = features.FeatureConfig(market_symbol="STANDARD")
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
@@ -61,3 +63,40 @@ class Frames:
     @cached_property
     def labels(self) -> DataFrame:
         return events.label_events(self.scored, self.events, CONFIG)
+
+    @cached_property
+    def market(self) -> DataFrame:
+        """symbol, date, simple_return, log_price, volume of the weekly panel."""
+        before = F.lag("vwap").over(Window.partitionBy("symbol").orderBy("date"))
+        return self.panel.select("symbol", "date", (over("vwap", before) - 1).alias("simple_return"), "log_price", "volume")
+
+    @cached_property
+    def coefficients(self) -> DataFrame:
+        ols, ridge = hedges.rolling_ols(self.obs, WINDOW), hedges.rolling_ridge(self.obs, WINDOW, 1.0)
+        return ols.unionByName(ridge, allowMissingColumns=True)
+
+    @cached_property
+    def matrix(self) -> DataFrame:
+        return features.feature_matrix(self.events, self.scored, self.coefficients, self.market, self.labels, FEATURES)
+
+    @cached_property
+    def training(self) -> DataFrame:
+        """The matrix, kept in memory for models, which pass over it several times (a row an event)."""
+        return self.matrix.persist()
+
+    @cached_property
+    def predictions(self) -> DataFrame:
+        """A fixed score of the entry z-score and the event's place stands for a model; splits are by time."""
+        z = 0.4 + 0.9 * (2.5 - F.col("entry_abs_z")) + 0.3 * (F.col("event_row") % 5 - 2)
+        scored = self.labels.join(self.events.select("event_id", "event_row"), "event_id").withColumn(models.P, sigmoid(z))
+        return models.predictions(models.time_split(scored), 0.5)
+
+    @cached_property
+    def traded(self) -> DataFrame:
+        """Labels with their predictions; events without forward rows cannot be traded."""
+        done = self.labels.where("exit_z_score is not null")
+        return backtest.prepare_events(done, self.predictions.join(done.select("event_id"), "event_id", "left_semi"))
+
+    @cached_property
+    def trades(self) -> DataFrame:
+        return backtest.strategy_trades(self.traded, 0.5, 0.05)

@@ -15,9 +15,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
-def register(name: str, build: Callable[[Frames], DataFrame], sql: str | None = None) -> None:
+def register(name: str, build: Callable[[Frames], DataFrame], sql: str | None = None, digits: int = 6) -> None:
     """A query over Frames, rounded, and the select that it must agree with."""
-    QUERIES[name] = lambda spark, sf_dir: rounded(build(Frames(spark, sf_dir)))
+    QUERIES[name] = lambda spark, sf_dir: rounded(build(Frames(spark, sf_dir)), digits)
     if sql is not None:
         SQL[name] = query(sql)
 
@@ -25,7 +25,7 @@ def register(name: str, build: Callable[[Frames], DataFrame], sql: str | None =
 register("io16_unique_symbols", lambda f: cleaning.unique_symbols(f.triplets), "SELECT DISTINCT unnest([target_symbol, hedge_symbol_1, hedge_symbol_2]) AS symbol FROM c_triplets")
 register("io17_assets_table", lambda f: cleaning.assets_table(f.triplets), "SELECT symbol, 'equity' AS asset_type, 'theme_' || lower(substr(symbol, 1, 3)) AS sector, 1 AS active FROM c_symbols")
 register("io18_triplets_table", lambda f: cleaning.triplets_table(f.triplets), f"SELECT {K}, theme AS relationship_theme, 1 AS active FROM c_triplets")
-register("cl1_clean_prices", lambda f: f.clean, f"SELECT symbol, date, {r('adj_close', 'volume')}, source, quality_flag FROM c_clean")
+register("cl1_clean_prices", lambda f: f.clean, f"SELECT symbol, date, {r('adj_close', 'volume', digits=9)}, source, quality_flag FROM c_clean", digits=9)
 register("cl2_only_clean", lambda f: cleaning.only_clean(f.clean).groupBy("symbol").agg(F.count("*").alias("n")), "SELECT symbol, count(*) AS n FROM c_clean WHERE quality_flag = 'clean' GROUP BY symbol")
 register("cl3_daily_returns", lambda f: cleaning.daily_returns(f.clean), f"SELECT symbol, date, {r('simple_return', 'log_return')} FROM c_returns")
 register(
@@ -56,7 +56,7 @@ register("rg6_ridge_fit", lambda f: hedges.fit(f.obs, ["triplet_id"], 2.5).drop(
 register("rg8_rolling_ridge", lambda f: hedges.rolling_ridge(f.obs, WINDOW, 1.0), f"SELECT {K}, date, {COEFFICIENTS}, train_start, train_end, {WINDOW} AS \"window\", 1.0::DOUBLE AS ridge_alpha, 'rolling_ridge' AS method FROM c_ridge")
 register("rg9_dynamic_residuals", lambda f: f.residuals, f"SELECT {K}, date, method, {r('actual_log_price', 'fitted_log_price', 'residual')}, \"window\", ridge_alpha::DOUBLE AS ridge_alpha FROM c_resid")
 register("rg10_fittable_triplets", lambda f: _fittable(f), "SELECT triplet_id, false AS skipped FROM c_triplets WHERE 'ECONOMY' NOT IN (target_symbol, hedge_symbol_1, hedge_symbol_2) UNION ALL SELECT triplet_id, true FROM c_triplets WHERE 'ECONOMY' IN (target_symbol, hedge_symbol_1, hedge_symbol_2)")
-register("rg11_kernel_rolling", lambda f: hedges.kernel_rolling(_spine(f), WINDOW), f"SELECT triplet_id, date, {r('alpha', 'beta_1', 'beta_2', 'fitted_log_price', 'residual')}, 'expr' AS backend FROM c_kernel")
+register("rg11_kernel_rolling", lambda f: hedges.kernel_rolling(_spine(f), WINDOW), f"SELECT triplet_id, date, {r('alpha', 'beta_1', 'beta_2', 'fitted_log_price', 'residual', digits=4)}, 'expr' AS backend FROM c_kernel", digits=4)
 register("rg12_residual_kernel", lambda f: hedges.residual_kernel(hedges.rolling_ols(f.obs, WINDOW)).select("triplet_id", "date", "fitted_log_price", "residual"), f"SELECT triplet_id, date, {r('fitted_log_price', 'residual')} FROM c_resid WHERE method = 'rolling_ols'")
 register("rg15_compare_backends", lambda f: hedges.compare_backends(hedges.kernel_rolling(_spine(f), WINDOW), hedges.kernel_rolling(_spine(f), WINDOW, "pandas")).select("output_column", (F.col("max_abs_diff") < 1e-7).alias("agrees"), "n_compared"), "SELECT c AS output_column, true AS agrees, count(residual) AS n_compared FROM c_kernel, (SELECT unnest(['alpha', 'beta_1', 'beta_2', 'fitted_log_price', 'residual']) AS c) GROUP BY c")
 

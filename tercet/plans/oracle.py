@@ -12,12 +12,12 @@ def part(name: str, sql: str) -> None:
     PARTS[name] = sql.strip()
 
 
-def r(*columns: str) -> str:
-    """Select-list entries rounded to six decimals, as queries round; 'expr AS name' keeps its name."""
+def r(*columns: str, digits: int = 6) -> str:
+    """Select-list entries rounded as queries round; 'expr AS name' keeps its name."""
     out = []
     for c in columns:
         expr, _, name = c.rpartition(" AS ")
-        out.append(f"round({expr or name}, 6) + 0.0 AS {name}")
+        out.append(f"round({expr or name}, {digits}) + 0.0 AS {name}")
     return ", ".join(out)
 
 
@@ -129,3 +129,81 @@ part("c_summary", f"""SELECT triplet_id, method, count(*) AS n_obs, avg(residual
   quantile_cont(residual, 0.05) AS residual_q05, quantile_cont(residual, 0.5) AS residual_median, quantile_cont(residual, 0.95) AS residual_q95, max(residual) AS residual_max, {CORR.format(a='residual', b='l')} AS autocorr_1
   FROM c_lagged GROUP BY triplet_id, method""")
 SUMMARY = "residual_mean residual_std residual_abs_mean residual_min residual_q05 residual_median residual_q95 residual_max autocorr_1".split()
+
+# Features
+part("c_market", "SELECT symbol, date, vwap / lag(vwap) OVER (PARTITION BY symbol ORDER BY date) - 1 AS simple_return, log_price, volume FROM c_panel")
+part("c_coef", """SELECT triplet_id, 'rolling_ols' AS method, date, beta_1, beta_2 FROM c_ols UNION ALL SELECT triplet_id, 'rolling_ridge', date, beta_1, beta_2 FROM c_ridge""")
+part("c_resid_panel", """SELECT triplet_id, method, date, residual, z_score, ch AS residual_change, CASE WHEN count(ch) OVER w >= 5 THEN stddev_samp(ch) OVER w END AS residual_volatility,
+  CASE WHEN count(residual) OVER w >= 5 AND stddev_pop(CASE WHEN l IS NOT NULL THEN residual END) OVER p > 0 AND stddev_pop(l) OVER p > 0 THEN covar_pop(residual, l) OVER p / (stddev_pop(CASE WHEN l IS NOT NULL THEN residual END) OVER p * stddev_pop(l) OVER p) END AS residual_autocorrelation,
+  CASE WHEN count(residual) OVER w >= 5 AND covar_pop(ch, l) OVER p / nullif(var_pop(l) OVER p, 0) < 0 THEN -ln(2) / (covar_pop(ch, l) OVER p / nullif(var_pop(l) OVER p, 0)) END AS half_life_estimate,
+  CASE WHEN count(q) OVER w >= 5 THEN 1 - sum((actual_log_price - fitted_log_price) ** 2) OVER w / nullif(sum(q) OVER w, 0) END AS rolling_r_squared
+  FROM (SELECT *, (actual_log_price - my) ** 2 AS q FROM (SELECT *, residual - l AS ch, CASE WHEN count(actual_log_price) OVER w >= 5 THEN avg(actual_log_price) OVER w END AS my
+    FROM (SELECT *, lag(residual) OVER (PARTITION BY triplet_id, method ORDER BY date) AS l FROM c_scored) WINDOW w AS (PARTITION BY triplet_id, method ORDER BY date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)))
+  WINDOW w AS (PARTITION BY triplet_id, method ORDER BY date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), p AS (PARTITION BY triplet_id, method ORDER BY date ROWS BETWEEN 18 PRECEDING AND CURRENT ROW)""")
+part("c_coef_panel", """SELECT *, sqrt(beta_1_stability ** 2 + beta_2_stability ** 2) AS beta_stability FROM (SELECT triplet_id, method, date, beta_1, beta_2,
+  CASE WHEN count(beta_1) OVER w >= 5 THEN stddev_samp(beta_1) OVER w END AS beta_1_stability, CASE WHEN count(beta_2) OVER w >= 5 THEN stddev_samp(beta_2) OVER w END AS beta_2_stability FROM c_coef
+  WINDOW w AS (PARTITION BY triplet_id, method ORDER BY date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW))""")
+part("c_grid", "SELECT s.symbol, d.date, simple_return, log_price, volume FROM c_symbols s CROSS JOIN (SELECT DISTINCT date FROM c_market) d LEFT JOIN c_market m ON m.symbol = s.symbol AND m.date = d.date")
+part("c_symbol_panel", """SELECT symbol, date, rv AS return_volatility, lr AS last_return, CASE WHEN hi <> 0 THEN exp(px - hi) - 1 END AS recent_drawdown, px - ma AS distance_from_moving_average,
+  CASE WHEN len(v) >= 2 AND list_aggregate(v[:-2], 'quantile_cont', 0.5) > 0 THEN v[-1] / list_aggregate(v[:-2], 'quantile_cont', 0.5) - 1 END AS volume_shock
+  FROM (SELECT symbol, date, CASE WHEN count(simple_return) OVER w >= 2 THEN stddev_samp(simple_return) OVER w END AS rv, last_value(simple_return IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY date ROWS UNBOUNDED PRECEDING) AS lr,
+    last_value(log_price IGNORE NULLS) OVER w AS px, max(log_price) OVER w AS hi, avg(log_price) OVER w AS ma, list_filter(list(volume) OVER w, lambda x: x IS NOT NULL) AS v FROM c_grid
+    WINDOW w AS (PARTITION BY symbol ORDER BY date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW))""")
+part("c_pair_panel", """SELECT a, b, date, CASE WHEN n >= 3 AND sa > 0 AND sb > 0 THEN c / (sa * sb) END AS correlation, CASE WHEN n >= 5 AND sa > 0 AND sb > 0 THEN c / (sa * sb) END AS rolling FROM (
+  SELECT a, b, date, count(CASE WHEN ra + rb IS NOT NULL THEN 1 END) OVER w AS n, covar_pop(ra, rb) OVER w AS c, stddev_pop(CASE WHEN rb IS NOT NULL THEN ra END) OVER w AS sa, stddev_pop(CASE WHEN ra IS NOT NULL THEN rb END) OVER w AS sb
+  FROM (SELECT x.symbol AS a, y.symbol AS b, x.date, x.simple_return AS ra, y.simple_return AS rb FROM c_grid x JOIN c_grid y ON x.date = y.date AND x.symbol <> y.symbol)
+  WINDOW w AS (PARTITION BY a, b ORDER BY date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW))""")
+part("c_stability", """SELECT target_symbol, hedge_symbol_1, hedge_symbol_2, date, CASE WHEN rn >= 7 AND count(m) OVER w >= 2 THEN stddev_samp(m) OVER w END AS correlation_stability FROM (
+  SELECT target_symbol, hedge_symbol_1, hedge_symbol_2, p.date, coalesce((p.rolling + q.rolling) / 2, p.rolling, q.rolling) AS m, row_number() OVER (PARTITION BY target_symbol, hedge_symbol_1, hedge_symbol_2 ORDER BY p.date) AS rn
+  FROM c_triplets JOIN c_pair_panel p ON p.a = target_symbol AND p.b = hedge_symbol_1 JOIN c_pair_panel q ON q.a = target_symbol AND q.b = hedge_symbol_2 AND q.date = p.date)
+  WINDOW w AS (PARTITION BY target_symbol, hedge_symbol_1, hedge_symbol_2 ORDER BY date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)""")
+part("c_market_features", """SELECT e.event_id, t.return_volatility AS target_return_volatility, h.return_volatility AS anchor_1_return_volatility, k.return_volatility AS anchor_2_return_volatility, m.last_return AS market_return, h.last_return AS sector_return,
+  p1.correlation AS target_anchor_1_correlation, p2.correlation AS target_anchor_2_correlation, p3.correlation AS anchor_correlation, s.correlation_stability, t.recent_drawdown, t.distance_from_moving_average, t.volume_shock
+  FROM c_events e LEFT JOIN c_symbol_panel t ON t.symbol = e.target_symbol AND t.date = e.event_date LEFT JOIN c_symbol_panel h ON h.symbol = e.hedge_symbol_1 AND h.date = e.event_date LEFT JOIN c_symbol_panel k ON k.symbol = e.hedge_symbol_2 AND k.date = e.event_date
+  LEFT JOIN c_symbol_panel m ON m.symbol = 'STANDARD' AND m.date = e.event_date LEFT JOIN c_pair_panel p1 ON p1.a = e.target_symbol AND p1.b = e.hedge_symbol_1 AND p1.date = e.event_date LEFT JOIN c_pair_panel p2 ON p2.a = e.target_symbol AND p2.b = e.hedge_symbol_2 AND p2.date = e.event_date
+  LEFT JOIN c_pair_panel p3 ON p3.a = e.hedge_symbol_1 AND p3.b = e.hedge_symbol_2 AND p3.date = e.event_date LEFT JOIN c_stability s ON s.target_symbol = e.target_symbol AND s.hedge_symbol_1 = e.hedge_symbol_1 AND s.hedge_symbol_2 = e.hedge_symbol_2 AND s.date = e.event_date""")
+part("c_matrix", """SELECT e.event_id, e.triplet_id, e.method, e.event_date, e.target_symbol, e.hedge_symbol_1, e.hedge_symbol_2, e.side, e.entry_z_score, e.entry_abs_z, r.z_score, r.residual, r.residual_change, r.residual_volatility, r.residual_autocorrelation,
+  r.half_life_estimate, r.rolling_r_squared, c.beta_1, c.beta_2, c.beta_1_stability, c.beta_2_stability, c.beta_stability, m.* EXCLUDE (event_id), l.label, l.outcome, l.exit_reason, l.holding_period
+  FROM c_events e LEFT JOIN c_resid_panel r ON r.triplet_id = e.triplet_id AND r.method = e.method AND r.date = e.event_date LEFT JOIN c_coef_panel c ON c.triplet_id = e.triplet_id AND c.method = e.method AND c.date = e.event_date
+  LEFT JOIN c_market_features m ON m.event_id = e.event_id LEFT JOIN c_labels l ON l.event_id = e.event_id""")
+# Predictions by a fixed score, and trades
+part("c_preds0", """SELECT l.*, 1 / (1 + exp(-(0.4 + 0.9 * (2.5 - l.entry_abs_z) + 0.3 * (e.event_row % 5 - 2)))) AS predicted_reversion_probability, row_number() OVER (ORDER BY l.event_date, l.event_id) AS rn2, count(*) OVER () AS nn FROM c_labels l JOIN c_events e USING (event_id)""")
+part("c_preds", """SELECT event_id, triplet_id, method, event_date, CASE WHEN rn2 <= greatest(1, floor(nn * 0.6)) THEN 'train' WHEN rn2 <= least(greatest(greatest(1, floor(nn * 0.6)) + 1, floor(nn * 0.8)), nn - 1) THEN 'validation' ELSE 'test' END AS split,
+  predicted_reversion_probability, 0.5 AS classification_threshold, CAST(predicted_reversion_probability >= 0.5 AS INTEGER) AS predicted_label, label FROM c_preds0""")
+part("c_traded", """SELECT l.*, p.predicted_reversion_probability, p.split, coalesce(exit_date, l.event_date) AS pnl_date, CASE WHEN side = 'short_spread' THEN entry_z_score - exit_z_score ELSE exit_z_score - entry_z_score END AS spread_pnl_units
+  FROM c_labels l JOIN c_preds p USING (event_id) WHERE exit_z_score IS NOT NULL""")
+part("c_sized", """SELECT t.*, strategy, CASE WHEN strategy = 'ml_probability_sized' THEN predicted_reversion_probability ELSE 1.0 END AS position_size FROM c_traded t, (SELECT unnest(['baseline_rule_based', 'ml_filtered', 'ml_probability_sized']) AS strategy)
+  WHERE strategy = 'baseline_rule_based' OR predicted_reversion_probability > 0.5""")
+part("c_trades", "SELECT *, position_size * spread_pnl_units AS gross_pnl, 0.05 * position_size AS transaction_cost, position_size * spread_pnl_units - 0.05 * position_size AS net_pnl, 2 * position_size AS turnover FROM c_sized")
+
+
+def performance(source: str, keys: str, calendar: str = "") -> str:
+    """The performance table over `keys`; Sharpe over the weekdays between the first and last date of `calendar` keys."""
+    k = [c.strip() for c in keys.split(",")]
+    cal = [c.strip() for c in calendar.split(",")] if calendar else []
+    on = lambda a, b, cols: " AND ".join(f"{a}.{c} IS NOT DISTINCT FROM {b}.{c}" for c in cols) or "true"
+    span = f"SELECT {', '.join([*cal, 'min(pnl_date) AS lo', 'max(pnl_date) AS hi'])} FROM {source}" + (f" GROUP BY {', '.join(cal)}" if cal else "")
+    return f"""SELECT {', '.join('s.' + c for c in k)}, s.trade_count, s.gross_pnl, s.net_pnl, s.average_net_pnl, s.median_net_pnl, s.win_rate, s.turnover, e.max_drawdown, h.sharpe
+  FROM (SELECT {keys}, count(*) AS trade_count, sum(gross_pnl) AS gross_pnl, sum(net_pnl) AS net_pnl, avg(net_pnl) AS average_net_pnl, quantile_cont(net_pnl, 0.5) AS median_net_pnl, avg(CAST(net_pnl > 0 AS INTEGER)) AS win_rate, sum(turnover) AS turnover FROM {source} GROUP BY {keys}) s
+  JOIN (SELECT {keys}, min(equity - peak) AS max_drawdown FROM (SELECT *, max(equity) OVER (PARTITION BY {keys} ORDER BY pnl_date ROWS UNBOUNDED PRECEDING) AS peak FROM (SELECT {keys}, pnl_date, sum(sum(net_pnl)) OVER (PARTITION BY {keys} ORDER BY pnl_date ROWS UNBOUNDED PRECEDING) AS equity FROM {source} GROUP BY {keys}, pnl_date)) GROUP BY {keys}) e ON {on('e', 's', k)}
+  JOIN (SELECT {keys}, CASE WHEN count(*) >= 2 THEN sqrt(252) * avg(p) / nullif(stddev_samp(p), 0) END AS sharpe FROM (SELECT {', '.join('c.' + x for x in k)}, c.d, coalesce(sum(t.net_pnl), 0) AS p
+    FROM (SELECT {', '.join('g.' + x for x in k)}, unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS d FROM (SELECT DISTINCT {keys} FROM {source}) g JOIN ({span}) z ON {on('g', 'z', cal)}) c
+    LEFT JOIN {source} t ON t.pnl_date = c.d AND {on('t', 'c', k)} WHERE isodow(c.d) < 6 GROUP BY ALL) GROUP BY {keys}) h ON {on('h', 's', k)}"""
+
+
+PERFORMANCE = "gross_pnl net_pnl average_net_pnl median_net_pnl win_rate turnover max_drawdown sharpe".split()
+part("c_perf", performance("c_trades", "strategy"))
+part("c_equity", """SELECT *, equity - running_peak AS drawdown FROM (SELECT *, max(equity) OVER (PARTITION BY strategy ORDER BY date ROWS UNBOUNDED PRECEDING) AS running_peak FROM (
+  SELECT strategy, pnl_date AS date, sum(net_pnl) AS daily_pnl, sum(sum(net_pnl)) OVER (PARTITION BY strategy ORDER BY pnl_date ROWS UNBOUNDED PRECEDING) AS equity FROM c_trades GROUP BY strategy, pnl_date))""")
+part("c_costs", """SELECT * FROM (VALUES ('zero_cost', 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE), ('low_cost', 0.005, 0.01, 0.005, 0.0), ('base_cost', 0.01, 0.025, 0.015, 0.0), ('high_cost', 0.02, 0.05, 0.03, 0.0), ('borrow', 0.01, 0.025, 0.015, 2.0))
+  t(cost_scenario, commission_per_trade, bid_ask_spread_proxy, slippage, borrow)""")
+part("c_repriced", """SELECT cost_scenario, strategy, event_id, pnl_date, position_size, gross_pnl, (commission_per_trade + bid_ask_spread_proxy + slippage + borrow / 1e4 * greatest(0, holding_period)) * position_size AS transaction_cost,
+  gross_pnl - (commission_per_trade + bid_ask_spread_proxy + slippage + borrow / 1e4 * greatest(0, holding_period)) * position_size AS net_pnl, turnover FROM c_trades, c_costs""")
+part("c_cost_perf", performance("c_repriced", "cost_scenario, strategy", "cost_scenario"))
+part("c_rules", """SELECT * FROM (SELECT unnest([2.0, 2.2]::DOUBLE[]) AS entry_threshold), (SELECT unnest([0.25, 0.5]::DOUBLE[]) AS exit_threshold), (SELECT unnest([3.0, 3.5]::DOUBLE[]) AS stop_loss_level), (SELECT unnest([10, 20]) AS max_holding_period)""")
+part("c_ruled", """SELECT *, CAST(good AS INTEGER) AS new_label, CASE WHEN good THEN 'reversion' WHEN stop THEN 'stop_loss' WHEN late THEN 'max_holding' ELSE 'no_reversion' END AS scenario_exit_reason FROM (SELECT *, toward <= exit_threshold AND NOT stop AND NOT late AS good FROM (
+  SELECT *, toward >= stop_loss_level AS stop, holding_period > max_holding_period AS late FROM (SELECT t.* EXCLUDE (entry_threshold, max_holding_period), g.*, CASE WHEN side = 'short_spread' THEN exit_z_score ELSE -exit_z_score END AS toward FROM c_traded t, c_rules g WHERE abs(entry_z_score) >= g.entry_threshold)))""")
+part("c_ruled_trades", """SELECT *, position_size * spread_pnl_units AS gross_pnl, position_size * spread_pnl_units - 0.05 * position_size AS net_pnl, 2 * position_size AS turnover FROM (SELECT t.*, strategy, CASE WHEN strategy = 'ml_probability_sized' THEN predicted_reversion_probability ELSE 1.0 END AS position_size
+  FROM c_ruled t, (SELECT unnest(['baseline_rule_based', 'ml_filtered', 'ml_probability_sized']) AS strategy) WHERE strategy = 'baseline_rule_based' OR predicted_reversion_probability > 0.5)""")
+RULE = "entry_threshold, exit_threshold, stop_loss_level, max_holding_period"
+part("c_rule_perf", performance("c_ruled_trades", f"{RULE}, strategy", RULE))
