@@ -6,8 +6,8 @@ with each one symbol left out, and all pairs within that distance meet in a buck
 0.8 or more exceed the distance with a probability of about 2e-6.
 
 Texts with equal sets are one class.  First every member of a bucket is tried with one leader; the links so confirmed
-give components; then all pairs of different components that meet in a bucket, within the distance and with sizes that
-allow the similarity, are confirmed.  So no link between different components is lost, and no group is turned into all
+give components.  Next every node is tried with its nearest one of another component.  At last all pairs of different
+components that still meet in a bucket, within the distance and with sizes that allow the similarity, are confirmed.  So no link between different components is lost, and no group is turned into all
 its pairs.  Large buckets are split into blocks, and large fans of pairs into parts.
 
 Defined results: null texts and texts without words have empty sets and are linked with nothing; texts with fewer words
@@ -31,8 +31,8 @@ CHUNKS, CHUNK = 19, 5
 SYMBOLS = CHUNKS * CHUNK
 #: Symbols in which signatures may differ: with one difference a chunk allowed, more than CHUNKS * 2 - 1 are not covered.
 DISTANCE = CHUNKS * 2 - 1
-#: Members of a bucket compared in one piece; pairs confirmed in one piece.
-BUCKET_BLOCK, FAN = 2048, 512
+#: Members of a bucket, and shingles of their sets, compared in one piece; pairs confirmed in one piece.
+BUCKET_BLOCK, BUCKET_SHINGLES, FAN = 2048, 500_000, 512
 
 IS_WORD = np.ones(256, bool)
 IS_WORD[[9, 10, 11, 12, 13, 32]] = False
@@ -148,24 +148,33 @@ def memberships(classes: DataFrame) -> DataFrame:
     return dealt.mapInArrow(shared, "key long, v byte, node long, leader long")
 
 
-def confirm(docs: DataFrame, rows: DataFrame, pairs: DataFrame, n: int, percent: int, id: str, text: str) -> DataFrame:
-    """Those pairs (a, b) of nodes whose full sets have 100 * intersection >= percent * union.
-
-    rows: node, row (one text of each node).  A fan of pairs with one `a` is dealt out in parts of about FAN.
-    """
-    fans = pairs.groupBy("a").agg(F.count("*").alias("fan"))
-    dealt = pairs.join(fans, "a").withColumn("g", F.pmod(F.xxhash64("b"), F.ceil(F.col("fan") / FAN)))
-    need = dealt.select("a", "g", F.col("b").alias("node"), F.lit(False).alias("own")).union(dealt.select("a", "g", F.col("a").alias("node"), F.lit(True)).distinct())
-    need = need.join(rows, "node")
+def _texts(docs: DataFrame, rows: DataFrame, id: str, text: str) -> DataFrame:
+    """node, t: one text of each node (more where rows repeat).  The only step that moves documents."""
     src = docs.select(F.xxhash64(F.col(f"`{id}`").cast("long"), F.col(f"`{text}`").cast("string")).alias("row"), F.col(f"`{text}`").cast("string").alias("t"))
-    texts = src.join(need, "row")
+    return src.join(rows, "row").select("node", "t")
+
+
+def _sets(texts: DataFrame, need: DataFrame, keep: list[str], n: int) -> DataFrame:
+    """keep columns of `need` and s: the set, as sorted 64-bit hashes, of the text of its `node`."""
+    kinds = dict(need.dtypes)
 
     def each(batch: pa.RecordBatch, data: np.ndarray, off: np.ndarray) -> list[pa.Array]:
         key, size = shingle_sets(data, off, n)
         cells = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer((np.concatenate([[0], np.cumsum(size)]) * 8).astype(np.int32)), pa.py_buffer(key.tobytes())])
-        return [*batch.columns[:4], cells]
+        return [*batch.columns[: len(keep)], cells]
+
+    return map_text(texts.join(need, "node"), keep, "t", ", ".join([*(f"{c} {kinds[c]}" for c in keep), "s binary"]), each, [*keep, "s"])
+
+
+def confirm(texts: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
+    """Those pairs (a, b) of nodes whose full sets have 100 * intersection >= percent * union.
 
-    sets = map_text(texts, ["a", "g", "node", "own"], "t", "a long, g long, node long, own boolean, s binary", each)
+    A fan of pairs with one `a` is dealt out in parts of about FAN.
+    """
+    fans = pairs.groupBy("a").agg(F.count("*").alias("fan"))
+    dealt = pairs.join(fans, "a").withColumn("g", F.pmod(F.xxhash64("b"), F.ceil(F.col("fan") / FAN)))
+    need = dealt.select("a", "g", F.col("b").alias("node"), F.lit(False).alias("own")).union(dealt.select("a", "g", F.col("a").alias("node"), F.lit(True)).distinct())
+    sets = _sets(texts, need, ["a", "g", "node", "own"], n)
     sets = sets.repartition("a", "g").sortWithinPartitions("a", "g", F.desc("own"), "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,52 +198,139 @@ def confirm(docs: DataFrame, rows: DataFrame, pairs: DataFrame, n: int, percent:
     return sets.mapInArrow(run, "a long, b long")
 
 
-def open_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """a, b: pairs of different roots that meet in a bucket and may reach the similarity; each pair once.
+def dealt_buckets(members: DataFrame) -> DataFrame:
+    """members (key, v, node, root, n_shingles, signature) with i, j, mine: buckets as pairs of bounded blocks.
 
-    members: key, v, node, root, n_shingles, signature, of buckets with two roots or more.
+    A bucket of one block is i = j = 0; of more, every pair of blocks meets once; `mine` is a member's own block.
     """
-    sizes = members.groupBy("key").agg(F.count("*").alias("n"))
-    cut = members.join(sizes, "key").withColumn("blocks", F.ceil(F.col("n") / BUCKET_BLOCK))
+    sizes = members.groupBy("key").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("held"))
+    cut = members.join(sizes, "key").withColumn("blocks", F.greatest(F.ceil(F.col("n") / BUCKET_BLOCK), F.ceil(F.col("held") / BUCKET_SHINGLES)))
     cut = cut.withColumn("mine", F.pmod(F.xxhash64("node"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    cut = cut.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "v", "node", "root", "n_shingles", "signature")
-    cut = cut.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "root", "node")
-
-    def pairs(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
-        i, j = rows[0][1], rows[0][2]
-        mine, v, node, root, size = (np.array([r[c] for r in rows]) for c in (3, 4, 5, 6, 7))
-        sig = np.frombuffer(b"".join(r[8] for r in rows), np.uint16).reshape(-1, SYMBOLS)
-        out_a, out_b = [], []
-        after = np.searchsorted(root, root, "right")
-        for x in range(len(rows)):
-            y = np.arange(after[x], len(rows))
-            y = y[100 * np.minimum(size[x], size[y]) >= percent * np.maximum(size[x], size[y])]
-            if i != j:
-                y = y[mine[y] != mine[x]]
-            if len(y):
-                d, meet = first_meeting(np.broadcast_to(sig[x], (len(y), SYMBOLS)), sig[y])
-                y = y[(d <= DISTANCE) & (meet == v[x])]
-                out_a.append(np.full(len(y), node[x])), out_b.append(node[y])
-        none = np.zeros(0, np.int64)
-        return np.concatenate(out_a or [none]), np.concatenate(out_b or [none])
+    return cut.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "v", "node", "root", "n_shingles", "signature")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
 
-        def out() -> pa.RecordBatch:
-            a, b = pairs(held)
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+class Bucket:
+    """The members of a bucket's pair of blocks, in the order of their roots."""
+
+    def __init__(self, rows: list[tuple], percent: int):
+        self.split, self.percent = rows[0][1] != rows[0][2], percent
+        self.mine, self.v, self.node, self.root, self.size = (np.array([r[c] for r in rows]) for c in (3, 4, 5, 6, 7))
+        self.signature = np.frombuffer(b"".join(r[8] for r in rows), np.uint16).reshape(-1, SYMBOLS)
+        self.before, self.after = np.searchsorted(self.root, self.root, "left"), np.searchsorted(self.root, self.root, "right")
+
+    def open(self, x: int, both: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Members of other roots (later ones, or all) that may be as similar to x, and their distances.
 
+        A pair that meets in several buckets is open in one of them only.
+        """
+        y = np.arange(self.after[x], len(self.node))
+        if both:
+            y = np.append(np.arange(self.before[x]), y)
+        y = y[100 * np.minimum(self.size[x], self.size[y]) >= self.percent * np.maximum(self.size[x], self.size[y])]
+        if self.split:
+            y = y[self.mine[y] != self.mine[x]]
+        if not len(y):
+            return y, y
+        d, meet = first_meeting(np.broadcast_to(self.signature[x], (len(y), SYMBOLS)), self.signature[y])
+        ok = (d <= DISTANCE) & (meet == self.v[x])
+        return y[ok], d[ok]
+
+
+def _by_bucket(rows: DataFrame, each, schema: str) -> DataFrame:
+    """each(rows of one (key, i, j)) -> arrays of `schema`, streamed over sorted partitions."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        names = [x.split()[0] for x in schema.split(", ")]
         for batch in batches:
             for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if held and held[-1][:3] != r[:3]:
-                    yield out()
+                    yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in each(held)], names)
                     held = []
                 held.append(r)
         if held:
-            yield out()
+            yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in each(held)], names)
+
+    return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "root", "node").mapInArrow(run, schema)
+
+
+def nearest_pairs(dealt: DataFrame, percent: int) -> DataFrame:
+    """a, b: for each node, the open pair of the least distance; so at most as many rows as nodes."""
+
+    def each(rows: list[tuple]) -> list[np.ndarray]:
+        bucket, out = Bucket(rows, percent), []
+        for x in range(len(rows)):
+            y, d = bucket.open(x, both=True)
+            if len(y):
+                k = d.argmin()
+                out.append((bucket.node[x], bucket.node[y[k]], d[k]))
+        return list(np.array(out, np.int64).reshape(-1, 3).T)
 
-    return cut.mapInArrow(run, "a long, b long").where("a != b")
+    found = _by_bucket(dealt, each, "a long, b long, d long").groupBy("a").agg(F.min_by("b", F.struct("d", "b")).alias("b"))
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+_CELL = "key long, i long, j long, mine long, v byte, node long, root long, n_shingles long, signature binary"
+
+
+def open_members(dealt: DataFrame, percent: int) -> DataFrame:
+    """The rows of `dealt` that have an open pair in their bucket; pairs themselves are not given out."""
+
+    def each(rows: list[tuple]) -> list[np.ndarray]:
+        bucket = Bucket(rows, percent)
+        some = np.zeros(len(rows), bool)
+        for x in range(len(rows)):
+            y, _ = bucket.open(x, both=False)
+            some[y] = True
+            some[x] |= len(y) > 0
+        kept = [r for r, k in zip(rows, some.tolist(), strict=True) if k]
+        kinds = [pa.int64()] * 4 + [pa.int8()] + [pa.int64()] * 3 + [pa.binary()]
+        return [pa.array([r[c] for r in kept], t) for c, t in enumerate(kinds)]
+
+    return _by_bucket(dealt, each, _CELL)
+
+
+def settle(texts: DataFrame, dealt: DataFrame, n: int, percent: int) -> DataFrame:
+    """a, b: links that join the different roots of each bucket, by all its open pairs, confirmed on full sets.
+
+    Only members with an open pair bring their sets; an inverted index over a bucket's sets counts intersections.
+    """
+    involved = stored(open_members(dealt, percent))
+    sets = stored(_sets(texts, involved.select("node").distinct(), ["node"], n))
+    cells = involved.join(sets, "node")
+    cells = cells.select("key", "i", "j", "mine", "v", "node", "root", "n_shingles", "signature", "s")
+
+    def each(held: list[tuple]) -> list[np.ndarray]:
+        held = [r for k, r in enumerate(held) if not k or r[5] != held[k - 1][5]]  # repeated rows bring a text twice
+        bucket = Bucket(held, percent)
+        key = np.concatenate([np.frombuffer(r[9], U64) for r in held])
+        owner = np.repeat(np.arange(len(held)), bucket.size)
+        _, token = np.unique(key, return_inverse=True)
+        order = np.argsort(token, kind="stable")
+        owners, count = owner[order], np.bincount(token)
+        start, first = np.cumsum(count) - count, np.cumsum(bucket.size) - bucket.size
+        joined = {r: r for r in bucket.root.tolist()}
+
+        def find(r: int) -> int:
+            while joined[r] != r:
+                joined[r] = r = joined[joined[r]]
+            return r
+
+        out = []
+        for x in range(len(held)):
+            y, _ = bucket.open(x, both=False)
+            y = [k for k in y.tolist() if find(int(bucket.root[k])) != find(int(bucket.root[x]))]
+            if not y:
+                continue
+            own = token[first[x] : first[x] + bucket.size[x]]
+            common = np.bincount(owners[ranges(start[own], count[own])], minlength=len(held))
+            for k in y:
+                if 100 * common[k] >= percent * (bucket.size[x] + bucket.size[k] - common[k]) and find(int(bucket.root[k])) != find(int(bucket.root[x])):
+                    joined[find(int(bucket.root[k]))] = find(int(bucket.root[x]))
+                    out.append((bucket.node[x], bucket.node[k]))
+        return list(np.array(out, np.int64).reshape(-1, 2).T)
+
+    return _by_bucket(cells, each, "a long, b long")
 
 
 def link(docs: DataFrame, n: int = 5, percent: int = 80, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -249,17 +345,22 @@ def link(docs: DataFrame, n: int = 5, percent: int = 80, id: str = "doc_id", tex
     classes = some.groupBy("node").agg(F.min("id").alias("least"), F.min("row").alias("row"), F.min("n_shingles").alias("n_shingles"), F.min("signature").alias("signature"))
     met = stored(memberships(classes))
     nodes = stored(classes.join(met.select("node").distinct(), "node"))
-    rows = nodes.select("node", "row")
+    texts = stored(_texts(docs, nodes.select("node", "row"), id, text))
     fan = met.where("leader != node").groupBy("node", "leader").agg(F.count("*").alias("n"))
     tried = fan.groupBy("node").agg(F.max_by("leader", F.struct("n", "leader")).alias("a")).select("a", F.col("node").alias("b"))
-    links = stored(confirm(docs, rows, stored(tried), n, percent, id, text))
-    roots = stored(nodes.select("node").join(components(links), "node", "left").select("node", F.coalesce("root", "node").alias("root")))
-    placed = met.select("key", "v", "node").join(roots, "node")
-    mixed = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("key")
-    members = stored(placed.join(mixed, "key"))
-    open_ = stored(open_pairs(members.join(nodes.select("node", "n_shingles", "signature"), "node"), percent))
-    more = confirm(docs, rows, open_, n, percent, id, text)
-    final = components(links.union(more))
+    links = stored(confirm(texts, stored(tried), n, percent))
+    for last in (False, True):
+        roots = stored(nodes.select("node").join(components(links), "node", "left").select("node", F.coalesce("root", "node").alias("root")))
+        placed = met.select("key", "v", "node").join(roots, "node")
+        mixed = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("key")
+        members = stored(placed.join(mixed, "key"))
+        dealt = dealt_buckets(members.join(nodes.select("node", "n_shingles", "signature"), "node"))
+        if last:
+            more = settle(texts, dealt, n, percent)
+        else:
+            more = confirm(texts, stored(nearest_pairs(dealt, percent)), n, percent)
+        links = stored(links.union(more))
+    final = components(links)
     reached = nodes.select("node", "least").join(final, "node")
     least = reached.groupBy("root").agg(F.min("least").alias("component_id"))
     by_node = stored(final.join(least, "root").select("node", "component_id"))
