@@ -7,7 +7,8 @@ results, so later blocks are pruned by them, and hands on one row of results for
 
 Defined results: vectors that are null, or hold a null or non-finite component, and rows with a null id, take no
 part; only vectors of one length compete; equal scores go to the smaller id, then to the earlier row; repeated rows are
-rows of their own (a query is only barred from itself); an empty table gives no rows.  Extra columns are not read.
+rows of their own (a query is only barred from itself); an empty table gives no rows; scores beyond 64 bits
+are held at the range's ends.  Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -66,12 +67,16 @@ def pack(vectors: DataFrame, scale: float, id: str, vector: str) -> DataFrame:
     return usable.mapInArrow(run, _PACKED)
 
 
+#: The score of a place that is not taken; true scores are kept above it.
+NONE = np.iinfo(np.int64).min + 1
+
+
 class Results:
     """The k best of every query of a group so far: scores descending, ids ascending."""
 
     def __init__(self, n: int, k: int):
         self.k = k
-        self.score = np.full((n, k), -np.inf)
+        self.score = np.full((n, k), NONE)
         self.id = np.full((n, k), np.iinfo(np.int64).max)
 
     def add(self, row: np.ndarray, score: np.ndarray, id: np.ndarray) -> None:
@@ -99,7 +104,7 @@ def scan(q: np.ndarray, q_at: np.ndarray, v: np.ndarray, v_at: np.ndarray, v_id:
     if most * most * max(1, q.shape[1]) >= 2.0**52:  # doubles would not be exact: whole numbers instead
         exact = np.array([[int(x) for x in r] for r in q], object) @ np.array([[int(x) for x in r] for r in v], object).T
         top = 2**63 - 1
-        exact = np.clip(exact, -top, top).astype(float)
+        exact = np.clip(exact, 2 - top, top).astype(np.int64)
         row, col = np.nonzero(q_at[:, None] != v_at[None, :])
         best.add(row, exact[row, col], v_id[col])
         return
@@ -112,7 +117,7 @@ def scan(q: np.ndarray, q_at: np.ndarray, v: np.ndarray, v_at: np.ndarray, v_id:
     lower = base + (np.minimum(q, 0) @ slack)[:, None]
     mine = q_at[:, None] == v_at[None, :]
     lower[mine] = upper[mine] = -np.inf
-    bar = best.kth
+    bar = best.kth.astype(float)
     if n > k:
         bar = np.maximum(bar, np.partition(lower, n - k, 1)[:, n - k])
     row, col = np.nonzero((upper >= bar[:, None]) & ~mine)
@@ -124,7 +129,7 @@ def scan(q: np.ndarray, q_at: np.ndarray, v: np.ndarray, v_at: np.ndarray, v_id:
     while len(row):  # the next exact vectors of every query, highest bound first
         now = turn < (step + 1) * 2 * k
         r, c = row[now], col[now]
-        best.add(r, np.einsum("ij,ij->i", q[r], v[c]), v_id[c])
+        best.add(r, np.einsum("ij,ij->i", q[r], v[c]).astype(np.int64), v_id[c])
         left = ~now & (bound >= best.kth[row])
         row, col, bound, turn = row[left], col[left], bound[left], turn[left]
         step += 1
@@ -164,8 +169,8 @@ def search(vectors: DataFrame, every: int, k: int = 20, scale: float = 64.0, id:
         def out() -> pa.RecordBatch:
             q_id, q_at, _, best = ready
             rows = np.repeat(np.arange(len(q_id)), best.k)
-            ok = np.isfinite(best.score.ravel())
-            return pa.RecordBatch.from_arrays([pa.array(q_at[rows][ok]), pa.array(q_id[rows][ok]), pa.array(best.id.ravel()[ok]), pa.array(best.score.ravel()[ok].astype(np.int64))], ["at", "query_id", "vec_id", "score"])
+            ok = best.score.ravel() > NONE
+            return pa.RecordBatch.from_arrays([pa.array(q_at[rows][ok]), pa.array(q_id[rows][ok]), pa.array(best.id.ravel()[ok]), pa.array(best.score.ravel()[ok])], ["at", "query_id", "vec_id", "score"])
 
         for batch in batches:
             for dim, g, slot, block, n, ids, raw, at in zip(*(c.to_pylist() for c in batch.columns), strict=True):
