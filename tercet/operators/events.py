@@ -7,6 +7,7 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tercet.functions.expressions import over
 from tercet.guards import require, require_columns
@@ -36,7 +37,7 @@ class LabelingConfig:
         require(self.min_periods > 1, "min_periods must exceed 1")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _eight_decimals(z: pd.Series) -> pd.Series:
     """The correctly rounded text with eight decimals; the JVM's own format rounds halves of the decimal text."""
     return z.map(lambda x: None if x is None or x != x else f"{x:.8f}")
