@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 U64 = np.uint64
 #: Text handled at once by the vectorised code, in bytes; bounds a worker's memory, not the input.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -85,6 +86,15 @@ def blocks(offsets: np.ndarray, limit: int = BLOCK_BYTES) -> Iterator[tuple[int,
         lo = hi
 
 
+def release() -> None:
+    """Gives memory that a finished task no longer uses back to the system; idle workers else keep it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def map_text(docs: DataFrame, keep: list[str], text: str, schema: str, each: Callable, names: list[str] | None = None) -> DataFrame:
     """Runs each(batch, data, offsets) over blocks of whole texts; it yields or returns Arrow arrays for `schema`.
 
@@ -98,6 +108,8 @@ def map_text(docs: DataFrame, keep: list[str], text: str, schema: str, each: Cal
                 out = each(batch.slice(lo, hi - lo), data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
                 if out is not None and (len(out) and len(out[0])):
                     yield pa.RecordBatch.from_arrays(out, names=columns)
+                out = None
+        release()
 
     small_batches(docs.sparkSession)
     columns = names or [x.split()[0] for x in schema.split(",")]

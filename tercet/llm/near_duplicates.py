@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tercet.llm.common import U64, lower_ascii, map_text, mix, ranges, slice_hashes, stored, words
+from tercet.llm.common import U64, lower_ascii, map_text, mix, ranges, release, slice_hashes, stored, words
 from tercet.llm.components import components
 
 CHUNKS, CHUNK = 19, 5
@@ -250,6 +250,7 @@ def _by_bucket(rows: DataFrame, each, schema: str) -> DataFrame:
                 held.append(r)
         if held:
             yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in each(held)], names)
+        release()
 
     return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "root", "node").mapInArrow(run, schema)
 

@@ -25,13 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tercet.llm.common import U64, map_text, mix, powers, ranges, small_batches, stored
+from tercet.llm.common import U64, map_text, mix, powers, ranges, release, small_batches, stored
 
 GRAM = 64
 #: Starts looked at in one piece; longer texts are taken in several.
 PIECE = 1 << 19
 #: Bytes of stretches sorted at once, and the unequal stretches of one gram up to which it is sorted at all.
-SORT_BYTES, MOST_STRETCHES = 1 << 21, 20_000
+SORT_BYTES, MOST_STRETCHES = 1 << 20, 8_000
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 2**64)
 _inverse_powers = np.ones(1, U64)
@@ -97,15 +97,16 @@ class SuffixOrder:
         self.t, self.width = buffer, width
         self.words = np.ndarray((len(buffer) - 7,), ">u8", buffer, strides=(1,))
         n = len(buffer)
-        change = np.flatnonzero(buffer[1:] != buffer[:-1])
-        nxt = np.minimum(np.searchsorted(change, np.arange(n)), len(change) - 1)
-        self.larger = buffer[change[nxt] + 1] < buffer  # larger than its successor: to be induced
+        change = np.flatnonzero(buffer[1:] != buffer[:-1]).astype(np.int32)
+        run = np.diff(change, prepend=-1, append=n - 1)  # bytes up to each change, and those after the last
+        other = np.append(buffer[change + 1], buffer[-1])  # what follows each run of equal bytes
+        self.larger = np.repeat(other, run) < buffer  # larger than its successor: to be induced
         self.larger[-1] = False
-        small = np.flatnonzero(~self.larger)
+        small = np.flatnonzero(~self.larger).astype(np.int32)
         last = small[np.searchsorted(small, first + starts - 1)]  # starts go on until one that is sorted directly
         self.inside = np.zeros(n, bool)
         self.inside[ranges(first, last - first + 1)] = True
-        self.order = self._induce(self._direct(np.flatnonzero(self.inside & ~self.larger)))
+        self.order = self._induce(self._direct(np.flatnonzero(self.inside & ~self.larger).astype(np.int32)))
 
     def word(self, at: np.ndarray) -> np.ndarray:
         return self.words[np.minimum(at, len(self.words) - 1)].astype(U64)
@@ -144,7 +145,7 @@ class SuffixOrder:
         larger = np.bincount(t[np.flatnonzero(self.inside & self.larger)], minlength=256)
         smaller = np.bincount(t[direct], minlength=256)
         begin = np.concatenate([[0], np.cumsum(larger + smaller)])
-        out = np.zeros(int(begin[-1]), np.int64)
+        out = np.zeros(int(begin[-1]), np.int32)
         put, taken = begin[:-1].copy(), 0
 
         def scan(entries: np.ndarray) -> None:
@@ -197,8 +198,8 @@ def repeated_starts(parts: list[bytes], counts: np.ndarray, width: int) -> tuple
     first = np.cumsum(size + len(gap)) - size - len(gap)
     starts = size - width + 1
     sort = SuffixOrder(buffer, first, starts, width)
-    number = np.full(len(buffer), -1, np.int64)
-    number[ranges(first, starts)] = np.arange(int(starts.sum()))
+    number = np.full(len(buffer), -1, np.int32)
+    number[ranges(first, starts)] = np.arange(int(starts.sum()), dtype=np.int32)
     order = sort.order[number[sort.order] >= 0]
     run = np.cumsum(~sort.same_as_before(order)) - 1
     weight = np.repeat(counts, starts)[number[order]]
@@ -262,6 +263,7 @@ def _sorted_groups(parts: DataFrame, width: int) -> DataFrame:
                 size += len(r[3]) + width
         if held:
             yield out()
+        release()
 
     dealt = parts.select("h", "f", "n", "bytes").repartition("h").sortWithinPartitions("h", "f")
     return dealt.mapInArrow(run, "h long, f long, s int, e int")
@@ -288,13 +290,12 @@ def _counted_strings(parts: DataFrame, width: int) -> DataFrame:
 
 
 def repeats(docs: DataFrame, text: str, width: int) -> DataFrame:
-    """row, covers array<struct<s,e>>: byte ranges [s, e) of the texts that repeated strings cover.  docs has `row`."""
+    """row, covers array<int>: starts and ends, in turn, of the byte ranges that repeated strings cover.  docs has `row`."""
     small_batches(docs.sparkSession)
     found = _anchored(docs, text, width)
     grams = found.groupBy("h").agg(F.count("*").alias("n"), F.min("f").alias("lo"), F.max("f").alias("hi")).where("n > 1")
     grams = stored(grams.select("h", (F.col("lo") != F.col("hi")).alias("mixed")))
     seen = stored(found.join(grams, "h"))
-    settled = seen.where("not mixed").select("row", F.col("a").alias("s"), (F.col("a") + F.col("more")).alias("e"))
     mixed = seen.where("mixed")
     one = mixed.groupBy("h", "f").agg(F.count("*").alias("n"), F.min(F.struct("row", "a", "more")).alias("one"))
     one = stored(one.select("h", "f", "n", "one.*"))
@@ -307,12 +308,18 @@ def repeats(docs: DataFrame, text: str, width: int) -> DataFrame:
     sorted_ = _sorted_groups(parts.where(F.col("k") <= MOST_STRETCHES), width)
     if not parts.where(F.col("k") > MOST_STRETCHES).isEmpty():
         sorted_ = sorted_.union(_counted_strings(parts.where(F.col("k") > MOST_STRETCHES), width))
-    whole = one.where("n > 1").select("h", "f", F.lit(0).alias("s"), F.col("more").alias("e"))
-    single = sorted_.join(one.where("n = 1").select("h", "f"), ["h", "f"], "left_semi")
-    by_stretch = stored(single.union(whole))
-    placed = mixed.join(by_stretch, ["h", "f"]).select("row", (F.col("a") + F.col("s")).alias("s"), (F.col("a") + F.col("e")).alias("e"))
-    spans = settled.union(placed).select("row", "s", (F.col("e") + width).alias("e"))
-    return spans.groupBy("row").agg(F.collect_set(F.struct("s", "e")).alias("covers"))
+    # A stretch that occurs once is repeated only in the parts found by sorting; every other one is repeated as a whole.
+    single = one.where("n = 1").select("h", "f", "row", "a", "more")
+    span = lambda s, e: F.shiftleft(s.cast("long"), 32) + e + width  # noqa: E731  one number, so that sets of spans are hashed
+    a, more = F.col("a"), F.col("more")
+    own = single.select("row", span(a, a + more).alias("once"))
+    found_in = sorted_.join(single, ["h", "f"]).select("row", span(a + F.col("s"), a + F.col("e")).alias("part"))
+    all_ = seen.select("row", span(a, a + more).alias("whole"))
+    spans = all_.unionByName(own, allowMissingColumns=True).unionByName(found_in, allowMissingColumns=True)
+    per = spans.groupBy("row").agg(*(F.collect_set(c).alias(c) for c in ("whole", "once", "part")))
+    covers = F.array_union(F.array_except("whole", "once"), F.col("part"))
+    ends = lambda x: F.array(F.shiftright(x, 32).cast("int"), x.bitwiseAND(F.lit(0xFFFFFFFF).cast("long")).cast("int"))
+    return per.select("row", F.flatten(F.transform(covers, ends)).alias("covers")).where(F.size("covers") > 0)
 
 
 def remove(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), id: str = "doc_id", text: str = "text", width: int = 200) -> DataFrame:
@@ -320,8 +327,7 @@ def remove(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), id: str = "doc_
     row = F.xxhash64(F.col(f"`{id}`").cast("string"), F.col(f"`{text}`").cast("string"))
     src = docs.select(*(F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)), F.col(f"`{text}`").cast("string").alias("__text"), row.alias("row"))
     covers = stored(repeats(src.select("row", "__text"), "__text", width))
-    flat = covers.select("row", F.flatten(F.transform("covers", lambda c: F.array(c["s"], c["e"]))).alias("covers"))
-    both = src.join(flat, "row", "left")
+    both = src.join(covers, "row", "left")
     kinds = dict(docs.dtypes)
     k = len(keep)
 
