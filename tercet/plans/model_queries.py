@@ -133,7 +133,7 @@ register("pf7_wilson_intervals", lambda f: portfolio.wilson_intervals(f.trades),
 register("pf8_bootstrap_intervals", lambda f: portfolio.bootstrap_interval(f.trades, "mean_pnl"))
 register("pf9_block_bootstrap_intervals", lambda f: portfolio.block_bootstrap_interval(portfolio.equity_curve(f.trades)))
 register("pf10_volatility_targeting", lambda f: _targeted(f), f"SELECT event_id, strategy, {r('size AS position_size', 'size * spread_pnl_units AS gross_pnl', 'size * spread_pnl_units - 0.05 * size AS net_pnl', '2 * size AS turnover')} FROM (SELECT t.event_id, t.strategy, t.spread_pnl_units, least(3.0, greatest(0.0, 0.02 / greatest(m.residual_volatility, 1e-6))) AS size FROM c_trades t JOIN c_matrix m USING (event_id) WHERE m.residual_volatility IS NOT NULL)")
-register("pf11_buy_and_hold", lambda f: portfolio.buy_and_hold(f.panel, "vwap"), f"SELECT date, {r('d AS daily_return', 'exp(sum(ln(1 + d)) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING)) - 1 AS cumulative_return', digits=5)} FROM (SELECT date, avg(simple_return) AS d FROM c_market WHERE simple_return IS NOT NULL GROUP BY date)", 5)
+register("pf11_buy_and_hold", lambda f: portfolio.buy_and_hold(f.panel, "vwap").select("date", "daily_return", F.log1p("cumulative_return").alias("log_growth")), f"SELECT date, {r('d AS daily_return', 'sum(ln(1 + d)) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING) AS log_growth', digits=5)} FROM (SELECT date, avg(simple_return) AS d FROM c_market WHERE simple_return IS NOT NULL GROUP BY date)", 5)
 _ROBUST = r("avg(net_pnl) AS average_net_pnl", "quantile_cont(net_pnl, 0.5) AS median_net_pnl", "min(net_pnl) AS worst_net_pnl", "max(net_pnl) AS best_net_pnl", "avg(CAST(net_pnl > 0 AS INTEGER)) AS profitable_scenario_rate", "avg(sharpe) AS average_sharpe", "min(max_drawdown) AS worst_drawdown", "avg(turnover) AS average_turnover", digits=5)
 register("pf12_robustness_summary", lambda f: metrics.robustness_summary(backtest.threshold_sensitivity(f.traded, GRID, 0.5, 0.05), backtest.cost_sensitivity(f.traded, COSTS, 0.5)), f"SELECT t.*, c.* EXCLUDE (strategy) FROM (SELECT strategy, count(*) AS threshold_scenarios, {_ROBUST}, min(trade_count) AS minimum_trade_count, max(trade_count) AS maximum_trade_count FROM c_rule_perf GROUP BY strategy) t JOIN (SELECT strategy, count(DISTINCT cost_scenario) AS cost_scenarios, {r('min(net_pnl) AS worst_cost_adjusted_net_pnl', 'avg(gross_pnl - net_pnl) AS average_cost_drag', 'max(gross_pnl - net_pnl) AS maximum_cost_drag', digits=5)} FROM c_cost_perf GROUP BY strategy) c USING (strategy)", 5)
 register("pf13_cost_drag", lambda f: metrics.cost_drag(backtest.cost_sensitivity(f.traded, COSTS, 0.5)), f"SELECT cost_scenario, strategy, trade_count, {r('gross_pnl', 'net_pnl', 'gross_pnl - net_pnl AS cost_drag', '(gross_pnl - net_pnl) / nullif(abs(gross_pnl), 0) AS cost_drag_ratio', digits=5)} FROM c_cost_perf", 5)
