@@ -257,11 +257,6 @@ def _copy_marks(a: Node, b: Node) -> None:
         _copy_marks(x, y)
 
 
-def _linked(node: Node) -> int:
-    """Characters inside links below a node."""
-    return node.size if node.tag == "a" else sum(_linked(k) for k in node.kids)
-
-
 def _articles(node: Node, tags: tuple[str, ...], out: list[Node]) -> None:
     if node.dropped or node.tag == "header":
         return
@@ -293,13 +288,12 @@ def content(root: Node) -> str:
         now.clear()
 
     def walk(node: Node, inside: bool) -> None:
+        # No share of links ends the descent: only declared or induced template is left out.
         if node.dropped or node.template and node.tag not in ("#root", "html", "body") or node.tag == "header" and not inside:
             return flush() if node.tag in BLOCK else None
         block = node.tag in BLOCK
         if block:
             flush()
-            if not inside and node.tag in ("ul", "ol", "div", "p", "section", "table") and node.size and 2 * _linked(node) > node.size:
-                return
         for p in node.parts:
             if isinstance(p, str):
                 now.append(p)
