@@ -5,8 +5,9 @@ same on most differing pages are template; the varying slots are content.  What
 forms, scripts, classes such as "sidebar") is template on any page, also where a host has a single one; where a page
 marks its article, the content is taken from there.
 
-Pages are dealt out by host; hosts with more than a thousandth of all pages (so at most a thousand hosts) are split, and
-a task induces wrappers over bounded groups of a host's pages, one after another.
+Distinct pages are dealt out by host; hosts with more than a thousandth as many distinct pages as there are rows are
+split, and a task induces wrappers over bounded groups of a host's distinct pages, one after another, so copies take no
+part in the make-up of a group and all get the same text.  Two distinct pages of a host suffice.
 
 Defined results: null and empty pages have an empty text; pages with a null url form a group like a host; repeated rows
 give repeated rows; malformed markup (unclosed or crossed tags, cut-off entities) is read as browsers do, roughly; extra
@@ -16,6 +17,7 @@ columns are not read.  Blocks are separated by one line feed, white space in a b
 from __future__ import annotations
 
 import html
+import math
 import re
 from collections.abc import Iterator
 
@@ -23,9 +25,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tercet.llm.common import small_batches
+from tercet.llm.common import small_batches, stored
 
-#: Pages over which a wrapper is induced; pages that must differ from the reference before a node counts as constant.
+#: Distinct pages over which a wrapper is induced; pages aligned with a node before it counts as constant, where a group has more.
 GROUP, LEAST = 256, 4
 #: A node is template where it is the same on this share of the pages that it is aligned with.
 CONSTANT = 0.6
@@ -221,8 +223,9 @@ def _match(a: Node, b: Node) -> tuple[int, tuple]:
 def induce(pages: list[Node]) -> None:
     """Marks the template nodes of a group of one host's pages: those that stay the same while pages differ."""
     distinct = list({p.key: p for p in pages}.values())
-    if len(distinct) <= LEAST:
+    if len(distinct) < 2:
         return
+    least = LEAST if len(distinct) > LEAST else math.ceil(CONSTANT * (len(distinct) - 1))
     reference = sorted(distinct, key=lambda p: p.size)[len(distinct) // 2]
     seen: dict[int, list[int]] = {}
     matched: list[tuple[Node, Node]] = []
@@ -240,7 +243,7 @@ def induce(pages: list[Node]) -> None:
             c[0] += 1
             c[1] += r.key == x.key
         matched.extend(pairs)
-    constant = {k for k, (n, same) in seen.items() if n >= LEAST and same >= CONSTANT * n}
+    constant = {k for k, (n, same) in seen.items() if n >= least and same >= CONSTANT * n}
     for r, x in matched:
         if id(r) in constant:
             r.template = True
@@ -319,36 +322,79 @@ def extract_group(pages: list[str]) -> list[str]:
 
 def extract(pages: DataFrame, id: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
     """id, url, text string, n_chars long for every page."""
-    small_batches(pages.sparkSession)
+    spark = pages.sparkSession
+    small_batches(spark)
     kinds = dict(pages.dtypes)
+    schema = f"i {kinds[id]}, u {kinds[url]}, text string, n_chars long, host string, h long, g long, common boolean"
     host = F.lower(F.regexp_extract(F.coalesce(F.col(f"`{url}`").cast("string"), F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]+)", 1))
-    src = pages.select(F.col(f"`{id}`").alias("i"), F.col(f"`{url}`").alias("u"), host.alias("host"), F.col(f"`{page}`").cast("string").alias("p"))
-    counts = src.groupBy("host").count()
+    src = pages.select(F.col(f"`{id}`").alias("i"), F.col(f"`{url}`").alias("u"), host.alias("host"), F.coalesce(F.col(f"`{page}`").cast("string"), F.lit("")).alias("p"))
+    src = src.select("i", "u", "host", "p", F.xxhash64("p").alias("h"), F.xxhash64(F.lit(9), "p").alias("g"))
+    one = ["host", "h", "g"]
+    counts = stored(src.groupBy(*one).count())
     total = counts.agg(F.sum("count")).first()[0] or 0
-    hot = counts.where(F.col("count") > max(4 * GROUP, total // 1000)).select("host", F.ceil(F.col("count") / (2 * GROUP)).alias("parts"))
-    salt = F.pmod(F.xxhash64("p", "u"), F.coalesce("parts", F.lit(1)))
-    dealt = src.join(F.broadcast(hot), "host", "left").withColumn("salt", salt).drop("parts")
-    dealt = dealt.repartition("host", "salt").sortWithinPartitions("host", "salt", F.xxhash64("p"))
-    dealt = dealt.select("i", "u", "host", "salt", "p")
+    # Pages with very many copies (at most 100,000 such pages) stand once in their group; their copies get the text by a join.
+    most = max(4 * GROUP, total // 100_000)
+    common = counts.where(F.col("count") > most).select(*one, F.ceil(F.col("count") / most).cast("int").alias("copies"))
+    hosts = counts.groupBy("host").count()
+    hot = hosts.where(F.col("count") > max(4 * GROUP, total // 1000)).select("host", F.ceil(F.col("count") / (2 * GROUP)).alias("parts"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
+    def deal(rows: DataFrame) -> DataFrame:
+        rows = rows.join(F.broadcast(hot), "host", "left").withColumn("salt", F.pmod("h", F.coalesce("parts", F.lit(1))))
+        return rows.select("i", "u", "host", "salt", "h", "g", "common", "p")
 
-        def out() -> pa.RecordBatch:
-            got = extract_group([r[4] or "" for r in held])
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in held], types[0]), pa.array([r[1] for r in held], types[1]), pa.array(got, pa.string()), pa.array([len(x) for x in got], pa.int64())], [id, url, "text", "n_chars"])
+    def extracted(rows: DataFrame) -> DataFrame:
+        return rows.repartition("host", "salt").sortWithinPartitions("host", "salt", "h", "p").mapInArrow(run, schema)
 
-        types = None
-        size = 0
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fields: list[pa.Field] = []
+        held: list[tuple[str, list[tuple]]] = []  # distinct pages of a group, with the rows that have them
+        size = [0]
+
+        def out(n: int) -> Iterator[pa.RecordBatch]:
+            group = held[:n]
+            del held[:n]
+            size[0] -= sum(len(page) for page, _ in group)
+            texts = extract_group([page for page, _ in group])
+            rows = [(r[0], r[1], text, len(text), r[2], r[4], r[5], r[6]) for text, (_, same) in zip(texts, group, strict=True) for r in same]
+            at = 0
+            while at < len(rows):
+                end, chars = at, 0
+                while end < len(rows) and (end == at or chars + rows[end][3] <= 4 << 20):
+                    chars += rows[end][3]
+                    end += 1
+                types = [fields[0].type, fields[1].type, pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.bool_()]
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows[at:end], strict=True), types, strict=True)], ["i", "u", "text", "n_chars", "host", "h", "g", "common"])
+                at = end
+
+        group = None
         for batch in batches:
-            types = types or [batch.schema.field(k).type for k in range(2)]
+            fields = fields or [batch.schema.field(k) for k in range(2)]
             for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if held and (held[-1][2:4] != r[2:4] or len(held) >= GROUP or size > 8 << 20):
-                    yield out()
-                    held, size = [], 0
-                held.append(r)
-                size += len(r[4] or "")
+                if held and group != r[2:4]:
+                    yield from out(len(held))
+                group = r[2:4]
+                if held and held[-1][0] == r[7]:
+                    held[-1][1].append(r[:7])
+                    continue
+                # The last pages stay, so that no group of a host is left with too few to compare.
+                rest = len(held) - LEAST - 1
+                if rest >= GROUP or rest > LEAST and size[0] - sum(len(page) for page, _ in held[rest:]) > 8 << 20:
+                    yield from out(rest)
+                held.append((r[7], [r[:7]]))
+                size[0] += len(r[7])
         if held:
-            yield out()
-
-    return dealt.mapInArrow(run, f"`{id}` {kinds[id]}, `{url}` {kinds[url]}, text string, n_chars long")
+            yield from out(len(held))
+
+    result = [F.col("i").alias(id), F.col("u").alias(url), "text", "n_chars"]
+    if common.isEmpty():
+        return extracted(deal(src.withColumn("common", F.lit(False)))).select(*result)
+    usual = src.join(F.broadcast(common), one, "left_anti").withColumn("common", F.lit(False))
+    shared = src.join(F.broadcast(common), one, "left_semi")
+    first = shared.groupBy(*one).agg(F.first("p").alias("p")).select(F.lit(None).cast(kinds[id]).alias("i"), F.lit(None).cast(kinds[url]).alias("u"), "host", "p", "h", "g", F.lit(True).alias("common"))
+    dealt = deal(usual.unionByName(first))
+    groups = deal(common.select(*one, F.lit(None).alias("i"), F.lit(None).alias("u"), F.lit(None).alias("p"), F.lit(True).alias("common"))).select("host", "salt").distinct()
+    texts = extracted(dealt.join(F.broadcast(groups), ["host", "salt"], "left_semi").select(*dealt.columns)).where("common")
+    texts = texts.join(F.broadcast(common), one).withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).select(*one, "copy", "text", "n_chars")
+    rows = src.join(F.broadcast(common), one).withColumn("copy", F.pmod(F.xxhash64("i", "u", F.monotonically_increasing_id()), F.col("copies")).cast("int"))
+    joined = rows.select("i", "u", *one, "copy").join(texts, [*one, "copy"]).select(*result)
+    return extracted(dealt).where("not common").select(*result).unionByName(joined)

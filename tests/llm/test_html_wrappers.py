@@ -8,3 +8,21 @@ def test_links_do_not_remove_text():
     page = f"<body><div id=page>{menu}<div><div>{'Some words of a post. ' * 20}</div></div></div></body>"
     assert html_extract.extract_group([page]) == [("Some words of a post. " * 20).strip()]
     assert html_extract.extract_group(["<p>See <a href=/x>the long report on everything that happened</a>.</p>"]) == ["See the long report on everything that happened."]
+
+
+def test_two_pages_of_a_host_are_aligned():
+    pages = [f"<body><div>All rights reserved here</div><div><p>Story {k} {word * 30}</p></div></body>" for k, word in ((1, "one "), (2, "two "))]
+    assert html_extract.extract_group(pages) == [f"Story 1 {'one ' * 30}".strip(), f"Story 2 {'two ' * 30}".strip()]
+
+
+def test_copies_do_not_switch_the_wrapper_off(spark, monkeypatch):
+    """A page with many copies fills whole groups of rows, but stands once among a host's distinct pages."""
+    monkeypatch.setattr(html_extract, "GROUP", 6)
+    shape = "<body><div>Call us at any time today</div><div><p>{}</p></div></body>"
+    story = [f"Story {k} {chr(97 + k) * (50 + k)}" for k in range(9)]
+    rows = [(k, f"http://a.b/{k}", shape.format(story[0])) for k in range(60)] + [(100 + k, f"http://a.b/{k}", shape.format(story[k % 9])) for k in range(18)]
+    rows += [(None, None, None), (7, "http://c.d/", shape.format("alone"))]
+    got = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    want = [(k, f"http://a.b/{k}", story[0]) for k in range(60)] + [(100 + k, f"http://a.b/{k}", story[k % 9]) for k in range(18)]
+    want += [(None, None, ""), (7, "http://c.d/", "Call us at any time today\nalone")]
+    assert sorted((str(r.page_id), str(r.url), r.text, r.n_chars) for r in got) == sorted((str(i), str(u), x, len(x)) for i, u, x in want)
