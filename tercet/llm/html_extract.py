@@ -21,6 +21,7 @@ import math
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,6 +32,8 @@ from tercet.llm.common import small_batches, stored
 GROUP, LEAST = 256, 4
 #: A node is template where it is the same on this share of the pages that it is aligned with.
 CONSTANT = 0.6
+#: A slot varies where it has so many other values for each page, besides one: copies leave some, a second menu does not.
+VARIES = 0.1
 DEPTH, CELLS = 150, 40_000
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""", re.S)
@@ -59,7 +62,7 @@ _SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"
 class Node:
     """An element: name, label for alignment, texts and elements in order, and what its markup says about it."""
 
-    __slots__ = ("tag", "label", "parts", "kids", "dropped", "key", "size", "template")
+    __slots__ = ("tag", "label", "parts", "kids", "dropped", "key", "size", "own", "own_size", "template")
 
     def __init__(self, tag: str, attrs: str = ""):
         self.tag, self.parts, self.kids, self.template = tag, [], [], False
@@ -158,19 +161,29 @@ def parse(page: str) -> Node:
 
 
 def measure(node: Node) -> int:
-    """Sets key (equal keys: equal content) and size (characters) below a node; returns the size."""
-    size, key = 0, [node.tag]
+    """Sets key (equal keys: equal content) and size (characters) below a node, own and own_size without its elements."""
+    size, key, own = 0, [node.tag], []
     for p in node.parts:
         if isinstance(p, str):
             s = " ".join(p.split())
             if s:
-                size += len(s)
+                own.append(s)
                 key.append(s)
         else:
             size += measure(p)
             key.append(p.key)
-    node.key, node.size = hash(tuple(key)), size
-    return size
+    node.own, node.own_size = hash(tuple(own)), sum(map(len, own))
+    node.key, node.size = hash(tuple(key)), size + node.own_size
+    return node.size
+
+
+def _nodes(root: Node) -> Iterator[Node]:
+    """A node and all below it."""
+    stack = [root]
+    while stack:
+        node = stack.pop()
+        yield node
+        stack.extend(node.kids)
 
 
 def align(a: Node, b: Node, pairs: list[tuple[Node, Node]]) -> int:
@@ -220,29 +233,59 @@ def _match(a: Node, b: Node) -> tuple[int, tuple]:
     return 1 + best[m][n], ((a, b), got)
 
 
+def leaders(pages: list[Node], found: list[list[tuple[Node, Node]]]) -> list[int]:
+    """One page for every family of near copies, the reference first: near copies say nothing about what is template.
+
+    Copies agree on over half of the characters outside of the slots that stay the same throughout.  Over few pages no
+    slot is known to stay the same, and all characters count.
+    """
+    slots: dict[int, int] = {}
+    for node in _nodes(pages[0]):
+        if node.own_size:
+            slots[id(node)] = len(slots)
+    value, chars = np.zeros((len(pages), len(slots)), np.int64), np.zeros((len(pages), len(slots)), np.int64)
+    for k, pairs in enumerate([[(node, node) for node in _nodes(pages[0])], *found[1:]]):
+        for r, x in pairs:
+            if (j := slots.get(id(r))) is not None:
+                value[k, j], chars[k, j] = x.own, x.own_size
+    size = np.array([p.size for p in pages])
+    if len(pages) > LEAST:
+        varies = np.zeros(len(slots), bool)
+        for j in range(len(slots)):
+            there = value[chars[:, j] > 0, j]
+            varies[j] = len(np.unique(there)) - 1 >= max(1, VARIES * len(there))
+        size = size - chars[:, ~varies].sum(1)
+        value, chars = value[:, varies], chars[:, varies]
+    first: list[int] = []
+    for k in range(len(pages)):
+        same = ((value[first] == value[k]) * chars[k]).sum(1)
+        if not (2 * same > size[k]).any():
+            first.append(k)
+    return first
+
+
 def induce(pages: list[Node]) -> None:
     """Marks the template nodes of a group of one host's pages: those that stay the same while pages differ."""
     distinct = list({p.key: p for p in pages}.values())
     if len(distinct) < 2:
         return
-    least = LEAST if len(distinct) > LEAST else math.ceil(CONSTANT * (len(distinct) - 1))
-    reference = sorted(distinct, key=lambda p: p.size)[len(distinct) // 2]
+    middle = len(distinct) // 2
+    distinct.sort(key=lambda p: p.size)
+    distinct.insert(0, distinct.pop(middle))
+    reference = distinct[0]
+    found: list[list[tuple[Node, Node]]] = [[]]
+    for page in distinct[1:]:
+        found.append([])
+        align(reference, page, found[-1])
+    matched = [pair for pairs in found for pair in pairs]
+    first = leaders(distinct, found)
+    least = LEAST if len(first) > LEAST else math.ceil(CONSTANT * (len(first) - 1))
     seen: dict[int, list[int]] = {}
-    matched: list[tuple[Node, Node]] = []
-    for page in distinct:
-        pairs: list[tuple[Node, Node]] = []
-        if page is reference:
-            continue
-        align(reference, page, pairs)
-        same = sum(r.size for r, x in pairs if r.key == x.key and not r.kids)
-        if 2 * same > reference.size:  # a copy of the reference says nothing about what is template
-            matched.extend(pairs)
-            continue
-        for r, x in pairs:
+    for k in first[1:]:
+        for r, x in found[k]:
             c = seen.setdefault(id(r), [0, 0])
             c[0] += 1
             c[1] += r.key == x.key
-        matched.extend(pairs)
     constant = {k for k, (n, same) in seen.items() if n >= least and same >= CONSTANT * n}
     for r, x in matched:
         if id(r) in constant:

@@ -15,6 +15,19 @@ def test_two_pages_of_a_host_are_aligned():
     assert html_extract.extract_group(pages) == [f"Story 1 {'one ' * 30}".strip(), f"Story 2 {'two ' * 30}".strip()]
 
 
+def test_much_template_and_short_text():
+    pages = [f"<body><div><span>Always the same line</span></div><div><p>Story {k} {'word ' * k}</p></div><div>Call us at any time today</div></body>" for k in range(1, 8)]
+    assert html_extract.extract_group(pages) == [f"Story {k} {'word ' * k}".strip() for k in range(1, 8)]
+
+
+def test_near_copies_keep_their_text():
+    """Copies that differ in a date are most of the pages; the text that they share is no template."""
+    text = [f"A long text of page {k}: {chr(97 + k) * 80}." for k in range(6)]
+    pages = [f"<body><div><i>Menu of the site</i></div><div><p>{text[k]}</p></div><div><b>{d}</b></div></body>" for k, d in [(0, x) for x in range(9)] + [(k, k + 20) for k in range(1, 6)]]
+    assert html_extract.extract_group(pages) == [f"{text[k]}\n{d}" for k, d in [(0, x) for x in range(9)] + [(k, k + 20) for k in range(1, 6)]]
+    assert html_extract.extract_group(pages[:2]) == [f"Menu of the site\n{text[0]}\n{d}" for d in (0, 1)]
+
+
 def test_copies_do_not_switch_the_wrapper_off(spark, monkeypatch):
     """A page with many copies fills whole groups of rows, but stands once among a host's distinct pages."""
     monkeypatch.setattr(html_extract, "GROUP", 6)
