@@ -19,7 +19,9 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections.abc import Iterator
+import sys
+from collections import Counter
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +36,6 @@ GROUP, LEAST = 256, 4
 CONSTANT = 0.6
 #: A slot varies where it has so many other values for each page, besides one: copies leave some, a second menu does not.
 VARIES = 0.1
-DEPTH, CELLS = 150, 40_000
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""", re.S)
 _CLASS = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
@@ -62,11 +63,11 @@ _SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"
 class Node:
     """An element: name, label for alignment, texts and elements in order, and what its markup says about it."""
 
-    __slots__ = ("tag", "label", "parts", "kids", "dropped", "key", "size", "own", "own_size", "template")
+    __slots__ = ("tag", "label", "parts", "kids", "dropped", "key", "size", "own", "own_size", "shape", "nodes", "template")
 
     def __init__(self, tag: str, attrs: str = ""):
         self.tag, self.parts, self.kids, self.template = tag, [], [], False
-        self.label, self.dropped = tag, tag in DROPPED
+        self.label, self.dropped, self.key = tag, tag in DROPPED, None
         if attrs and "=" in attrs or "hidden" in attrs:
             for name, *value in _CLASS.findall(attrs):
                 v = "".join(value)
@@ -95,8 +96,14 @@ def parse(page: str) -> Node:
     """The element tree of a page."""
     root = Node("#root")
     stack = [root]
+    opened: Counter[str] = Counter()  # elements on the stack by name
     at, n = 0, len(page)
 
+    def close(k: int) -> None:
+        for x in stack[k:]:
+            opened[x.tag] -= 1
+        del stack[k:]
+
     def text(s: str) -> None:
         if s:
             stack[-1].parts.append(html.unescape(s) if "&" in s else s)
@@ -117,32 +124,32 @@ def parse(page: str) -> Node:
         if not tag:
             continue
         if m[1] or m[4]:
-            if tag == "p" and not any(x.tag == "p" for x in stack):
+            if not opened[tag]:
                 continue
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag == tag:
-                    del stack[k:]
+                    close(k)
                     break
                 if stack[k].tag in ("article", "main", "body", "table", "td", "div", "section") and tag not in BLOCK:
                     break  # an inline end tag does not close blocks around it
             continue
         attrs = m[3] or m[6] or ""
-        if tag in CLOSES_P:
+        if tag in CLOSES_P and opened["p"]:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag == "p":
-                    del stack[k:]
+                    close(k)
                     break
                 if stack[k].tag in BLOCK:
                     break
-        if tag in _CLOSED_BY:
+        if tag in _CLOSED_BY and any(opened[x] for x in _CLOSED_BY[tag]):
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag in _CLOSED_BY[tag]:
-                    del stack[k:]
+                    close(k)
                     break
                 if stack[k].tag in _SCOPE[tag]:
                     break
         if tag == "body" and stack[-1].tag == "head":
-            stack.pop()
+            close(len(stack) - 1)
         if tag == "br":
             stack[-1].parts.append(" ")
             continue
@@ -155,13 +162,24 @@ def parse(page: str) -> Node:
                 node.parts.append(html.unescape(page[at : end.start() if end else n]))
             at = end.end() if end else n
         elif tag not in VOID and not attrs.endswith("/") or tag in ("p", "div", "span", "a", "b", "i", "li") and tag not in VOID:
-            if len(stack) < DEPTH:
-                stack.append(node)
+            stack.append(node)
+            opened[tag] += 1
     return root
 
 
+def depth(root: Node) -> int:
+    """Levels of a tree."""
+    levels, row = 0, [root]
+    while row:
+        levels, row = levels + 1, [k for x in row for k in x.kids]
+    return levels
+
+
 def measure(node: Node) -> int:
-    """Sets key (equal keys: equal content) and size (characters) below a node, own and own_size without its elements."""
+    """Sets key (equal keys: equal content) and size (characters) below a node, own and own_size without its elements.
+
+    Equal shapes have equal labels throughout, of `nodes` nodes.
+    """
     size, key, own = 0, [node.tag], []
     for p in node.parts:
         if isinstance(p, str):
@@ -174,6 +192,7 @@ def measure(node: Node) -> int:
             key.append(p.key)
     node.own, node.own_size = hash(tuple(own)), sum(map(len, own))
     node.key, node.size = hash(tuple(key)), size + node.own_size
+    node.shape, node.nodes = hash((node.label, *(k.shape for k in node.kids))), 1 + sum(k.nodes for k in node.kids)
     return node.size
 
 
@@ -186,51 +205,126 @@ def _nodes(root: Node) -> Iterator[Node]:
         stack.extend(node.kids)
 
 
-def align(a: Node, b: Node, pairs: list[tuple[Node, Node]]) -> int:
-    """Simple tree matching: the most nodes that two trees share in order, under equal labels; `pairs` gets them."""
-    score, found = _match(a, b)
-    stack = [found]
+def align(a: Node, b: Node, pairs: list[tuple[Node, Node]], memo: dict[tuple[int, int], int] | None = None) -> int:
+    """Simple tree matching: the most nodes that two trees share in order, under equal labels; `pairs` gets them.
+
+    Among largest matches, lists of children take one with the most pairs of equal content.  Scores depend on labels
+    alone, so `memo` keeps them by shapes.
+    """
+    if a.key is None or b.key is None:
+        measure(a)
+        measure(b)
+    memo = {} if memo is None else memo
+    if a.label != b.label:
+        return 0
+    stack = [(a, b)]
     while stack:
-        x = stack.pop()
-        if x:
-            pairs.append(x[0])
-            stack.extend(x[1])
-    return score
+        x, y = stack.pop()
+        pairs.append((x, y))
+        if x.kids and y.kids:
+            stack.extend(_children(x.kids, y.kids, memo))
+    return _score(a, b, memo)
 
 
-def _match(a: Node, b: Node) -> tuple[int, tuple]:
+def _score(a: Node, b: Node, memo: dict[tuple[int, int], int]) -> int:
+    """The most nodes that two trees share in order."""
     if a.label != b.label:
-        return 0, ()
-    m, n = len(a.kids), len(b.kids)
+        return 0
+    if a.shape == b.shape:
+        return a.nodes
+    if not a.kids or not b.kids:
+        return 1
+    pair = a.shape, b.shape
+    if pair not in memo:
+        xs, ys = a.kids, b.kids
+        lo, hi = _ends([x.shape for x in xs], [y.shape for y in ys])
+        sure = sum(x.nodes for x in xs[:lo]) + sum(x.nodes for x in xs[len(xs) - hi :])
+        for last in _rows(_weights(xs[lo : len(xs) - hi], ys[lo : len(ys) - hi], memo, 1), len(ys) - hi - lo):
+            pass
+        memo[pair] = 1 + sure + int(last[-1])
+    return memo[pair]
+
+
+def _ends(xs: list, ys: list) -> tuple[int, int]:
+    """Lengths of the equal beginnings and, after these, of the equal ends of two lists."""
+    n = min(len(xs), len(ys))
+    lo = next((k for k in range(n) if xs[k] != ys[k]), n)
+    hi = next((k for k in range(n - lo) if xs[-1 - k] != ys[-1 - k]), n - lo)
+    return lo, hi
+
+
+def _weights(xs: list[Node], ys: list[Node], memo: dict[tuple[int, int], int], unit: int) -> Callable[[int], np.ndarray | list[int]]:
+    """Row i of the weights: `unit` for each node that xs[i] and ys[j] share, and one for equal content if units are larger."""
+    kinds = {y.shape: y for y in ys}
+    number = {shape: k for k, shape in enumerate(kinds)}
+    column = [number[y.shape] for y in ys]
+    scores: dict[int, list[int]] = {}
+    small = len(ys) < 64
+    at, keys = (column, [y.key for y in ys]) if small else (np.array(column), np.array([y.key for y in ys], np.int64))
+
+    def row(i: int) -> np.ndarray | list[int]:
+        x = xs[i]
+        if x.shape not in scores:
+            scores[x.shape] = [unit * _score(x, y, memo) for y in kinds.values()]
+        s = scores[x.shape]
+        if small:
+            return [s[k] + (unit > 1 and s[k] > 0 and key == x.key) for k, key in zip(at, keys, strict=True)]
+        w = np.array(s, np.int64)[at]
+        return w + ((keys == x.key) & (w > 0)) if unit > 1 else w
+
+    row.count = len(xs)
+    return row
+
+
+def _rows(weights: Callable, n: int, first: int = 0, end: int | None = None, start: np.ndarray | list[int] | None = None) -> Iterator:
+    """Rows first, ..., end of the table of best totals; row i holds the best of the first i children of one list."""
+    above = start if start is not None else [0] * (n + 1) if n < 64 else np.zeros(n + 1, np.int64)
+    yield above
+    for i in range(first, weights.count if end is None else end):
+        w = weights(i)
+        if n < 64:
+            now, left = [0], 0
+            for j in range(n):
+                left = max(left, above[j + 1], above[j] + w[j])
+                now.append(left)
+        else:
+            now = np.zeros(n + 1, np.int64)
+            np.maximum.accumulate(np.maximum(above[1:], above[:-1] + w), out=now[1:])
+        yield now
+        above = now
+
+
+def _children(xs: list[Node], ys: list[Node], memo: dict[tuple[int, int], int]) -> list[tuple[Node, Node]]:
+    """Pairs of a best match of two lists of children, exact for any length.
+
+    Only every r-th row of the table is kept, r the root of their number; the rows between are made again on the way back.
+    """
+    lo, hi = _ends([(x.shape, x.key) for x in xs], [(y.shape, y.key) for y in ys])
+    got = [*zip(xs[:lo], ys[:lo], strict=True), *(zip(xs[-hi:], ys[-hi:], strict=True) if hi else ())]
+    xs, ys = xs[lo : len(xs) - hi], ys[lo : len(ys) - hi]
+    m, n = len(xs), len(ys)
     if not m or not n:
-        return 1, ((a, b), ())
-    if m * n > CELLS:  # very long lists of children are paired in order
-        got = [_match(x, y) for x, y in zip(a.kids, b.kids, strict=False)]
-        return 1 + sum(s for s, _ in got), ((a, b), [f for s, f in got if s])
-    best = [[0] * (n + 1)]
-    sub: dict[tuple[int, int], tuple[int, tuple]] = {}
-    for i, x in enumerate(a.kids):
-        above, row, left = best[-1], [0], 0
-        for j, y in enumerate(b.kids):
-            v = above[j + 1] if above[j + 1] > left else left
-            if x.label == y.label:
-                w = sub[i, j] = _match(x, y)
-                if above[j] + w[0] > v:
-                    v = above[j] + w[0]
-            row.append(v)
-            left = v
-        best.append(row)
-    i, j, got = m, n, []
+        return got
+    weights = _weights(xs, ys, memo, min(m, n) + 1)
+    step = math.isqrt(m) + 1
+    kept = [row for i, row in enumerate(_rows(weights, n)) if i % step == 0]
+    i, j = m, n
     while i and j:
-        w = sub.get((i - 1, j - 1))
-        if w and best[i][j] == best[i - 1][j - 1] + w[0]:
-            got.append(w[1])
-            i, j = i - 1, j - 1
-        elif best[i][j] == best[i - 1][j]:
-            i -= 1
-        else:
-            j -= 1
-    return 1 + best[m][n], ((a, b), got)
+        base = (i - 1) // step * step
+        best = list(_rows(weights, n, base, i, kept[base // step]))
+        while i > base and j:
+            w = weights(i - 1)
+            while j and best[i - base][j] != best[i - 1 - base][j - 1] + w[j - 1] and best[i - base][j] != best[i - 1 - base][j]:
+                j -= 1
+            if j and w[j - 1] and best[i - base][j] == best[i - 1 - base][j - 1] + w[j - 1]:
+                got.append((xs[i - 1], ys[j - 1]))
+                j -= 1
+                i -= 1
+            elif best[i - base][j] == best[i - 1 - base][j]:
+                i -= 1
+            elif j:
+                j -= 1
+    return got
 
 
 def leaders(pages: list[Node], found: list[list[tuple[Node, Node]]]) -> list[int]:
@@ -274,9 +368,10 @@ def induce(pages: list[Node]) -> None:
     distinct.insert(0, distinct.pop(middle))
     reference = distinct[0]
     found: list[list[tuple[Node, Node]]] = [[]]
+    memo: dict[tuple[int, int], int] = {}
     for page in distinct[1:]:
         found.append([])
-        align(reference, page, found[-1])
+        align(reference, page, found[-1], memo)
     matched = [pair for pairs in found for pair in pairs]
     first = leaders(distinct, found)
     least = LEAST if len(first) > LEAST else math.ceil(CONSTANT * (len(first) - 1))
@@ -357,10 +452,16 @@ def content(root: Node) -> str:
 def extract_group(pages: list[str]) -> list[str]:
     """The texts of a group of one host's pages."""
     trees = [parse(p) for p in pages]
-    for t in trees:
-        measure(t)
-    induce(trees)
-    return [content(t) for t in trees]
+    # The functions below call themselves for every level of a tree, in frames that do not use the C stack.
+    limit, deepest = sys.getrecursionlimit(), max(map(depth, trees), default=0)
+    sys.setrecursionlimit(max(limit, 1000 + 8 * deepest))
+    try:
+        for t in trees:
+            measure(t)
+        induce(trees)
+        return [content(t) for t in trees]
+    finally:
+        sys.setrecursionlimit(limit)
 
 
 def extract(pages: DataFrame, id: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:

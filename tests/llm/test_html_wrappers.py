@@ -1,5 +1,7 @@
 """Main text of pages: what is kept whatever its links, copies, shares of template and sizes are."""
 
+import random
+
 from tercet.llm import html_extract
 
 
@@ -28,6 +30,44 @@ def test_near_copies_keep_their_text():
     assert html_extract.extract_group(pages[:2]) == [f"Menu of the site\n{text[0]}\n{d}" for d in (0, 1)]
 
 
+def test_long_lists_are_aligned_exactly():
+    """Lists of over 300 children; the notices stand after additional ones and are found."""
+    pages = [f"<body>{''.join(f'<p>Own text {k} of {c}</p>' for c in range(150 + k))}<p>Always the same notice</p>{''.join(f'<p>More text {k} of {c}</p>' for c in range(150))}</body>" for k in range(8)]
+    got = html_extract.extract_group(pages)
+    assert all("notice" not in t for t in got)
+    assert [t.count("\n") for t in got] == [299 + k for k in range(8)]
+
+
+def test_matches_are_the_largest():
+    """Against the table of all pairs, for lists on both sides of the vectorised form."""
+    rng = random.Random(6)
+
+    def brute(a, b):
+        if a.label != b.label:
+            return 0
+        best = [[0] * (len(b.kids) + 1) for _ in range(len(a.kids) + 1)]
+        for i, x in enumerate(a.kids):
+            for j, y in enumerate(b.kids):
+                best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + brute(x, y))
+        return 1 + best[-1][-1]
+
+    def tree(n, levels):
+        return "".join(f"<{t} class={rng.choice('cd')}>{tree(rng.randint(0, 4), levels - 1) if levels else rng.randint(0, 2)}</{t}>" for t in (rng.choice(("div", "section")) for _ in range(n)))
+
+    for n in (0, 1, 3, 7, 70, 90):
+        for _ in range(4):
+            a, b = html_extract.parse(tree(n, 2)), html_extract.parse(tree(rng.randint(n // 2, n + 5), 2))
+            pairs = []
+            assert html_extract.align(a, b, pairs) == len(pairs) == brute(a, b)
+            assert len({id(x) for x, _ in pairs}) == len({id(y) for _, y in pairs}) == len(pairs) and all(x.label == y.label for x, y in pairs)
+
+
+def test_deep_elements_keep_their_marks():
+    for n in (200, 5000):
+        page = f"<article><p>one</p>{'<div>' * n}<p>deep</p><div class=sidebar>no</div><div>two</div>{'</div>' * n}<p>three</p></article><p>outside</p>"
+        assert html_extract.extract_group([page, page + " "]) == ["one\ndeep\ntwo\nthree"] * 2
+
+
 def test_copies_do_not_switch_the_wrapper_off(spark, monkeypatch):
     """A page with many copies fills whole groups of rows, but stands once among a host's distinct pages."""
     monkeypatch.setattr(html_extract, "GROUP", 6)
