@@ -1,15 +1,19 @@
 """License scans by sentence rules, with DataFrame functions only.
 
-A text is cut into sentences, sentences are normalised (letters and digits, lower case, single spaces) and mapped to
-the identifiers of known licence sentences; the identifiers, in text order, are matched against ordered rules, whose
-sentences must all occur in that order with anything between them.  Nothing is shuffled.
+A text is normalised (letters and digits, lower case, single spaces), with marks at sentence ends and line breaks.
+Known licence sentences are found from mark to mark, whatever marks are inside, so also where lines are wrapped or are
+comments; their identifiers, in text order, are matched against ordered rules, whose sentences must all occur in that
+order with anything between them.  Nothing is shuffled.
 
 Defined results: null and empty texts have no sentences and no licences; repeated rows give repeated rows; sentences
-match wholly, so a known phrase inside a longer sentence is not recognised; extra columns are not read.
+match wholly, so a known phrase inside a longer sentence is not recognised, unless it is a notice ("... under ...") that
+follows its subject and is or are; extra columns are not read.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -61,6 +65,12 @@ RULES = (
 )
 SENTENCE_END = r"[\n\r]+|[.!?;:]+[ \t]+"
 NOT_WORD = "[^A-Za-z0-9]+"
+# The same ends in texts, with words that begin a comment line.
+MARKED = r"[\n\r]+(?:[ \t]*(?:REM|dnl)\b)?|[.!?;:]+[ \t]+"
+START, SUBJECT = r"(?<=\| )", r"(?<= (?:is|are)(?: also| hereby)? )"
+NOTICE = re.compile(r"(?:this work is )?(?:licensed|released) under ")
+# The grant names its licence also where the sentences after it are missing.
+ALL_RULES = (*RULES, ("Apache-2.0", ("apache2_grant",)))
 
 
 def _pattern(sentences: tuple[str, ...]) -> str:
@@ -68,15 +78,34 @@ def _pattern(sentences: tuple[str, ...]) -> str:
     return "%" + "%".join(f",{s}," for s in sentences) + "%"
 
 
+def _forms(known: dict[str, str]) -> tuple[dict[str, str], str]:
+    """Identifiers by sentence, with the forms of notices after a subject, and the pattern that finds all of them.
+
+    Longer sentences stand first, so that one is not taken for its own beginning.
+    """
+    ids = {v: k for k, v in known.items()}
+    found = {v: START for v in ids}
+    for sentence, k in list(ids.items()):
+        if m := NOTICE.match(sentence):
+            for verb in ("licensed", "released", "distributed"):
+                form = f"{verb} under {sentence[m.end() :]}"
+                found[form] = f"(?:{START}|{SUBJECT})" if form in found else SUBJECT
+                ids.setdefault(form, k)
+    longest = sorted(found, key=lambda x: (-len(x), x))
+    either = lambda start: "|".join(v.replace(" ", r" (?:\| )?") for v in longest if start in found[v])
+    return ids, f"(?:{START}(?:{either(START)})|(?=[lrd]){SUBJECT}(?:{either(SUBJECT)}))(?= \\|)"
+
+
 def sentence_ids(text: Column, known: dict[str, str]) -> Column:
     """The identifiers of the known sentences of a text, in text order."""
-    table = F.create_map(*(F.lit(x) for k, v in known.items() for x in (v, k)))
-    plain = lambda s: F.lower(F.trim(F.regexp_replace(s, NOT_WORD, " ")))
-    parts = F.split(text, SENTENCE_END)
-    return F.filter(F.transform(parts, lambda s: F.try_element_at(table, plain(s))), lambda s: s.isNotNull())
+    ids, pattern = _forms(known)
+    table = F.create_map(*(F.lit(x) for v, k in ids.items() for x in (v, k)))
+    marked = F.concat(F.lit("|"), F.regexp_replace(F.translate(text, "|", ","), MARKED, "|"), F.lit("|"))
+    plain = F.lower(F.regexp_replace(F.regexp_replace(marked, "[^A-Za-z0-9|]+", " "), r" ?\|[ |]*", " | "))
+    return F.transform(F.regexp_extract_all(plain, F.lit(pattern), F.lit(0)), lambda s: F.element_at(table, F.replace(s, F.lit("| "), F.lit(""))))
 
 
-def scan(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text", known: dict[str, str] | None = None, rules: tuple = RULES) -> DataFrame:
+def scan(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text", known: dict[str, str] | None = None, rules: tuple = ALL_RULES) -> DataFrame:
     """keep columns, sentence_ids array<string> in text order, licences array<string> in rule order."""
     ids = docs.select(*(F.col(f"`{c}`") for c in keep), sentence_ids(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")), known or SENTENCES).alias("sentence_ids"))
     line = F.concat(F.lit(","), F.array_join("sentence_ids", ",,"), F.lit(","))
