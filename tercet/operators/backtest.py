@@ -8,7 +8,7 @@ from __future__ import annotations
 from dataclasses import asdict, dataclass, fields
 from itertools import product
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tercet.functions.expressions import over
@@ -64,13 +64,14 @@ class Grid:
 def prepare_events(labels: DataFrame, predictions: DataFrame) -> DataFrame:
     """Labels with their probabilities, one to one; pnl_date is the exit date, or the event's.
 
-    Running it fails where an event_id repeats on either side or a probability is not within [0, 1].
+    Running it fails where an event_id repeats on either side or a probability is not within [0, 1].  Repeats are counted
+    on the key that both sides are joined by, so that they need no shuffle of their own.
     """
     require_columns(labels, ["event_id", "event_date", "exit_date", "side", "entry_z_score", "exit_z_score"])
     require_columns(predictions, ["event_id", P])
-    once = lambda df: df.groupBy("event_id").agg(F.count("*").alias("__n"))
-    keep = ["event_id", P] + (["split"] if "split" in predictions.columns else [])
-    got = labels.join(predictions.select(*keep), "event_id").join(once(labels), "event_id").join(once(predictions).withColumnRenamed("__n", "__m"), "event_id")
+    seen = lambda name: F.count("*").over(Window.partitionBy("event_id")).alias(name)
+    split = ["split"] if "split" in predictions.columns else []
+    got = labels.select("*", seen("__n")).join(predictions.select("event_id", P, *split, seen("__m")), "event_id")
     got = assert_rows(got, (F.col("__n") == 1) & (F.col("__m") == 1), "labels and predictions must match one to one").drop("__n", "__m")
     got = assert_rows(got, F.col(P).between(0.0, 1.0), "probabilities must be within [0, 1]")
     return got.withColumn("pnl_date", F.coalesce("exit_date", "event_date"))

@@ -12,9 +12,13 @@ LEGS = ("target_symbol", "hedge_symbol_1", "hedge_symbol_2")
 
 
 def clean_prices(raw: DataFrame, min_price: float = 0.01, order: str = "ingest_seq") -> DataFrame:
-    """The last row of every symbol and date, by `order`, with quality_flag 'clean' or 'invalid_price'."""
+    """The last row of every symbol and date, by `order`, with quality_flag 'clean' or 'invalid_price'.
+
+    Rows that tie in `order` are told apart by their other columns, from adj_close on, the greatest being the last.
+    """
     require_columns(raw, ["symbol", "date", "adj_close", order])
-    last = Window.partitionBy("symbol", "date").orderBy(F.desc(order))
+    rest = [c for c in raw.columns if c not in ("symbol", "date", "adj_close", order)]
+    last = Window.partitionBy("symbol", "date").orderBy(*(F.col(f"`{c}`").desc_nulls_last() for c in (order, "adj_close", *rest)))
     kept = raw.withColumn("__n", F.row_number().over(last)).where("__n = 1").drop("__n", order)
     return kept.withColumn("quality_flag", F.when(F.col("adj_close") >= min_price, "clean").otherwise("invalid_price"))
 

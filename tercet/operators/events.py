@@ -52,72 +52,103 @@ def event_id(exact: bool = True) -> Column:
     return F.substring(F.sha1(F.concat_ws("|", "triplet_id", "method", F.date_format("event_date", "yyyy-MM-dd"), "side", z).cast("binary")), 1, 16)
 
 
+SYMBOLS = ("target_symbol", "hedge_symbol_1", "hedge_symbol_2")
+
+
+def _crossed(size: Column, before: Column, config: LabelingConfig) -> Column:
+    """Whether |z| reaches the threshold when the row before was below it (or, if wanted, has none)."""
+    return (size >= config.entry_threshold) & ((before < config.entry_threshold) | (F.lit(config.include_initial_crossing) & before.isNull()))
+
+
+def _events(hits: DataFrame, symbols: list[str], config: LabelingConfig, exact_ids: bool, also: list[str]) -> DataFrame:
+    """Event columns of rows that cross, which have rn."""
+    got = hits.select(
+        *GROUP, F.col("date").alias("event_date"), *symbols, F.when(F.col("z_score") > 0, "short_spread").otherwise("long_spread").alias("side"),
+        F.col("z_score").alias("entry_z_score"), F.abs("z_score").alias("entry_abs_z"), F.col("residual").alias("entry_residual"), F.lit(config.entry_threshold).alias("entry_threshold"),
+        F.lit(config.exit_z).alias("exit_z"), F.lit(config.stop_loss_z).alias("stop_loss_z"), F.lit(config.max_holding_period).alias("max_holding_period"), F.lit(config.z_window).cast("int").alias("z_window"), (F.col("rn") - 1).alias("event_row"), *also,
+    )
+    return got.select(event_id(exact_ids).alias("event_id"), *got.columns)
+
+
 def candidate_events(scored: DataFrame, config: LabelingConfig = LabelingConfig(), exact_ids: bool = False) -> DataFrame:
     """Rows whose |z| reaches the threshold when the row before was below it."""
     require_columns(scored, [*GROUP, "date", "residual", "z_score"])
     w = Window.partitionBy(*GROUP).orderBy("date")
     size = F.abs("z_score")
-    before = F.lag(size).over(w)
-    crossed = (size >= config.entry_threshold) & ((before < config.entry_threshold) | (F.lit(config.include_initial_crossing) & before.isNull()))
-    symbols = [c for c in ("target_symbol", "hedge_symbol_1", "hedge_symbol_2") if c in scored.columns]
-    got = scored.select(*GROUP, *symbols, "date", "residual", "z_score", crossed.alias("hit"), (F.row_number().over(w) - 1).alias("event_row")).where("hit")
-    got = got.select(
-        *GROUP, F.col("date").alias("event_date"), *symbols, F.when(F.col("z_score") > 0, "short_spread").otherwise("long_spread").alias("side"),
-        F.col("z_score").alias("entry_z_score"), F.abs("z_score").alias("entry_abs_z"), F.col("residual").alias("entry_residual"), F.lit(config.entry_threshold).alias("entry_threshold"),
-        F.lit(config.exit_z).alias("exit_z"), F.lit(config.stop_loss_z).alias("stop_loss_z"), F.lit(config.max_holding_period).alias("max_holding_period"), F.lit(config.z_window).cast("int").alias("z_window"), "event_row",
-    )
-    return got.select(event_id(exact_ids).alias("event_id"), *got.columns)
+    symbols = [c for c in SYMBOLS if c in scored.columns]
+    crossed = _crossed(size, F.lag(size).over(w), config)
+    got = scored.select(*GROUP, *symbols, "date", "residual", "z_score", crossed.alias("hit"), F.row_number().over(w).alias("rn")).where("hit")
+    return _events(got, symbols, config, exact_ids, [])
 
 
 def paths(scored: DataFrame, config: LabelingConfig) -> DataFrame:
-    """For every residual row, what a trade opened there would meet on each side within the holding period.
+    """For every residual row, its place `rn` and what a trade opened there would meet on each side within the holding period.
 
-    All barriers are looked up in one forward frame; rows without a z-score are passed over.
+    short_ok, short_stop, long_ok, long_stop and last hold (rn, date, z_score, residual) of the row met, so that one
+    forward frame gives barrier and exit together; rows without a z-score are passed over.
     """
     by_date = Window.partitionBy(*GROUP).orderBy("date")
-    n = scored.select(*GROUP, F.col("date").alias("event_date"), "residual", "z_score", F.row_number().over(by_date).alias("rn"))
-    ahead = Window.partitionBy(*GROUP).orderBy("rn").rowsBetween(1, config.max_holding_period)
-    first = lambda cond: F.min(F.when(cond, F.col("rn"))).over(ahead)
-    z = F.col("z_score")
-    return n.select(
-        *GROUP, "event_date", "rn", first(z <= config.exit_z).alias("short_ok"), first(z >= config.stop_loss_z).alias("short_stop"),
-        first(-z <= config.exit_z).alias("long_ok"), first(-z >= config.stop_loss_z).alias("long_stop"), F.max("rn").over(ahead).alias("last_rn"),
-    )
+    n = scored.withColumn("rn", F.row_number().over(by_date))
+    ahead = by_date.rowsBetween(1, config.max_holding_period)
+    row, z = F.struct("rn", "date", "z_score", "residual"), F.col("z_score")
+    first = lambda cond: F.min(F.when(cond, row)).over(ahead)
+    met = {"short_ok": first(z <= config.exit_z), "short_stop": first(z >= config.stop_loss_z), "long_ok": first(-z <= config.exit_z), "long_stop": first(-z >= config.stop_loss_z)}
+    return n.select("*", *(c.alias(k) for k, c in met.items()), F.max(row).over(ahead).alias("last"))
+
+
+MET = ["short_ok", "short_stop", "long_ok", "long_stop", "last"]
+LABELS = [
+    "event_id", *GROUP, "event_date", "exit_date", "side", "label", "outcome", "exit_reason", "holding_period", "entry_z_score", "entry_abs_z", "exit_z_score", "entry_residual", "exit_residual",
+    "entry_threshold", "exit_z", "stop_loss_z", "max_holding_period",
+]
+
+
+def _with_outcome(got: DataFrame, missing: Column | None = None) -> DataFrame:
+    """Events beside their paths, with exit_reason, exit_date, exit z-score and residual, holding_period, label, outcome."""
+    short = F.col("side") == "short_spread"
+    got = got.withColumn("ok", F.when(short, F.col("short_ok")).otherwise(F.col("long_ok"))).withColumn("stop", F.when(short, F.col("short_stop")).otherwise(F.col("long_stop")))
+    success = F.col("ok").isNotNull() & (F.col("stop").isNull() | (F.col("ok.rn") <= F.col("stop.rn")))
+    met = F.when(F.col("last").isNull(), "no_forward_observations").when(success, "reversion").when(F.col("stop").isNotNull(), "stop_loss").otherwise("max_holding_period")
+    got = got.withColumn("exit_reason", met if missing is None else F.coalesce(missing, met)).withColumn("end", F.coalesce(F.least("ok", "stop"), F.col("last")))
+    good = F.col("exit_reason") == "reversion"
+    return got.withColumns({
+        "exit_date": F.col("end.date"), "exit_z_score": F.col("end.z_score"), "exit_residual": F.col("end.residual"), "holding_period": F.coalesce(F.col("end.rn") - F.col("rn"), F.lit(0)),
+        "label": good.cast("int"), "outcome": F.when(good, "success").otherwise("failure"),
+    })
 
 
 def label_events(scored: DataFrame, events: DataFrame, config: LabelingConfig = LabelingConfig()) -> DataFrame:
     """Each event with label, outcome, exit_reason, exit_date, holding_period, exit_z_score and exit_residual.
 
     Reversion goes before the stop on one row; without either the last row within the horizon ends the trade.  Events
-    without a residual path, date or forward rows are failures with a holding period of 0.
+    without a residual path, date or forward rows are failures with a holding period of 0.  One join, on the key that
+    paths are shuffled by.
     """
-    p = paths(scored, config)
-    got = events.join(p, [*GROUP, "event_date"], "left")
-    short = F.col("side") == "short_spread"
-    got = got.withColumn("ok", F.when(short, F.col("short_ok")).otherwise(F.col("long_ok"))).withColumn("stop", F.when(short, F.col("short_stop")).otherwise(F.col("long_stop")))
-    success = F.col("ok").isNotNull() & (F.col("stop").isNull() | (F.col("ok") <= F.col("stop")))
-    known = scored.select("triplet_id", "method").distinct().withColumn("known", F.lit(True))
-    got = got.join(known, GROUP, "left")
-    reason = (
-        F.when(F.col("known").isNull(), "missing_residual_path").when(F.col("rn").isNull(), "missing_event_date").when(F.col("last_rn").isNull(), "no_forward_observations")
-        .when(success, "reversion").when(F.col("stop").isNotNull(), "stop_loss").otherwise("max_holding_period")
-    )
-    end = F.coalesce(F.least("ok", "stop"), F.col("last_rn"))
-    got = got.withColumn("exit_reason", reason).withColumn("exit_rn", end)
-    numbered = scored.select(*GROUP, F.col("date").alias("exit_date"), F.col("z_score").alias("exit_z_score"), F.col("residual").alias("exit_residual"), F.row_number().over(Window.partitionBy(*GROUP).orderBy("date")).alias("exit_rn"))
-    got = got.join(numbered, [*GROUP, "exit_rn"], "left")
-    good = F.col("exit_reason") == "reversion"
-    return got.select(
-        "event_id", *GROUP, "event_date", "exit_date", "side", good.cast("int").alias("label"), F.when(good, "success").otherwise("failure").alias("outcome"), "exit_reason",
-        F.coalesce(F.col("exit_rn") - F.col("rn"), F.lit(0)).alias("holding_period"), "entry_z_score", "entry_abs_z", "exit_z_score", "entry_residual", "exit_residual", "entry_threshold", "exit_z", "stop_loss_z", "max_holding_period",
-    )
+    p = paths(scored, config).select(*GROUP, F.col("date").alias("event_date"), "rn", *MET)
+    got = events.join(p, [*GROUP, "event_date"], "left").join(scored.select(*GROUP).distinct().withColumn("known", F.lit(True)), GROUP, "left")
+    missing = F.when(F.col("known").isNull(), "missing_residual_path").when(F.col("rn").isNull(), "missing_event_date")
+    return _with_outcome(got, missing).select(*LABELS)
+
+
+def labelled_crossings(scored: DataFrame, config: LabelingConfig = LabelingConfig(), exact_ids: bool = False) -> DataFrame:
+    """candidate_events() and their label_events() columns, from one pass over each path: one sort, no join."""
+    symbols = [c for c in SYMBOLS if c in scored.columns]
+    before = F.lag(F.abs("z_score")).over(Window.partitionBy(*GROUP).orderBy("date"))
+    walked = paths(require_columns(scored, [*GROUP, "date", "residual", "z_score"]).select(*GROUP, *symbols, "date", "residual", "z_score", before.alias("before")), config)
+    events = _events(walked.where(_crossed(F.abs("z_score"), F.col("before"), config)), symbols, config, exact_ids, ["rn", *MET])
+    return _with_outcome(events).drop("rn", *MET, "ok", "stop", "end")
 
 
 def generate_labels(residuals: DataFrame, config: LabelingConfig = LabelingConfig(), exact_ids: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Scored residuals, candidate events, labels."""
     scored = event_z_scores(residuals, config.z_window, config.min_periods)
-    events = candidate_events(scored, config, exact_ids)
-    return scored, events, label_events(scored, events, config)
+    both = labelled_crossings(scored, config, exact_ids)
+    return scored, both.select(*event_columns(both)), both.select(*LABELS)
+
+
+def event_columns(both: DataFrame) -> list[str]:
+    """The columns of labelled_crossings() that make up candidate events."""
+    return [c for c in both.columns if c not in ("exit_date", "exit_z_score", "exit_residual", "holding_period", "label", "outcome", "exit_reason")]
 
 
 def label_summary(labels: DataFrame, by: list[str] | None = None) -> DataFrame:

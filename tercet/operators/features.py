@@ -8,6 +8,7 @@ count the residual rows themselves.  Events off the calendar see the last calend
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 from itertools import combinations
 
@@ -20,6 +21,7 @@ from tercet.guards import require, require_columns
 GROUP = ["triplet_id", "method"]
 
 
+# The windows, and the names of the feature columns below.
 @dataclass(frozen=True)
 class FeatureConfig:
     """Rows in each trailing window; market_symbol is the one whose return stands for the market."""
@@ -72,7 +74,7 @@ def coefficient_panel(coefficients: DataFrame, config: FeatureConfig = FeatureCo
 def market_grid(market: DataFrame) -> DataFrame:
     """symbol, date, simple_return, log_price, volume on every calendar date of every symbol; gaps are null."""
     require_columns(market, ["symbol", "date", "simple_return", "log_price", "volume"])
-    grid = market.select("date").distinct().crossJoin(F.broadcast(market.select("symbol").distinct()))  # dates x symbols: the panel's own size
+    grid = market.select("date").distinct().crossJoin(market.select("symbol").distinct())  # dates x symbols: the panel's own size
     return grid.join(market.select("symbol", "date", "simple_return", "log_price", "volume"), ["symbol", "date"], "left")
 
 
@@ -112,11 +114,11 @@ def as_of_dates(events: DataFrame, grid: DataFrame) -> DataFrame:
     return got.select(F.col("d").alias("event_date"), F.max("c").over(Window.partitionBy("one").orderBy("d")).alias("as_of"))
 
 
-def market_features(events: DataFrame, market: DataFrame, config: FeatureConfig = FeatureConfig()) -> DataFrame:
-    """event_id and MARKET_FEATURES."""
-    grid = market_grid(market)
+def market_features(events: DataFrame, market: DataFrame, config: FeatureConfig = FeatureConfig(), keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """event_id and MARKET_FEATURES; keep() may make stage tables of the panels, which several joins read."""
+    grid = keep(market_grid(market))
     e = events.select("event_id", "event_date", "target_symbol", "hedge_symbol_1", "hedge_symbol_2").join(as_of_dates(events, grid), "event_date")
-    s = symbol_panel(grid, config)
+    s = keep(symbol_panel(grid, config))
     legs = (("target_symbol", "t"), ("hedge_symbol_1", "h1"), ("hedge_symbol_2", "h2"))
     one = e
     for role, short in legs:
@@ -124,7 +126,7 @@ def market_features(events: DataFrame, market: DataFrame, config: FeatureConfig
     one = one.join(s.where(F.col("symbol") == config.market_symbol).select(F.col("date").alias("as_of"), F.col("last_return").alias("market_return")), "as_of", "left")
     triples = events.select("target_symbol", "hedge_symbol_1", "hedge_symbol_2").distinct()
     pairs = triples.select(F.explode(F.array(*(F.struct(F.col(x).alias("a"), F.col(y).alias("b")) for x, y in (("target_symbol", "hedge_symbol_1"), ("target_symbol", "hedge_symbol_2"), ("hedge_symbol_1", "hedge_symbol_2"))))).alias("p")).select("p.*")
-    p = pair_panel(grid, pairs, config)
+    p = keep(pair_panel(grid, pairs, config))
     for x, y, name in (("target_symbol", "hedge_symbol_1", "target_anchor_1_correlation"), ("target_symbol", "hedge_symbol_2", "target_anchor_2_correlation"), ("hedge_symbol_1", "hedge_symbol_2", "anchor_correlation")):
         one = one.join(p.select(F.col("a").alias(x), F.col("b").alias(y), F.col("date").alias("as_of"), F.col("correlation").alias(name)), [x, y, "as_of"], "left")
     w = rows(["t", "h1", "h2"], "date", -(config.stability_window - 1), 0)
@@ -142,10 +144,10 @@ def market_features(events: DataFrame, market: DataFrame, config: FeatureConfig
     )
 
 
-def feature_matrix(events: DataFrame, scored: DataFrame, coefficients: DataFrame | None = None, market: DataFrame | None = None, labels: DataFrame | None = None, config: FeatureConfig = FeatureConfig()) -> DataFrame:
+def feature_matrix(events: DataFrame, scored: DataFrame, coefficients: DataFrame | None = None, market: DataFrame | None = None, labels: DataFrame | None = None, config: FeatureConfig = FeatureConfig(), keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
     """One row an event: METADATA, entry z-scores, residual, coefficient and market features, labels.
 
-    Inputs that are not given leave their columns null.
+    Inputs that are not given leave their columns null; keep() is that of market_features().
     """
     e = events.select(*METADATA, "entry_z_score", "entry_abs_z")
     panel = residual_panel(scored, config).withColumnRenamed("date", "event_date")
@@ -153,7 +155,7 @@ def feature_matrix(events: DataFrame, scored: DataFrame, coefficients: DataFrame
     if coefficients is not None:
         got = got.join(coefficient_panel(coefficients, config).withColumnRenamed("date", "event_date"), [*GROUP, "event_date"], "left")
     if market is not None:
-        got = got.join(market_features(events, market, config), "event_id", "left")
+        got = got.join(market_features(events, market, config, keep), "event_id", "left")
     if labels is not None:
         got = got.join(labels.select("event_id", *LABELS), "event_id", "left")
     want = [*METADATA, "entry_z_score", "entry_abs_z", "z_score", "residual", *RESIDUAL_FEATURES, *COEFFICIENT_FEATURES, *MARKET_FEATURES]

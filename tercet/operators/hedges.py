@@ -27,15 +27,15 @@ def moments(y: Column, x1: Column, x2: Column, w: WindowSpec | None = None) -> d
     return out | {"c12": on(F.covar_pop(x1, x2)), "c1y": on(F.covar_pop(x1, y)), "c2y": on(F.covar_pop(x2, y))}
 
 
-def solve(alpha: Column | float = 0.0) -> dict[str, Column]:
+def solve(alpha: Column | float = 0.0, prefix: str = "") -> dict[str, Column]:
     """alpha, beta_1, beta_2 and r_squared from columns of moments; `alpha` is the ridge penalty (0: least squares)."""
-    c = F.col
+    c = lambda k: F.col(prefix + k)
     lam = (F.lit(alpha) if not isinstance(alpha, Column) else alpha) / c("n")
     det = (c("v1") + lam) * (c("v2") + lam) - c("c12") * c("c12")
     b1 = over(c("c1y") * (c("v2") + lam) - c("c2y") * c("c12"), det)
     b2 = over(c("c2y") * (c("v1") + lam) - c("c1y") * c("c12"), det)
     rss = c("vy") - 2 * (b1 * c("c1y") + b2 * c("c2y")) + b1 * b1 * c("v1") + b2 * b2 * c("v2") + 2 * b1 * b2 * c("c12")
-    return {"alpha": c("my") - b1 * c("m1") - b2 * c("m2"), "beta_1": b1, "beta_2": b2, "r_squared": F.when(c("vy") == 0, F.lit(0.0)).otherwise(1 - over(rss, "vy"))}
+    return {"alpha": c("my") - b1 * c("m1") - b2 * c("m2"), "beta_1": b1, "beta_2": b2, "r_squared": F.when(c("vy") == 0, F.lit(0.0)).otherwise(1 - over(rss, c("vy")))}
 
 
 def predict(alpha: str = "alpha", beta_1: str = "beta_1", beta_2: str = "beta_2") -> Column:
@@ -98,20 +98,36 @@ def rolling_ridge(obs: DataFrame, window: int, ridge_alpha: float = 1.0) -> Data
     return _coefficients(_rolled(obs, window), "rolling_ridge", window, ridge_alpha)
 
 
+def rolling_both(obs: DataFrame, window: int, ridge_alpha: float = 1.0) -> DataFrame:
+    """rolling_ols() and rolling_ridge(), one after another, from one window of moments."""
+    require(ridge_alpha >= 0, "ridge_alpha must not be negative")
+    rolled = _rolled(obs, window)
+    both = (("rolling_ols", solve(0.0), None), ("rolling_ridge", solve(ridge_alpha), ridge_alpha))
+    fits = (F.struct(*(s[k].alias(k) for k in ("alpha", "beta_1", "beta_2")), F.lit(a).cast("double").alias("ridge_alpha"), F.lit(m).alias("method")) for m, s, a in both)
+    got = rolled.select(*KEYS, "date", "y", "x1", "x2", "train_start", "train_end", F.lit(window).alias("window"), F.explode(F.array(*fits)).alias("f"))
+    return got.select(*KEYS, "date", "y", "x1", "x2", "f.alpha", "f.beta_1", "f.beta_2", "train_start", "train_end", "window", "f.ridge_alpha", "f.method")
+
+
 def dynamic_residuals(obs: DataFrame, window: int, ridge_alpha: float = 1.0) -> DataFrame:
-    """The residuals of all three methods, one after another: initial-window OLS, rolling OLS, rolling ridge.
+    """The residuals of all three methods: initial-window OLS, rolling OLS, rolling ridge.
 
-    The two rolling methods share one window node: a row is expanded to both after the moments are there.
+    One shuffle and one sort by triplet: a row gets the moments of the rows before it and those of the triplet's first
+    `window` rows, and is expanded to a row for each method that has its window.
     """
-    rolled = _rolled(obs, window)
-    ols, ridge = solve(0.0), solve(ridge_alpha)
-    both = rolled.select(
-        *KEYS, "date", "y", "x1", "x2",
-        F.explode(F.array(*(F.struct(F.lit(m).alias("method"), s["alpha"].alias("alpha"), s["beta_1"].alias("beta_1"), s["beta_2"].alias("beta_2"), F.lit(a).cast("double").alias("ridge_alpha")) for m, s, a in (("rolling_ols", ols, None), ("rolling_ridge", ridge, ridge_alpha))))).alias("f"),
-    ).select(*KEYS, "date", "y", "x1", "x2", "f.*")
-    both = both.withColumn("fitted_log_price", predict())
-    rolling = both.select(*KEYS, "date", "method", F.col("y").alias("actual_log_price"), "fitted_log_price", (F.col("y") - F.col("fitted_log_price")).alias("residual"), F.lit(window).alias("window"), "ridge_alpha")
-    return static_out_of_sample(obs, window).unionByName(rolling)
+    require(window > 2, "window must be at least 3")
+    require(ridge_alpha >= 0, "ridge_alpha must not be negative")
+    by_date = Window.partitionBy("triplet_id").orderBy("date")
+    legs = [F.col(c) for c in ("y", "x1", "x2")]
+    rolled = obs.select(*KEYS, "date", "y", "x1", "x2", F.row_number().over(by_date).alias("rn"), *(v.alias(k) for k, v in moments(*legs, by_date.rowsBetween(-window, -1)).items()))
+    first = moments(*(F.when(F.col("rn") <= window, c) for c in legs), Window.partitionBy("triplet_id"))
+    rolled = rolled.select("*", *(v.alias(f"first_{k}") for k, v in first.items()))
+    full = F.col("n") == window
+    methods = (
+        ("static_ols_initial_window", solve(0.0, "first_"), None, (F.col("first_n") == window) & (F.col("rn") > window)), ("rolling_ols", solve(0.0), None, full), ("rolling_ridge", solve(ridge_alpha), ridge_alpha, full),
+    )
+    fits = (F.when(has, F.struct(F.lit(m).alias("method"), (s["alpha"] + s["beta_1"] * legs[1] + s["beta_2"] * legs[2]).alias("fitted"), F.lit(a).cast("double").alias("ridge_alpha"))) for m, s, a, has in methods)
+    got = rolled.select(*KEYS, "date", "y", F.explode(F.array(*fits)).alias("f")).where("f is not null")
+    return got.select(*KEYS, "date", "f.method", F.col("y").alias("actual_log_price"), F.col("f.fitted").alias("fitted_log_price"), (F.col("y") - F.col("f.fitted")).alias("residual"), F.lit(window).alias("window"), "f.ridge_alpha")
 
 
 def fittable(triplets: DataFrame, panel: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -1,7 +1,8 @@
 """Splits, imputation, logistic regression by gradient descent, and decision trees.
 
-Event tables are small beside prices (a row for each crossing), and descent and tree growth are sequential over the
-whole training set: they run in one grouped map, on the columns that the model needs.  Scoring is column arithmetic.
+Descent and tree growth are sequential over the training set: they run in one grouped map, on the columns that the model
+needs, and on all training rows up to a bound, `sample` of the configuration; of more rows, that many are taken, about, by
+a hash of event_id.  Everything else, scoring too, covers all rows; scoring is column arithmetic.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ class LogisticConfig:
     l2: float = 0.0
     tolerance: float = 1e-8
     threshold: float = 0.5
+    sample: int = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -38,12 +40,19 @@ class TreeConfig:
     max_thresholds: int = 64
     criterion: str = "gini"
     threshold: float = 0.5
+    sample: int = 1_000_000
 
 
 def _numbered(df: DataFrame, date: str) -> DataFrame:
-    """rn and n: each row's place by date and event_id, and the number of rows."""
-    w = Window.partitionBy(F.lit(0)).orderBy(date, "event_id")
-    return df.withColumn("rn", F.row_number().over(w)).withColumn("n", F.count("*").over(Window.partitionBy(F.lit(0))))
+    """rn and n: each row's place by date and event_id, and the number of rows.
+
+    Places are counts of the dates before (one row a date) and places within a date, so that no task sorts all rows.
+    """
+    per = df.groupBy(date).agg(F.count("*").alias("__k"), F.lit(0).alias("__one"))
+    path = Window.partitionBy("__one").orderBy(F.col(date).asc_nulls_first())
+    per = per.select(F.col(date).alias("__d"), (F.sum("__k").over(path.rowsBetween(Window.unboundedPreceding, 0)) - F.col("__k")).alias("__before"), F.sum("__k").over(Window.partitionBy("__one")).alias("n"))
+    got = df.withColumn("__r", F.row_number().over(Window.partitionBy(date).orderBy("event_id")))
+    return got.join(per, F.col(date).eqNullSafe(F.col("__d"))).withColumn("rn", F.col("__before") + F.col("__r")).drop("__d", "__before", "__r")
 
 
 def time_split(df: DataFrame, train: float = 0.6, validation: float = 0.2, date: str = "event_date") -> DataFrame:
@@ -60,10 +69,10 @@ def walk_forward(df: DataFrame, initial: int = 20, size: int = 5, step: int = 5,
     require(min(initial, size, step) >= 1, "walk-forward sizes must be positive")
     got = _numbered(df, date).select("event_id", "rn", "n")
     last = F.floor((F.col("n") - initial - size) / step)
-    got = got.where(last >= 0).withColumn("fold", F.explode(F.sequence(F.lit(0).cast("long"), last)))
-    start = initial + F.col("fold") * step
-    got = got.withColumn("role", F.when(F.col("rn") <= start, "train").when(F.col("rn") <= start + size, "validation"))
-    return got.where("role is not null").select("fold", "role", "event_id")
+    first = F.greatest(F.lit(0), F.ceil((F.col("rn") - initial - size) / step)).cast("long")  # the first fold that reaches the row
+    got = got.where(first <= last).withColumn("fold", F.explode(F.sequence(first, last)))
+    role = F.when(F.col("rn") <= initial + F.col("fold") * step, "train").otherwise("validation")
+    return got.select("fold", role.alias("role"), "event_id")
 
 
 def impute(df: DataFrame, columns: list[str], fit_on: str | None = None) -> DataFrame:
@@ -100,6 +109,13 @@ def descend(x: np.ndarray, y: np.ndarray, config: LogisticConfig) -> tuple[np.nd
     return w, mean, std, history
 
 
+def bounded(train: DataFrame, most: int) -> DataFrame:
+    """All rows of `train`, or of more than `most` about that many, by a hash of event_id."""
+    n = train.agg(F.count("*").alias("__n"))
+    share = F.pmod(F.xxhash64("event_id"), F.lit(1 << 30)) / float(1 << 30)
+    return train.crossJoin(F.broadcast(n)).where((F.col("__n") <= most) | (share < most / F.col("__n"))).drop("__n")  # one row
+
+
 def fit_logistic(train: DataFrame, columns: list[str], config: LogisticConfig = LogisticConfig()) -> DataFrame:
     """One row: features, coefficients, intercept, means, deviations, losses."""
 
@@ -109,7 +125,7 @@ def fit_logistic(train: DataFrame, columns: list[str], config: LogisticConfig =
         return pd.DataFrame([(columns, w[1:].tolist(), float(w[0]), mean.tolist(), std.tolist(), history)], columns=["features", "coefficients", "intercept", "means", "deviations", "losses"])
 
     schema = "features array<string>, coefficients array<double>, intercept double, means array<double>, deviations array<double>, losses array<double>"
-    return train.select("event_id", "event_date", "label", *columns).groupBy(F.lit(0).alias("__all")).applyInPandas(lambda pdf: run(pdf), schema)
+    return bounded(train.select("event_id", "event_date", "label", *columns), config.sample).groupBy(F.lit(0).alias("__all")).applyInPandas(lambda pdf: run(pdf), schema)
 
 
 def coefficients(model: DataFrame) -> DataFrame:
@@ -216,7 +232,7 @@ def fit_tree(train: DataFrame, columns: list[str], config: TreeConfig = TreeConf
             got[c] = got[c].astype("Int64")
         return got
 
-    return train.select("event_id", "event_date", "label", *columns).groupBy(F.lit(0).alias("__all")).applyInPandas(lambda pdf: run(pdf), NODE)
+    return bounded(train.select("event_id", "event_date", "label", *columns), config.sample).groupBy(F.lit(0).alias("__all")).applyInPandas(lambda pdf: run(pdf), NODE)
 
 
 def tree_probability(nodes: list[dict]) -> Column:
@@ -247,7 +263,7 @@ def train_tree(matrix: DataFrame, columns: list[str], config: TreeConfig = TreeC
     rows = _numbered(impute(matrix, columns), "event_date")
     at = F.greatest(F.lit(1), F.least(F.col("n") - 1, F.floor(F.col("n") * train)))
     rows = rows.withColumn("split", F.when(F.col("rn") <= at, "train").otherwise("validation")).drop("rn", "n")
-    grown = [r.asDict() for r in fit_tree(rows.where("split = 'train'"), columns, config).collect()]
+    grown = [r.asDict() for r in fit_tree(rows.where("split = 'train'"), columns, config).collect()]  # at most 2 ** (max_depth + 1) nodes
     nodes = matrix.sparkSession.createDataFrame([tuple(n.values()) for n in grown], NODE)
     scored = predictions(rows.where("split = 'validation'").withColumn(P, tree_probability(grown)), config.threshold, "decision_tree")
     return {"nodes": nodes, "splits": split_summary(nodes), "leaves": leaf_summary(nodes), "predictions": scored}

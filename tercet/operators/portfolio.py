@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tercet.functions.expressions import over, wilson
 from tercet.guards import require, require_columns
+from tercet.sources.stages import stored
 
 
 def equity_curve(trades: DataFrame, by: list[str] | None = None, date: str = "pnl_date", pnl: str = "net_pnl") -> DataFrame:
@@ -27,24 +28,39 @@ def sharpe(mean: Column, std: Column, n: Column, periods: int = 252) -> Column:
     return F.when(n >= 2, over(mean * math.sqrt(periods), std))
 
 
-def calendar_sharpe(trades: DataFrame, by: list[str], calendar_by: list[str] | None = None, date: str = "pnl_date", pnl: str = "net_pnl", periods: int = 252) -> DataFrame:
-    """by columns and sharpe over all weekdays from the first to the last date of the calendar's group, 0 on days
-    without trades; results dated on weekends do not count.
+def _path_summary(trades: DataFrame, by: list[str], calendar_by: list[str] | None, date: str, pnl: str = "net_pnl", periods: int = 252) -> DataFrame:
+    """by columns, max_drawdown, sharpe: both from one daily aggregate.
 
-    Sums and squares over days with trades suffice: the other days add zeros, so no calendar rows are made.
+    The calendar is all weekdays from the first to the last date of its group, with 0 on days without trades.  Sums and
+    squares over days with trades suffice, as the other days add zeros: no calendar rows are made.
     """
-    group = calendar_by or []
     # weekdays between two dates, both included: from whole weeks and the rest
     upto = lambda d: (F.floor(F.datediff(d, F.lit("1970-01-05").cast("date")) / 7) * 5 + F.least(F.lit(5), F.pmod(F.datediff(d, F.lit("1970-01-05").cast("date")), F.lit(7)) + 1)).cast("long")
-    span = trades.groupBy(*group).agg(F.min(date).alias("__lo"), F.max(date).alias("__hi"))
-    span = span.select(*group, (upto(F.col("__hi")) - upto(F.date_sub("__lo", 1))).alias("__days"))
-    daily = trades.where(F.weekday(date) < 5).groupBy(*by, date).agg(F.sum(pnl).alias("__p"))
-    sums = trades.select(*by).distinct().join(daily.groupBy(*by).agg(F.sum("__p").alias("__s"), F.sum(F.col("__p") * F.col("__p")).alias("__q")), by, "left").fillna(0.0, ["__s", "__q"])
-    got = sums.join(span, group) if group else sums.crossJoin(F.broadcast(span))  # one row
-    n = F.col("__days")
-    mean = over("__s", n)
-    std = F.sqrt(F.greatest(F.lit(0.0), over(F.col("__q") - n * mean * mean, n - 1)))
-    return got.select(*by, sharpe(mean, std, n, periods).alias("sharpe"))
+    p = F.when(F.weekday("date") < 5, F.col("daily_pnl"))
+    per = equity_curve(trades, by, date, pnl).groupBy(*by).agg(
+        F.min("drawdown").alias("max_drawdown"), F.coalesce(F.sum(p), F.lit(0.0)).alias("__s"), F.coalesce(F.sum(p * p), F.lit(0.0)).alias("__q"), F.min("date").alias("__lo"), F.max("date").alias("__hi")
+    )
+    group = Window.partitionBy(*(calendar_by or [F.lit(0)]))  # rows are groups of trades by now, as many as strategies and scenarios
+    n = upto(F.max("__hi").over(group)) - upto(F.date_sub(F.min("__lo").over(group), 1))
+    per = per.withColumn("__n", n)
+    mean = over("__s", "__n")
+    std = F.sqrt(F.greatest(F.lit(0.0), over(F.col("__q") - F.col("__n") * mean * mean, F.col("__n") - 1)))
+    return per.select(*by, "max_drawdown", sharpe(mean, std, F.col("__n"), periods).alias("sharpe"))
+
+
+def calendar_pnl(trades: DataFrame, by: list[str] | None = None, date: str = "pnl_date", pnl: str = "net_pnl") -> DataFrame:
+    """by columns, date, daily_pnl: every weekday from the first to the last date of all trades, 0 without trades."""
+    by = by or ["strategy"]
+    daily = trades.groupBy(*by, F.col(date).alias("date")).agg(F.sum(pnl).alias("daily_pnl"))
+    span = daily.agg(F.min("date").alias("lo"), F.max("date").alias("hi"))
+    days = daily.select(*by).distinct().crossJoin(F.broadcast(span)).select(*by, F.explode(F.sequence("lo", "hi")).alias("date")).where(F.weekday("date") < 5)  # span is one row
+    return days.join(daily, [*by, "date"], "left").select(*by, "date", F.coalesce("daily_pnl", F.lit(0.0)).alias("daily_pnl"))
+
+
+def calendar_sharpe(trades: DataFrame, by: list[str], calendar_by: list[str] | None = None, date: str = "pnl_date", pnl: str = "net_pnl", periods: int = 252) -> DataFrame:
+    """by columns and sharpe over all weekdays from the first to the last date of the calendar's group, 0 on days
+    without trades; results dated on weekends do not count."""
+    return _path_summary(trades, by, calendar_by, date, pnl, periods).drop("max_drawdown")
 
 
 def performance(trades: DataFrame, by: list[str] | None = None, calendar_by: list[str] | None = None, date: str = "pnl_date") -> DataFrame:
@@ -55,8 +71,7 @@ def performance(trades: DataFrame, by: list[str] | None = None, calendar_by: lis
         F.count("*").alias("trade_count"), F.sum("gross_pnl").alias("gross_pnl"), F.sum(net).alias("net_pnl"), F.avg(net).alias("average_net_pnl"), F.percentile(net, F.lit(0.5)).alias("median_net_pnl"),
         F.avg((net > 0).cast("int")).alias("win_rate"), F.sum("turnover").alias("turnover"),
     )
-    worst = equity_curve(trades, by, date).groupBy(*by).agg(F.min("drawdown").alias("max_drawdown"))
-    return s.join(worst, by, "left").join(calendar_sharpe(trades, by, calendar_by, date), by, "left")
+    return s.join(_path_summary(trades, by, calendar_by, date), by, "left")
 
 
 def ordered(summary: DataFrame, order: tuple[str, ...]) -> DataFrame:
@@ -146,33 +161,24 @@ def buy_and_hold(prices: DataFrame, value: str = "adj_close") -> DataFrame:
     return daily.select("date", "daily_return", (F.exp(F.sum(F.log1p("daily_return")).over(w)) - 1).alias("cumulative_return"))
 
 
-def shared_leg_clusters(triplets: DataFrame, most: int = 50) -> DataFrame:
+def shared_leg_clusters(triplets: DataFrame) -> DataFrame:
     """cluster_id (from 0, by least member), triplets, cluster_size, shared_legs, independent_bet.
 
-    Triplets that share a hedge leg are one cluster, also through others.  Labels spread over legs and triplets in
-    turn until nothing changes, at most as often as the longest chain.  Legs shared by all members are listed, or all
+    Triplets that share a hedge leg are one cluster, also through others.  The least label spreads over legs and
+    triplets in turn, each round a stage table, until no label changes.  Legs shared by all members are listed, or all
     legs where none is; a cluster of one lists none.  Ids with fewer than three parts are left out.
     """
     parts = F.split("triplet_id", "_")
     t = triplets.select("triplet_id").distinct().where(F.size(parts) >= 3)
-    legs = t.select("triplet_id", F.explode(F.array_distinct(F.slice(parts, 2, 1000))).alias("leg")).cache()
-    try:
-        label = t.select("triplet_id", F.col("triplet_id").alias("c"))
-        before = None
-        for _ in range(most):
-            by_leg = legs.join(label, "triplet_id").groupBy("leg").agg(F.min("c").alias("c"))
-            label = legs.join(by_leg, "leg").groupBy("triplet_id").agg(F.min("c").alias("c"))
-            rows = label.collect()  # the dimension of triplets, which is small by definition
-            now = {r[0]: r[1] for r in rows}
-            label = triplets.sparkSession.createDataFrame(rows, label.schema)
-            if now == before:
-                break
-            before = now
-    finally:
-        legs.unpersist()
-    named = t.select("triplet_id", F.explode(F.array_distinct(F.slice(parts, 2, 1000))).alias("leg")).join(label, "triplet_id")
+    legs = stored(t.select("triplet_id", F.explode(F.array_distinct(F.slice(parts, 2, 1000))).alias("leg")))
+    label, changes = legs.select("triplet_id", F.col("triplet_id").alias("c")).distinct(), True
+    while changes:  # labels only fall, so this ends
+        by_leg = legs.join(label, "triplet_id").groupBy("leg").agg(F.min("c").alias("c"))
+        now = stored(legs.join(by_leg, "leg").groupBy("triplet_id").agg(F.min("c").alias("c")).join(label.select("triplet_id", F.col("c").alias("was")), "triplet_id"))
+        changes = not now.where("c <> was").isEmpty()
+        label = now.select("triplet_id", "c")
     sizes = label.groupBy("c").agg(F.count("*").alias("cluster_size"), F.array_sort(F.collect_list("triplet_id")).alias("triplets"))
-    by_leg = named.groupBy("c", "leg").agg(F.count_distinct("triplet_id").alias("k")).join(sizes.select("c", "cluster_size"), "c")
+    by_leg = legs.join(label, "triplet_id").groupBy("c", "leg").agg(F.count_distinct("triplet_id").alias("k")).join(sizes.select("c", "cluster_size"), "c")
     both = by_leg.groupBy("c").agg(F.array_sort(F.collect_list(F.when(F.col("k") == F.col("cluster_size"), F.col("leg")))).alias("shared"), F.array_sort(F.collect_list("leg")).alias("legs"))
     got = sizes.join(both, "c").withColumn("one", F.lit(0))
     chosen = F.when(F.col("cluster_size") == 1, F.array().cast("array<string>")).when(F.size("shared") > 0, F.col("shared")).otherwise(F.col("legs"))

@@ -1,4 +1,4 @@
-"""The frames that queries share, each built from the tables when asked for; nothing is kept between queries."""
+"""The frames that queries share, each built from the tables when asked for; nothing is kept from one query to the next."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tercet.functions.expressions import over, sigmoid
 from tercet.operators import backtest, cleaning, events, features, hedges, models, residuals
 from tercet.sources import panel
+from tercet.sources.stages import stored
 
 WINDOW = 60
 CONFIG = events.LabelingConfig()
@@ -23,7 +24,7 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
 
 
 class Frames:
-    """Frames over one data folder."""
+    """Frames over one data folder.  Those that several steps read are stage tables, written when first asked for."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
@@ -38,7 +39,7 @@ class Frames:
 
     @cached_property
     def panel(self) -> DataFrame:
-        return panel.weekly_panel(self.spark, self.sf_dir)
+        return stored(panel.weekly_panel(self.spark, self.sf_dir))
 
     @cached_property
     def triplets(self) -> DataFrame:
@@ -54,15 +55,25 @@ class Frames:
 
     @cached_property
     def scored(self) -> DataFrame:
+        """Residuals with z-scores; from the observations to here, and on to outcomes, one shuffle by triplet."""
         return residuals.event_z_scores(self.residuals, CONFIG.z_window, CONFIG.min_periods)
 
+    @cached_property
+    def scored_table(self) -> DataFrame:
+        return stored(self.scored)
+
+    @cached_property
+    def outcomes(self) -> DataFrame:
+        """Events with their labels, a row each."""
+        return stored(events.labelled_crossings(self.__dict__.get("scored_table", self.scored), CONFIG))
+
     @cached_property
     def events(self) -> DataFrame:
-        return events.candidate_events(self.scored, CONFIG)
+        return self.outcomes.select(*events.event_columns(self.outcomes))
 
     @cached_property
     def labels(self) -> DataFrame:
-        return events.label_events(self.scored, self.events, CONFIG)
+        return self.outcomes.select(*events.LABELS)
 
     @cached_property
     def market(self) -> DataFrame:
@@ -72,30 +83,24 @@ class Frames:
 
     @cached_property
     def coefficients(self) -> DataFrame:
-        ols, ridge = hedges.rolling_ols(self.obs, WINDOW), hedges.rolling_ridge(self.obs, WINDOW, 1.0)
-        return ols.unionByName(ridge, allowMissingColumns=True)
+        return hedges.rolling_both(self.obs, WINDOW, 1.0)
 
     @cached_property
     def matrix(self) -> DataFrame:
-        return features.feature_matrix(self.events, self.scored, self.coefficients, self.market, self.labels, FEATURES)
-
-    @cached_property
-    def training(self) -> DataFrame:
-        """The matrix, kept in memory for models, which pass over it several times (a row an event)."""
-        return self.matrix.persist()
+        scored = self.scored_table  # events come from it, too
+        return stored(features.feature_matrix(self.events, scored, self.coefficients, self.market, self.labels, FEATURES, stored))
 
     @cached_property
     def predictions(self) -> DataFrame:
         """A fixed score of the entry z-score and the event's place stands for a model; splits are by time."""
         z = 0.4 + 0.9 * (2.5 - F.col("entry_abs_z")) + 0.3 * (F.col("event_row") % 5 - 2)
-        scored = self.labels.join(self.events.select("event_id", "event_row"), "event_id").withColumn(models.P, sigmoid(z))
-        return models.predictions(models.time_split(scored), 0.5)
+        return stored(models.predictions(models.time_split(self.outcomes.withColumn(models.P, sigmoid(z))), 0.5))
 
     @cached_property
     def traded(self) -> DataFrame:
         """Labels with their predictions; events without forward rows cannot be traded."""
         done = self.labels.where("exit_z_score is not null")
-        return backtest.prepare_events(done, self.predictions.join(done.select("event_id"), "event_id", "left_semi"))
+        return stored(backtest.prepare_events(done, self.predictions.join(done.select("event_id"), "event_id", "left_semi")))
 
     @cached_property
     def trades(self) -> DataFrame:

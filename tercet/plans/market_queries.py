@@ -68,7 +68,7 @@ def _fittable(f: Frames) -> DataFrame:
 
 def _spine(f: Frames) -> DataFrame:
     """All dates of the panel for every triplet; the first hedge is missing in every tenth week."""
-    dates = f.panel.select("date").distinct().join(F.broadcast(f.triplets.select("triplet_id", "target_symbol", "hedge_symbol_1", "hedge_symbol_2")))
+    dates = f.panel.select("date").distinct().crossJoin(f.triplets.select("triplet_id", "target_symbol", "hedge_symbol_1", "hedge_symbol_2"))
     leg = lambda role, out: f.panel.select(F.col("symbol").alias(role), "date", F.col("log_price").alias(out))
     got = dates.join(leg("target_symbol", "y"), ["target_symbol", "date"], "left").join(leg("hedge_symbol_1", "x1"), ["hedge_symbol_1", "date"], "left").join(leg("hedge_symbol_2", "x2"), ["hedge_symbol_2", "date"], "left")
     return got.withColumn("x1", F.when(F.weekofyear("date") % 10 != 0, F.col("x1")))
@@ -89,8 +89,8 @@ register("rs6_zscore_expanding", lambda f: _z(f, window=None, min_periods=20), _
 register("rs7_event_z_scores", lambda f: f.scored.select("triplet_id", "method", "date", "z_score"), f"SELECT triplet_id, method, date, {r('z_score')} FROM c_scored")
 register("rs8_zscore_with_current", lambda f: _z(f, window=None, min_periods=2, current=True), _Z.format(n=2, f="UNBOUNDED PRECEDING AND CURRENT ROW"))
 register("rs9_zscore_inclusive", lambda f: _z(f, window=60, min_periods=20, current=True), _Z.format(n=20, f="59 PRECEDING AND CURRENT ROW"))
-_ACF = " UNION ALL ".join(f"SELECT triplet_id, method, {k} AS lag, {r(CORR.format(a='residual', b='l') + ' AS autocorrelation')} FROM (SELECT triplet_id, method, residual, lag(residual, {k}) OVER (PARTITION BY triplet_id, method ORDER BY date) AS l FROM c_resid) GROUP BY triplet_id, method" for k in range(1, 6))
-register("rs10_autocorrelations", lambda f: residuals.autocorrelations(f.residuals, max_lag=5), _ACF)
+_ACF = " UNION ALL ".join(f"SELECT triplet_id, method, {k} AS lag, {r(CORR.format(a='residual', b='l') + ' AS autocorrelation')} FROM (SELECT triplet_id, method, residual, lag(residual, {k}) OVER (PARTITION BY triplet_id, method ORDER BY date) AS l FROM c_resid) GROUP BY triplet_id, method" for k in range(1, 21))
+register("rs10_autocorrelations", lambda f: residuals.autocorrelations(f.residuals, max_lag=20), _ACF)
 
 _EVENT = "entry_z_score", "entry_abs_z", "entry_residual"
 register(

@@ -9,12 +9,13 @@ from tercet.functions import expressions as x
 from tercet.operators import backtest, features, kalman, metrics, models, portfolio, regimes, stationarity
 from tercet.operators.residuals import GROUP
 from tercet.plans.frames import FEATURES, Frames, rounded
+from tercet.sources.stages import stored
 from tercet.plans.oracle import CORR, PERFORMANCE, RULE, query, r
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 COSTS = (*backtest.DEFAULT_COSTS, backtest.Cost("borrow", 0.01, 0.025, 0.015, 2.0))
-GRID = backtest.Grid((2.0, 2.2), (0.25, 0.5), (3.0, 3.5), (10, 20))
+GRID = backtest.Grid()
 NUMERIC = ["entry_z_score", "entry_abs_z", "z_score", "residual", *features.RESIDUAL_FEATURES, *features.COEFFICIENT_FEATURES, *features.MARKET_FEATURES]
 MODEL_COLUMNS = ["entry_abs_z", "residual_change", "residual_volatility", "residual_autocorrelation", "rolling_r_squared", "target_return_volatility", "market_return", "anchor_correlation", "recent_drawdown", "volume_shock"]
 
@@ -29,17 +30,17 @@ def register(name, build, sql: str | None = None, digits: int = 6) -> None:
 # Features
 register("fe2_residual_features", lambda f: features.residual_panel(f.scored, FEATURES), f"SELECT triplet_id, method, date, {r('residual', 'z_score', *features.RESIDUAL_FEATURES, digits=4)} FROM c_resid_panel", 4)
 register("fe7_coefficient_features", lambda f: features.coefficient_panel(f.coefficients, FEATURES), f"SELECT triplet_id, method, date, {r(*features.COEFFICIENT_FEATURES, digits=5)} FROM c_coef_panel", 5)
-register("fe8_market_features", lambda f: features.market_features(f.events, f.market, FEATURES), f"SELECT event_id, {r(*features.MARKET_FEATURES)} FROM c_market_features")
+register("fe8_market_features", lambda f: features.market_features(f.events, f.market, FEATURES, stored), f"SELECT event_id, {r(*features.MARKET_FEATURES)} FROM c_market_features")
 register("fe9_as_of_dates", lambda f: _off_calendar(f), "SELECT (event_date + 3)::DATE AS event_date, event_date AS as_of FROM (SELECT DISTINCT event_date FROM c_events)".replace("(event_date + 3)::DATE AS event_date, event_date AS as_of", "CAST(event_date + 3 AS VARCHAR) AS shifted, CAST(event_date AS VARCHAR) AS as_of"))
 register("fe1_feature_matrix", lambda f: f.matrix, f"SELECT event_id, triplet_id, method, event_date, target_symbol, hedge_symbol_1, hedge_symbol_2, side, {r(*NUMERIC, digits=4)}, label, outcome, exit_reason, holding_period FROM c_matrix", 4)
 _STATS = " UNION ALL ".join(f"SELECT '{c}' AS feature, count({c}) AS count, {r(f'avg({c}) AS mean', f'stddev_samp({c}) AS std', f'min({c}) AS min', f'quantile_cont({c}, 0.25) AS p25', f'quantile_cont({c}, 0.5) AS median', f'quantile_cont({c}, 0.75) AS p75', f'max({c}) AS max', digits=4)} FROM c_matrix" for c in NUMERIC)
 register("fe17_summary_statistics", lambda f: features.summary_statistics(f.matrix, NUMERIC), _STATS, 4)
 _META = [*features.METADATA, *NUMERIC, *features.LABELS]
 register("fe18_missingness", lambda f: features.missingness(f.matrix), " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) - count({c}) AS missing_count, {r(f'(count(*) - count({c})) / count(*) AS missing_rate')} FROM c_matrix" for c in _META))
-_CORR_COLUMNS = NUMERIC[:12]
-_CORRELATIONS = " UNION ALL ".join(f"SELECT '{a}' AS feature_1, '{b}' AS feature_2, {CORR.format(a=a, b=b)} AS correlation FROM c_matrix" for k, a in enumerate(_CORR_COLUMNS) for b in _CORR_COLUMNS[k:])
-register("fe19_correlation_matrix", lambda f: features.correlation_matrix(f.matrix, _CORR_COLUMNS), f"SELECT feature_1, feature_2, {r('correlation', digits=4)} FROM ({_CORRELATIONS})", 4)
-register("fe20_collinear_pairs", lambda f: features.collinear_pairs(features.correlation_matrix(f.matrix, _CORR_COLUMNS), 0.6), f"SELECT feature_1, feature_2, {r('correlation', 'abs(correlation) AS absolute_correlation', digits=4)} FROM ({_CORRELATIONS}) WHERE feature_1 <> feature_2 AND abs(correlation) >= 0.6", 4)
+_PAIRS = ", ".join(f"{{'a': '{a}', 'b': '{b}', 'c': {CORR.format(a=a, b=b)}}}" for k, a in enumerate(NUMERIC) for b in NUMERIC[k:])
+_CORRELATIONS = f"SELECT p.a AS feature_1, p.b AS feature_2, p.c AS correlation FROM (SELECT unnest([{_PAIRS}]) AS p FROM c_matrix)"
+register("fe19_correlation_matrix", lambda f: features.correlation_matrix(f.matrix, NUMERIC), f"SELECT feature_1, feature_2, {r('correlation', digits=4)} FROM ({_CORRELATIONS})", 4)
+register("fe20_collinear_pairs", lambda f: features.collinear_pairs(features.correlation_matrix(f.matrix, NUMERIC)), f"SELECT feature_1, feature_2, {r('correlation', 'abs(correlation) AS absolute_correlation', digits=4)} FROM ({_CORRELATIONS}) WHERE feature_1 <> feature_2 AND abs(correlation) >= 0.85", 4)
 _SCALED = ["entry_abs_z", "residual_volatility", "volume_shock"]
 _SCALER = " UNION ALL ".join(f"SELECT '{c}' AS feature, {r(f'avg({c}) AS mean', f'coalesce(nullif(stddev_pop({c}), 0), 1) AS standard_deviation')} FROM c_matrix" for c in _SCALED)
 register("fe21_feature_scaler", lambda f: features.scaler(f.matrix, _SCALED), _SCALER)
@@ -61,13 +62,13 @@ register("ml10_walk_forward", lambda f: models.walk_forward(f.labels, 500, 100,
 register("ml12_imputed_frame", lambda f: models.impute(f.matrix, _SCALED).select("event_id", "label", *_SCALED), "SELECT event_id, label, " + ", ".join(r(f"coalesce({c}, (SELECT quantile_cont({c}, 0.5) FROM c_matrix)) AS {c}") for c in _SCALED) + " FROM c_matrix WHERE label IS NOT NULL")
 register("ml14_impurities", lambda f: _impurities(f), f"SELECT triplet_id, {r('2 * p * (1 - p) AS gini', 'CASE WHEN p > 0 THEN -p * log2(p) ELSE 0 END + CASE WHEN p < 1 THEN -(1 - p) * log2(1 - p) ELSE 0 END AS entropy')} FROM (SELECT triplet_id, sum(label) / count(*) AS p FROM c_labels GROUP BY triplet_id)")
 register("ml19_large_enough", lambda f: models.large_enough(f.labels), "SELECT count(label) AS n_events, count(CASE WHEN label = 1 THEN 1 END) AS n_positive, count(CASE WHEN label = 0 THEN 1 END) AS n_negative, count(label) >= 100 AND count(CASE WHEN label = 1 THEN 1 END) >= 20 AND count(CASE WHEN label = 0 THEN 1 END) >= 20 AS large_enough FROM c_labels")
-_TRAIN = models.LogisticConfig(max_iter=300)
-register("ml2_logistic_coefficients", lambda f: models.train_logistic(f.training, MODEL_COLUMNS, _TRAIN)["coefficients"])
-register("ml4_logistic_losses", lambda f: models.train_logistic(f.training, MODEL_COLUMNS, _TRAIN)["losses"])
-register("ml13_logistic_predictions", lambda f: models.train_logistic(f.training, MODEL_COLUMNS, _TRAIN)["predictions"])
-register("ml15_tree_splits", lambda f: models.train_tree(f.training, MODEL_COLUMNS)["splits"])
-register("ml16_tree_predictions", lambda f: models.train_tree(f.training, MODEL_COLUMNS)["predictions"])
-register("ml17_tree_leaves", lambda f: models.train_tree(f.training, MODEL_COLUMNS)["leaves"])
+_TRAIN = models.LogisticConfig()
+register("ml2_logistic_coefficients", lambda f: models.train_logistic(f.matrix, MODEL_COLUMNS, _TRAIN)["coefficients"])
+register("ml4_logistic_losses", lambda f: models.train_logistic(f.matrix, MODEL_COLUMNS, _TRAIN)["losses"])
+register("ml13_logistic_predictions", lambda f: models.train_logistic(f.matrix, MODEL_COLUMNS, _TRAIN)["predictions"])
+register("ml15_tree_splits", lambda f: models.train_tree(f.matrix, MODEL_COLUMNS)["splits"])
+register("ml16_tree_predictions", lambda f: models.train_tree(f.matrix, MODEL_COLUMNS)["predictions"])
+register("ml17_tree_leaves", lambda f: models.train_tree(f.matrix, MODEL_COLUMNS)["leaves"])
 register("ml18_tree_vs_logistic", lambda f: _compare_models(f))
 
 
@@ -77,8 +78,8 @@ def _impurities(f: Frames) -> DataFrame:
 
 
 def _compare_models(f: Frames) -> DataFrame:
-    tree = models.train_tree(f.training, MODEL_COLUMNS)["predictions"]
-    logistic = models.train_logistic(f.training, MODEL_COLUMNS, _TRAIN)["predictions"].withColumn("model_type", F.lit("logistic_regression"))
+    tree = models.train_tree(f.matrix, MODEL_COLUMNS)["predictions"]
+    logistic = models.train_logistic(f.matrix, MODEL_COLUMNS, _TRAIN)["predictions"].withColumn("model_type", F.lit("logistic_regression"))
     return metrics.classification_summary(tree.unionByName(logistic), 0.5, "model_type")
 
 
@@ -137,7 +138,7 @@ register("pf11_buy_and_hold", lambda f: portfolio.buy_and_hold(f.panel, "vwap").
 _ROBUST = r("avg(net_pnl) AS average_net_pnl", "quantile_cont(net_pnl, 0.5) AS median_net_pnl", "min(net_pnl) AS worst_net_pnl", "max(net_pnl) AS best_net_pnl", "avg(CAST(net_pnl > 0 AS INTEGER)) AS profitable_scenario_rate", "avg(sharpe) AS average_sharpe", "min(max_drawdown) AS worst_drawdown", "avg(turnover) AS average_turnover", digits=5)
 register("pf12_robustness_summary", lambda f: metrics.robustness_summary(backtest.threshold_sensitivity(f.traded, GRID, 0.5, 0.05), backtest.cost_sensitivity(f.traded, COSTS, 0.5)), f"SELECT t.*, c.* EXCLUDE (strategy) FROM (SELECT strategy, count(*) AS threshold_scenarios, {_ROBUST}, min(trade_count) AS minimum_trade_count, max(trade_count) AS maximum_trade_count FROM c_rule_perf GROUP BY strategy) t JOIN (SELECT strategy, count(DISTINCT cost_scenario) AS cost_scenarios, {r('min(net_pnl) AS worst_cost_adjusted_net_pnl', 'avg(gross_pnl - net_pnl) AS average_cost_drag', 'max(gross_pnl - net_pnl) AS maximum_cost_drag', digits=5)} FROM c_cost_perf GROUP BY strategy) c USING (strategy)", 5)
 register("pf13_cost_drag", lambda f: metrics.cost_drag(backtest.cost_sensitivity(f.traded, COSTS, 0.5)), f"SELECT cost_scenario, strategy, trade_count, {r('gross_pnl', 'net_pnl', 'gross_pnl - net_pnl AS cost_drag', '(gross_pnl - net_pnl) / nullif(abs(gross_pnl), 0) AS cost_drag_ratio', digits=5)} FROM c_cost_perf", 5)
-register("pf14_threshold_pivot", lambda f: metrics.threshold_pivot(backtest.threshold_sensitivity(f.traded, GRID, 0.5, 0.05), [0.25, 0.5]), f"SELECT strategy, entry_threshold, {r('avg(CASE WHEN exit_threshold = 0.25 THEN net_pnl END) AS exit_0_25', 'avg(CASE WHEN exit_threshold = 0.5 THEN net_pnl END) AS exit_0_5', digits=5)} FROM c_rule_perf GROUP BY strategy, entry_threshold", 5)
+register("pf14_threshold_pivot", lambda f: metrics.threshold_pivot(backtest.threshold_sensitivity(f.traded, GRID, 0.5, 0.05), list(GRID.exit_thresholds)), f"SELECT strategy, entry_threshold, {r('avg(CASE WHEN exit_threshold = 0.25 THEN net_pnl END) AS exit_0_25', 'avg(CASE WHEN exit_threshold = 0.5 THEN net_pnl END) AS exit_0_5', 'avg(CASE WHEN exit_threshold = 0.75 THEN net_pnl END) AS exit_0_75', digits=5)} FROM c_rule_perf GROUP BY strategy, entry_threshold", 5)
 register("pf15_cost_adjusted_performance", lambda f: metrics.cost_adjusted_performance(backtest.cost_sensitivity(f.traded, COSTS, 0.5)), f"SELECT cost_scenario, strategy, trade_count, {r('gross_pnl', 'net_pnl', 'win_rate', 'max_drawdown', 'sharpe', 'gross_pnl - net_pnl AS cost_drag', '(gross_pnl - net_pnl) / nullif(abs(gross_pnl), 0) AS cost_drag_ratio', 'net_pnl / nullif(gross_pnl, 0) AS net_to_gross_ratio', digits=5)} FROM c_cost_perf", 5)
 
 
@@ -164,9 +165,9 @@ _W = stationarity.fractional_weights(0.4, 1e-2)
 register("st7_fractional_weights", lambda f: f.spark.createDataFrame(list(enumerate(stationarity.fractional_weights(0.5, 1e-3))), "k int, w double"), f"SELECT k, {r('w')} FROM (WITH RECURSIVE g(k, w) AS (SELECT 0, 1.0::DOUBLE UNION ALL SELECT k + 1, -w * (0.5 - k) / (k + 1) FROM g WHERE k < 1000 AND abs(-w * (0.5 - k) / (k + 1)) >= 1e-3) SELECT * FROM g)")
 register("st8_fractional_diff", lambda f: stationarity.fractional_diff(f.panel, 0.4, threshold=1e-2).select("symbol", "date", "fractional_diff"), f"SELECT symbol, date, round({' + '.join(f'{w!r} * lag(log_price, {k}) OVER o' for k, w in enumerate(_W))}, 6) + 0.0 AS fractional_diff FROM c_panel WINDOW o AS (PARTITION BY symbol ORDER BY date)")
 register("st9_minimum_stationary_d", lambda f: stationarity.minimum_stationary_d(f.panel))
-register("st10_null_hypothesis_check", lambda f: stationarity.null_hypothesis_check(f.spark, 6, 600))
-register("hm4_regime_parameters", lambda f: regimes.regime_parameters(f.scored.where("method = 'rolling_ols'")))
-register("hm8_regime_probabilities", lambda f: regimes.regime_probabilities(f.scored.where("method = 'rolling_ols'")))
+register("st10_null_hypothesis_check", lambda f: stationarity.null_hypothesis_check(f.spark))
+register("hm4_regime_parameters", lambda f: regimes.regime_parameters(f.scored))
+register("hm8_regime_probabilities", lambda f: regimes.regime_probabilities(f.scored))
 register("hm9_regimes_by_triplet", lambda f: regimes.regime_probabilities(f.scored, by=["triplet_id"]).groupBy("triplet_id", "viterbi_regime").count())
 register("hm11_regime_filter", lambda f: _filtered(f).select("event_id", "mean_reverting_probability", "allowed_by_regime_filter"), f"SELECT event_id, {r('p AS mean_reverting_probability')}, coalesce(p > 0.6, false) AS allowed_by_regime_filter FROM (SELECT event_id, CASE WHEN e.method = 'rolling_ols' AND abs(z_score) IS NOT NULL THEN 1 / (1 + abs(z_score) / 4) END AS p FROM c_events e)")
 register("hm12_performance_by_regime", lambda f: regimes.performance_by_regime(f.trades.join(_filtered(f).select("event_id", "mean_reverting_probability"), "event_id")), f"SELECT strategy, CASE WHEN coalesce(p > 0.6, false) THEN 'above_threshold' ELSE 'below_threshold' END AS regime_bucket, count(*) AS trade_count, {r('avg(p) AS average_mean_reverting_probability', 'sum(label) / count(label) AS success_rate', 'sum(net_pnl) AS net_pnl', 'avg(net_pnl) AS average_net_pnl', 'sum(turnover) AS turnover', digits=5)}, 0.6::DOUBLE AS regime_probability_threshold FROM (SELECT t.*, CASE WHEN t.method = 'rolling_ols' THEN 1 / (1 + entry_abs_z / 4) END AS p FROM c_trades t) GROUP BY 1, 2", 5)

@@ -65,7 +65,7 @@ W = 60
 part("c_raw", """SELECT p_type AS symbol, CAST(l_shipdate AS DATE) AS date, CASE WHEN l_discount < 0.005 THEN NULL WHEN l_tax > 0.075 THEN 0.0 ELSE l_extendedprice / l_quantity END AS adj_close,
   l_quantity AS volume, 'lineitem' AS source, l_orderkey * 10 + l_linenumber AS ingest_seq FROM lineitem JOIN part ON l_partkey = p_partkey""")
 part("c_clean", """SELECT symbol, date, adj_close, volume, source, CASE WHEN adj_close >= 0.01 THEN 'clean' ELSE 'invalid_price' END AS quality_flag FROM c_raw
-  QUALIFY row_number() OVER (PARTITION BY symbol, date ORDER BY ingest_seq DESC) = 1""")
+  QUALIFY row_number() OVER (PARTITION BY symbol, date ORDER BY ingest_seq DESC, adj_close DESC NULLS LAST, volume DESC NULLS LAST, source DESC) = 1""")
 part("c_returns", """SELECT symbol, date, adj_close / lag(adj_close) OVER w - 1 AS simple_return, ln(adj_close) - ln(lag(adj_close) OVER w) AS log_return FROM c_clean WHERE quality_flag = 'clean'
   WINDOW w AS (PARTITION BY symbol ORDER BY date)""")
 part("c_panel0", """SELECT p_type AS symbol, CAST(date_trunc('week', l_shipdate) AS DATE) AS date, sum(l_extendedprice) / sum(l_quantity) AS vwap, sum(l_quantity) AS volume
@@ -200,7 +200,7 @@ part("c_costs", """SELECT * FROM (VALUES ('zero_cost', 0.0::DOUBLE, 0.0::DOUBLE,
 part("c_repriced", """SELECT cost_scenario, strategy, event_id, pnl_date, position_size, gross_pnl, (commission_per_trade + bid_ask_spread_proxy + slippage + borrow / 1e4 * greatest(0, holding_period)) * position_size AS transaction_cost,
   gross_pnl - (commission_per_trade + bid_ask_spread_proxy + slippage + borrow / 1e4 * greatest(0, holding_period)) * position_size AS net_pnl, turnover FROM c_trades, c_costs""")
 part("c_cost_perf", performance("c_repriced", "cost_scenario, strategy", "cost_scenario"))
-part("c_rules", """SELECT * FROM (SELECT unnest([2.0, 2.2]::DOUBLE[]) AS entry_threshold), (SELECT unnest([0.25, 0.5]::DOUBLE[]) AS exit_threshold), (SELECT unnest([3.0, 3.5]::DOUBLE[]) AS stop_loss_level), (SELECT unnest([10, 20]) AS max_holding_period)""")
+part("c_rules", """SELECT * FROM (SELECT unnest([1.5, 2.0, 2.5]::DOUBLE[]) AS entry_threshold), (SELECT unnest([0.25, 0.5, 0.75]::DOUBLE[]) AS exit_threshold), (SELECT unnest([2.75, 3.0, 3.5]::DOUBLE[]) AS stop_loss_level), (SELECT unnest([10, 15, 20]) AS max_holding_period)""")
 part("c_ruled", """SELECT *, CAST(good AS INTEGER) AS new_label, CASE WHEN good THEN 'reversion' WHEN stop THEN 'stop_loss' WHEN late THEN 'max_holding' ELSE 'no_reversion' END AS scenario_exit_reason FROM (SELECT *, toward <= exit_threshold AND NOT stop AND NOT late AS good FROM (
   SELECT *, toward >= stop_loss_level AS stop, holding_period > max_holding_period AS late FROM (SELECT t.* EXCLUDE (entry_threshold, max_holding_period), g.*, CASE WHEN side = 'short_spread' THEN exit_z_score ELSE -exit_z_score END AS toward FROM c_traded t, c_rules g WHERE abs(entry_z_score) >= g.entry_threshold)))""")
 part("c_ruled_trades", """SELECT *, position_size * spread_pnl_units AS gross_pnl, position_size * spread_pnl_units - 0.05 * position_size AS net_pnl, 2 * position_size AS turnover FROM (SELECT t.*, strategy, CASE WHEN strategy = 'ml_probability_sized' THEN predicted_reversion_probability ELSE 1.0 END AS position_size
