@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from tercet.functions.expressions import correlation, over, rows
 from tercet.guards import require, require_columns
+from tercet.sources.stages import dealt
 
 GROUP = ["triplet_id", "method"]
 
@@ -51,7 +52,7 @@ def residual_panel(scored: DataFrame, config: FeatureConfig = FeatureConfig()) -
     n, least = config.residual_window, config.min_periods
     w, pairs = rows(GROUP, "date", -(n - 1), 0), rows(GROUP, "date", -(n - 2), 0)
     x, y = F.col("residual"), F.col("actual_log_price")
-    base = scored.select(*GROUP, "date", "residual", "z_score", "actual_log_price", "fitted_log_price", F.lag("residual").over(Window.partitionBy(*GROUP).orderBy("date")).alias("l"))
+    base = dealt(scored, "triplet_id").select(*GROUP, "date", "residual", "z_score", "actual_log_price", "fitted_log_price", F.lag("residual").over(Window.partitionBy(*GROUP).orderBy("date")).alias("l"))
     base = base.withColumn("residual_change", x - F.col("l"))
     base = base.withColumn("my", F.when(F.count(y).over(w) >= least, F.avg(y).over(w))).withColumn("q", (y - F.col("my")) ** 2)
     enough = F.count(x).over(w) >= least
@@ -192,16 +193,15 @@ def missingness(df: DataFrame) -> DataFrame:
 def correlation_matrix(df: DataFrame, columns: list[str] | None = None, min_non_null: int = 3) -> DataFrame:
     """feature_1, feature_2, correlation of all pairs (each once, with itself too), of pairwise complete rows.
 
-    One pass: every pair is an aggregate.  Columns with fewer than `min_non_null` values are null.
+    Every row is dealt out to its pairs, which are combined before the shuffle: one row a pair and task goes over it.
+    Columns with fewer than `min_non_null` complete pairs are null.
     """
     cols = columns or numeric_features(df)
-    pairs = [(a, b) for k, a in enumerate(cols) for b in cols[k:]]
-    aggs = []
-    for a, b in pairs:
-        x, y = F.col(a).cast("double"), F.col(b).cast("double")
-        n = F.count(F.when(x.isNotNull() & y.isNotNull(), F.lit(1)))
-        aggs.append(F.struct(F.lit(a).alias("feature_1"), F.lit(b).alias("feature_2"), F.when(n >= min_non_null, correlation(x, y)).alias("correlation")))
-    return df.agg(F.array(*aggs).alias("x")).select(F.explode("x").alias("x")).select("x.*")
+    rows_ = df.select(F.array(*(F.col(c).cast("double") for c in cols)).alias("v")).select("v", F.posexplode("v").alias("i", "x"))
+    pairs = rows_.select("i", "x", F.posexplode(F.slice("v", F.col("i") + 1, len(cols))).alias("k", "y"))
+    got = pairs.groupBy("i", (F.col("i") + F.col("k")).alias("j")).agg(F.count(F.col("x") + F.col("y")).alias("n"), correlation(F.col("x"), F.col("y")).alias("r"))
+    name = F.array(*(F.lit(c) for c in cols))
+    return got.select(F.get(name, F.col("i")).alias("feature_1"), F.get(name, F.col("j")).alias("feature_2"), F.when(F.col("n") >= min_non_null, F.col("r")).alias("correlation"))
 
 
 def collinear_pairs(correlations: DataFrame, threshold: float = 0.85) -> DataFrame:
@@ -211,6 +211,11 @@ def collinear_pairs(correlations: DataFrame, threshold: float = 0.85) -> DataFra
     return got.where(F.col("absolute_correlation") >= threshold)
 
 
+def feature_outputs(matrix: DataFrame, columns: list[str] | None = None) -> dict[str, DataFrame]:
+    """The matrix with its statistics, missingness and correlations."""
+    return {"feature_matrix": matrix, "feature_summary_statistics": summary_statistics(matrix, columns), "feature_missingness_report": missingness(matrix), "feature_correlation_matrix": correlation_matrix(matrix, columns)}
+
+
 def scaler(df: DataFrame, columns: list[str]) -> DataFrame:
     """feature, mean, standard_deviation (of the population; 1 where it is 0 or there is no value)."""
     s = _long(df, columns).groupBy("feature").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("s"))

@@ -1,20 +1,24 @@
 """Hedge ratios: static, rolling and ridge regressions of a target on two hedges.
 
-Windows hold sufficient statistics (averages, variances, covariances); two-variable systems are solved in expressions,
-so one shuffle on triplet_id serves all methods.  Frames end before the current row: nothing looks ahead.
+Windows hold sufficient statistics (averages, variances, covariances), from running sums; two-variable systems are solved
+in expressions, so one shuffle on triplet_id serves all methods.  Frames end before the current row: nothing looks ahead.
 Where the two hedges are exactly collinear in a window the coefficients are null; the grouped back end gives the
 least-norm solution there.
 """
 
 from __future__ import annotations
 
+import time
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from tercet.functions.expressions import over
+from tercet.functions.expressions import null_if_nan, over
 from tercet.guards import require, require_columns
+from tercet.sources.stages import dealt
 
 KEYS = ["triplet_id", "target_symbol", "hedge_symbol_1", "hedge_symbol_2"]
 RESIDUALS = [*KEYS, "date", "method", "actual_log_price", "fitted_log_price", "residual", "window", "ridge_alpha"]
@@ -28,16 +32,45 @@ def moments(y: Column, x1: Column, x2: Column, w: WindowSpec | None = None) -> d
 
 
 def solve(alpha: Column | float = 0.0, prefix: str = "") -> dict[str, Column]:
-    """alpha, beta_1, beta_2 and r_squared from columns of moments; `alpha` is the ridge penalty (0: least squares)."""
+    """alpha, beta_1, beta_2 and r_squared from columns of moments; `alpha` is the ridge penalty (0: least squares).
+
+    Hedges count as collinear, and coefficients are null, where the determinant is within rounding of zero.
+    """
     c = lambda k: F.col(prefix + k)
     lam = (F.lit(alpha) if not isinstance(alpha, Column) else alpha) / c("n")
-    det = (c("v1") + lam) * (c("v2") + lam) - c("c12") * c("c12")
-    b1 = over(c("c1y") * (c("v2") + lam) - c("c2y") * c("c12"), det)
-    b2 = over(c("c2y") * (c("v1") + lam) - c("c1y") * c("c12"), det)
+    s1, s2 = c("v1") + lam, c("v2") + lam
+    det = s1 * s2 - c("c12") * c("c12")
+    det = F.when(det > 1e-11 * s1 * s2, det)
+    b1, b2 = (c("c1y") * s2 - c("c2y") * c("c12")) / det, (c("c2y") * s1 - c("c1y") * c("c12")) / det
     rss = c("vy") - 2 * (b1 * c("c1y") + b2 * c("c2y")) + b1 * b1 * c("v1") + b2 * b2 * c("v2") + 2 * b1 * b2 * c("c12")
     return {"alpha": c("my") - b1 * c("m1") - b2 * c("m2"), "beta_1": b1, "beta_2": b2, "r_squared": F.when(c("vy") == 0, F.lit(0.0)).otherwise(1 - over(rss, c("vy")))}
 
 
+def trailing_moments(rows: DataFrame, window: int, by: str, order: str) -> DataFrame:
+    """`rows` (with y, x1, x2) with rn, n and the moments() of those of the `window` rows before each that are complete.
+
+    Moments are differences of running sums, so a row costs the same whatever the window; values are centred on their
+    group first, and variances within rounding of zero are zero.  Missing, NaN and infinite values count as missing.
+    """
+    legs, all_, path = ("y", "x1", "x2"), Window.partitionBy(by), Window.partitionBy(by).orderBy(order)
+    whole = reduce(lambda a, b: a & b, (null_if_nan(k).isNotNull() for k in legs))
+    got = rows.select("*", F.row_number().over(path).alias("rn"), *(F.avg(F.when(whole, F.col(k))).over(all_).alias(f"__m{k}") for k in legs), *(F.var_pop(F.when(whole, F.col(k))).over(all_).alias(f"__v{k}") for k in legs))
+    d = {k: F.when(whole, F.col(k) - F.col(f"__m{k}")).otherwise(0.0) for k in legs}
+    terms = {"n": F.when(whole, 1).otherwise(0)} | d | {"yy": d["y"] * d["y"], "11": d["x1"] * d["x1"], "22": d["x2"] * d["x2"], "12": d["x1"] * d["x2"], "1y": d["x1"] * d["y"], "2y": d["x2"] * d["y"]}
+    running = path.rowsBetween(Window.unboundedPreceding, 0)
+    got = got.withColumn("__s", F.struct(*(F.sum(t).over(running).alias(k) for k, t in terms.items())))
+    got = got.withColumn("__a", F.lag("__s", 1).over(path)).withColumn("__b", F.lag("__s", window + 1).over(path))
+    n = F.coalesce(F.col("__a.n"), F.lit(0)) - F.coalesce(F.col("__b.n"), F.lit(0))
+    got = got.select(*rows.columns, "rn", *(f"__{q}{k}" for q in "mv" for k in legs), n.alias("n"), F.nullif(n, F.lit(0)).alias("__n"), *((F.coalesce(F.col(f"__a.{k}"), F.lit(0.0)) - F.coalesce(F.col(f"__b.{k}"), F.lit(0.0))).alias(f"__{k}") for k in terms if k != "n"))
+    mean = {k: F.col(f"__{k}") / F.col("__n") for k in legs}
+    var = lambda k, q: F.col(q) / F.col("__n") - mean[k] * mean[k]
+    some = lambda k, v: F.when(v > 1e-13 * F.col(f"__v{k}") + 1e-24 * F.col(f"__m{k}") * F.col(f"__m{k}"), v).otherwise(F.lit(0.0))
+    cov = lambda a, b, q: F.col(q) / F.col("__n") - mean[a] * mean[b]
+    out = {"my": F.col("__my") + mean["y"], "m1": F.col("__mx1") + mean["x1"], "m2": F.col("__mx2") + mean["x2"], "vy": some("y", var("y", "__yy")), "v1": some("x1", var("x1", "__11")), "v2": some("x2", var("x2", "__22"))}
+    out |= {"c12": cov("x1", "x2", "__12"), "c1y": cov("x1", "y", "__1y"), "c2y": cov("x2", "y", "__2y")}
+    return got.select(*rows.columns, "rn", "n", *(v.alias(k) for k, v in out.items()))
+
+
 def predict(alpha: str = "alpha", beta_1: str = "beta_1", beta_2: str = "beta_2") -> Column:
     """The fitted value of a row that has x1, x2 and coefficients."""
     return F.col(alpha) + F.col(beta_1) * F.col("x1") + F.col(beta_2) * F.col("x2")
@@ -75,10 +108,9 @@ def static_out_of_sample(obs: DataFrame, window: int) -> DataFrame:
 def _rolled(obs: DataFrame, window: int) -> DataFrame:
     """Rows with the moments of the `window` rows before each; rows with fewer before them are left out."""
     require(window > 2, "window must be at least 3")
-    w = Window.partitionBy("triplet_id").orderBy("date").rowsBetween(-window, -1)
-    m = moments(F.col("y"), F.col("x1"), F.col("x2"), w)
-    got = obs.select(*KEYS, "date", "y", "x1", "x2", *(v.alias(k) for k, v in m.items()), F.min("date").over(w).alias("train_start"), F.max("date").over(w).alias("train_end"))
-    return got.where(F.col("n") == window)
+    path = Window.partitionBy("triplet_id").orderBy("date")
+    rows = dealt(obs, "triplet_id").select(*KEYS, "date", "y", "x1", "x2", F.lag("date", window).over(path).alias("train_start"), F.lag("date", 1).over(path).alias("train_end"))
+    return trailing_moments(rows, window, "triplet_id", "date").where(F.col("n") == window)
 
 
 def _coefficients(rolled: DataFrame, method: str, window: int, ridge_alpha: float | None) -> DataFrame:
@@ -116,9 +148,8 @@ def dynamic_residuals(obs: DataFrame, window: int, ridge_alpha: float = 1.0) ->
     """
     require(window > 2, "window must be at least 3")
     require(ridge_alpha >= 0, "ridge_alpha must not be negative")
-    by_date = Window.partitionBy("triplet_id").orderBy("date")
     legs = [F.col(c) for c in ("y", "x1", "x2")]
-    rolled = obs.select(*KEYS, "date", "y", "x1", "x2", F.row_number().over(by_date).alias("rn"), *(v.alias(k) for k, v in moments(*legs, by_date.rowsBetween(-window, -1)).items()))
+    rolled = trailing_moments(dealt(obs, "triplet_id").select(*KEYS, "date", "y", "x1", "x2"), window, "triplet_id", "date")
     first = moments(*(F.when(F.col("rn") <= window, c) for c in legs), Window.partitionBy("triplet_id"))
     rolled = rolled.select("*", *(v.alias(f"first_{k}") for k, v in first.items()))
     full = F.col("n") == window
@@ -151,17 +182,40 @@ def kernel_rolling(series: DataFrame, window: int, engine: str = "expr", by: str
     if engine == "pandas":
         kinds = dict(series.dtypes)
         return series.select(by, order, "y", "x1", "x2").groupBy(by).applyInPandas(_kernel_pandas(by, order, window), f"{by} {kinds[by]}, {order} {kinds[order]}, alpha double, beta_1 double, beta_2 double, fitted_log_price double, residual double, backend string")
+    got = trailing_moments(dealt(series, by).select(by, order, "y", "x1", "x2"), window, by, order)
     whole = F.col("y").isNotNull() & F.col("x1").isNotNull() & F.col("x2").isNotNull()
-    y, x1, x2 = (F.when(whole, F.col(c)) for c in ("y", "x1", "x2"))
-    w = Window.partitionBy(by).orderBy(order).rowsBetween(-window, -1)
-    got = series.select(by, order, "y", "x1", "x2", whole.alias("ok"), *(v.alias(k) for k, v in moments(y, x1, x2, w).items()), F.count(F.lit(1)).over(w).alias("held"))
-    fits = (F.col("n") > 3) & (F.col("held") == window) & F.col("ok")
+    fits = (F.col("n") > 3) & (F.col("rn") > window) & whole
     s = solve(0.0)
     got = got.select(by, order, "y", "x1", "x2", *(F.when(fits, s[k]).alias(k) for k in ("alpha", "beta_1", "beta_2")))
     got = got.withColumn("fitted_log_price", predict()).withColumn("residual", F.col("y") - F.col("fitted_log_price"))
     return got.select(by, order, "alpha", "beta_1", "beta_2", "fitted_log_price", "residual", F.lit("expr").alias("backend"))
 
 
+def kernel_rolling_with_fallback(series: DataFrame, window: int, by: str = "triplet_id", order: str = "date") -> DataFrame:
+    """kernel_rolling() by expressions; groups in which some window's hedges are exactly collinear, which expressions
+    leave null, are done again by the grouped back end, which gives the least-norm solution there."""
+    fast = kernel_rolling(series, window, by=by, order=order)
+    whole = F.col("y").isNotNull() & F.col("x1").isNotNull() & F.col("x2").isNotNull()
+    w = Window.partitionBy(by).orderBy(order).rowsBetween(-window, -1)
+    fits = series.select(by, order, (whole & (F.count(F.when(whole, F.lit(1))).over(w) > 3) & (F.count(F.lit(1)).over(w) == window)).alias("fits"))
+    open_ = fast.join(fits.where("fits"), [by, order]).where("alpha is null").select(by).distinct()
+    slow = kernel_rolling(series.join(open_, by, "left_semi"), window, "pandas", by, order)
+    return fast.join(open_, by, "left_anti").unionByName(slow)
+
+
+def benchmark_kernels(series: DataFrame, window: int, repeats: int = 5) -> DataFrame:
+    """backend, repeats, mean_seconds, min_seconds, max_seconds of running each back end over `series`."""
+    rows = []
+    for engine in ("expr", "pandas"):
+        took = []
+        for _ in range(repeats):
+            began = time.perf_counter()
+            kernel_rolling(series, window, engine).write.format("noop").mode("overwrite").save()
+            took.append(time.perf_counter() - began)
+        rows.append((engine, repeats, float(np.mean(took)), min(took), max(took)))
+    return series.sparkSession.createDataFrame(rows, "backend string, repeats int, mean_seconds double, min_seconds double, max_seconds double")
+
+
 def _kernel_pandas(by: str, order: str, window: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order, ignore_index=True)

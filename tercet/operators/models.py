@@ -7,6 +7,7 @@ a hash of event_id.  Everything else, scoring too, covers all rows; scoring is c
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -158,6 +159,17 @@ def predictions(df: DataFrame, threshold: float = 0.5, model_type: str | None =
     return df.select(*KEEP, "split", *extra, P, F.lit(threshold).alias("classification_threshold"), (F.col(P) >= threshold).cast("int").alias("predicted_label"), "label")
 
 
+def placeholder_predictions(labels: DataFrame, threshold: float = 0.60) -> DataFrame:
+    """Predictions for trying a backtest out without a model: a noisy function of the label itself, so of no other use.
+
+    0.38 + 0.32 * label + 0.16 * noise, within [0.05, 0.95]; the noise is normal, from a hash of event_id.
+    """
+    u = lambda k: (F.conv(F.substring(F.md5(F.concat("event_id", F.lit(f"|{k}")).cast("binary")), 1, 8), 16, 10).cast("double") + 0.5) / 4294967296.0
+    noise = F.sqrt(-2 * F.log(u(0))) * F.cos(2 * math.pi * u(1))
+    p = F.least(F.lit(0.95), F.greatest(F.lit(0.05), 0.38 + 0.32 * F.col("label") + 0.16 * noise))
+    return predictions(labels.withColumn("split", F.lit("placeholder")).withColumn(P, p), threshold)
+
+
 def train_logistic(matrix: DataFrame, columns: list[str], config: LogisticConfig = LogisticConfig()) -> dict[str, DataFrame]:
     """model, coefficients, losses, and predictions of validation and test rows (training rows get none)."""
     rows = time_split(impute(matrix, columns))

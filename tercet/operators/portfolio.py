@@ -74,6 +74,30 @@ def performance(trades: DataFrame, by: list[str] | None = None, calendar_by: lis
     return s.join(_path_summary(trades, by, calendar_by, date), by, "left")
 
 
+def daily_table(trades: DataFrame) -> DataFrame:
+    """date, strategy, gross_pnl, transaction_cost, net_pnl, turnover, equity, running_peak, drawdown."""
+    sums = trades.groupBy("strategy", F.col("pnl_date").alias("date")).agg(*(F.sum(c).alias(c) for c in ("gross_pnl", "transaction_cost", "net_pnl", "turnover")))
+    w = Window.partitionBy("strategy").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    got = sums.withColumn("equity", F.sum("net_pnl").over(w)).withColumn("running_peak", F.max("equity").over(w))
+    return got.withColumn("drawdown", F.col("equity") - F.col("running_peak"))
+
+
+def performance_table(trades: DataFrame, model_run_id: str | None = None) -> DataFrame:
+    """performance() with total_net_pnl, the run, and the first and last date of each strategy."""
+    period = trades.groupBy("strategy").agg(F.min("pnl_date").alias("period_start"), F.max("pnl_date").alias("period_end"))
+    got = performance(trades).join(period, "strategy").withColumn("model_run_id", F.lit(model_run_id).cast("string"))
+    return got.withColumn("total_net_pnl", F.col("net_pnl"))
+
+
+def confidence_table(trades: DataFrame, confidence: float = 0.90, resamples: int = 2000, seed: int = 0) -> DataFrame:
+    """strategy, metric, method, point_estimate, ci_low, ci_high, confidence, n_trades: Wilson's interval of the win rate
+    and the bootstrap interval of the mean."""
+    w = wilson_intervals(trades, confidence=confidence)
+    b = bootstrap_interval(trades, "mean_pnl", resamples, confidence, seed)
+    out = lambda metric, method, rate: [F.lit(metric).alias("metric"), F.lit(method).alias("method"), F.col(rate).alias("point_estimate"), "ci_low", "ci_high", F.lit(confidence).alias("confidence"), F.col("n").alias("n_trades")]
+    return w.select("strategy", *out("win_rate", "wilson_score", "rate")).union(b.select("strategy", *out("mean_pnl", "percentile_bootstrap", "estimate")))
+
+
 def ordered(summary: DataFrame, order: tuple[str, ...]) -> DataFrame:
     """Rows in the given order of strategies, others after them by name."""
     place = F.coalesce(*(F.when(F.col("strategy") == s, F.lit(k)) for k, s in enumerate(order)), F.lit(len(order)))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tercet.operators import cleaning, events, hedges, residuals
 from tercet.plans.frames import CONFIG, WINDOW, Frames, rounded
+from tercet.sources.stages import stored
 from tercet.plans.oracle import CORR, SUMMARY, K, query, r
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,6 +58,8 @@ register("rg8_rolling_ridge", lambda f: hedges.rolling_ridge(f.obs, WINDOW, 1.0)
 register("rg9_dynamic_residuals", lambda f: f.residuals, f"SELECT {K}, date, method, {r('actual_log_price', 'fitted_log_price', 'residual')}, \"window\", ridge_alpha::DOUBLE AS ridge_alpha FROM c_resid")
 register("rg10_fittable_triplets", lambda f: _fittable(f), "SELECT triplet_id, false AS skipped FROM c_triplets WHERE 'ECONOMY' NOT IN (target_symbol, hedge_symbol_1, hedge_symbol_2) UNION ALL SELECT triplet_id, true FROM c_triplets WHERE 'ECONOMY' IN (target_symbol, hedge_symbol_1, hedge_symbol_2)")
 register("rg11_kernel_rolling", lambda f: hedges.kernel_rolling(_spine(f), WINDOW), f"SELECT triplet_id, date, {r('alpha', 'beta_1', 'beta_2', 'fitted_log_price', 'residual', digits=4)}, 'expr' AS backend FROM c_kernel", digits=4)
+register("rg14_kernel_with_fallback", lambda f: hedges.kernel_rolling_with_fallback(_spine(f), WINDOW).drop("backend"), f"SELECT triplet_id, date, {r('alpha', 'beta_1', 'beta_2', 'fitted_log_price', 'residual', digits=4)} FROM c_kernel", digits=4)
+register("rg16_kernel_benchmark", lambda f: hedges.benchmark_kernels(stored(_spine(f)), WINDOW, 2).select("backend", "repeats", (F.col("min_seconds") <= F.col("max_seconds")).alias("timed")), "SELECT unnest(['expr', 'pandas']) AS backend, 2 AS repeats, true AS timed")
 register("rg12_residual_kernel", lambda f: hedges.residual_kernel(hedges.rolling_ols(f.obs, WINDOW)).select("triplet_id", "date", "fitted_log_price", "residual"), f"SELECT triplet_id, date, {r('fitted_log_price', 'residual')} FROM c_resid WHERE method = 'rolling_ols'")
 register("rg15_compare_backends", lambda f: hedges.compare_backends(hedges.kernel_rolling(_spine(f), WINDOW), hedges.kernel_rolling(_spine(f), WINDOW, "pandas")).select("output_column", (F.col("max_abs_diff") < 1e-7).alias("agrees"), "n_compared"), "SELECT c AS output_column, true AS agrees, count(residual) AS n_compared FROM c_kernel, (SELECT unnest(['alpha', 'beta_1', 'beta_2', 'fitted_log_price', 'residual']) AS c) GROUP BY c")
 

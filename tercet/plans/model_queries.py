@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +34,7 @@ register("fe2_residual_features", lambda f: features.residual_panel(f.scored, FE
 register("fe7_coefficient_features", lambda f: features.coefficient_panel(f.coefficients, FEATURES), f"SELECT triplet_id, method, date, {r(*features.COEFFICIENT_FEATURES, digits=5)} FROM c_coef_panel", 5)
 register("fe8_market_features", lambda f: features.market_features(f.events, f.market, FEATURES, stored), f"SELECT event_id, {r(*features.MARKET_FEATURES)} FROM c_market_features")
 register("fe9_as_of_dates", lambda f: _off_calendar(f), "SELECT (event_date + 3)::DATE AS event_date, event_date AS as_of FROM (SELECT DISTINCT event_date FROM c_events)".replace("(event_date + 3)::DATE AS event_date, event_date AS as_of", "CAST(event_date + 3 AS VARCHAR) AS shifted, CAST(event_date AS VARCHAR) AS as_of"))
+register("fe22_feature_outputs", lambda f: _outputs(f), f"SELECT 'feature_matrix' AS output, count(*) AS rows FROM c_matrix UNION ALL SELECT * FROM (VALUES ('feature_summary_statistics', {len(NUMERIC)}), ('feature_missingness_report', {len(NUMERIC) + len(features.METADATA) + len(features.LABELS)}), ('feature_correlation_matrix', {len(NUMERIC) * (len(NUMERIC) + 1) // 2}))")
 register("fe1_feature_matrix", lambda f: f.matrix, f"SELECT event_id, triplet_id, method, event_date, target_symbol, hedge_symbol_1, hedge_symbol_2, side, {r(*NUMERIC, digits=4)}, label, outcome, exit_reason, holding_period FROM c_matrix", 4)
 _STATS = " UNION ALL ".join(f"SELECT '{c}' AS feature, count({c}) AS count, {r(f'avg({c}) AS mean', f'stddev_samp({c}) AS std', f'min({c}) AS min', f'quantile_cont({c}, 0.25) AS p25', f'quantile_cont({c}, 0.5) AS median', f'quantile_cont({c}, 0.75) AS p75', f'max({c}) AS max', digits=4)} FROM c_matrix" for c in NUMERIC)
 register("fe17_summary_statistics", lambda f: features.summary_statistics(f.matrix, NUMERIC), _STATS, 4)
@@ -47,6 +50,11 @@ register("fe21_feature_scaler", lambda f: features.scaler(f.matrix, _SCALED), _S
 register("fe21_scaled_matrix", lambda f: features.scale(f.matrix, _SCALED).select("event_id", *_SCALED), "SELECT event_id, " + ", ".join(r(f"({c} - avg({c}) OVER ()) / coalesce(nullif(stddev_pop({c}) OVER (), 0), 1) AS {c}", digits=5) for c in _SCALED) + " FROM c_matrix", 5)
 
 
+def _outputs(f: Frames) -> DataFrame:
+    parts = [df.agg(F.lit(name).alias("output"), F.count("*").alias("rows")) for name, df in features.feature_outputs(f.matrix, NUMERIC).items()]
+    return reduce(DataFrame.union, parts)
+
+
 def _off_calendar(f: Frames) -> DataFrame:
     """The calendar date that events on Thursdays, three days after their week began, see."""
     late = f.events.withColumn("event_date", F.date_add("event_date", 3))
@@ -92,6 +100,7 @@ _AUC_SPLIT, _AUC_ALL = _AUC.format(by="split, ", part="split", group="GROUP BY s
 _RATES = r("positive_rate", "(tp + tn) / n_obs AS accuracy", "tp / nullif(tp + fp, 0) AS precision", "tp / nullif(tp + fn, 0) AS recall", "tn / nullif(tn + fp, 0) AS specificity", "tn / nullif(tn + fn, 0) AS negative_predictive_value", "2 * tp / nullif(2 * tp + fp + fn, 0) AS f1", "log_loss", "brier_score", "roc_auc")
 _COUNTS = f"count(*) AS n_obs, avg(label) AS positive_rate, avg(-(label * ln(predicted_reversion_probability) + (1 - label) * ln(1 - predicted_reversion_probability))) AS log_loss, avg((predicted_reversion_probability - label) ** 2) AS brier_score, count(CASE WHEN label = 1 AND {_HIT} THEN 1 END) AS tp, count(CASE WHEN label = 0 AND NOT ({_HIT}) THEN 1 END) AS tn, count(CASE WHEN label = 0 AND {_HIT} THEN 1 END) AS fp, count(CASE WHEN label = 1 AND NOT ({_HIT}) THEN 1 END) AS fn"
 _FOUR = "tp AS true_positive, tn AS true_negative, fp AS false_positive, fn AS false_negative"
+_EVALUATION = f"SELECT split, n_obs, 0.5::DOUBLE AS threshold, positive_rate, (tp + tn) / n_obs AS accuracy, tp / nullif(tp + fp, 0) AS precision, tp / nullif(tp + fn, 0) AS recall, brier_score, roc_auc, {_FOUR} FROM (SELECT split, {_COUNTS} FROM c_preds GROUP BY split) JOIN ({_AUC_SPLIT}) USING (split)"
 register("mt2_classification_summary", lambda f: metrics.classification_summary(f.predictions, 0.5, "split"), f"SELECT split, n_obs, 0.5::DOUBLE AS threshold, {_RATES}, {_FOUR} FROM (SELECT split, {_COUNTS} FROM c_preds GROUP BY split) JOIN ({_AUC_SPLIT}) USING (split)")
 register("ml6_validation_metrics", lambda f: metrics.classification_summary(f.predictions, 0.5), f"SELECT n_obs, 0.5::DOUBLE AS threshold, {_RATES}, {_FOUR} FROM (SELECT {_COUNTS} FROM c_preds), ({_AUC_ALL})")
 register("mt3_losses", lambda f: metrics.losses(f.predictions, "split"), f"SELECT split, {r('brier_score', 'log_loss')} FROM (SELECT split, {_COUNTS} FROM c_preds GROUP BY split)")
@@ -101,6 +110,7 @@ register("mt4_roc_curve", lambda f: metrics.roc_curve(f.predictions, "split"), f
 register("mt5_trapezoid_auc", lambda f: metrics.trapezoid_auc(f.predictions, "split"), f"SELECT split, {r('roc_auc')} FROM ({_AUC_SPLIT})")
 _BINS = "SELECT s.split, b.bin, count(p.event_id) AS n, coalesce(sum(p.label), 0) AS s1, avg(p.predicted_reversion_probability) AS m, sum(p.label) / nullif(count(p.event_id), 0) AS rate FROM (SELECT DISTINCT split FROM c_preds) s CROSS JOIN (SELECT unnest(range(1, 6)) AS bin) b LEFT JOIN c_preds p ON p.split = s.split AND greatest(1, ceil(p.predicted_reversion_probability * 5)) = b.bin GROUP BY s.split, b.bin"
 _NAME = "format('({:.2f}, {:.2f}]', (bin - 1) / 5, bin / 5) AS probability_bucket"
+_ALL_BUCKETS = f"SELECT split, {_NAME}, n AS n_events, m AS mean_predicted_probability, rate AS realized_success_rate, rate AS precision FROM ({_BINS})"
 register("mt6_probability_buckets", lambda f: metrics.probability_buckets(f.predictions, 5, "split"), f"SELECT split, {_NAME}, {r('(bin - 1) / 5 AS bucket_lower', 'bin / 5 AS bucket_upper', 'm AS mean_predicted_probability', 'rate AS realized_success_rate', 'rate AS precision')}, n AS n_events, s1::BIGINT AS success_count, (n - s1)::BIGINT AS failure_count FROM ({_BINS})")
 register("mt7_calibration_curve", lambda f: metrics.calibration_curve(f.predictions, 5, "split"), f"SELECT split, {_NAME}, n AS n_events, {r('m AS mean_predicted_probability', 'rate AS realized_success_rate', 'rate - m AS calibration_error', 'abs(rate - m) AS absolute_calibration_error')} FROM ({_BINS}) WHERE n > 0")
 register("ml8_calibration_table", lambda f: metrics.probability_buckets(f.predictions, 10).select("probability_bucket", "n_events", "mean_predicted_probability", F.col("realized_success_rate").alias("observed_success_rate")), f"SELECT format('({{:.2f}}, {{:.2f}}]', (bin - 1) / 10, bin / 10) AS probability_bucket, count(event_id) AS n_events, {r('avg(predicted_reversion_probability) AS mean_predicted_probability', 'sum(label) / nullif(count(event_id), 0) AS observed_success_rate')} FROM (SELECT unnest(range(1, 11)) AS bin) LEFT JOIN c_preds ON greatest(1, ceil(predicted_reversion_probability * 10)) = bin GROUP BY bin")
@@ -133,6 +143,11 @@ _P = "successes / n"
 register("pf7_wilson_intervals", lambda f: portfolio.wilson_intervals(f.trades), f"SELECT strategy, successes, n, 0.9::DOUBLE AS confidence, {r(f'{_P} AS rate', f'greatest(0, ({_P} + z * z / (2 * n) - z * sqrt(({_P} * (1 - {_P}) + z * z / (4 * n)) / n)) / (1 + z * z / n)) AS ci_low', f'least(1, ({_P} + z * z / (2 * n) + z * sqrt(({_P} * (1 - {_P}) + z * z / (4 * n)) / n)) / (1 + z * z / n)) AS ci_high')} FROM (SELECT strategy, count(CASE WHEN net_pnl > 0 THEN 1 END) AS successes, count(*) AS n, 1.6448536269514722::DOUBLE AS z FROM c_trades GROUP BY strategy)")
 register("pf8_bootstrap_intervals", lambda f: portfolio.bootstrap_interval(f.trades, "mean_pnl"))
 register("pf9_block_bootstrap_intervals", lambda f: portfolio.block_bootstrap_interval(portfolio.equity_curve(f.trades)))
+_DAYS = "(SELECT strategy, unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS d FROM (SELECT DISTINCT strategy FROM c_trades), (SELECT min(pnl_date) AS lo, max(pnl_date) AS hi FROM c_trades))"
+register("pf2_calendar_pnl", lambda f: portfolio.calendar_pnl(f.trades), f"SELECT strategy, CAST(CAST(d AS DATE) AS VARCHAR) AS day, {r('coalesce(p, 0) AS daily_pnl')} FROM {_DAYS} LEFT JOIN (SELECT strategy, pnl_date AS d, sum(net_pnl) AS p FROM c_trades GROUP BY ALL) USING (strategy, d) WHERE isodow(d) < 6".replace("AS day", "AS date"))
+register("pf16_confidence_table", lambda f: portfolio.confidence_table(f.trades))
+_U = "(CAST('0x' || substr(md5(event_id || '|{k}'), 1, 8) AS BIGINT) + 0.5) / 4294967296.0"
+register("pf17_placeholder_predictions", lambda f: models.placeholder_predictions(f.labels), f"SELECT event_id, triplet_id, method, event_date, 'placeholder' AS split, {r('p AS predicted_reversion_probability')}, 0.6::DOUBLE AS classification_threshold, CAST(p >= 0.6 AS INTEGER) AS predicted_label, label FROM (SELECT *, least(0.95, greatest(0.05, 0.38 + 0.32 * label + 0.16 * sqrt(-2 * ln({_U.format(k=0)})) * cos(2 * pi() * {_U.format(k=1)}))) AS p FROM c_labels)")
 register("pf10_volatility_targeting", lambda f: _targeted(f), f"SELECT event_id, strategy, {r('size AS position_size', 'size * spread_pnl_units AS gross_pnl', 'size * spread_pnl_units - 0.05 * size AS net_pnl', '2 * size AS turnover')} FROM (SELECT t.event_id, t.strategy, t.spread_pnl_units, least(3.0, greatest(0.0, 0.02 / greatest(m.residual_volatility, 1e-6))) AS size FROM c_trades t JOIN c_matrix m USING (event_id) WHERE m.residual_volatility IS NOT NULL)")
 register("pf11_buy_and_hold", lambda f: portfolio.buy_and_hold(f.panel, "vwap").select("date", "daily_return", F.log1p("cumulative_return").alias("log_growth")), f"SELECT date, {r('d AS daily_return', 'sum(ln(1 + d)) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING) AS log_growth', digits=5)} FROM (SELECT date, avg(simple_return) AS d FROM c_market WHERE simple_return IS NOT NULL GROUP BY date)", 5)
 _ROBUST = r("avg(net_pnl) AS average_net_pnl", "quantile_cont(net_pnl, 0.5) AS median_net_pnl", "min(net_pnl) AS worst_net_pnl", "max(net_pnl) AS best_net_pnl", "avg(CAST(net_pnl > 0 AS INTEGER)) AS profitable_scenario_rate", "avg(sharpe) AS average_sharpe", "min(max_drawdown) AS worst_drawdown", "avg(turnover) AS average_turnover", digits=5)

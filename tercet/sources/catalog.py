@@ -7,10 +7,13 @@ stored first.  Keys and references, which a file-based catalog cannot enforce, a
 from __future__ import annotations
 
 import re
+from collections import ChainMap
+from collections.abc import Callable, Mapping
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tercet.guards import require, require_columns
 
@@ -36,6 +39,24 @@ class Catalog:
         require_columns(df, KEYS.get(table, ()))
         df.write.mode(mode).format("parquet").saveAsTable(f"{self.database}.{table}")
 
+    def initialize(self, schemas: Mapping[str, StructType | str], views: Mapping[str, Callable] | None = None) -> None:
+        """Empty tables of the given schemas, where there are none yet, and views by name, over the database's tables."""
+        for table, schema in schemas.items():
+            if not self.exists(table):
+                self.store(self.spark.createDataFrame([], schema), table)
+        held = {t: self.table(t) for t in self.tables()}
+        for name, build in (views or {}).items():
+            build(held).createOrReplaceTempView(name)
+
+    def append(self, df: DataFrame, table: str) -> int:
+        """Adds rows, dates as the table has them, and gives their number; nothing is written for an empty frame."""
+        kinds = dict(self.table(table).dtypes)
+        fits = df.select(*(F.col(c).cast(kinds[c]).alias(c) if c in df.columns else F.lit(None).cast(kinds[c]).alias(c) for c in kinds))
+        n = fits.count()
+        if n:
+            self.store(fits, table, "append")
+        return n
+
     def table(self, table: str) -> DataFrame:
         return self.spark.table(f"{self.database}.{table}")
 
@@ -71,15 +92,15 @@ def bound(sql: str, names, to) -> str:
     return re.sub(r"\b(FROM|JOIN)\s+(\w+)", lambda m: f"{m[1]} {to(m[2])}" if m[2] in names else m[0], sql)
 
 
-def run_sql(spark: SparkSession, sql: str, tables: dict[str, DataFrame]) -> DataFrame:
+def run_sql(spark: SparkSession, sql: str, tables: Mapping[str, DataFrame]) -> DataFrame:
     """A statement over frames."""
     used = {t for t in re.findall(r"\b(?:FROM|JOIN)\s+(\w+)", sql) if t in tables}
     return spark.sql(bound(sql, used, lambda t: "{" + t + "}"), **{t: tables[t] for t in used})
 
 
-def run_named(spark: SparkSession, text: str, tables: dict[str, DataFrame], views: str = "") -> dict[str, DataFrame]:
+def run_named(spark: SparkSession, text: str, tables: Mapping[str, DataFrame], views: str = "") -> dict[str, DataFrame]:
     """Every statement of `text` over `tables` and the statements of `views`, which may use earlier ones; lazily."""
-    known = dict(tables)
+    known = ChainMap({}, tables)
     for name, sql in parse_named_queries(views).items():
         known[name] = run_sql(spark, sql, known)
     return {name: run_sql(spark, sql, known) for name, sql in parse_named_queries(text).items()}

@@ -28,3 +28,9 @@ def stored(df: DataFrame) -> DataFrame:
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """`df` dealt by `keys` to as many tasks as the session has shuffle partitions, for windows that compute much more
+    than they read: adaptive execution would merge such partitions by their bytes.  Windows on the keys need no shuffle."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
