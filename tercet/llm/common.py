@@ -31,10 +31,11 @@ def small_batches(spark: SparkSession, limit: int = 8 << 20) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder for checkpoints: the session's spark.checkpoint.dir; one of our own only where it is unset."""
+    """The folder that spark.checkpoint.dir names; where it is unset, one in the warehouse, or for a local master a temporary one."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tercet-checkpoint-"))
+        own = tempfile.mkdtemp(prefix="tercet-checkpoint-") if sc.master.startswith("local") else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/tercet-checkpoints"
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or own)
     return sc.getCheckpointDir()
 
 
@@ -59,7 +60,16 @@ def stored(df: DataFrame) -> DataFrame:
     del df
     gc.collect()
     jvm.System.gc()
-    return spark.read.schema(schema).parquet(path)
+    table = spark.read.schema(schema).parquet(path)
+    table.stored_at = path
+    return table
+
+
+def gone(*tables: DataFrame) -> None:
+    """Deletes tables that stored() wrote, once what was made of them is stored, too."""
+    for df in tables:
+        where = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -5,10 +5,16 @@ the pigeonhole principle, a chunk with at most one difference; every signature i
 with each one symbol left out, and all pairs within that distance meet in a bucket.  Sets with a Jaccard similarity of
 0.8 or more exceed the distance with a probability of about 2e-6.
 
-Texts with equal sets are one class.  First every member of a bucket is tried with one leader; the links so confirmed
-give components.  Next every node is tried with its nearest one of another component.  At last all pairs of different
-components that still meet in a bucket, within the distance and with sizes that allow the similarity, are confirmed.  So no link between different components is lost, and no group is turned into all
-its pairs.  Large buckets are split into blocks, and large fans of pairs into parts.
+Texts with equal sets are one class, known by a hash of the set.
+Two bits of every symbol make a sketch of 24 bytes: symbols whose bits differ do differ, so that pairs whose sketches differ
+in more than 37 symbols are out without a look at their signatures, and most chance meetings go before any text moves.
+
+First every member of a bucket that may be near the bucket's leader is tried with one leader; the links so confirmed give
+components.  Of the members of buckets that hold several components, those that may be near a member of another one stay:
+next each is tried with its nearest one of another component, and at last all pairs that are still open, within the distance
+and with sizes that allow the similarity, are confirmed.  So no link between different components is lost, and no group
+is turned into all its pairs.  In a bucket the largest component is compared with the others only: a bucket is dealt out in
+cells of a block of all members by a block of those others, so that one lone text in a crowd costs no more copies.
 
 Defined results: null texts and texts without words have empty sets and are linked with nothing; texts with fewer words
 than a shingle have one shingle, the whole sequence; repeated rows and equal texts share a component; rows with a null
@@ -17,23 +23,26 @@ id share in links but cannot be a component's id (if all are null, the id is nul
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tercet.llm.common import U64, lower_ascii, map_text, mix, ranges, release, slice_hashes, stored, words
+from tercet.llm.common import U64, blocks, gone, lower_ascii, map_text, mix, ranges, release, slice_hashes, stored, words
 from tercet.llm.components import components
 
 CHUNKS, CHUNK = 19, 5
 SYMBOLS = CHUNKS * CHUNK
 #: Symbols in which signatures may differ: with one difference a chunk allowed, more than CHUNKS * 2 - 1 are not covered.
 DISTANCE = CHUNKS * 2 - 1
-#: Members of a bucket, and shingles of their sets, compared in one piece; pairs confirmed in one piece.
-BUCKET_BLOCK, BUCKET_SHINGLES, FAN = 2048, 500_000, 512
+#: Members of a bucket, and shingles of their sets, in one block; pairs confirmed in one piece; pairs compared at once.
+BUCKET_BLOCK, BUCKET_SHINGLES, FAN, PAIRS = 2048, 500_000, 512, 1 << 18
 
+WORDS, EVEN = (SYMBOLS + 31) // 32, U64(0x5555555555555555)
+SKETCH = [f"s{k}" for k in range(WORDS)]
 IS_WORD = np.ones(256, bool)
 IS_WORD[[9, 10, 11, 12, 13, 32]] = False
 _A = mix(np.arange(1, SYMBOLS + 1, dtype=U64) * U64(0x9E3779B97F4A7C15)) | U64(1)
@@ -81,6 +90,26 @@ def signatures(key: np.ndarray, size: np.ndarray) -> np.ndarray:
     return out
 
 
+def sketches(signature: np.ndarray) -> np.ndarray:
+    """WORDS 64-bit words for every signature: two bits of each symbol."""
+    out = np.zeros((len(signature), WORDS), U64)
+    for k in range(SYMBOLS):
+        out[:, k // 32] |= (signature[:, k].astype(U64) & U64(3)) << U64(2 * (k % 32))
+    return out
+
+
+def sketch_distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """In how many symbols sketches differ; never more than their signatures do."""
+    x = a ^ b
+    return np.bitwise_count((x | (x >> U64(1))) & EVEN).sum(1)
+
+
+def _sketches_apart(a: str, b: str) -> Column:
+    """sketch_distance() of the columns a0, a1, ... and b0, b1, ..."""
+    x = [F.col(f"{a}{k}").bitwiseXOR(F.col(f"{b}{k}")) for k in range(WORDS)]
+    return reduce(lambda p, q: p + q, (F.bit_count(y.bitwiseOR(F.shiftrightunsigned(y, 1)).bitwiseAND(F.lit(int(EVEN)))) for y in x))
+
+
 def bucket_keys(signature: np.ndarray) -> np.ndarray:
     """For every signature, a 64-bit key for each chunk and each symbol left out of it."""
     out = np.empty((len(signature), SYMBOLS), U64)
@@ -101,20 +130,26 @@ def first_meeting(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def describe(docs: DataFrame, n: int, id: str, text: str) -> DataFrame:
-    """id, row (a hash of id and text), node (the set's id, null if empty), n_shingles, signature."""
+    """id, row (a hash of id and text), node (the set's id, null if empty), n_shingles, signature, sketch words."""
     src = docs.select(F.col(f"`{id}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("t")).withColumn("row", F.xxhash64("id", "t"))
 
     def each(batch: pa.RecordBatch, data: np.ndarray, off: np.ndarray) -> list[pa.Array]:
         key, size = shingle_sets(data, off, n)
-        sig = iter(r.tobytes() for r in signatures(key, size))
-        node = set_ids(key, size).view(np.int64)
-        return [*batch.columns[:2], pa.array(node, mask=size == 0), pa.array(size), pa.array([next(sig) if k else None for k in size.tolist()], pa.binary())]
+        found = signatures(key, size)
+        sig = iter(r.tobytes() for r in found)
+        node, words_ = set_ids(key, size).view(np.int64), np.zeros((len(size), WORDS), U64)
+        words_[size > 0] = sketches(found)
+        return [*batch.columns[:2], pa.array(node, mask=size == 0), pa.array(size), pa.array([next(sig) if k else None for k in size.tolist()], pa.binary()), *(pa.array(w.view(np.int64)) for w in words_.T.copy())]
 
-    return map_text(src, ["id", "row"], "t", "id long, row long, node long, n_shingles long, signature binary", each)
+    return map_text(src, ["id", "row"], "t", "id long, row long, node long, n_shingles long, signature binary, " + ", ".join(f"{c} long" for c in SKETCH), each)
 
 
 def memberships(classes: DataFrame) -> DataFrame:
-    """key, v, node, leader for every bucket with two members or more; v is the key's number, leader the least node."""
+    """key, v, node, leader, pair for buckets with two members or more; v is the key's number, leader the least node.
+
+    A bucket of two (if its rows come in one batch) is one row, of the member that does not lead, with pair = true;
+    others have a row for every member.
+    """
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -125,9 +160,11 @@ def memberships(classes: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(k.ravel().view(np.int64)), pa.array(np.tile(np.arange(SYMBOLS, dtype=np.int8), len(k))), pa.array(np.repeat(part.column(0).to_numpy(), SYMBOLS))], ["key", "v", "node"])
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None  # the last member so far, and its leader; whether it has been given out
+        held = None  # the last member so far, and its leader; whether its bucket has been opened, whether it was given out
         for batch in batches:
             key, v, node = (batch.column(i).to_numpy() for i in range(3))
+            if not len(key):
+                continue
             if held is not None:
                 key, v, node = np.append(held[0], key), np.append(held[1], v), np.append(held[2], node)
             new = np.append(True, key[1:] != key[:-1])
@@ -135,17 +172,24 @@ def memberships(classes: DataFrame) -> DataFrame:
             leader = node[first]
             if held is not None:
                 leader[first == 0] = held[3]
-            many = ~new | np.append(~new[1:], False)
+            last = np.append(new[1:], False)  # the last bucket may go on in the next batch
+            two = new & ~np.append(new[1:], True) & np.append(last[1:], False)
+            if held is not None and held[4]:
+                two[0] = False
+            pair = np.append(False, two[:-1])
+            many = (~new | np.append(~new[1:], False)) & ~two
             if held is not None:
-                many[0] &= not held[4]
+                many[0] &= not held[5]
             if many.any():
-                yield pa.RecordBatch.from_arrays([pa.array(key[many]), pa.array(v[many]), pa.array(node[many]), pa.array(leader[many])], ["key", "v", "node", "leader"])
-            held = key[-1:], v[-1:], node[-1:], leader[-1], bool(many[-1]) or (held is not None and len(key) == 1 and held[4])
+                yield pa.RecordBatch.from_arrays([pa.array(c[many]) for c in (key, v, node, leader, pair)], ["key", "v", "node", "leader", "pair"])
+            opened = not new[-1] or (held is not None and len(key) == 1 and held[4])
+            given = bool(many[-1]) or (held is not None and len(key) == 1 and held[5])
+            held = key[-1:], v[-1:], node[-1:], leader[-1], opened or (first[-1] == 0 and held is not None and held[4]), given
             # a member that opened a bucket at a batch's end is given out with the next batch, if that goes on with it
 
     dealt = classes.select("node", "signature").mapInArrow(keys, "key long, v byte, node long")
     dealt = dealt.repartition("key").sortWithinPartitions("key", "node")
-    return dealt.mapInArrow(shared, "key long, v byte, node long, leader long")
+    return dealt.mapInArrow(shared, "key long, v byte, node long, leader long, pair boolean")
 
 
 def _texts(docs: DataFrame, rows: DataFrame, id: str, text: str) -> DataFrame:
@@ -199,139 +243,191 @@ def confirm(texts: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFra
 
 
 def dealt_buckets(members: DataFrame) -> DataFrame:
-    """members (key, v, node, root, n_shingles, signature) with i, j, mine: buckets as pairs of bounded blocks.
+    """members (key, v, node, root, n_shingles, ...) of buckets with several roots, as cells (key, i, j).
 
-    A bucket of one block is i = j = 0; of more, every pair of blocks meets once; `mine` is a member's own block.
+    `i` is a block of all members, `j` one of those outside the bucket's largest root.  role: 1 of the first, 2 of the
+    second, 3 of both; `small` are the members outside the largest root.  A bucket of one block each is one cell.
     """
-    sizes = members.groupBy("key").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("held"))
-    cut = members.join(sizes, "key").withColumn("blocks", F.greatest(F.ceil(F.col("n") / BUCKET_BLOCK), F.ceil(F.col("held") / BUCKET_SHINGLES)))
-    cut = cut.withColumn("mine", F.pmod(F.xxhash64("node"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    return cut.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "v", "node", "root", "n_shingles", "signature")
-
-
-class Bucket:
-    """The members of a bucket's pair of blocks, in the order of their roots."""
-
-    def __init__(self, rows: list[tuple], percent: int):
-        self.split, self.percent = rows[0][1] != rows[0][2], percent
-        self.mine, self.v, self.node, self.root, self.size = (np.array([r[c] for r in rows]) for c in (3, 4, 5, 6, 7))
-        self.signature = np.frombuffer(b"".join(r[8] for r in rows), np.uint16).reshape(-1, SYMBOLS)
-        self.before, self.after = np.searchsorted(self.root, self.root, "left"), np.searchsorted(self.root, self.root, "right")
-
-    def open(self, x: int, both: bool) -> tuple[np.ndarray, np.ndarray]:
-        """Members of other roots (later ones, or all) that may be as similar to x, and their distances.
-
-        A pair that meets in several buckets is open in one of them only.
-        """
-        y = np.arange(self.after[x], len(self.node))
-        if both:
-            y = np.append(np.arange(self.before[x]), y)
-        y = y[100 * np.minimum(self.size[x], self.size[y]) >= self.percent * np.maximum(self.size[x], self.size[y])]
-        if self.split:
-            y = y[self.mine[y] != self.mine[x]]
-        if not len(y):
-            return y, y
-        d, meet = first_meeting(np.broadcast_to(self.signature[x], (len(y), SYMBOLS)), self.signature[y])
-        ok = (d <= DISTANCE) & (meet == self.v[x])
-        return y[ok], d[ok]
-
-
-def _by_bucket(rows: DataFrame, each, schema: str) -> DataFrame:
-    """each(rows of one (key, i, j)) -> arrays of `schema`, streamed over sorted partitions."""
+    per = members.groupBy("key", "root").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("held"))
+    sizes = per.groupBy("key").agg(F.sum("n").alias("n"), F.sum("held").alias("held"), F.max_by(F.struct("root", "n", "held"), F.struct("n", "root")).alias("most"))
+    count = lambda n, held: F.greatest(F.lit(1), F.ceil(n / BUCKET_BLOCK), F.ceil(held / BUCKET_SHINGLES)).cast("long")
+    sizes = sizes.select("key", F.col("most.root").alias("largest"), count(F.col("n"), F.col("held")).alias("rows"), count(F.col("n") - F.col("most.n"), F.col("held") - F.col("most.held")).alias("others"))
+    got = members.join(sizes, "key").withColumn("small", F.col("root") != F.col("largest"))
+    i, j = F.pmod(F.xxhash64("node"), "rows"), F.pmod(F.xxhash64("node", F.lit(1)), "others")
+    cell = lambda i, j, role: F.struct(i.alias("i"), j.alias("j"), role.alias("role"))
+    up_to = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    here = F.transform(up_to("others"), lambda x: cell(i, x, F.lit(1)))
+    there = F.when(F.col("small"), F.transform(up_to("rows"), lambda x: cell(x, j, F.lit(2)))).otherwise(F.array().cast("array<struct<i:bigint,j:bigint,role:int>>"))
+    zero = F.lit(0).cast("long")
+    cells = F.when((F.col("rows") == 1) & (F.col("others") == 1), F.array(cell(zero, zero, F.when(F.col("small"), 3).otherwise(1)))).otherwise(F.concat(here, there))
+    return got.withColumn("c", F.explode(cells)).select("key", "c.i", "c.j", "c.role", "small", *(c for c in members.columns if c != "key"))
+
+
+def _by_cell(rows: DataFrame, each: Callable[[pa.RecordBatch], list | None], schema: str) -> DataFrame:
+    """each(whole cells, owners after visitors) -> arrays of `schema`, streamed over sorted partitions."""
+    names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        names = [x.split()[0] for x in schema.split(", ")]
+        held: pa.RecordBatch | None = None
         for batch in batches:
-            for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if held and held[-1][:3] != r[:3]:
-                    yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in each(held)], names)
-                    held = []
-                held.append(r)
-        if held:
-            yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in each(held)], names)
+            held = batch if held is None else pa.concat_batches([held, batch])
+            new = _starts(held)
+            if len(new) > 1:
+                out = each(held.slice(0, new[-1]))
+                if out is not None:
+                    yield pa.RecordBatch.from_arrays(out, names)
+                held = held.slice(new[-1])
+        if held is not None and held.num_rows:
+            out = each(held)
+            if out is not None:
+                yield pa.RecordBatch.from_arrays(out, names)
         release()
 
-    return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "root", "node").mapInArrow(run, schema)
+    dealt = rows.repartition("key", "i", "j").withColumn("owns", F.col("role") != 2)
+    return dealt.sortWithinPartitions("key", "i", "j", "owns", "node").drop("owns").mapInArrow(run, schema)
 
 
-def nearest_pairs(dealt: DataFrame, percent: int) -> DataFrame:
-    """a, b: for each node, the open pair of the least distance; so at most as many rows as nodes."""
+def _starts(cells: pa.RecordBatch) -> np.ndarray:
+    """The first row of every cell."""
+    k = [cells.column(c).to_numpy() for c in range(3)]
+    return np.flatnonzero(np.append(True, (k[0][1:] != k[0][:-1]) | (k[1][1:] != k[1][:-1]) | (k[2][1:] != k[2][:-1]))[: cells.num_rows])
 
-    def each(rows: list[tuple]) -> list[np.ndarray]:
-        bucket, out = Bucket(rows, percent), []
-        for x in range(len(rows)):
-            y, d = bucket.open(x, both=True)
-            if len(y):
-                k = d.argmin()
-                out.append((bucket.node[x], bucket.node[y[k]], d[k]))
-        return list(np.array(out, np.int64).reshape(-1, 3).T)
 
-    found = _by_bucket(dealt, each, "a long, b long, d long").groupBy("a").agg(F.min_by("b", F.struct("d", "b")).alias("b"))
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+def open_pairs(cells: pa.RecordBatch, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows x and y of a cell, and their distance, whose roots differ and which may be as similar; each pair once.
 
+    Without a column of signatures the distance is that of sketches.  With one it is exact, and a pair that meets in
+    several buckets is open in one of them only.
+    """
+    col = {c: cells.column(c).to_numpy(zero_copy_only=False) for c in cells.schema.names if c != "signature"}
+    exact = "signature" in cells.schema.names
+    if exact:
+        signature = np.frombuffer(b"".join(cells.column("signature").to_pylist()), np.uint16).reshape(-1, SYMBOLS)
+    sketch = np.stack([col[c] for c in SKETCH], 1).view(U64)
+    start = _starts(cells)
+    end = np.append(start[1:], cells.num_rows)
+    owns = col["role"] != 2
+    cell = np.repeat(np.arange(len(start)), end - start)
+    first_own = end - np.add.reduceat(owns.astype(np.int64), start)
+    x = np.flatnonzero(col["role"] != 1)
+    many = (end - first_own)[cell[x]]
+    for lo, hi in blocks(np.append(0, np.cumsum(many)), PAIRS):
+        mine, k = x[lo:hi], many[lo:hi]
+        a, b = np.repeat(mine, k), ranges(first_own[cell[mine]], k)
+        ok = (col["root"][a] != col["root"][b]) & (~col["small"][b] | (col["node"][a] < col["node"][b]))
+        na, nb = col["n_shingles"][a], col["n_shingles"][b]
+        ok &= 100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)
+        a, b = a[ok], b[ok]
+        d = sketch_distance(sketch[a], sketch[b])
+        ok = d <= DISTANCE
+        a, b, d = a[ok], b[ok], d[ok]
+        if exact and len(a):
+            d, meet = first_meeting(signature[a], signature[b])
+            ok = (d <= DISTANCE) & (meet == col["v"][a])
+            a, b, d = a[ok], b[ok], d[ok]
+        if len(a):
+            yield a, b, d
+
+
+def near_members(dealt: DataFrame, percent: int) -> DataFrame:
+    """key, v, node of the members that by their sketches may be near one of another root in their bucket."""
+
+    def each(cells: pa.RecordBatch) -> list | None:
+        some = np.zeros(cells.num_rows, bool)
+        for a, b, _ in open_pairs(cells, percent):
+            some[a], some[b] = True, True
+        kept = cells.filter(pa.array(some))
+        return [kept.column(c) for c in ("key", "v", "node")] if kept.num_rows else None
+
+    return _by_cell(dealt, each, "key long, v byte, node long").distinct()
 
-_CELL = "key long, i long, j long, mine long, v byte, node long, root long, n_shingles long, signature binary"
+
+def nearest_pairs(dealt: DataFrame, percent: int) -> DataFrame:
+    """a, b: for each node, the open pair of the least distance; so at most as many rows as nodes."""
+
+    def each(cells: pa.RecordBatch) -> list | None:
+        node, best, to = cells.column("node").to_numpy(), np.full(cells.num_rows, SYMBOLS + 1), np.zeros(cells.num_rows, np.int64)
+        for a, b, d in open_pairs(cells, percent):
+            for x, y in ((a, b), (b, a)):
+                order = np.lexsort((node[y], d))[::-1]  # the last write, of the least distance, stays
+                x, y, e = x[order], y[order], d[order]
+                least = np.full(cells.num_rows, SYMBOLS + 1)
+                least[x] = e
+                other = np.zeros(cells.num_rows, np.int64)
+                other[x] = node[y]
+                fresh = least < best
+                best[fresh], to[fresh] = least[fresh], other[fresh]
+        found = best <= SYMBOLS
+        return [pa.array(node[found]), pa.array(to[found]), pa.array(best[found])] if found.any() else None
+
+    found = _by_cell(dealt, each, "a long, b long, d long").groupBy("a").agg(F.min_by("b", F.struct("d", "b")).alias("b"))
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def open_members(dealt: DataFrame, percent: int) -> DataFrame:
-    """The rows of `dealt` that have an open pair in their bucket; pairs themselves are not given out."""
+    """The rows of `dealt` that have an open pair in their cell; pairs themselves are not given out."""
 
-    def each(rows: list[tuple]) -> list[np.ndarray]:
-        bucket = Bucket(rows, percent)
-        some = np.zeros(len(rows), bool)
-        for x in range(len(rows)):
-            y, _ = bucket.open(x, both=False)
-            some[y] = True
-            some[x] |= len(y) > 0
-        kept = [r for r, k in zip(rows, some.tolist(), strict=True) if k]
-        kinds = [pa.int64()] * 4 + [pa.int8()] + [pa.int64()] * 3 + [pa.binary()]
-        return [pa.array([r[c] for r in kept], t) for c, t in enumerate(kinds)]
+    def each(cells: pa.RecordBatch) -> list | None:
+        some = np.zeros(cells.num_rows, bool)
+        for a, b, _ in open_pairs(cells, percent):
+            some[a], some[b] = True, True
+        kept = cells.filter(pa.array(some))
+        return kept.columns if kept.num_rows else None
 
-    return _by_bucket(dealt, each, _CELL)
+    return _by_cell(dealt, each, ", ".join(f"{c} {t.replace('bigint', 'long')}" for c, t in dealt.dtypes))
 
 
 def settle(texts: DataFrame, dealt: DataFrame, n: int, percent: int) -> DataFrame:
     """a, b: links that join the different roots of each bucket, by all its open pairs, confirmed on full sets.
 
-    Only members with an open pair bring their sets; an inverted index over a bucket's sets counts intersections.
+    Only members with an open pair bring their sets; pairs of roots that are joined by then are passed over.
     """
     involved = stored(open_members(dealt, percent))
-    sets = stored(_sets(texts, involved.select("node").distinct(), ["node"], n))
-    cells = involved.join(sets, "node")
-    cells = cells.select("key", "i", "j", "mine", "v", "node", "root", "n_shingles", "signature", "s")
-
-    def each(held: list[tuple]) -> list[np.ndarray]:
-        held = [r for k, r in enumerate(held) if not k or r[5] != held[k - 1][5]]  # repeated rows bring a text twice
-        bucket = Bucket(held, percent)
-        key = np.concatenate([np.frombuffer(r[9], U64) for r in held])
-        owner = np.repeat(np.arange(len(held)), bucket.size)
-        _, token = np.unique(key, return_inverse=True)
-        order = np.argsort(token, kind="stable")
-        owners, count = owner[order], np.bincount(token)
-        start, first = np.cumsum(count) - count, np.cumsum(bucket.size) - bucket.size
-        joined = {r: r for r in bucket.root.tolist()}
+    sets = stored(_sets(texts, involved.select("node").distinct(), ["node"], n).dropDuplicates(["node"]))
+    dropped = [c for c in involved.columns if c not in ("node",)]
+    cells = involved.join(sets, "node").select(*dropped, "node", "s")
+
+    def each(cells: pa.RecordBatch) -> list | None:
+        node, root, size = (cells.column(c).to_numpy() for c in ("node", "root", "n_shingles"))
+        sets = [np.frombuffer(r, U64) for r in cells.column("s").to_pylist()]
+        joined: dict[int, int] = {}
 
         def find(r: int) -> int:
-            while joined[r] != r:
+            while joined.setdefault(r, r) != r:
                 joined[r] = r = joined[joined[r]]
             return r
 
         out = []
-        for x in range(len(held)):
-            y, _ = bucket.open(x, both=False)
-            y = [k for k in y.tolist() if find(int(bucket.root[k])) != find(int(bucket.root[x]))]
-            if not y:
-                continue
-            own = token[first[x] : first[x] + bucket.size[x]]
-            common = np.bincount(owners[ranges(start[own], count[own])], minlength=len(held))
-            for k in y:
-                if 100 * common[k] >= percent * (bucket.size[x] + bucket.size[k] - common[k]) and find(int(bucket.root[k])) != find(int(bucket.root[x])):
-                    joined[find(int(bucket.root[k]))] = find(int(bucket.root[x]))
-                    out.append((bucket.node[x], bucket.node[k]))
-        return list(np.array(out, np.int64).reshape(-1, 2).T)
+        for a, b, _ in open_pairs(cells.drop_columns(["s"]), percent):
+            order = np.argsort(a, kind="stable")
+            for x, y in zip(a[order].tolist(), b[order].tolist(), strict=True):
+                r, q = find(int(root[x])), find(int(root[y]))
+                if r == q:
+                    continue
+                common = int((sets[x][np.minimum(np.searchsorted(sets[x], sets[y]), len(sets[x]) - 1)] == sets[y]).sum())
+                if 100 * common >= percent * (size[x] + size[y] - common):
+                    joined[r] = q
+                    out.append((node[x], node[y]))
+        return [pa.array(c) for c in np.array(out, np.int64).reshape(-1, 2).T] if out else None
+
+    return _by_cell(cells, each, "a long, b long")
+
+
+def _rows_of(nodes: DataFrame, classes: DataFrame) -> DataFrame:
+    """node, row of the distinct `nodes`."""
+    return classes.select("node", "row").join(nodes.distinct(), "node")
+
+
+def _roots(members: DataFrame, links: DataFrame) -> DataFrame:
+    """node, root of all members: the component of those with links, themselves for others."""
+    return stored(members.select("node").distinct().join(components(links), "node", "left").select("node", F.coalesce("root", "node").alias("root")))
+
 
-    return _by_bucket(cells, each, "a long, b long")
+def _mixed(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """key, v, node, root of the members of buckets in which more than one root meets."""
+    placed = members.select("key", "v", "node").join(roots, "node")
+    mixed = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("key")
+    return placed.join(mixed, "key")
 
 
 def link(docs: DataFrame, n: int = 5, percent: int = 80, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -343,26 +439,31 @@ def link(docs: DataFrame, n: int = 5, percent: int = 80, id: str = "doc_id", tex
         raise ValueError("signatures are laid out for similarities of 0.8 and more")
     all_ = stored(describe(docs, n, id, text))
     some = all_.where("node is not null")
-    classes = some.groupBy("node").agg(F.min("id").alias("least"), F.min("row").alias("row"), F.min("n_shingles").alias("n_shingles"), F.min("signature").alias("signature"))
-    met = stored(memberships(classes))
-    nodes = stored(classes.join(met.select("node").distinct(), "node"))
+    classes = some.groupBy("node").agg(F.min("id").alias("least"), F.min("row").alias("row"), F.min("n_shingles").alias("n_shingles"), F.min("signature").alias("signature"), *(F.min(c).alias(c) for c in SKETCH))
+    sketch = lambda node, name: classes.select(F.col("node").alias(node), F.col("n_shingles").alias(f"{name}_n"), *(F.col(c).alias(f"{name}{k}") for k, c in enumerate(SKETCH)))
+    met = memberships(classes).join(sketch("node", "a"), "node").join(sketch("leader", "b"), "leader")
+    near = (_sketches_apart("a", "b") <= DISTANCE) & (100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n"))
+    met = stored(met.select("key", "v", "node", "leader", "pair", near.alias("near")).where("near or not pair"))
+    fan = met.where("near and leader != node").groupBy("node", "leader").agg(F.count("*").alias("n"))
+    tried = stored(fan.groupBy("node").agg(F.max_by("leader", F.struct("n", "leader")).alias("a")).select("a", F.col("node").alias("b")))
+    texts = stored(_texts(docs, _rows_of(tried.select(F.explode(F.array("a", "b")).alias("node")), classes), id, text))
+    links = stored(confirm(texts, tried, n, percent))
+    gone(texts, tried)
+    roots = _roots(met, links)
+    both = met.select("key", "v", F.explode(F.when(F.col("pair"), F.array("node", "leader")).otherwise(F.array("node"))).alias("node"))
+    members = _mixed(both, roots).join(classes.select("node", "n_shingles", *SKETCH), "node")
+    open_ = stored(near_members(dealt_buckets(members), percent))
+    gone(met, roots)
+    nodes = stored(classes.join(open_.select("node").distinct(), "node"))
     texts = stored(_texts(docs, nodes.select("node", "row"), id, text))
-    fan = met.where("leader != node").groupBy("node", "leader").agg(F.count("*").alias("n"))
-    tried = fan.groupBy("node").agg(F.max_by("leader", F.struct("n", "leader")).alias("a")).select("a", F.col("node").alias("b"))
-    links = stored(confirm(texts, stored(tried), n, percent))
     for last in (False, True):
-        roots = stored(nodes.select("node").join(components(links), "node", "left").select("node", F.coalesce("root", "node").alias("root")))
-        placed = met.select("key", "v", "node").join(roots, "node")
-        mixed = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("key")
-        members = stored(placed.join(mixed, "key"))
-        dealt = dealt_buckets(members.join(nodes.select("node", "n_shingles", "signature"), "node"))
-        if last:
-            more = settle(texts, dealt, n, percent)
-        else:
-            more = confirm(texts, stored(nearest_pairs(dealt, percent)), n, percent)
+        roots = _roots(open_, links)
+        dealt = dealt_buckets(_mixed(open_, roots).join(nodes.select("node", "n_shingles", *SKETCH, "signature"), "node"))
+        more = settle(texts, dealt, n, percent) if last else confirm(texts, stored(nearest_pairs(dealt, percent)), n, percent)
         links = stored(links.union(more))
+    gone(texts, open_)
     final = components(links)
-    reached = nodes.select("node", "least").join(final, "node")
+    reached = classes.select("node", "least").join(final, "node")
     least = reached.groupBy("root").agg(F.min("least").alias("component_id"))
     by_node = stored(final.join(least, "root").select("node", "component_id"))
     alone = classes.select("node", F.col("least").alias("own"))
