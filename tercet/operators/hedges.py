@@ -50,21 +50,22 @@ def trailing_moments(rows: DataFrame, window: int, by: str, order: str) -> DataF
     """`rows` (with y, x1, x2) with rn, n and the moments() of those of the `window` rows before each that are complete.
 
     Moments are differences of running sums, so a row costs the same whatever the window; values are centred on their
-    group first, and variances within rounding of zero are zero.  Missing, NaN and infinite values count as missing.
+    group's first complete row, and variances within rounding of zero are zero.  Missing, NaN and infinite values count
+    as missing.  Nothing comes from later rows, not even rounding.
     """
-    legs, all_, path = ("y", "x1", "x2"), Window.partitionBy(by), Window.partitionBy(by).orderBy(order)
+    legs, path = ("y", "x1", "x2"), Window.partitionBy(by).orderBy(order)
+    running = path.rowsBetween(Window.unboundedPreceding, 0)
     whole = reduce(lambda a, b: a & b, (null_if_nan(k).isNotNull() for k in legs))
-    got = rows.select("*", F.row_number().over(path).alias("rn"), *(F.avg(F.when(whole, F.col(k))).over(all_).alias(f"__m{k}") for k in legs), *(F.var_pop(F.when(whole, F.col(k))).over(all_).alias(f"__v{k}") for k in legs))
+    got = rows.select("*", F.row_number().over(path).alias("rn"), *(F.first(F.when(whole, F.col(k)), ignorenulls=True).over(running).alias(f"__m{k}") for k in legs))
     d = {k: F.when(whole, F.col(k) - F.col(f"__m{k}")).otherwise(0.0) for k in legs}
     terms = {"n": F.when(whole, 1).otherwise(0)} | d | {"yy": d["y"] * d["y"], "11": d["x1"] * d["x1"], "22": d["x2"] * d["x2"], "12": d["x1"] * d["x2"], "1y": d["x1"] * d["y"], "2y": d["x2"] * d["y"]}
-    running = path.rowsBetween(Window.unboundedPreceding, 0)
     got = got.withColumn("__s", F.struct(*(F.sum(t).over(running).alias(k) for k, t in terms.items())))
     got = got.withColumn("__a", F.lag("__s", 1).over(path)).withColumn("__b", F.lag("__s", window + 1).over(path))
     n = F.coalesce(F.col("__a.n"), F.lit(0)) - F.coalesce(F.col("__b.n"), F.lit(0))
-    got = got.select(*rows.columns, "rn", *(f"__{q}{k}" for q in "mv" for k in legs), n.alias("n"), F.nullif(n, F.lit(0)).alias("__n"), *((F.coalesce(F.col(f"__a.{k}"), F.lit(0.0)) - F.coalesce(F.col(f"__b.{k}"), F.lit(0.0))).alias(f"__{k}") for k in terms if k != "n"))
+    got = got.select(*rows.columns, "rn", *(f"__m{k}" for k in legs), *((F.col(f"__a.{q}") / F.col("__a.n")).alias(f"__v{k}") for k, q in zip(legs, ("yy", "11", "22"), strict=True)), n.alias("n"), F.nullif(n, F.lit(0)).alias("__n"), *((F.coalesce(F.col(f"__a.{k}"), F.lit(0.0)) - F.coalesce(F.col(f"__b.{k}"), F.lit(0.0))).alias(f"__{k}") for k in terms if k != "n"))
     mean = {k: F.col(f"__{k}") / F.col("__n") for k in legs}
     var = lambda k, q: F.col(q) / F.col("__n") - mean[k] * mean[k]
-    some = lambda k, v: F.when(v > 1e-13 * F.col(f"__v{k}") + 1e-24 * F.col(f"__m{k}") * F.col(f"__m{k}"), v).otherwise(F.lit(0.0))
+    some = lambda k, v: F.when(v > 1e-13 * F.col(f"__v{k}"), v).otherwise(F.lit(0.0))
     cov = lambda a, b, q: F.col(q) / F.col("__n") - mean[a] * mean[b]
     out = {"my": F.col("__my") + mean["y"], "m1": F.col("__mx1") + mean["x1"], "m2": F.col("__mx2") + mean["x2"], "vy": some("y", var("y", "__yy")), "v1": some("x1", var("x1", "__11")), "v2": some("x2", var("x2", "__22"))}
     out |= {"c12": cov("x1", "x2", "__12"), "c1y": cov("x1", "y", "__1y"), "c2y": cov("x2", "y", "__2y")}

@@ -30,7 +30,7 @@ _TABLES = {
     "triplets": "SELECT * FROM c_triplets WHERE triplet_id <> 'SMALL_ECONOMY_LARGE'",
     "regression_results": "SELECT triplet_id FROM c_full",
     "residuals": "SELECT triplet_id, method, date FROM c_scored WHERE triplet_id <> 'LARGE_ECONOMY_MEDIUM'",
-    "residual_diagnostics": "SELECT s.*, autocorr_1 AS residual_autocorr_1, h.half_life_estimate FROM c_summary s JOIN (SELECT triplet_id, method, max_by(half_life_estimate, date) AS half_life_estimate FROM c_resid_panel GROUP BY triplet_id, method) h USING (triplet_id, method)",
+    "residual_diagnostics": "SELECT s.*, autocorr_1 AS residual_autocorr_1, h.half_life_estimate FROM c_summary s JOIN (SELECT triplet_id, method, arg_max_null(half_life_estimate, date) AS half_life_estimate FROM c_resid_panel GROUP BY triplet_id, method) h USING (triplet_id, method)",
     "residual_method_summary": "SELECT s.*, s.residual_std / nullif(b.residual_std, 0) AS std_ratio_vs_static, s.residual_abs_mean / nullif(b.residual_abs_mean, 0) AS abs_mean_ratio_vs_static FROM c_summary s LEFT JOIN c_summary b ON b.triplet_id = s.triplet_id AND b.method = 'static_ols_initial_window'",
     "hedge_ratios": "SELECT triplet_id, method, date, beta_1, beta_2 FROM c_coef",
     "kalman_states": "SELECT triplet_id, method, date, 0.5 AS process_noise, 2.0 AS measurement_noise, alpha, beta_1, beta_2, abs(beta_1) AS state_cov_trace FROM (SELECT *, 'rolling_ols' AS method FROM c_ols UNION ALL SELECT *, 'rolling_ridge' FROM c_ridge)",

@@ -61,8 +61,8 @@ class Catalog:
         return self.spark.table(f"{self.database}.{table}")
 
     def tables(self) -> list[str]:
-        """Names of tables and views, sorted."""
-        return sorted(t.name for t in self.spark.catalog.listTables(self.database))
+        """Names of the tables of the database, sorted."""
+        return sorted(t.name for t in self.spark.catalog.listTables(self.database) if not t.isTemporary)
 
     def exists(self, table: str) -> bool:
         return self.spark.catalog.tableExists(f"{self.database}.{table}")
