@@ -205,7 +205,7 @@ def test_checks(spark):
 
 
 def test_catalog(spark):
-    c = catalog.Catalog(spark, "catalog_test")
+    c = catalog.Catalog(spark, f"catalog_test_{os.getpid()}")
     c.initialize({"assets": "symbol string, sector string", "empty": "x int"})
     assert c.exists("assets") and c.table("empty").count() == 0
     assert c.append(spark.createDataFrame([(7, "A")], "other int, symbol string"), "assets") == 1 and c.append(spark.createDataFrame([], "symbol string"), "assets") == 0
@@ -213,8 +213,8 @@ def test_catalog(spark):
     assert [tuple(r) for r in spark.table("assets_seen").collect()] == [("A",)] and c.run("-- name: q\nSELECT sector FROM assets")["q"].collect()[0].sector is None
     with pytest.raises(MissingColumns):
         c.store(spark.range(1), "triplets")
-    for t in c.tables():
-        spark.sql(f"DROP TABLE IF EXISTS catalog_test.{t}")
+    assert c.tables() == ["assets", "empty"]
+    spark.sql(f"DROP DATABASE {c.database} CASCADE")
 
 
 def test_places_by_time(spark):
