@@ -430,49 +430,74 @@ def _mixed(members: DataFrame, roots: DataFrame) -> DataFrame:
     return placed.join(mixed, "key")
 
 
+class Components:
+    """What link() and representatives() share: rows (id, row, node, n_shingles) and classes (node, root, first).
+
+    `first` is the least (has no id, id, row) of the rows with a set.
+    """
+
+    def __init__(self, docs: DataFrame, n: int, percent: int, id: str, text: str):
+        if percent < 80:
+            raise ValueError("signatures are laid out for similarities of 0.8 and more")
+        all_ = stored(describe(docs, n, id, text))
+        some = all_.where("node is not null")
+        classes = some.groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("no"), "id", "row")).alias("first"), F.min("row").alias("row"), F.min("n_shingles").alias("n_shingles"), F.min("signature").alias("signature"), *(F.min(c).alias(c) for c in SKETCH))
+        sketch = lambda node, name: classes.select(F.col("node").alias(node), F.col("n_shingles").alias(f"{name}_n"), *(F.col(c).alias(f"{name}{k}") for k, c in enumerate(SKETCH)))
+        met = memberships(classes).join(sketch("node", "a"), "node").join(sketch("leader", "b"), "leader")
+        near = (_sketches_apart("a", "b") <= DISTANCE) & (100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n"))
+        met = stored(met.select("key", "v", "node", "leader", "pair", near.alias("near")).where("near or not pair"))
+        fan = met.where("near and leader != node").groupBy("node", "leader").agg(F.count("*").alias("n"))
+        tried = stored(fan.groupBy("node").agg(F.max_by("leader", F.struct("n", "leader")).alias("a")).select("a", F.col("node").alias("b")))
+        texts = stored(_texts(docs, _rows_of(tried.select(F.explode(F.array("a", "b")).alias("node")), classes), id, text))
+        links = stored(confirm(texts, tried, n, percent))
+        gone(texts, tried)
+        roots = _roots(met, links)
+        both = met.select("key", "v", F.explode(F.when(F.col("pair"), F.array("node", "leader")).otherwise(F.array("node"))).alias("node"))
+        members = _mixed(both, roots).join(classes.select("node", "n_shingles", *SKETCH), "node")
+        open_ = stored(near_members(dealt_buckets(members), percent))
+        gone(met, roots)
+        nodes = stored(classes.join(open_.select("node").distinct(), "node"))
+        texts = stored(_texts(docs, nodes.select("node", "row"), id, text))
+        for last in (False, True):
+            roots = _roots(open_, links)
+            dealt = dealt_buckets(_mixed(open_, roots).join(nodes.select("node", "n_shingles", *SKETCH, "signature"), "node"))
+            more = settle(texts, dealt, n, percent) if last else confirm(texts, stored(nearest_pairs(dealt, percent)), n, percent)
+            links = stored(links.union(more))
+        gone(texts, open_)
+        self.rows = all_
+        self.classes = classes.select("node", "first").join(components(links), "node", "left").select("node", F.coalesce("root", "node").alias("root"), "first")
+
+
 def link(docs: DataFrame, n: int = 5, percent: int = 80, id: str = "doc_id", text: str = "text") -> DataFrame:
     """id, n_shingles long, component_id (the smallest id reachable over links, itself included), kept boolean.
 
     Links: texts whose sets of n-word shingles have 100 * intersection >= percent * union; percent from 80 up.
     """
-    if percent < 80:
-        raise ValueError("signatures are laid out for similarities of 0.8 and more")
-    all_ = stored(describe(docs, n, id, text))
-    some = all_.where("node is not null")
-    classes = some.groupBy("node").agg(F.min("id").alias("least"), F.min("row").alias("row"), F.min("n_shingles").alias("n_shingles"), F.min("signature").alias("signature"), *(F.min(c).alias(c) for c in SKETCH))
-    sketch = lambda node, name: classes.select(F.col("node").alias(node), F.col("n_shingles").alias(f"{name}_n"), *(F.col(c).alias(f"{name}{k}") for k, c in enumerate(SKETCH)))
-    met = memberships(classes).join(sketch("node", "a"), "node").join(sketch("leader", "b"), "leader")
-    near = (_sketches_apart("a", "b") <= DISTANCE) & (100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n"))
-    met = stored(met.select("key", "v", "node", "leader", "pair", near.alias("near")).where("near or not pair"))
-    fan = met.where("near and leader != node").groupBy("node", "leader").agg(F.count("*").alias("n"))
-    tried = stored(fan.groupBy("node").agg(F.max_by("leader", F.struct("n", "leader")).alias("a")).select("a", F.col("node").alias("b")))
-    texts = stored(_texts(docs, _rows_of(tried.select(F.explode(F.array("a", "b")).alias("node")), classes), id, text))
-    links = stored(confirm(texts, tried, n, percent))
-    gone(texts, tried)
-    roots = _roots(met, links)
-    both = met.select("key", "v", F.explode(F.when(F.col("pair"), F.array("node", "leader")).otherwise(F.array("node"))).alias("node"))
-    members = _mixed(both, roots).join(classes.select("node", "n_shingles", *SKETCH), "node")
-    open_ = stored(near_members(dealt_buckets(members), percent))
-    gone(met, roots)
-    nodes = stored(classes.join(open_.select("node").distinct(), "node"))
-    texts = stored(_texts(docs, nodes.select("node", "row"), id, text))
-    for last in (False, True):
-        roots = _roots(open_, links)
-        dealt = dealt_buckets(_mixed(open_, roots).join(nodes.select("node", "n_shingles", *SKETCH, "signature"), "node"))
-        more = settle(texts, dealt, n, percent) if last else confirm(texts, stored(nearest_pairs(dealt, percent)), n, percent)
-        links = stored(links.union(more))
-    gone(texts, open_)
-    final = components(links)
-    reached = classes.select("node", "least").join(final, "node")
-    least = reached.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_node = stored(final.join(least, "root").select("node", "component_id"))
-    alone = classes.select("node", F.col("least").alias("own"))
-    by_class = alone.join(by_node, "node", "left").select("node", F.coalesce("component_id", "own").alias("component_id"))
-    out = all_.select("id", "node", "n_shingles").join(by_class, "node", "left")
+    c = Components(docs, n, percent, id, text)
+    classes = stored(c.classes)
+    least = classes.groupBy("root").agg(F.min(F.col("first.id")).alias("component_id"))
+    by_class = classes.join(least, "root").select("node", "component_id")
+    out = c.rows.select("id", "node", "n_shingles").join(by_class, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id"))
     return out.select(F.col("id").alias(id), "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))
 
 
+def representatives(docs: DataFrame, n: int = 5, percent: int = 80, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """`docs` with one row of every component: that of the smallest id, rows without an id coming last.
+
+    Texts without a set stay.  Rows are told apart by id and text; of rows equal in both one stays, whichever.
+    """
+    c = Components(docs, n, percent, id, text)
+    kept = c.classes.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias("row"))
+    kept = stored(kept)
+    some = c.rows.where("node is not null").groupBy("row").agg(F.count("*").alias("n"))
+    state = stored(some.join(kept.withColumn("kept", F.lit(True)), "row", "left").where("kept is null or n > 1"))
+    mine = docs.withColumn("__row", F.xxhash64(F.col(f"`{id}`").cast("long"), F.col(f"`{text}`").cast("string")))
+    again = state.where("kept").select(F.col("row").alias("__row"))
+    once = mine.join(state.select(F.col("row").alias("__row")), "__row", "left_anti")
+    return once.unionByName(mine.join(again, "__row", "left_semi").dropDuplicates(["__row"])).drop("__row")
+
+
 SQL = r"""
 WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
 s AS (SELECT DISTINCT r, hash(t) AS t FROM (SELECT r, CASE WHEN len(w) = 1 THEN w[1] ELSE unnest(list_transform(range(1, len(w)), lambda j: w[j] || ' ' || w[j + 1])) END AS t FROM d WHERE len(w) > 1 UNION ALL SELECT r, w[1] FROM d WHERE len(w) = 1)),

@@ -28,8 +28,9 @@ from pyspark.sql import functions as F
 from tercet.llm.common import U64, map_text, mix, powers, ranges, release, small_batches, stored
 
 GRAM = 64
-#: Starts looked at in one piece; longer texts are taken in several.
-PIECE = 1 << 19
+#: Starts looked at in one piece; longer texts are taken in several.  Bits that number the grams of a piece, which is shorter
+#: than 2 ** BITS: the same for pieces of all lengths, so that the gram a string designates does not hang on the piece.
+PIECE, BITS = 1 << 19, 20
 #: Bytes of stretches sorted at once, and the unequal stretches of one gram up to which it is sorted at all.
 SORT_BYTES, MOST_STRETCHES = 1 << 20, 8_000
 _BASE = 0x9E3779B97F4A7C15
@@ -71,9 +72,10 @@ def stretches(data: np.ndarray, off: np.ndarray, width: int) -> tuple[np.ndarray
     if len(data) < width or not n.sum():
         return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, U64, U64))
     h = gram_hashes(data)
-    bits = max(1, int(len(h)).bit_length())
-    keyed = h >> U64(bits) << U64(bits) | np.arange(len(h), dtype=U64)
-    at = (sliding_min(keyed, width - GRAM + 1) & U64((1 << bits) - 1)).astype(np.int64)
+    if len(h) >= 1 << BITS:
+        raise ValueError(f"pieces must be shorter than {1 << BITS} bytes")
+    keyed = h >> U64(BITS) << U64(BITS) | np.arange(len(h), dtype=U64)
+    at = (sliding_min(keyed, width - GRAM + 1) & U64((1 << BITS) - 1)).astype(np.int64)
     start = ranges(off[:-1], n)
     gram = at[start]
     new = np.ones(len(start), bool)

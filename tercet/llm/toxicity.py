@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tercet.llm.common import small_batches, stored
+
 # Letters that look like Latin ones, and signs that stand for letters.
 LOOK_ALIKES = {
     "а": "a", "в": "b", "с": "c", "ԁ": "d", "е": "e", "ё": "e", "һ": "h", "і": "i", "ј": "j", "к": "k", "ӏ": "l",
@@ -63,8 +65,8 @@ class Model:
         a = ahocorasick.Automaton()
         for w, x in self.lexicon.items():
             a.add_word(w, (len(w), x))
-        for w in self.exceptions:
-            a.add_word(w, (len(w), None)) if w not in self.lexicon else None
+        for w in self.exceptions:  # also where the same words are an entry
+            a.add_word(w, (len(w), None))
         if len(a):
             a.make_automaton()
         return a
@@ -106,6 +108,7 @@ def features(docs: DataFrame, model: Model, text: str, keep: list[str]) -> DataF
             cols = list(zip(*got, strict=True)) if got else [(), (), (), ()]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *(pa.array(c, pa.float64()) for c in cols[:3]), pa.array(cols[3], pa.int32())], names)
 
+    small_batches(docs.sparkSession)
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "f0 double", "f1 double", "f2 double", "n_hits int"])
     return docs.select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{text}`").cast("string").alias("__text")).mapInArrow(run, schema)
 
@@ -128,6 +131,7 @@ def _term_counts(rows: DataFrame) -> DataFrame:
                     counts = {0: Counter(), 1: Counter()}
         yield out(counts)
 
+    small_batches(rows.sparkSession)
     return rows.mapInArrow(run, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
@@ -160,7 +164,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000, entries: int
     """
     picked = labels.where(F.col(label).isin(0, 1) & F.col(id).isNotNull()).select(F.col(id).alias("__id"), F.col(label).cast("int").alias("__y"))
     picked = picked.orderBy(F.xxhash64("__id"), "__id", "__y").limit(sample)
-    rows = docs.select(F.col(id).alias("__id"), F.col(text).cast("string").alias("__text")).join(F.broadcast(picked), "__id")
+    rows = stored(docs.select(F.col(id).alias("__id"), F.col(text).cast("string").alias("__text")).join(F.broadcast(picked), "__id"))
     counts = {r[0]: r[1] for r in rows.groupBy("__y").count().collect()}
     n_toxic, n_clean = counts.get(1, 0), counts.get(0, 0)
     if not n_toxic or not n_clean:

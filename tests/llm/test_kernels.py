@@ -135,20 +135,42 @@ def test_shingle_sets():
     assert len(np.intersect1d(sets[2], sets[6])) == 0
 
 
-def test_va_scan_is_exact():
+@pytest.mark.parametrize("cells", [256, 3])
+@pytest.mark.parametrize("scale", [3, 60, 3e7, 2e8, 3e9])
+def test_va_scans_are_exact(scale, cells, monkeypatch):
+    """Bars from lower bounds, the vectors that they leave, and the exact results of those, against brute force."""
+    monkeypatch.setattr(va_search, "CELLS", cells)
     rng = np.random.default_rng(4)
-    for scale in (3, 60, 3e7, 2e8):
-        q, v = np.floor(rng.normal(0, scale, (30, 8))), np.floor(rng.normal(0, scale, (200, 8)))
-        v[:20] = v[20:40]
-        q[:5] = v[:5]
-        best = va_search.Results(30, 20)
-        for lo in (0, 90, 150):
-            hi = {0: 90, 90: 150, 150: 200}[lo]
-            va_search.scan(q, np.arange(30), v[lo:hi], np.arange(lo, hi), np.arange(lo, hi) // 2, best)
-        exact = np.array([[int(x) for x in r] for r in q], object) @ np.array([[int(x) for x in r] for r in v], object).T
-        for i in range(30):
-            want = sorted((-int(exact[i, j]), j // 2) for j in range(200) if j != i)[:20]
-            assert [(-int(s), int(k)) for s, k in zip(best.score[i], best.id[i], strict=True)] == want
+    q, v = np.floor(rng.normal(0, scale, (30, 8))), np.floor(rng.normal(0, scale, (200, 8)))
+    v[:20] = v[20:40]
+    q[:5] = v[:5]
+    v[100:140] = v[100]
+    at, id = np.arange(200), np.arange(200) // 2
+    parts = [np.arange(0, 90), np.arange(90, 150), np.arange(150, 200)]
+    file = [va_search.quantise(v[p]) for p in parts]
+    assert all((low + c * w <= v[p]).all() and (v[p] <= low + c * w + w - 1).all() for p, (c, low, w) in zip(parts, file, strict=True))
+    bars, best = va_search.Results(30, 20), va_search.Results(30, 20)
+    for p, block in zip(parts, file, strict=True):
+        va_search.lower_bounds(q, np.arange(30), block, at[p], id[p], bars)
+    read = 0
+    for p, (cell, low, width) in zip(parts, file, strict=True):
+        need = va_search.reached(q, np.arange(30), (cell, low, width), at[p], id[p], bars.score[:, -1], bars.id[:, -1])
+        read += need.sum()
+        va_search.scan(q, np.arange(30), v[p][need], (cell[need], low, width), at[p][need], id[p][need], best)
+    top = 2**63 - 1
+    exact = [[max(2 - top, min(top, sum(int(x) * int(y) for x, y in zip(a, b, strict=True)))) for b in v] for a in q]
+    for i in range(30):
+        want = sorted((-exact[i][j], j // 2) for j in range(200) if j != i)[:20]
+        assert [(-int(s), int(k)) for s, k in zip(best.score[i], best.id[i], strict=True)] == want
+    assert read <= 200
+
+
+def test_sketches_never_overstate_the_distance():
+    rng = np.random.default_rng(6)
+    a = rng.integers(0, 1 << 16, (400, near_duplicates.SYMBOLS)).astype(np.uint16)
+    b = np.where(rng.random(a.shape) < 0.4, rng.integers(0, 1 << 16, a.shape), a).astype(np.uint16)
+    d = near_duplicates.sketch_distance(near_duplicates.sketches(a), near_duplicates.sketches(b))
+    assert (d == ((a ^ b) & 3 != 0).sum(1)).all() and (d <= (a != b).sum(1)).all()
 
 
 def test_pages():
@@ -191,3 +213,64 @@ def test_trees_learn_and_traverse():
 def test_statistics_of_odd_texts():
     s = quality.statistics(*block(["", None, "a", "x" * 50_000, "\n\n", "é é é"]))
     assert s.shape == (6, len(quality.STATISTICS)) and np.isfinite(s).all() and (s[0] == s[1]).all()
+
+
+def test_trees_against_walking_each_row():
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(800, 4)).round(1)
+    t = quality.fit(x, (x[:, 1] + x[:, 3] > 0.2).astype(float), trees=12)
+
+    def walk(row, node):
+        c = int(t.column[node])
+        return float(t.value[node]) if c < 0 else walk(row, int(t.left[node]) + int(row[c] > t.threshold[node]))
+
+    want = [t.base + sum(walk(r, int(k)) for k in t.roots) for r in x[:100]]
+    assert np.allclose(t.raw(x[:100]), want)
+
+
+def test_lexicon_against_looking_at_every_word():
+    rng = random.Random(4)
+    lexicon, exceptions = {"ab": 2.0, "abc": 3.0, "c": 1.0, "dd": 0.5, "ba": 1.5}, ("ab cd", "dd", "c c")
+    model = toxicity.Model(lexicon, exceptions)
+    a = model.automaton()
+    for _ in range(400):
+        text = "".join(rng.choice("abcd  ") for _ in range(rng.randint(0, 30)))
+        spared = {k for e in exceptions for i in range(len(text)) if text.startswith(e, i) for k in range(i, i + len(e))}
+        hits = {i: max(w for t, w in lexicon.items() if text.startswith(t, i)) for i in range(len(text)) if i not in spared and (not i or not text[i - 1].isalnum()) and any(text.startswith(t, i) and t not in exceptions for t in lexicon)}
+        f0, _, f2, n = toxicity.measure(text, a)
+        assert n == len(hits) and np.isclose(np.expm1(f0), sum(hits.values())) and np.isclose(np.expm1(f2), len(text.split()))
+
+
+def test_alignment_against_the_recurrence():
+    """The score of simple tree matching, by its definition: a table over first children of both."""
+    rng = random.Random(2)
+
+    def tree(depth):
+        kids = "".join(tree(depth - 1) for _ in range(rng.randint(0, 4))) if depth else ""
+        tag = rng.choice(["div", "span", "b"])
+        return f"<{tag}>{kids or rng.choice(['x', 'y'])}</{tag}>"
+
+    def matched(a, b):
+        if a.label != b.label:
+            return 0
+        m = [[0] * (len(b.kids) + 1) for _ in range(len(a.kids) + 1)]
+        for i, x in enumerate(a.kids, 1):
+            for j, y in enumerate(b.kids, 1):
+                m[i][j] = max(m[i - 1][j], m[i][j - 1], m[i - 1][j - 1] + matched(x, y))
+        return m[-1][-1] + 1
+
+    for _ in range(80):
+        a, b = (html_extract.parse(f"<section>{tree(3)}{tree(3)}</section>") for _ in "12")
+        pairs: list = []
+        score = html_extract.align(a, b, pairs)
+        assert score == matched(a, b) == len(pairs) and all(x.label == y.label for x, y in pairs)
+
+
+def test_pieces_of_any_length_designate_the_same_grams():
+    """Pieces of one length and another designate the same grams."""
+    rng = random.Random(7)
+    passage = bytes(rng.randrange(97, 123) for _ in range(3000))
+    a, b = (suffix_dedup.stretches(np.frombuffer(p, np.uint8), np.array([0, len(p)]), 200) for p in (passage, b"q" * 70_000 + passage + b"z" * 200_000))
+    assert set(zip(a[3].tolist()[1:-1], a[4].tolist()[1:-1], strict=True)) <= set(zip(b[3].tolist(), b[4].tolist(), strict=True))
+    with pytest.raises(ValueError):
+        suffix_dedup.stretches(np.zeros((1 << 20) + 64, np.uint8), np.array([0, (1 << 20) + 64]), 200)
