@@ -2,6 +2,11 @@
 
 Every stage takes (spark, docs, sf_dir), works on all rows that its predecessor kept, and is written before the next
 one reads it.  All but the last return the columns of `documents`.
+
+Defined results: null and empty texts go where the classifier rejects them, and else pass all stages (no tokens, digests of
+nothing); ties between near duplicates go to the smaller id, then to the smaller hash of id and text; of repeated rows
+one stays; rows without an id are near duplicates like others, and give way to rows with one; an empty table gives no rows;
+further columns of `documents` are dropped.
 """
 
 from __future__ import annotations
@@ -23,9 +28,8 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of every group of near duplicates, the one with the smallest id; rows without an id stay."""
-    gone = near_duplicates.link(docs).where("doc_id is not null and not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    """One row of every group of near duplicates by five-word shingles, that of the smallest id; texts without words stay."""
+    return near_duplicates.representatives(docs.select(*COLUMNS)).select(*COLUMNS)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
