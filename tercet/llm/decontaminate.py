@@ -4,8 +4,8 @@ The alphabet is words.  Patterns of one length share a shift table over blocks o
 text is in no pattern, the search jumps by the whole window.  Where the shift is zero, the hash of the window's last
 block selects a bucket of patterns, and their words are compared byte by byte.  Texts advance side by side, in lanes.
 
-Benchmarks are taken in blocks of bounded size; each block is one narrow pass over the documents that carries the
-hits of the passes before it, so neither documents nor hits are shuffled.
+Benchmarks are taken in blocks of bounded size, one at a time; each block is one pass over the documents.  A benchmark of one
+block shuffles nothing; of more, every pass before the last stores what it hits, by the hash of the text, for the last.
 
 Defined results: null and empty texts have no words; items without words, and rows with a null item_id, have no
 windows; repeated items count once, under each of their ids; repeated documents give repeated rows; an empty
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tercet.llm.common import U64, lower_ascii, map_text, ranges, slice_hashes, words
+from tercet.llm.common import U64, lower_ascii, map_text, ranges, slice_hashes, stored, words
 
 IS_WORD = np.zeros(256, bool)
 IS_WORD[48:58] = IS_WORD[97:123] = IS_WORD[128:] = True
@@ -146,57 +146,65 @@ def search(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes:
     """keep columns, n_words long, n_hit long, items array<string> (those with occurring windows, sorted as strings),
     spans array<int> (start and end, in UTF-8 bytes, of each run of hit words).
 
-    block_bytes bounds the benchmark text held by a task at once; larger benchmarks take more passes.
+    block_bytes bounds the benchmark text that the driver and a task hold at once; larger benchmarks take more passes.
     """
     bench = benchmark.select(F.col(f"`{item}`").cast("string").alias("i"), F.col(f"`{item_text}`").cast("string").alias("t")).where("i is not null and t is not null").distinct()
     total = bench.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     n = -(-max(total, 1) // block_bytes)
     bench = bench.withColumn("b", F.pmod(F.xxhash64("i", "t"), F.lit(n)))
-    kinds = dict(docs.dtypes)
+    src = docs.select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{text}`").cast("string").alias("__t"))
+    bench = stored(bench) if n > 1 else bench
+    block = lambda b: [(r[0], r[1]) for r in bench.where(F.col("b") == b).orderBy("i", "t").select("i", "t").collect()]
+    key, hits = F.sha2(F.col("__t"), 256).alias("__key"), None
+    for b in range(n - 1):  # one block at a time; what it hits, by text, goes into a table
+        found = _pass(src.select(key, "__t").dropDuplicates(["__key"]), ["__key"], block(b), window).where("n_hit > 0").select("__key", "items", "mask")
+        hits = stored(found) if hits is None else hits.union(stored(found))
+    if hits is None:
+        return _pass(src, list(keep), block(n - 1), window).drop("mask")
+    before = hits.groupBy("__key").agg(F.array_distinct(F.flatten(F.collect_list("items"))).alias("__items"), F.collect_list("mask").alias("__masks"))  # at most one of each pass
+    both = src.withColumn("__key", key).join(before, "__key", "left").select(*keep, "__items", "__masks", "__t")
+    return _pass(both, list(keep), block(n - 1), window, carried=True).drop("mask")
+
+
+def _pass(src: DataFrame, keep: list[str], block: list[tuple[str, str]], window: int, carried: bool = False) -> DataFrame:
+    """keep columns, n_words, n_hit, items, spans and mask (hit words, as bits) of the texts `__t`, for one block of items.
+
+    carried: src has __items and __masks of passes before, which are taken in.
+    """
+    kinds = dict(src.dtypes)
     k = len(keep)
-    names = [*keep, "n_words", "n_hit", "items", "spans", "mask"]
+    ids = np.array([i for i, _ in block], object)
+    compiled: list[list[Patterns]] = []
+
+    def each(batch: pa.RecordBatch, data: np.ndarray, off: np.ndarray) -> list[pa.Array]:
+        if not compiled:
+            compiled.append(compile_patterns(block, window))
+        low, s, length, h, before = tokens(data, off)
+        rows = len(off) - 1
+        change = np.zeros(len(s) + 1, np.int64)
+        pairs = []
+        for p in compiled[0]:
+            end, which = p.search(low, s, length, h, before)
+            np.add.at(change, end - p.width + 1, 1)
+            np.add.at(change, end + 1, -1)
+            row = np.searchsorted(before, end, "right") - 1
+            c = p.item_count[which]
+            pairs.append(np.column_stack([np.repeat(row, c), p.items[ranges(p.item_first[which], c)]]))
+        mask = change.cumsum()[:-1] > 0
+        found: list[set[str]] = [set(x or ()) for x in batch.column(k).to_pylist()] if carried else [set() for _ in range(rows)]
+        for r, i in np.unique(np.concatenate(pairs or [np.zeros((0, 2), np.int64)]), axis=0).tolist():
+            found[r].add(ids[i])
+        for r, masks in enumerate(batch.column(k + 1).to_pylist() if carried else ()):
+            for old in masks or ():
+                mask[before[r] : before[r + 1]] |= np.unpackbits(np.frombuffer(old, np.uint8))[: before[r + 1] - before[r]].astype(bool)
+        span, count = _spans(mask, s, length, before, off)
+        spans = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(2 * count)]), pa.int32()), pa.array(span.ravel(), pa.int32()))
+        hit = np.diff(np.concatenate([[0], mask.cumsum()])[before])
+        bits = [np.packbits(mask[before[r] : before[r + 1]]).tobytes() if hit[r] else None for r in range(rows)]
+        return [*batch.columns[:k], pa.array(np.diff(before)), pa.array(hit), pa.array([sorted(x) for x in found], pa.list_(pa.string())), spans, pa.array(bits, pa.binary())]
+
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "n_words long, n_hit long, items array<string>, spans array<int>, mask binary"])
-    out = docs.select(*(F.col(f"`{c}`") for c in keep), F.lit(None).cast("array<string>").alias("items"), F.lit(None).cast("binary").alias("mask"), F.col(f"`{text}`").cast("string").alias("__t"))
-    for b in range(n):
-        block = [(r[0], r[1]) for r in bench.where(F.col("b") == b).orderBy("i", "t").select("i", "t").collect()]
-        ids = np.array([i for i, _ in block], object)
-        last = b == n - 1
-        compiled: list[list[Patterns]] = []
-
-        def each(batch: pa.RecordBatch, data: np.ndarray, off: np.ndarray, block=block, ids=ids, last=last, compiled=compiled) -> list[pa.Array]:
-            if not compiled:
-                compiled.append(compile_patterns(block, window))
-            low, s, length, h, before = tokens(data, off)
-            rows = len(off) - 1
-            change = np.zeros(len(s) + 1, np.int64)
-            pairs = []
-            for p in compiled[0]:
-                end, which = p.search(low, s, length, h, before)
-                np.add.at(change, end - p.width + 1, 1)
-                np.add.at(change, end + 1, -1)
-                row = np.searchsorted(before, end, "right") - 1
-                c = p.item_count[which]
-                pairs.append(np.column_stack([np.repeat(row, c), p.items[ranges(p.item_first[which], c)]]))
-            mask = change.cumsum()[:-1] > 0
-            found: list[set[str]] = [set(x or ()) for x in batch.column(k).to_pylist()]
-            for r, i in np.unique(np.concatenate(pairs or [np.zeros((0, 2), np.int64)]), axis=0).tolist():
-                found[r].add(ids[i])
-            for r, old in enumerate(batch.column(k + 1).to_pylist()):
-                if old:
-                    mask[before[r] : before[r + 1]] |= np.unpackbits(np.frombuffer(old, np.uint8))[: before[r + 1] - before[r]].astype(bool)
-            span, count = _spans(mask, s, length, before, off)
-            if not last:
-                span, count = span[:0], count * 0
-            spans = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(2 * count)]), pa.int32()), pa.array(span.ravel(), pa.int32()))
-            hit = np.diff(np.concatenate([[0], mask.cumsum()])[before])
-            bits = [None if last else np.packbits(mask[before[r] : before[r + 1]]).tobytes() for r in range(rows)]
-            return [*batch.columns[:k], pa.array(np.diff(before)), pa.array(hit), pa.array([sorted(x) for x in found], pa.list_(pa.string())), spans, pa.array(bits, pa.binary())]
-
-        if last:
-            return map_text(out, [*keep, "items", "mask"], "__t", schema, each, names).drop("mask")
-        step = map_text(out.withColumn("__u", F.col("__t")), [*keep, "items", "mask", "__u"], "__t", schema + ", __t string", lambda batch, *a, f=each: (lambda got: [*got, batch.column(k + 2)])(f(batch, *a)), [*names, "__t"])
-        out = step.select(*keep, "items", "mask", "__t")
-    raise AssertionError("there is at least one block")
+    return map_text(src, [*keep, "__items", "__masks"] if carried else keep, "__t", schema, each, [*keep, "n_words", "n_hit", "items", "spans", "mask"])
 
 
 def digests(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
