@@ -12,7 +12,7 @@ in more than 37 symbols are out without a look at their signatures, and most cha
 First every member of a bucket that may be near the bucket's leader is tried with one leader; the links so confirmed give
 components.  Of the members of buckets that hold several components, those that may be near a member of another one stay:
 next each is tried with its nearest one of another component, and at last all pairs that are still open, within the distance
-and with sizes that allow the similarity, are confirmed.  So no link between different components is lost, and no group
+and with sizes that allow the similarity, are confirmed.  The texts of whoever may have a link are fetched once.  So no link between different components is lost, and no group
 is turned into all its pairs.  In a bucket the largest component is compared with the others only: a bucket is dealt out in
 cells of a block of all members by a block of those others, so that one lone text in a crowd costs no more copies.
 
@@ -413,11 +413,6 @@ def settle(texts: DataFrame, dealt: DataFrame, n: int, percent: int) -> DataFram
     return _by_cell(cells, each, "a long, b long")
 
 
-def _rows_of(nodes: DataFrame, classes: DataFrame) -> DataFrame:
-    """node, row of the distinct `nodes`."""
-    return classes.select("node", "row").join(nodes.distinct(), "node")
-
-
 def _roots(members: DataFrame, links: DataFrame) -> DataFrame:
     """node, root of all members: the component of those with links, themselves for others."""
     return stored(members.select("node").distinct().join(components(links), "node", "left").select("node", F.coalesce("root", "node").alias("root")))
@@ -441,32 +436,36 @@ class Components:
             raise ValueError("signatures are laid out for similarities of 0.8 and more")
         all_ = stored(describe(docs, n, id, text))
         some = all_.where("node is not null")
-        classes = some.groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("no"), "id", "row")).alias("first"), F.min("row").alias("row"), F.min("n_shingles").alias("n_shingles"), F.min("signature").alias("signature"), *(F.min(c).alias(c) for c in SKETCH))
+        classes = stored(some.groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("no"), "id", "row")).alias("first"), F.min("row").alias("row"), F.min("n_shingles").alias("n_shingles"), F.min("signature").alias("signature"), *(F.min(c).alias(c) for c in SKETCH)))
         sketch = lambda node, name: classes.select(F.col("node").alias(node), F.col("n_shingles").alias(f"{name}_n"), *(F.col(c).alias(f"{name}{k}") for k, c in enumerate(SKETCH)))
         met = memberships(classes).join(sketch("node", "a"), "node").join(sketch("leader", "b"), "leader")
         near = (_sketches_apart("a", "b") <= DISTANCE) & (100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n"))
         met = stored(met.select("key", "v", "node", "leader", "pair", near.alias("near")).where("near or not pair"))
         fan = met.where("near and leader != node").groupBy("node", "leader").agg(F.count("*").alias("n"))
         tried = stored(fan.groupBy("node").agg(F.max_by("leader", F.struct("n", "leader")).alias("a")).select("a", F.col("node").alias("b")))
-        texts = stored(_texts(docs, _rows_of(tried.select(F.explode(F.array("a", "b")).alias("node")), classes), id, text))
-        links = stored(confirm(texts, tried, n, percent))
-        gone(texts, tried)
-        roots = _roots(met, links)
-        both = met.select("key", "v", F.explode(F.when(F.col("pair"), F.array("node", "leader")).otherwise(F.array("node"))).alias("node"))
-        members = _mixed(both, roots).join(classes.select("node", "n_shingles", *SKETCH), "node")
-        open_ = stored(near_members(dealt_buckets(members), percent))
-        gone(met, roots)
-        nodes = stored(classes.join(open_.select("node").distinct(), "node"))
+        members = met.select("key", "v", F.explode(F.when(F.col("pair"), F.array("node", "leader")).otherwise(F.array("node"))).alias("node"))
+        # Whoever may have a link: is tried, or may be near a member of another crowd, crowds being what tried pairs would join.
+        maybe = self._open(members, tried, classes, percent).select("node").union(tried.select(F.explode(F.array("a", "b")).alias("node"))).distinct()
+        nodes = stored(classes.drop("first").join(maybe, "node"))
         texts = stored(_texts(docs, nodes.select("node", "row"), id, text))
+        links = stored(confirm(texts, tried, n, percent))
+        open_ = stored(self._open(members.join(nodes.select("node"), "node", "left_semi"), links, nodes, percent))
+        gone(met, tried)
         for last in (False, True):
             roots = _roots(open_, links)
             dealt = dealt_buckets(_mixed(open_, roots).join(nodes.select("node", "n_shingles", *SKETCH, "signature"), "node"))
             more = settle(texts, dealt, n, percent) if last else confirm(texts, stored(nearest_pairs(dealt, percent)), n, percent)
             links = stored(links.union(more))
-        gone(texts, open_)
+        gone(texts, open_, nodes)
         self.rows = all_
         self.classes = classes.select("node", "first").join(components(links), "node", "left").select("node", F.coalesce("root", "node").alias("root"), "first")
 
+    @staticmethod
+    def _open(members: DataFrame, links: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+        """near_members() of buckets in which components of `links` meet."""
+        placed = _mixed(members, _roots(members, links))
+        return near_members(dealt_buckets(placed.join(classes.select("node", "n_shingles", *SKETCH), "node")), percent)
+
 
 def link(docs: DataFrame, n: int = 5, percent: int = 80, id: str = "doc_id", text: str = "text") -> DataFrame:
     """id, n_shingles long, component_id (the smallest id reachable over links, itself included), kept boolean.
