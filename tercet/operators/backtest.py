@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tercet.functions.expressions import over
 from tercet.guards import assert_rows, require, require_columns
+from tercet.operators.metrics import robustness_summary
 from tercet.operators.portfolio import performance
 
 P = "predicted_reversion_probability"
@@ -170,6 +171,13 @@ def threshold_sensitivity(events: DataFrame, grid: Grid = Grid(), threshold: flo
     return got.withColumns(zero).select("strategy", *keys, F.lit(threshold).alias("probability_threshold"), F.lit(cost).alias("transaction_cost"), *(c for c in s.columns if c not in (*keys, "strategy")))
 
 
+def robustness(events: DataFrame, costs: tuple[Cost, ...] = DEFAULT_COSTS, grid: Grid = Grid(), threshold: float = 0.6) -> dict[str, DataFrame]:
+    """Cost sensitivity, threshold sensitivity at the cost of the middle scenario, and the summary of both by strategy."""
+    by_cost = cost_sensitivity(events, costs, threshold)
+    by_rule = threshold_sensitivity(events, grid, threshold, costs[len(costs) // 2].per_unit)
+    return {"costs": by_cost, "thresholds": by_rule, "summary": robustness_summary(by_rule, by_cost)}
+
+
 def compare(labels: DataFrame, predictions: DataFrame, threshold: float = 0.6, cost: float = 0.05) -> dict[str, DataFrame]:
     """Trades, equity curve, summary, avoided trades and comparisons of the three strategies."""
     from tercet.operators.portfolio import equity_curve

@@ -12,7 +12,7 @@ from tercet.operators import backtest, features, kalman, metrics, models, portfo
 from tercet.operators.residuals import GROUP
 from tercet.plans.frames import FEATURES, Frames, rounded
 from tercet.sources.stages import stored
-from tercet.plans.oracle import CORR, PERFORMANCE, RULE, query, r
+from tercet.plans.oracle import CORR, PERFORMANCE, RULE, SUMMARY, part, query, r
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -71,13 +71,39 @@ register("ml12_imputed_frame", lambda f: models.impute(f.matrix, _SCALED).select
 register("ml14_impurities", lambda f: _impurities(f), f"SELECT triplet_id, {r('2 * p * (1 - p) AS gini', 'CASE WHEN p > 0 THEN -p * log2(p) ELSE 0 END + CASE WHEN p < 1 THEN -(1 - p) * log2(1 - p) ELSE 0 END AS entropy')} FROM (SELECT triplet_id, sum(label) / count(*) AS p FROM c_labels GROUP BY triplet_id)")
 register("ml19_large_enough", lambda f: models.large_enough(f.labels), "SELECT count(label) AS n_events, count(CASE WHEN label = 1 THEN 1 END) AS n_positive, count(CASE WHEN label = 0 THEN 1 END) AS n_negative, count(label) >= 100 AND count(CASE WHEN label = 1 THEN 1 END) >= 20 AND count(CASE WHEN label = 0 THEN 1 END) >= 20 AS large_enough FROM c_labels")
 _TRAIN = models.LogisticConfig()
-register("ml2_logistic_coefficients", lambda f: models.train_logistic(f.matrix, MODEL_COLUMNS, _TRAIN)["coefficients"])
-register("ml4_logistic_losses", lambda f: models.train_logistic(f.matrix, MODEL_COLUMNS, _TRAIN)["losses"])
-register("ml13_logistic_predictions", lambda f: models.train_logistic(f.matrix, MODEL_COLUMNS, _TRAIN)["predictions"])
-register("ml15_tree_splits", lambda f: models.train_tree(f.matrix, MODEL_COLUMNS)["splits"])
-register("ml16_tree_predictions", lambda f: models.train_tree(f.matrix, MODEL_COLUMNS)["predictions"])
-register("ml17_tree_leaves", lambda f: models.train_tree(f.matrix, MODEL_COLUMNS)["leaves"])
-register("ml18_tree_vs_logistic", lambda f: _compare_models(f))
+_M = MODEL_COLUMNS
+part("c_medians", "SELECT " + ", ".join(f"coalesce(quantile_cont({c}, 0.5), 0.0) AS {c}" for c in _M) + " FROM c_matrix WHERE label IS NOT NULL")
+part("c_model_rows", "SELECT m.event_id, m.triplet_id, m.method, m.event_date, m.label, " + ", ".join(f"coalesce(m.{c}, d.{c}) AS {c}" for c in _M) + ", row_number() OVER (ORDER BY m.event_date, m.event_id) AS rn, count(*) OVER () AS n FROM c_matrix m, c_medians d WHERE m.label IS NOT NULL")
+part("c_model_split", "SELECT *, CASE WHEN rn <= greatest(1, floor(n * 0.6)) THEN 'train' WHEN rn <= least(greatest(greatest(1, floor(n * 0.6)) + 1, floor(n * 0.8)), n - 1) THEN 'validation' ELSE 'test' END AS split FROM c_model_rows")
+part("c_model_scale", "SELECT " + ", ".join(f"avg({c}) AS m{k}, coalesce(nullif(stddev_pop({c}), 0), 1.0) AS s{k}" for k, c in enumerate(_M)) + " FROM c_model_split WHERE split = 'train'")
+part("c_model_z", "SELECT event_id, triplet_id, method, event_date, label, split, [1.0::DOUBLE, " + ", ".join(f"({c} - m{k}) / s{k}" for k, c in enumerate(_M)) + "] AS x FROM c_model_split, c_model_scale")
+# one step of descent a row: the loss before the step, and the weights after it
+part("c_descent", f"""/*recursive*/ SELECT 0 AS iteration, list_transform(range({len(_M) + 1}), lambda i: 0.0::DOUBLE) AS w, NULL::DOUBLE AS loss, false AS done
+  UNION ALL SELECT iteration + 1, list_transform(list_zip(w, g), lambda p: p[1] - {_TRAIN.learning_rate} * p[2]), now, coalesce(abs(now - loss) < {_TRAIN.tolerance}, false)
+  FROM (SELECT iteration, w, loss, avg(-(label * ln(p) + (1 - label) * ln(1 - p))) AS now, [{', '.join(f'avg((p - label) * x[{k + 1}])' for k in range(len(_M) + 1))}] AS g
+    FROM (SELECT d.iteration, d.w, d.loss, z.label, z.x, least(greatest(1 / (1 + exp(-list_inner_product(d.w, z.x))), 1e-12), 1 - 1e-12) AS p FROM c_descent d, c_model_z z WHERE z.split = 'train' AND NOT d.done AND d.iteration < {_TRAIN.max_iter}) GROUP BY iteration, w, loss)""")
+part("c_weights", "SELECT arg_max(w, iteration) AS w FROM c_descent")
+_NAMES = "[" + ", ".join(f"'{c}'" for c in ("intercept", *_M)) + "]"
+register("ml2_logistic_coefficients", lambda f: models.train_logistic(f.matrix, MODEL_COLUMNS, _TRAIN)["coefficients"], f"SELECT unnest({_NAMES}) AS feature, round(unnest(w), 4) + 0.0 AS coefficient FROM c_weights", 4)
+register("ml4_logistic_losses", lambda f: models.train_logistic(f.matrix, MODEL_COLUMNS, _TRAIN)["losses"], f"SELECT iteration, {r('loss')} FROM c_descent WHERE iteration > 0")
+register("ml13_logistic_predictions", lambda f: models.train_logistic(f.matrix, MODEL_COLUMNS, _TRAIN)["predictions"], f"SELECT event_id, triplet_id, method, event_date, split, {r('p AS predicted_reversion_probability', digits=5)}, 0.5::DOUBLE AS classification_threshold, CAST(p >= 0.5 AS INTEGER) AS predicted_label, label FROM (SELECT *, 1 / (1 + exp(-list_inner_product(w, x))) AS p FROM c_model_z, c_weights WHERE split <> 'train')", 5)
+# The tree: rows carry the path of turns to their node; in the order of paths, nodes are in preorder
+_TREE = models.TreeConfig()
+_GINI = "2 * ({s} / {n}) * (1 - {s} / {n})"
+part("c_tree_0", "SELECT event_id, triplet_id, method, event_date, label, [" + ", ".join(_M) + "] AS x, rn <= greatest(1, least(n - 1, floor(n * 0.7))) AS train, '' AS path FROM c_model_rows")
+for _d in range(_TREE.max_depth):
+    part(f"c_tree_values_{_d}", f"SELECT path, f, v, count(*) AS n, sum(label) AS s FROM (SELECT path, label, unnest(range(1, {len(_M) + 1})) AS f, unnest(x) AS v FROM c_tree_{_d} WHERE train) GROUP BY path, f, v")
+    part(f"c_tree_cuts_{_d}", f"SELECT DISTINCT path, f, unnest(CASE WHEN len(c) > {_TREE.max_thresholds} THEN list_aggregate(c, 'quantile_cont', {[k / (_TREE.max_thresholds + 1) for k in range(1, _TREE.max_thresholds + 1)]}) ELSE c END) AS cut FROM (SELECT path, f, list(m) FILTER (m IS NOT NULL) AS c FROM (SELECT path, f, (v + lead(v) OVER (PARTITION BY path, f ORDER BY v)) / 2 AS m FROM c_tree_values_{_d}) GROUP BY path, f)")
+    part(f"c_tree_gain_{_d}", f"SELECT path, f, cut, {_GINI.format(s='s', n='n')} - (nl * {_GINI.format(s='sl', n='nl')} + (n - nl) * {_GINI.format(s='(s - sl)', n='(n - nl)')}) / n AS gain FROM (SELECT c.path, c.f, c.cut, sum(v.n) FILTER (v.v <= c.cut) AS nl, sum(v.s) FILTER (v.v <= c.cut) AS sl, sum(v.n) AS n, sum(v.s) AS s FROM c_tree_cuts_{_d} c JOIN c_tree_values_{_d} v USING (path, f) GROUP BY ALL) WHERE nl >= {_TREE.min_samples_leaf} AND n - nl >= {_TREE.min_samples_leaf} AND n >= {_TREE.min_samples_split} AND s > 0 AND s < n")
+    part(f"c_tree_best_{_d}", f"SELECT * FROM c_tree_gain_{_d} WHERE gain >= {_TREE.min_impurity_decrease} QUALIFY row_number() OVER (PARTITION BY path ORDER BY gain DESC, f, cut) = 1")
+    part(f"c_tree_{_d + 1}", f"SELECT t.* REPLACE (path || CASE WHEN x[f] <= cut THEN 'L' ELSE 'R' END AS path) FROM c_tree_{_d} t JOIN c_tree_best_{_d} USING (path)")
+part("c_tree_nodes", "SELECT row_number() OVER (ORDER BY path) - 1 AS node_id, q.*, b.f, b.cut, b.gain FROM (" + " UNION ALL ".join(f"SELECT path, {d} AS depth, count(*) AS n, sum(label) AS s FROM c_tree_{d} WHERE train GROUP BY path" for d in range(_TREE.max_depth + 1)) + ") q LEFT JOIN (" + " UNION ALL ".join(f"SELECT * FROM c_tree_best_{d}" for d in range(_TREE.max_depth)) + ") b USING (path)")
+part("c_tree_preds", "SELECT event_id, triplet_id, method, event_date, label, n.s / n.n AS p FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY len(path) DESC) AS k FROM (" + " UNION ALL ".join(f"SELECT * FROM c_tree_{d}" for d in range(_TREE.max_depth + 1)) + ") WHERE NOT train) t JOIN c_tree_nodes n USING (path) WHERE k = 1")
+_TURN = "(SELECT CAST(m.node_id AS INTEGER) FROM c_tree_nodes m WHERE m.path = n.path || '{t}')"
+register("ml15_tree_splits", lambda f: models.train_tree(f.matrix, MODEL_COLUMNS)["splits"], f"SELECT CAST(node_id AS INTEGER) AS node_id, depth, [{', '.join(repr(c) for c in _M)}][f] AS feature, {r('cut AS threshold', 'gain AS information_gain')}, CAST(n.n AS INTEGER) AS n_samples, {r('s / n.n AS positive_rate')}, {_TURN.format(t='L')} AS left_node_id, {_TURN.format(t='R')} AS right_node_id FROM c_tree_nodes n WHERE f IS NOT NULL")
+register("ml16_tree_predictions", lambda f: models.train_tree(f.matrix, MODEL_COLUMNS)["predictions"], f"SELECT event_id, triplet_id, method, event_date, 'validation' AS split, 'decision_tree' AS model_type, {r('p AS predicted_reversion_probability')}, 0.5::DOUBLE AS classification_threshold, CAST(p >= 0.5 AS INTEGER) AS predicted_label, label FROM c_tree_preds")
+register("ml17_tree_leaves", lambda f: models.train_tree(f.matrix, MODEL_COLUMNS)["leaves"], f"SELECT CAST(node_id AS INTEGER) AS node_id, depth, CAST(n.n AS INTEGER) AS n_samples, CAST(s AS INTEGER) AS positive_count, {r('s / n.n AS positive_rate', _GINI.format(s='s', n='n.n') + ' AS impurity')} FROM c_tree_nodes n WHERE f IS NULL")
+part("c_compared", "SELECT model_type, label, least(greatest(p, 1e-12), 1 - 1e-12) AS predicted_reversion_probability FROM (SELECT 'decision_tree' AS model_type, label, p FROM c_tree_preds UNION ALL SELECT 'logistic_regression', label, 1 / (1 + exp(-list_inner_product(w, x))) FROM c_model_z, c_weights WHERE split <> 'train')")
 
 
 def _impurities(f: Frames) -> DataFrame:
@@ -103,6 +129,8 @@ _FOUR = "tp AS true_positive, tn AS true_negative, fp AS false_positive, fn AS f
 _EVALUATION = f"SELECT split, n_obs, 0.5::DOUBLE AS threshold, positive_rate, (tp + tn) / n_obs AS accuracy, tp / nullif(tp + fp, 0) AS precision, tp / nullif(tp + fn, 0) AS recall, brier_score, roc_auc, {_FOUR} FROM (SELECT split, {_COUNTS} FROM c_preds GROUP BY split) JOIN ({_AUC_SPLIT}) USING (split)"
 register("mt2_classification_summary", lambda f: metrics.classification_summary(f.predictions, 0.5, "split"), f"SELECT split, n_obs, 0.5::DOUBLE AS threshold, {_RATES}, {_FOUR} FROM (SELECT split, {_COUNTS} FROM c_preds GROUP BY split) JOIN ({_AUC_SPLIT}) USING (split)")
 register("ml6_validation_metrics", lambda f: metrics.classification_summary(f.predictions, 0.5), f"SELECT n_obs, 0.5::DOUBLE AS threshold, {_RATES}, {_FOUR} FROM (SELECT {_COUNTS} FROM c_preds), ({_AUC_ALL})")
+_both = lambda sql: sql.replace("c_preds", "c_compared").replace("split", "model_type")
+register("ml18_tree_vs_logistic", lambda f: _compare_models(f), f"SELECT model_type, n_obs, 0.5::DOUBLE AS threshold, {_RATES}, {_FOUR} FROM (SELECT model_type, {_COUNTS} FROM c_compared GROUP BY model_type) JOIN ({_both(_AUC_SPLIT)}) USING (model_type)")
 register("mt3_losses", lambda f: metrics.losses(f.predictions, "split"), f"SELECT split, {r('brier_score', 'log_loss')} FROM (SELECT split, {_COUNTS} FROM c_preds GROUP BY split)")
 register("ml7_rank_auc", lambda f: metrics.rank_auc(f.predictions, "split"), f"SELECT split, {r('roc_auc')} FROM ({_AUC_SPLIT})")
 _CURVE = "SELECT split, t, sum(pos) OVER w / nullif(sum(pos) OVER (PARTITION BY split), 0) AS tpr, sum(n - pos) OVER w / nullif(sum(n - pos) OVER (PARTITION BY split), 0) AS fpr FROM (SELECT split, predicted_reversion_probability AS t, sum(label) AS pos, count(*) AS n FROM c_preds GROUP BY 1, 2 UNION ALL SELECT DISTINCT split, 2.0, 0, 0 FROM c_preds UNION ALL SELECT DISTINCT split, -1.0, 0, 0 FROM c_preds) WINDOW w AS (PARTITION BY split ORDER BY t DESC ROWS UNBOUNDED PRECEDING)"
@@ -168,9 +196,11 @@ def _targeted(f: Frames) -> DataFrame:
 
 
 # Sequential models
-register("kf3_kalman_states", lambda f: kalman.states_and_residuals(kalman.kalman_regression(f.obs))[0])
-register("kf4_kalman_residuals", lambda f: kalman.states_and_residuals(kalman.kalman_regression(f.obs))[1])
-register("kf5_kalman_vs_rolling", lambda f: kalman.compare_with_rolling(kalman.kalman_regression(f.obs), f.residuals))
+_NOISE = "1e-5::DOUBLE AS process_noise, 1e-4::DOUBLE AS measurement_noise, NULL::INTEGER AS initial_window"
+_KEYS = "triplet_id, target_symbol, hedge_symbol_1, hedge_symbol_2, date, method"
+register("kf3_kalman_states", lambda f: kalman.states_and_residuals(kalman.kalman_regression(f.obs))[0], f"SELECT {_KEYS}, {r(*kalman.NUMBERS[:6], *kalman.NUMBERS[10:])}, {_NOISE} FROM c_filtered")
+register("kf4_kalman_residuals", lambda f: kalman.states_and_residuals(kalman.kalman_regression(f.obs))[1], f"SELECT {_KEYS}, {r(*kalman.NUMBERS[6:10])}, {_NOISE} FROM c_filtered")
+register("kf5_kalman_vs_rolling", lambda f: kalman.compare_with_rolling(kalman.kalman_regression(f.obs), f.residuals).drop("static_residual_std", "static_abs_mean", "std_ratio_vs_static", "abs_mean_ratio_vs_static"), f"SELECT triplet_id, method, n_obs, {r(*SUMMARY)} FROM c_both_summary")
 register("st1_adf", lambda f: stationarity.adf_by_group(f.residuals))
 register("st3_adf_p_values", lambda f: f.spark.sql("SELECT explode(array(-6.0D, -3.43D, -3.0D, -2.86D, -2.6D, -2.57D, -1.0D, 0.0D, 2.0D)) AS tau").select("tau", x.adf_p_value("tau").alias("p")), f"SELECT tau::DOUBLE AS tau, {r('CASE WHEN tau <= -3.43 THEN greatest(0.001, 0.01 + (tau + 3.43) * 0.04 / 0.57) WHEN tau <= -2.86 THEN 0.01 + (tau + 3.43) * 0.04 / 0.57 WHEN tau <= -2.57 THEN 0.05 + (tau + 2.86) * 0.05 / 0.29 ELSE least(0.995, 0.05 + (tau + 2.86) * 0.05 / 0.29) END AS p')} FROM (SELECT unnest([-6.0, -3.43, -3.0, -2.86, -2.6, -2.57, -1.0, 0.0, 2.0]::DOUBLE[]) AS tau)")
 register("st4_benjamini_hochberg", lambda f: stationarity.benjamini_hochberg(f.predictions.select("event_id", (1 - F.col(models.P)).alias("p")), "p", 0.3).select("event_id", "fdr_reject"), "SELECT event_id, coalesce(1 - predicted_reversion_probability <= (SELECT max(p) FROM (SELECT 1 - predicted_reversion_probability AS p, row_number() OVER (ORDER BY 1 - predicted_reversion_probability) AS k, count(*) OVER () AS n FROM c_preds) WHERE p <= k * 0.3 / n), false) AS fdr_reject FROM c_preds")

@@ -50,7 +50,7 @@ def query(select: str) -> str:
 
     def visit(sql: str) -> None:
         for name in PARTS:
-            if name not in need and re.search(rf"\b{name}\b", sql):
+            if name not in need and PARTS[name] is not sql and re.search(rf"\b{name}\b", sql):
                 visit(PARTS[name])
                 need.append(name) if name not in need else None
 
@@ -130,6 +130,19 @@ part("c_summary", f"""SELECT triplet_id, method, count(*) AS n_obs, avg(residual
   FROM c_lagged GROUP BY triplet_id, method""")
 SUMMARY = "residual_mean residual_std residual_abs_mean residual_min residual_q05 residual_median residual_q95 residual_max autocorr_1".split()
 
+# The filter: one step of the recursion is one row further in every triplet
+part("c_kalman", """/*recursive*/ SELECT triplet_id, 0::BIGINT AS rn, y AS a, 0.0::DOUBLE AS b1, 0.0::DOUBLE AS b2, 1.0::DOUBLE AS p11, 0.0::DOUBLE AS p12, 0.0::DOUBLE AS p13, 1.0::DOUBLE AS p22, 0.0::DOUBLE AS p23, 1.0::DOUBLE AS p33,
+    0.0::DOUBLE AS a0, 0.0::DOUBLE AS b10, 0.0::DOUBLE AS b20, 0.0::DOUBLE AS inn, 1.0::DOUBLE AS s, 0.0::DOUBLE AS g1, 0.0::DOUBLE AS g2, 0.0::DOUBLE AS g3 FROM c_numbered WHERE rn = 1
+  UNION ALL SELECT triplet_id, rn, a0 + g1 * inn / s, b10 + g2 * inn / s, b20 + g3 * inn / s, q11 - g1 * g1 / s, p12 - g1 * g2 / s, p13 - g1 * g3 / s, q22 - g2 * g2 / s, p23 - g2 * g3 / s, q33 - g3 * g3 / s, a0, b10, b20, inn, s, g1, g2, g3
+  FROM (SELECT *, g1 + x1 * g2 + x2 * g3 + 1e-4 AS s FROM (SELECT *, q11 + p12 * x1 + p13 * x2 AS g1, p12 + q22 * x1 + p23 * x2 AS g2, p13 + p23 * x1 + q33 * x2 AS g3 FROM (
+    SELECT o.triplet_id, o.rn, o.x1, o.x2, k.a AS a0, k.b1 AS b10, k.b2 AS b20, k.p11 + 1e-5 AS q11, k.p12, k.p13, k.p22 + 1e-5 AS q22, k.p23, k.p33 + 1e-5 AS q33, o.y - (k.a + k.b1 * o.x1 + k.b2 * o.x2) AS inn
+    FROM c_kalman k JOIN c_numbered o ON o.triplet_id = k.triplet_id AND o.rn = k.rn + 1)))""")
+part("c_filtered", f"""SELECT {', '.join('o.' + c.strip() for c in K.split(','))}, o.date, 'kalman_random_walk' AS method, a AS alpha, b1 AS beta_1, b2 AS beta_2, a0 AS predicted_alpha, b10 AS predicted_beta_1, b20 AS predicted_beta_2, y AS actual_log_price, y - inn AS fitted_log_price, inn AS residual,
+  s AS residual_variance, g1 / s AS kalman_gain_alpha, g2 / s AS kalman_gain_beta_1, g3 / s AS kalman_gain_beta_2, p11 + p22 + p33 AS state_cov_trace FROM c_kalman k JOIN c_numbered o USING (triplet_id, rn) WHERE rn > 0""")
+part("c_both_resid", "SELECT triplet_id, method, date, residual FROM c_filtered UNION ALL SELECT triplet_id, method, date, residual FROM c_resid WHERE method <> 'static_ols_initial_window'")
+part("c_both_lagged", "SELECT *, lag(residual) OVER (PARTITION BY triplet_id, method ORDER BY date) AS l FROM c_both_resid")
+part("c_both_summary", PARTS["c_summary"].replace("c_lagged", "c_both_lagged"))
+
 # Features
 part("c_market", "SELECT symbol, date, vwap / lag(vwap) OVER (PARTITION BY symbol ORDER BY date) - 1 AS simple_return, log_price, volume FROM c_panel")
 part("c_coef", """SELECT triplet_id, 'rolling_ols' AS method, date, beta_1, beta_2 FROM c_ols UNION ALL SELECT triplet_id, 'rolling_ridge', date, beta_1, beta_2 FROM c_ridge""")
