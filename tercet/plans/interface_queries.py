@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tercet import guards
-from tercet.operators import backtest, events, features, metrics, portfolio
-from tercet.plans.frames import CONFIG, Frames, rounded
+from tercet.operators import backtest, events, features, hedges, metrics, portfolio, residuals
+from tercet.plans.frames import CONFIG, WINDOW, Frames, rounded
 from tercet.plans.market_queries import _EVENT
 from tercet.plans.model_queries import _PERF, COSTS, GRID, NUMERIC
 from tercet.plans.oracle import query, r
@@ -54,7 +54,7 @@ def _catalogued(f: Frames) -> DataFrame:
         tables = CanonicalTables(f)
         c.store(tables["assets"], "assets")
         n = c.append(f.triplets, "triplets") + c.append(f.triplets.limit(0), "triplets")
-        rows = [(t, c.exists(t), c.table(t).count() if c.exists(t) else None) for t in ("assets", "triplets", "trades")]
+        rows = [(t, c.exists(t), c.table(t).count() if c.exists(t) else -1) for t in ("assets", "triplets", "trades")]
         rows += [("listed: " + ", ".join(c.tables()), True, n)]
         return f.spark.createDataFrame(rows, "table_name string, present boolean, row_count long")
     finally:
@@ -84,7 +84,7 @@ REFUSED = ("exit above entry", "stop below entry", "no horizon", "negative cost"
 ALLOWED = ("default settings", "default grid")
 
 register("io3_csv_round_trip", _through_csv, f"SELECT symbol, date, {r('vwap', 'volume', 'log_price')} FROM c_panel")
-register("io9_catalog", _catalogued, "SELECT * FROM (VALUES ('assets', true, 5), ('triplets', true, 60), ('trades', false, NULL), ('listed: assets, triplets', true, 60)) t(table_name, present, row_count)")
+register("io9_catalog", _catalogued, "SELECT * FROM (VALUES ('assets', true, 5), ('triplets', true, 60), ('trades', false, -1), ('listed: assets, triplets', true, 60)) t(table_name, present, row_count)")
 register("io12_parsed_names", lambda f: f.spark.createDataFrame(list(catalog.parse_named_queries(NAMED).items()), "name string, statement string").select("name", F.upper(F.substring("statement", 1, 6)).alias("begins")), "SELECT unnest(['long_spreads', 'exits']) AS name, 'SELECT' AS begins")
 register(
     "io15_exported",
@@ -109,3 +109,22 @@ def _ordered(f: Frames) -> DataFrame:
     order = (backtest.STRATEGIES[0], backtest.STRATEGIES[2], backtest.STRATEGIES[1])
     got = portfolio.ordered(stored(portfolio.performance(f.trades)), order)
     return got.offset(1)
+
+
+def _stage_tables(f: Frames) -> dict[str, DataFrame]:
+    """Stage tables by the names under which they are stored, as the operators give them."""
+    by = "split"
+    return {
+        "rolling_coefficients": hedges.rolling_ols(f.obs, WINDOW), "dynamic_residuals": f.residuals, "residual_method_summary": residuals.compare_stability(f.residuals), "candidate_trade_events": f.events,
+        "event_label_summary": events.label_summary(f.labels), "logistic_event_predictions": f.predictions, "model_evaluation_summary": metrics.classification_summary(f.predictions, 0.5, by),
+        "model_confusion_matrix": metrics.confusion_matrix(f.predictions, 0.5, by), "probability_bucket_summary": metrics.probability_buckets(f.predictions, 5, by), "model_calibration_curve": metrics.calibration_curve(f.predictions, 5, by),
+        "ml_backtest_trade_log": f.trades, "ml_backtest_equity_curve": portfolio.equity_curve(f.trades), "ml_backtest_summary": portfolio.performance(f.trades), "avoided_bad_trades_analysis": backtest.avoided_trades(f.traded, 0.5),
+        "transaction_cost_sensitivity": backtest.cost_sensitivity(f.traded, COSTS, 0.5),
+    }
+
+
+STAGES = (
+    "rolling_coefficients dynamic_residuals residual_method_summary candidate_trade_events event_label_summary logistic_event_predictions model_evaluation_summary model_confusion_matrix probability_bucket_summary "
+    "model_calibration_curve ml_backtest_trade_log ml_backtest_equity_curve ml_backtest_summary avoided_bad_trades_analysis transaction_cost_sensitivity"
+).split()
+register("io8_stage_table_keys", lambda f: catalog.key_checks(_stage_tables(f)), "SELECT unnest([" + ", ".join(f"'{t}'" for t in STAGES) + "]) AS table_name, 0 AS repeated_keys, 0 AS null_keys")

@@ -233,8 +233,8 @@ def _validation(f: Frames) -> DataFrame:
     return catalog.check_results(reports.run(reports.CHECKS, CanonicalTables(f)))
 
 
-QUERIES["io11_row_counts"] = lambda spark, sf_dir: catalog.row_counts(spark, dict(CanonicalTables(Frames(spark, sf_dir))) | {"missing": None})
-SQL["io11_row_counts"] = query(" UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS row_count, true AS \"exists\" FROM d_{t}" for t in _TABLES) + " UNION ALL SELECT 'missing', NULL, false")
+QUERIES["io11_row_counts"] = lambda spark, sf_dir: catalog.row_counts(spark, dict(CanonicalTables(Frames(spark, sf_dir))) | {"missing": None}).fillna(-1)
+SQL["io11_row_counts"] = query(" UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS row_count, true AS \"exists\" FROM d_{t}" for t in _TABLES) + " UNION ALL SELECT 'missing', -1, false")
 QUERIES["io14_validation_results"] = lambda spark, sf_dir: _validation(Frames(spark, sf_dir))
 SQL["io14_validation_results"] = query(" UNION ALL ".join(f"SELECT '{n}' AS check_name, count(*) AS issue_count, CASE WHEN count(*) = 0 THEN 'pass' ELSE 'fail' END AS status FROM ({s}) q" for n, s in _CHECKS.items()))
 KEYED = ("assets", "prices_clean", "triplets", "model_predictions")

@@ -25,6 +25,19 @@ KEYS: dict[str, tuple[str, ...]] = {
     "positions": ("position_id",), "pnl_daily": ("date", "strategy"), "performance_summary": ("strategy",),
 }
 
+# Keys of the tables that stages store, beside the canonical ones.
+STAGE_KEYS: dict[str, tuple[str, ...]] = {
+    "rolling_coefficients": ("date", "triplet_id", "method"), "ridge_coefficients": ("date", "triplet_id", "method", "ridge_alpha"), "dynamic_residuals": ("date", "triplet_id", "method"),
+    "residual_method_summary": ("triplet_id", "method"), "kalman_states": ("date", "triplet_id", "method", "process_noise", "measurement_noise"), "kalman_residuals": ("date", "triplet_id", "method", "process_noise", "measurement_noise"),
+    "candidate_trade_events": ("event_id",), "event_label_summary": ("triplet_id", "method"), "event_feature_matrix": ("event_id",), "feature_summary_statistics": ("feature",), "feature_missingness_report": ("column",),
+    "logistic_model_coefficients": ("feature",), "logistic_training_loss": ("iteration",), "logistic_event_predictions": ("event_id", "split"), "logistic_validation_metrics": ("split",), "logistic_probability_calibration": ("probability_bucket",),
+    "model_evaluation_summary": ("split", "threshold"), "model_confusion_matrix": ("split", "actual_label", "predicted_label", "threshold"), "probability_bucket_summary": ("split", "probability_bucket"), "model_calibration_curve": ("split", "probability_bucket"),
+    "ml_backtest_trade_log": ("event_id", "strategy"), "ml_backtest_equity_curve": ("date", "strategy"), "ml_backtest_summary": ("strategy",), "avoided_bad_trades_analysis": ("probability_threshold",),
+    "decision_tree_event_predictions": ("event_id", "split", "model_type"), "decision_tree_feature_splits": ("node_id",), "decision_tree_logistic_comparison": ("model_type",), "hmm_regime_probabilities": ("date", "triplet_id", "model_type", "feature_column"),
+    "hmm_regime_parameters": ("triplet_id", "model_type", "state"), "hmm_strategy_performance_by_regime": ("strategy", "regime_bucket"), "c_kernel_validation": ("output_column", "backend_pair"), "c_kernel_benchmark": ("backend", "sample_rows", "window"), "c_kernel_test_results": ("test_name",),
+    "transaction_cost_sensitivity": ("cost_scenario", "strategy"), "threshold_sensitivity": ("strategy", "entry_threshold", "exit_threshold", "stop_loss_level", "max_holding_period"), "robustness_summary": ("strategy",),
+}
+
 
 class Catalog:
     """Tables of one database of the session's catalog, as Parquet."""
@@ -36,7 +49,7 @@ class Catalog:
     def store(self, df: DataFrame, table: str, mode: str = "overwrite") -> None:
         """`df` as a table; its key columns must be there, and are not checked for repeats (see checks())."""
         require(mode in ("append", "overwrite"), "mode must be append or overwrite")
-        require_columns(df, KEYS.get(table, ()))
+        require_columns(df, keys_of(table))
         df.write.mode(mode).format("parquet").saveAsTable(f"{self.database}.{table}")
 
     def initialize(self, schemas: Mapping[str, StructType | str], views: Mapping[str, Callable] | None = None) -> None:
@@ -74,6 +87,11 @@ class Catalog:
         return run_named(self.spark, text, {t: self.table(t) for t in self.tables()})
 
 
+def keys_of(table: str) -> tuple[str, ...]:
+    """The key columns of a canonical or stage table; none for others."""
+    return KEYS.get(table) or STAGE_KEYS.get(table, ())
+
+
 def row_counts(spark: SparkSession, tables: dict[str, DataFrame | None]) -> DataFrame:
     """table_name, row_count, exists; missing tables have a null count."""
     parts = [spark.range(1).select(F.lit(t).alias("table_name"), F.lit(None).cast("long").alias("row_count"), F.lit(False).alias("exists")) if df is None else df.agg(F.lit(t).alias("table_name"), F.count("*").alias("row_count"), F.lit(True).alias("exists")) for t, df in tables.items()]
@@ -113,12 +131,12 @@ def check_results(results: dict[str, DataFrame]) -> DataFrame:
 
 
 def key_checks(tables: dict[str, DataFrame]) -> DataFrame:
-    """table_name, repeated_keys, null_keys of the canonical tables among `tables`."""
+    """table_name, repeated_keys, null_keys of canonical and stage tables."""
     parts = []
     for t, df in tables.items():
-        key = [F.col(c) for c in KEYS[t]]
+        key = [F.col(c) for c in keys_of(t)]
         null = reduce(lambda a, b: a | b, (c.isNull() for c in key))
-        per = df.groupBy(*KEYS[t]).agg(F.count("*").alias("n"))
+        per = df.groupBy(*keys_of(t)).agg(F.count("*").alias("n"))
         parts.append(per.agg(F.lit(t).alias("table_name"), F.count_if(F.col("n") > 1).alias("repeated_keys"), F.count_if(null).alias("null_keys")))
     return reduce(DataFrame.unionByName, parts)
 
