@@ -93,14 +93,14 @@ class CanonicalTables(Mapping):
         return hedges.static_fit(self.f.obs)[0]
 
     def residuals(self) -> DataFrame:
-        return self.f.scored.where("triplet_id <> 'LARGE_ECONOMY_MEDIUM'").select("triplet_id", "method", "date")
+        return self.f.scored_table.where("triplet_id <> 'LARGE_ECONOMY_MEDIUM'").select("triplet_id", "method", "date")
 
     def residual_diagnostics(self) -> DataFrame:
-        last = features.residual_panel(self.f.scored).groupBy("triplet_id", "method").agg(F.max_by("half_life_estimate", "date").alias("half_life_estimate"))
-        return residuals.summary(self.f.residuals).withColumnRenamed("autocorr_1", "residual_autocorr_1").join(last, ["triplet_id", "method"])
+        last = features.residual_panel(self.f.scored_table).groupBy("triplet_id", "method").agg(F.max_by("half_life_estimate", "date").alias("half_life_estimate"))
+        return residuals.summary(self.f.scored_table).withColumnRenamed("autocorr_1", "residual_autocorr_1").join(last, ["triplet_id", "method"])
 
     def residual_method_summary(self) -> DataFrame:
-        return residuals.compare_stability(self.f.residuals)
+        return residuals.compare_stability(self.f.scored_table)
 
     def hedge_ratios(self) -> DataFrame:
         return self.f.coefficients.select("triplet_id", "method", "date", "beta_1", "beta_2")
@@ -109,11 +109,11 @@ class CanonicalTables(Mapping):
         return self.f.coefficients.select("triplet_id", "method", "date", *self.noise, "alpha", "beta_1", "beta_2", F.abs("beta_1").alias("state_cov_trace"))
 
     def kalman_residuals(self) -> DataFrame:
-        return self.f.residuals.where("method = 'rolling_ols'").select("triplet_id", "method", "date", *self.noise, (F.col("residual") ** 2).alias("residual_variance"))
+        return self.f.scored_table.where("method = 'rolling_ols'").select("triplet_id", "method", "date", *self.noise, (F.col("residual") ** 2).alias("residual_variance"))
 
     def regime_probabilities(self) -> DataFrame:
         p = 1 / (1 + F.abs("z_score") / 4)
-        return self.f.scored.where("z_score is not null").select("triplet_id", "date", p.alias("mean_reverting_probability"), (1 - p).alias("volatile_breakdown_probability"))
+        return self.f.scored_table.where("z_score is not null").select("triplet_id", "date", p.alias("mean_reverting_probability"), (1 - p).alias("volatile_breakdown_probability"))
 
     def tree_splits(self) -> DataFrame:
         return self.f.spark.createDataFrame(SPLITS, "feature string, information_gain double")
