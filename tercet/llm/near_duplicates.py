@@ -39,7 +39,7 @@ SYMBOLS = CHUNKS * CHUNK
 #: Symbols in which signatures may differ: with one difference a chunk allowed, more than CHUNKS * 2 - 1 are not covered.
 DISTANCE = CHUNKS * 2 - 1
 #: Members of a bucket, and shingles of their sets, in one block; pairs confirmed in one piece; pairs compared at once.
-BUCKET_BLOCK, BUCKET_SHINGLES, FAN, PAIRS = 2048, 500_000, 512, 1 << 18
+BUCKET_BLOCK, BUCKET_SHINGLES, FAN, PAIRS = 2048, 500_000, 512, 1 << 17
 
 WORDS, EVEN = (SYMBOLS + 31) // 32, U64(0x5555555555555555)
 SKETCH = [f"s{k}" for k in range(WORDS)]
@@ -321,12 +321,14 @@ def open_pairs(cells: pa.RecordBatch, percent: int) -> Iterator[tuple[np.ndarray
         d = sketch_distance(sketch[a], sketch[b])
         ok = d <= DISTANCE
         a, b, d = a[ok], b[ok], d[ok]
-        if exact and len(a):
-            d, meet = first_meeting(signature[a], signature[b])
-            ok = (d <= DISTANCE) & (meet == col["v"][a])
-            a, b, d = a[ok], b[ok], d[ok]
-        if len(a):
-            yield a, b, d
+        for at in range(0, len(a), PAIRS // 8):
+            x_, y_, d_ = (c[at : at + PAIRS // 8] for c in (a, b, d))
+            if exact:
+                d_, meet = first_meeting(signature[x_], signature[y_])
+                ok = (d_ <= DISTANCE) & (meet == col["v"][x_])
+                x_, y_, d_ = x_[ok], y_[ok], d_[ok]
+            if len(x_):
+                yield x_, y_, d_
 
 
 def near_members(dealt: DataFrame, percent: int) -> DataFrame:
