@@ -193,9 +193,12 @@ def memberships(classes: DataFrame) -> DataFrame:
 
 
 def _texts(docs: DataFrame, rows: DataFrame, id: str, text: str) -> DataFrame:
-    """node, t: one text of each node (more where rows repeat).  The only step that moves documents."""
+    """node, t: one text of each node (more where rows repeat).  The only step that moves documents.
+
+    The rows wanted grow with the documents, so both sides are shuffled at every size, and neither is ever broadcast.
+    """
     src = docs.select(F.xxhash64(F.col(f"`{id}`").cast("long"), F.col(f"`{text}`").cast("string")).alias("row"), F.col(f"`{text}`").cast("string").alias("t"))
-    return src.join(rows, "row").select("node", "t")
+    return src.hint("merge").join(rows, "row").select("node", "t")
 
 
 def _sets(texts: DataFrame, need: DataFrame, keep: list[str], n: int) -> DataFrame:
