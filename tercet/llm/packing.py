@@ -89,6 +89,9 @@ def pack(tokens: DataFrame, length: int = 2048, pad: int = 0, end: int | None =
 
         def out(docs: list, parts: list[np.ndarray]) -> pa.RecordBatch:
             nonlocal made
+            most = max(int(p.max()) for p in parts)
+            if most > np.iinfo(dtype).max or not 0 <= pad <= np.iinfo(dtype).max:
+                raise ValueError(f"ids up to {most} and the padding {pad} do not fit {dtype}")
             total = np.array([len(p) for p in parts])
             chunks = -(-total // length)
             doc = np.repeat(np.arange(len(parts)), chunks)
