@@ -11,7 +11,6 @@ extra columns, also of clashing names, are not read unless asked for in `keep`;
 from __future__ import annotations
 
 import base64
-import unicodedata
 from functools import lru_cache
 
 import numpy as np
@@ -60,21 +59,16 @@ TO, CUT = _automaton()
 @lru_cache(1)
 def classes() -> np.ndarray:
     """LETTER, NUMBER, OTHER or WHITE of every code point, by Unicode category and the White_Space property."""
-    try:  # the class table of the library whose pieces ours must equal, asked once for all code points
-        import tiktoken
+    import tiktoken  # the class table of the library whose pieces ours must equal, asked once for all code points; no other will do
 
-        single = {bytes([b]): b for b in range(256)}
-        text = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+    single = {bytes([b]): b for b in range(256)}
+    text = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
 
-        def having(pattern: str) -> list[int]:
-            coder = tiktoken.Encoding("probe", pat_str=pattern, mergeable_ranks=single, special_tokens={})
-            return [ord(c) for c in bytes(coder.encode_ordinary(text)).decode()]
+    def having(pattern: str) -> list[int]:
+        coder = tiktoken.Encoding("probe", pat_str=pattern, mergeable_ranks=single, special_tokens={})
+        return [ord(c) for c in bytes(coder.encode_ordinary(text)).decode()]
 
-        letters, numbers, white = having(r"\p{L}"), having(r"\p{N}"), having(r"\s")
-    except ImportError:
-        kind = [unicodedata.category(chr(c))[0] for c in range(0x110000)]
-        letters, numbers = ([c for c, k in enumerate(kind) if k == want] for want in "LN")
-        white = [c for c in range(0x110000) if chr(c).isspace() and not 0x1C <= c <= 0x1F]
+    letters, numbers, white = having(r"\p{L}"), having(r"\p{N}"), having(r"\s")
     out = np.full(0x110000, OTHER, np.uint8)
     out[letters], out[numbers], out[white] = LETTER, NUMBER, WHITE
     return out
