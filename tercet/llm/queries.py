@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tercet.llm import bpe, decontaminate, html_extract, licenses, near_duplicates, packing, quality, suffix_dedup, toxicity, va_search
+from tercet.llm import bpe, decontaminate, filter_audit, html_extract, licenses, near_duplicates, packing, quality, suffix_dedup, toxicity, va_search
 from tercet.llm.common import table
 
 #: Scores from here up predict label 1.
@@ -74,6 +74,10 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("filter")
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_license_scan": op2_license_scan,
@@ -85,6 +89,7 @@ QUERIES = {
     "op8_decontaminate": op8_decontaminate,
     "op9_html_extract": op9_html_extract,
     "op10_byte_bpe": op10_byte_bpe,
+    "op11_filter_audit": op11_filter_audit,
 }
 
 SQL: dict[str, str] = {
@@ -92,4 +97,5 @@ SQL: dict[str, str] = {
     "op4_exact_topk": va_search.SQL,
     "op5_minhash_near_duplicates": near_duplicates.SQL,
     "op8_decontaminate": decontaminate.SQL,
+    "op11_filter_audit": filter_audit.SQL,
 }
