@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tercet.llm import bpe, decontaminate, filter_audit, html_extract, licenses, near_duplicates, packing, quality, suffix_dedup, toxicity, va_search
+from tercet.llm import bpe, decontaminate, filter_audit, html_extract, licenses, near_duplicates, packing, prefix_trie, quality, suffix_dedup, toxicity, va_search
 from tercet.llm.common import table
 
 #: Scores from here up predict label 1.
@@ -78,6 +78,10 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("filter")
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.rebuilt_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_license_scan": op2_license_scan,
@@ -90,6 +94,7 @@ QUERIES = {
     "op9_html_extract": op9_html_extract,
     "op10_byte_bpe": op10_byte_bpe,
     "op11_filter_audit": op11_filter_audit,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 SQL: dict[str, str] = {
@@ -98,4 +103,5 @@ SQL: dict[str, str] = {
     "op5_minhash_near_duplicates": near_duplicates.SQL,
     "op8_decontaminate": decontaminate.SQL,
     "op11_filter_audit": filter_audit.SQL,
+    "op13_prefix_trie": prefix_trie.SQL,
 }
