@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tercet.llm import bpe, decontaminate, filter_audit, html_extract, licenses, near_duplicates, packing, prefix_trie, quality, suffix_dedup, toxicity, va_search
+from tercet.llm import bpe, decontaminate, filter_audit, html_extract, licenses, near_duplicates, ngram_bloom, packing, prefix_trie, quality, suffix_dedup, toxicity, va_search
 from tercet.llm.common import table
 
 #: Scores from here up predict label 1.
@@ -78,6 +78,14 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("filter")
 
 
+def op12_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words and pairs of words, learned from the documents that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    model = ngram_bloom.train(docs.where(~held_out(10, 0)), order=2)
+    got = ngram_bloom.score(docs, model)
+    return got.select("doc_id", held_out(10, 0).alias("held_out"), "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.rebuilt_trie(table(spark, sf_dir, "conversations"))
 
@@ -94,6 +102,7 @@ QUERIES = {
     "op9_html_extract": op9_html_extract,
     "op10_byte_bpe": op10_byte_bpe,
     "op11_filter_audit": op11_filter_audit,
+    "op12_lm_score": op12_lm_score,
     "op13_prefix_trie": op13_prefix_trie,
 }
 
