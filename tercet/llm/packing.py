@@ -80,9 +80,12 @@ def best_fit_decreasing(sizes: np.ndarray, length: int) -> list[list[int]]:
 def pack(tokens: DataFrame, length: int = 2048, pad: int = 0, end: int | None = None, dtype: str = "<u4", block_tokens: int = 2 << 20, id: str = "doc_id", ids: str = "ids") -> DataFrame:
     """Rows of SCHEMA.  ids: little-endian unsigned 32-bit integers; end: an id put after each document with tokens.
 
-    dtype is how packed ids are written; block_tokens bounds what a task packs at once.
+    dtype is how packed ids are written; block_tokens, rounded down to whole rows, bounds what a task packs at once.
     """
     small_batches(tokens.sparkSession)
+    most_tokens = block_tokens // length * length
+    if not most_tokens:
+        raise ValueError("block_tokens must hold a row at least")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = TaskContext.get().partitionId() << 36
@@ -132,16 +135,16 @@ def pack(tokens: DataFrame, length: int = 2048, pad: int = 0, end: int | None =
                     continue
                 if end is not None:
                     own = np.append(own, np.uint32(end))
-                for a in range(0, len(own), block_tokens // length * length):  # a document larger than a block goes on in the next
-                    if a == 0 and len(own) <= block_tokens:
+                for a in range(0, len(own), most_tokens):  # a document larger than a block goes on in the next
+                    if len(own) <= most_tokens:
                         docs.append(d), parts.append(own.copy())
                         held += len(own)
                     else:
                         if parts:
                             yield out(docs, parts)
                             docs, parts, held = [], [], 0
-                        yield _shifted(out([d], [own[a : a + block_tokens // length * length]]), a)
-                if held >= block_tokens:
+                        yield _shifted(out([d], [own[a : a + most_tokens]]), a)
+                if held >= most_tokens:
                     yield out(docs, parts)
                     docs, parts, held = [], [], 0
         if parts:

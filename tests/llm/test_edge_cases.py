@@ -97,3 +97,19 @@ def test_ids_too_large_to_pack(spark):
     assert packing.pack(tokens, length=4).count() == 1
     with pytest.raises(Exception, match="do not fit"):
         packing.pack(tokens, length=4, dtype="<u2").collect()
+
+
+@pytest.mark.parametrize("n", [639, 640, 641, 650, 700, 701, 1279, 1280, 1281])
+def test_documents_about_as_long_as_a_block(spark, n):
+    """Every id comes once, in order, whatever a block holds beside whole rows."""
+    rows = [(1, np.arange(n, dtype="<u4").tobytes()), (2, np.arange(5, dtype="<u4").tobytes())]
+    packed = packing.pack(spark.createDataFrame(rows, "doc_id long, ids binary").coalesce(1), length=64, block_tokens=700).collect()
+    got = {1: [], 2: []}
+    for r in packed:
+        ids = np.frombuffer(r.ids, "<u4").tolist()
+        for a, b, d, o in zip(r.cu_seqlens, r.cu_seqlens[1:], r.doc_ids, r.doc_offsets, strict=False):
+            got[d].append((o, ids[a:b]))
+    for d, m in ((1, n), (2, 5)):
+        assert [x for _, part in sorted(got[d]) for x in part] == list(range(m))
+    with pytest.raises(ValueError, match="block_tokens"):
+        packing.pack(spark.createDataFrame(rows, "doc_id long, ids binary"), length=64, block_tokens=63)
