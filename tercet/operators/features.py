@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from tercet.functions.expressions import correlation, over, rows
 from tercet.guards import require, require_columns
+from tercet.operators.ordered import quantiles
 from tercet.sources.stages import dealt
 
 GROUP = ["triplet_id", "method"]
@@ -177,10 +178,10 @@ def _long(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def summary_statistics(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """feature, count, mean, std, min, p25, median, p75, max."""
-    v, q = F.col("value"), lambda p: F.percentile("value", F.lit(p))
-    return _long(df, columns or numeric_features(df)).groupBy("feature").agg(
-        F.count(v).alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"), q(0.25).alias("p25"), q(0.5).alias("median"), q(0.75).alias("p75"), F.max(v).alias("max")
-    )
+    v, cells = F.col("value"), _long(df, columns or numeric_features(df))
+    middle = quantiles(cells, ["feature"], "value", {"p25": 0.25, "median": 0.5, "p75": 0.75})
+    sums = cells.groupBy("feature").agg(F.count(v).alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"))
+    return sums.join(middle, "feature").select("feature", "count", "mean", "std", "min", "p25", "median", "p75", "max")
 
 
 def missingness(df: DataFrame) -> DataFrame:

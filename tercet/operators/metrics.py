@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tercet.functions.expressions import log_loss_term, over
 from tercet.guards import require, require_columns
+from tercet.operators.ordered import running
 
 P, Y = "predicted_reversion_probability", "label"
 
@@ -39,11 +40,10 @@ def _counts(threshold: float) -> dict[str, Column]:
 def rank_auc(predictions: DataFrame, split: str | None = None) -> DataFrame:
     """roc_auc by average ranks (Mann-Whitney); null where a class is absent.
 
-    Ranks come from running counts over distinct probabilities: the rows of a split are aggregated before the window.
+    Ranks come from running counts over distinct probabilities, in ranges of them.
     """
     per = labelled(predictions, split).groupBy(*_by(split), P).agg(F.sum(F.col(Y).cast("long")).alias("pos"), F.count("*").alias("n"))
-    w = Window.partitionBy(*(_by(split) or [F.lit(0)])).orderBy(P).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = per.withColumn("rank", F.coalesce(F.sum("n").over(w), F.lit(0)) + (F.col("n") + 1) / 2)
+    ranked = running(per, _by(split), [P], {"upto": F.col("n")}).withColumn("rank", F.col("upto") - (F.col("n") - 1) / 2)
     g = ranked.groupBy(*_by(split)).agg(F.sum(F.col("rank") * F.col("pos")).alias("r"), F.sum("pos").cast("double").alias("n1"), F.sum(F.col("n") - F.col("pos")).cast("double").alias("n0"))
     return g.select(*_by(split), over(F.col("r") - F.col("n1") * (F.col("n1") + 1) / 2, F.col("n1") * F.col("n0")).alias("roc_auc"))
 
@@ -69,26 +69,27 @@ def losses(predictions: DataFrame, split: str | None = None) -> DataFrame:
     return labelled(predictions, split).groupBy(*_by(split)).agg(F.avg((F.col(P) - F.col(Y)) ** 2).alias("brier_score"), F.avg(log_loss_term(Y, P)).alias("log_loss"))
 
 
+def _curve(predictions: DataFrame, split: str | None) -> DataFrame:
+    """Distinct probabilities and two sentinels: pos, neg at each; tp, fp at it and above; all_pos, all_neg of the split."""
+    per = labelled(predictions, split).groupBy(*_by(split), F.col(P).alias("threshold")).agg(F.sum(F.col(Y).cast("long")).alias("pos"), F.count("*").alias("n"))
+    keys = per.select(*_by(split)).distinct() if split else per.sparkSession.range(1).select()
+    ends = keys.select(*_by(split), F.explode(F.array(F.lit(2.0), F.lit(-1.0))).alias("threshold"), F.lit(0).cast("long").alias("pos"), F.lit(0).cast("long").alias("n"))
+    points = per.unionByName(ends).select(*_by(split), "threshold", "pos", (F.col("n") - F.col("pos")).alias("neg"))
+    return running(points, _by(split), [F.desc("threshold")], {"tp": F.col("pos"), "fp": F.col("neg")}, {"all_pos": "tp", "all_neg": "fp"})
+
+
 def roc_curve(predictions: DataFrame, split: str | None = None) -> DataFrame:
     """threshold, true_positive_rate, false_positive_rate at each distinct probability, and above and below all.
 
     The sentinels have thresholds 2 and -1; a rate whose class is absent is null.
     """
-    per = labelled(predictions, split).groupBy(*_by(split), F.col(P).alias("threshold")).agg(F.sum(F.col(Y).cast("long")).alias("pos"), F.count("*").alias("n"))
-    keys = per.select(*_by(split)).distinct() if split else per.sparkSession.range(1).select()
-    ends = keys.select(*_by(split), F.explode(F.array(F.lit(2.0), F.lit(-1.0))).alias("threshold"), F.lit(0).cast("long").alias("pos"), F.lit(0).cast("long").alias("n"))
-    w = Window.partitionBy(*(_by(split) or [F.lit(0)])).orderBy(F.desc("threshold"))
-    all_ = Window.partitionBy(*(_by(split) or [F.lit(0)]))
-    t, f = F.sum("pos").over(w), F.sum(F.col("n") - F.col("pos")).over(w)
-    return per.unionByName(ends).select(*_by(split), "threshold", over(t, F.sum("pos").over(all_)).alias("true_positive_rate"), over(f, F.sum(F.col("n") - F.col("pos")).over(all_)).alias("false_positive_rate"))
+    return _curve(predictions, split).select(*_by(split), "threshold", over("tp", "all_pos").alias("true_positive_rate"), over("fp", "all_neg").alias("false_positive_rate"))
 
 
 def trapezoid_auc(predictions: DataFrame, split: str | None = None) -> DataFrame:
-    """roc_auc as the area below roc_curve(); equals rank_auc()."""
-    w = Window.partitionBy(*(_by(split) or [F.lit(0)])).orderBy(F.desc("threshold"))
-    x, y = F.col("false_positive_rate"), F.col("true_positive_rate")
-    area = (x - F.lag(x).over(w)) * (y + F.lag(y).over(w)) / 2
-    return roc_curve(predictions, split).withColumn("a", area).groupBy(*_by(split)).agg(F.sum("a").alias("roc_auc"))
+    """roc_auc as the area below roc_curve(); equals rank_auc().  A point's share needs no neighbour: it knows its own step."""
+    area = over("neg", "all_neg") * over(2 * F.col("tp") - F.col("pos"), "all_pos") / 2
+    return _curve(predictions, split).groupBy(*_by(split)).agg(F.sum(area).alias("roc_auc"))
 
 
 def probability_buckets(predictions: DataFrame, n_bins: int = 5, split: str | None = None) -> DataFrame:

@@ -1,8 +1,7 @@
 """Splits, imputation, logistic regression by gradient descent, and decision trees.
 
-Descent and tree growth are sequential over the training set: they run in one grouped map, on the columns that the model
-needs, and on all training rows up to a bound, `sample` of the configuration; of more rows, that many are taken, about, by
-a hash of event_id.  Everything else, scoring too, covers all rows; scoring is column arithmetic.
+Descent (descent.py) and tree growth (trees.py) are distributed and cover all training rows, whatever their number; scoring is
+column arithmetic.
 """
 
 from __future__ import annotations
@@ -10,13 +9,13 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tercet.functions.expressions import sigmoid
 from tercet.guards import require, require_columns
+from tercet.operators import descent, trees
+from tercet.operators.ordered import quantiles
 
 P = "predicted_reversion_probability"
 KEEP = ("event_id", "triplet_id", "method", "event_date")
@@ -29,7 +28,6 @@ class LogisticConfig:
     l2: float = 0.0
     tolerance: float = 1e-8
     threshold: float = 0.5
-    sample: int = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -41,7 +39,6 @@ class TreeConfig:
     max_thresholds: int = 64
     criterion: str = "gini"
     threshold: float = 0.5
-    sample: int = 1_000_000
 
 
 def _numbered(df: DataFrame, date: str) -> DataFrame:
@@ -83,7 +80,9 @@ def impute(df: DataFrame, columns: list[str], fit_on: str | None = None) -> Data
     """
     rows = require_columns(df, ["label", *columns]).where("label is not null")
     base = rows.where(F.col("split") == fit_on) if fit_on else rows
-    medians = base.agg(*(F.coalesce(F.percentile(c, F.lit(0.5)), F.lit(0.0)).alias(f"__{c}") for c in columns))
+    cells = F.explode(F.array(*(F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in columns)))
+    middle = quantiles(base.select(cells.alias("x")).select("x.*"), ["feature"], "value", {"median": 0.5})
+    medians = middle.agg(*(F.coalesce(F.max(F.when(F.col("feature") == c, F.col("median"))), F.lit(0.0)).alias(f"__{c}") for c in columns))
     got = rows.crossJoin(F.broadcast(medians))  # one row
     return got.withColumns({c: F.coalesce(F.col(c).cast("double"), F.col(f"__{c}")) for c in columns} | {"label": F.col("label").cast("int")}).drop(*(f"__{c}" for c in columns))
 
@@ -94,39 +93,14 @@ def large_enough(df: DataFrame, events: int = 100, positive: int = 20, negative:
     return df.agg(F.count("label").alias("n_events"), p.alias("n_positive"), q.alias("n_negative")).withColumn("large_enough", (F.col("n_events") >= events) & (F.col("n_positive") >= positive) & (F.col("n_negative") >= negative))
 
 
-def descend(x: np.ndarray, y: np.ndarray, config: LogisticConfig) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[float]]:
-    """Weights (intercept first), means, deviations, and the loss before every step of full-batch descent."""
-    mean, std = x.mean(0), x.std(0)
-    std[std == 0] = 1.0
-    z = np.column_stack([np.ones(len(x)), (x - mean) / std])
-    w, n, history = np.zeros(z.shape[1]), len(y), []
-    decay = np.r_[0.0, np.full(x.shape[1], config.l2 / n)]
-    for _ in range(config.max_iter):
-        p = np.clip(1 / (1 + np.exp(-np.clip(z @ w, -700, 700))), 1e-12, 1 - 1e-12)
-        history.append(float(-np.mean(y * np.log(p) + (1 - y) * np.log(1 - p)) + 0.5 * (decay * w * w).sum()))
-        w = w - config.learning_rate * (z.T @ (p - y) / n + decay * w)
-        if len(history) > 1 and abs(history[-1] - history[-2]) < config.tolerance:
-            break
-    return w, mean, std, history
+MODEL = "features array<string>, coefficients array<double>, intercept double, means array<double>, deviations array<double>, losses array<double>"
 
 
-def bounded(train: DataFrame, most: int) -> DataFrame:
-    """All rows of `train`, or of more than `most` about that many, by a hash of event_id."""
-    n = train.agg(F.count("*").alias("__n"))
-    share = F.pmod(F.xxhash64("event_id"), F.lit(1 << 30)) / float(1 << 30)
-    return train.crossJoin(F.broadcast(n)).where((F.col("__n") <= most) | (share < most / F.col("__n"))).drop("__n")  # one row
-
-
-def fit_logistic(train: DataFrame, columns: list[str], config: LogisticConfig = LogisticConfig()) -> DataFrame:
-    """One row: features, coefficients, intercept, means, deviations, losses."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["event_date", "event_id"])
-        w, mean, std, history = descend(pdf[columns].to_numpy(float), pdf["label"].to_numpy(float), config)
-        return pd.DataFrame([(columns, w[1:].tolist(), float(w[0]), mean.tolist(), std.tolist(), history)], columns=["features", "coefficients", "intercept", "means", "deviations", "losses"])
-
-    schema = "features array<string>, coefficients array<double>, intercept double, means array<double>, deviations array<double>, losses array<double>"
-    return bounded(train.select("event_id", "event_date", "label", *columns), config.sample).groupBy(F.lit(0).alias("__all")).applyInPandas(lambda pdf: run(pdf), schema)
+def fit_logistic(train: DataFrame, columns: list[str], config: LogisticConfig = LogisticConfig(), barrier: bool | None = None) -> DataFrame:
+    """One row: features, coefficients, intercept, means, deviations, losses; none where there are no training rows."""
+    got = descent.fit(train, columns, config, barrier)
+    rows = [] if got is None else [(columns, got[0][1:].tolist(), float(got[0][0]), got[1].tolist(), got[2].tolist(), got[3])]
+    return train.sparkSession.createDataFrame(rows, MODEL)
 
 
 def coefficients(model: DataFrame) -> DataFrame:
@@ -178,73 +152,15 @@ def train_logistic(matrix: DataFrame, columns: list[str], config: LogisticConfig
     return {"model": model, "coefficients": coefficients(model), "losses": loss_history(model), "predictions": scored}
 
 
-def _impurity(positive: np.ndarray, n: np.ndarray, criterion: str) -> np.ndarray:
-    p = positive / np.maximum(n, 1)
-    if criterion == "gini":
-        return 2 * p * (1 - p)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        return np.nan_to_num(-p * np.log2(p)) + np.nan_to_num(-(1 - p) * np.log2(1 - p))
-
-
-def grow(x: np.ndarray, y: np.ndarray, config: TreeConfig) -> list[dict]:
-    """A greedy tree as nodes in preorder.  Cuts are midpoints of distinct values, thinned to quantiles where many.
-
-    All cuts of a column are judged at once from sorted cumulative counts; the first best cut is taken.
-    """
-    nodes: list[dict] = []
-
-    def build(rows: np.ndarray, depth: int) -> int:
-        k, own = len(nodes), y[rows]
-        n, pos = len(rows), float(own.sum())
-        node = {"node_id": k, "depth": depth, "n_samples": n, "positive_count": int(pos), "probability": pos / n, "impurity": float(_impurity(np.array(pos), np.array(n), config.criterion)), "feature": None, "threshold": None, "information_gain": None, "left_node_id": None, "right_node_id": None}
-        nodes.append(node)
-        if depth >= config.max_depth or n < config.min_samples_split or node["impurity"] == 0:
-            return k
-        best = (-np.inf, -1, 0.0)
-        for c in range(x.shape[1]):
-            order = np.argsort(x[rows, c], kind="stable")
-            v, hits = x[rows, c][order], np.concatenate([[0.0], own[order].cumsum()])
-            values = np.unique(v)
-            cuts = (values[:-1] + values[1:]) / 2
-            if len(cuts) > config.max_thresholds:
-                cuts = np.unique(np.quantile(cuts, np.linspace(0, 1, config.max_thresholds + 2)[1:-1]))
-            left = np.searchsorted(v, cuts, "right")
-            ok = (left >= config.min_samples_leaf) & (n - left >= config.min_samples_leaf)
-            if not ok.any():
-                continue
-            child = (left * _impurity(hits[left], left, config.criterion) + (n - left) * _impurity(pos - hits[left], n - left, config.criterion)) / n
-            gain = np.where(ok, node["impurity"] - child, -np.inf)
-            j = int(gain.argmax())
-            if gain[j] > best[0]:
-                best = (float(gain[j]), c, float(cuts[j]))
-        if best[1] < 0 or best[0] < config.min_impurity_decrease:
-            return k
-        goes = x[rows, best[1]] <= best[2]
-        node.update(feature=best[1], threshold=best[2], information_gain=best[0])
-        node["left_node_id"] = build(rows[goes], depth + 1)
-        node["right_node_id"] = build(rows[~goes], depth + 1)
-        return k
-
-    build(np.arange(len(y)), 0)
-    return nodes
-
-
 NODE = "node_id int, depth int, n_samples int, positive_count int, probability double, impurity double, feature string, threshold double, information_gain double, left_node_id int, right_node_id int"
 
 
 def fit_tree(train: DataFrame, columns: list[str], config: TreeConfig = TreeConfig()) -> DataFrame:
-    """The nodes of a tree, a row each."""
+    """The nodes of a tree, a row each, numbered in preorder; none where there are no training rows."""
     require(config.criterion in ("gini", "entropy"), "criterion must be gini or entropy")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["event_date", "event_id"])
-        got = pd.DataFrame(grow(pdf[columns].to_numpy(float), pdf["label"].to_numpy(float), config))
-        got["feature"] = [None if c is None or c != c else columns[int(c)] for c in got["feature"]]
-        for c in ("left_node_id", "right_node_id"):
-            got[c] = got[c].astype("Int64")
-        return got
-
-    return bounded(train.select("event_id", "event_date", "label", *columns), config.sample).groupBy(F.lit(0).alias("__all")).applyInPandas(lambda pdf: run(pdf), NODE)
+    nodes = [n | {"feature": None if n["feature"] is None else columns[n["feature"]]} for n in trees.grow(train, columns, config)]
+    names = [x.split()[0] for x in NODE.split(", ")]
+    return train.sparkSession.createDataFrame([tuple(n[c] for c in names) for n in nodes], NODE)
 
 
 def tree_probability(nodes: list[dict]) -> Column:
@@ -275,7 +191,7 @@ def train_tree(matrix: DataFrame, columns: list[str], config: TreeConfig = TreeC
     rows = _numbered(impute(matrix, columns), "event_date")
     at = F.greatest(F.lit(1), F.least(F.col("n") - 1, F.floor(F.col("n") * train)))
     rows = rows.withColumn("split", F.when(F.col("rn") <= at, "train").otherwise("validation")).drop("rn", "n")
-    grown = [r.asDict() for r in fit_tree(rows.where("split = 'train'"), columns, config).collect()]  # at most 2 ** (max_depth + 1) nodes
-    nodes = matrix.sparkSession.createDataFrame([tuple(n.values()) for n in grown], NODE)
+    nodes = fit_tree(rows.where("split = 'train'"), columns, config)
+    grown = [r.asDict() for r in nodes.collect()]  # at most 2 ** (max_depth + 1) nodes
     scored = predictions(rows.where("split = 'validation'").withColumn(P, tree_probability(grown)), config.threshold, "decision_tree")
     return {"nodes": nodes, "splits": split_summary(nodes), "leaves": leaf_summary(nodes), "predictions": scored}

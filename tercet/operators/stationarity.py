@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tercet.functions.expressions import adf_p_value
 from tercet.guards import require
+from tercet.operators.ordered import running
 
 GROUP = ["triplet_id", "method"]
 # Critical values with a constant.
@@ -65,13 +66,11 @@ def adf_by_group(df: DataFrame, value: str = "residual", by: list[str] | None =
 def benjamini_hochberg(df: DataFrame, p: str = "adf_p_value", alpha: float = 0.05, out: str = "fdr_reject") -> DataFrame:
     """`df` with `out`: rejected are p-values up to the largest whose rank k has p <= k * alpha / n.
 
-    p-values are counted by value before the window, so ties and many rows stay cheap.
+    p-values are counted by value, and ranked in ranges, so ties and many rows stay cheap.
     """
     require(0 < alpha < 1, "alpha must be between 0 and 1")
-    per = df.where(F.col(p).isNotNull()).groupBy(F.col(p).alias("__p")).agg(F.count("*").alias("__k"), F.lit(0).alias("__one"))
-    w = Window.partitionBy("__one").orderBy("__p").rowsBetween(Window.unboundedPreceding, 0)
-    n = F.sum("__k").over(Window.partitionBy("__one"))
-    ranked = per.withColumn("__r", F.sum("__k").over(w)).withColumn("__n", n)
+    per = df.where(F.col(p).isNotNull()).groupBy(F.col(p).alias("__p")).agg(F.count("*").alias("__k"))
+    ranked = running(per, [], ["__p"], {"__r": F.col("__k")}, {"__n": "__r"})
     limit = ranked.where(F.col("__p") <= F.col("__r") * alpha / F.col("__n")).agg(F.max("__p").alias("__limit"))
     return df.crossJoin(F.broadcast(limit)).withColumn(out, F.coalesce(F.col(p) <= F.col("__limit"), F.lit(False))).drop("__limit")  # one row
 

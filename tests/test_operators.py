@@ -166,15 +166,14 @@ def test_metrics(spark):
     assert metrics.probability_buckets(p, 3).agg(F.sum("n_events")).first()[0] == 4
 
 
-def test_models():
+def test_models(spark):
     rng = np.random.default_rng(7)
     x = rng.normal(size=(160, 2))
-    y = (x[:, 0] > 0).astype(float)
-    w, _, _, loss = models.descend(x, y, models.LogisticConfig(max_iter=500))
-    strong, *_ = models.descend(x, y, models.LogisticConfig(max_iter=500, l2=50.0))
-    assert loss[-1] < loss[0] and np.abs(strong[1:]).sum() < np.abs(w[1:]).sum()
-    nodes = models.grow(x, y, models.TreeConfig())
-    assert nodes[0]["feature"] == 0 and abs(nodes[0]["threshold"]) < 0.2
+    rows = spark.createDataFrame([(f"e{k}", int(x[k, 0] > 0), float(x[k, 0]), float(x[k, 1])) for k in range(160)], "event_id string, label int, a double, b double")
+    plain, strong = (models.fit_logistic(rows, ["a", "b"], models.LogisticConfig(max_iter=500, l2=l2)).first() for l2 in (0.0, 50.0))
+    assert plain.losses[-1] < plain.losses[0] and np.abs(strong.coefficients).sum() < np.abs(plain.coefficients).sum()
+    root = models.fit_tree(rows, ["a", "b"]).where("node_id = 0").first()
+    assert root.feature == "a" and abs(root.threshold) < 0.2
 
 
 def test_regimes():
