@@ -30,6 +30,7 @@ from dataclasses import dataclass, replace
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,6 +42,8 @@ BITS, HASHES = 10, 5
 FLUSH, BUCKET = 2_000_000, 4_000_000
 #: A model of up to this size is broadcast.
 MOST_BYTES = 256 << 20
+#: Of a model that is broadcast, what passes through the driver at once.
+PART_BYTES = 16 << 20
 #: What a word is counted more than it was seen.
 ADD = 0.1
 #: Sizes of the histogram that weights come from: powers of two of a context's count; ratios, a quarter of an octave each.
@@ -274,19 +277,32 @@ class Loaded:
         return np.where(self.words[at] == keys, self.counts[at], 0).astype(np.int64)
 
 
-def load(model: Model) -> Loaded:
-    """The whole model on the driver, read bucket by bucket; call it only for one of bounded size."""
-    keys, counts, cells = [], [], [[] for _ in range(model.order - 1)]
-    sizes = np.zeros((model.order - 1, model.buckets), np.int64)
-    for r in model.table.select("n", "bucket", "keys", "counts", "cells").orderBy("n", "bucket").toLocalIterator():
-        if r.n == 1:
-            keys.append(np.frombuffer(bytes(r.keys), U64)), counts.append(np.frombuffer(bytes(r.counts), "<u8"))
-        else:
-            cells[r.n - 2].append(np.frombuffer(bytes(r.cells), U64))
-            sizes[r.n - 2, r.bucket] = len(cells[r.n - 2][-1])
-    join = lambda x: np.concatenate(x) if x else np.zeros(0, U64)
-    held = join(counts)
-    return Loaded(join(keys), held.astype("<u4") if held.max(initial=0) < 1 << 32 else held, tuple((join(c), np.concatenate([[0], s.cumsum()])) for c, s in zip(cells, sizes, strict=True)))
+def send(model: Model) -> list[Broadcast]:
+    """The model of bounded size, broadcast in parts of about PART_BYTES: the driver holds one part at a time."""
+    context, out = model.table.sparkSession.sparkContext, []
+    size_of = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in ("keys", "counts", "cells")), F.lit(0))
+    sizes = model.table.select("n", "bucket", size_of.alias("size")).orderBy("n", "bucket").collect()  # a row a bucket
+    at = 0
+    while at < len(sizes):
+        to, held = at + 1, sizes[at].size
+        while to < len(sizes) and sizes[to].n == sizes[at].n and held + sizes[to].size <= PART_BYTES:
+            held += sizes[to].size
+            to += 1
+        here = (F.col("n") == sizes[at].n) & F.col("bucket").between(sizes[at].bucket, sizes[to - 1].bucket)
+        rows = sorted(model.table.where(here).select("bucket", "keys", "counts", "cells").collect(), key=lambda r: r.bucket)
+        join = lambda k, kind: np.concatenate([np.frombuffer(getattr(r, k) or b"", kind) for r in rows])  # noqa: E731, B023
+        out.append(context.broadcast((sizes[at].n, [r.bucket for r in rows], join("keys", U64), join("counts", "<u8"), join("cells", U64), [len(r.cells or b"") // 8 for r in rows])))
+        at = to
+    return out
+
+
+def load(parts: list[tuple], order: int, buckets: int) -> Loaded:
+    """A model from its parts, which come in the order of lengths and buckets."""
+    sizes = np.zeros((order + 1, buckets), np.int64)
+    for n, at, _, _, _, cells in parts:
+        sizes[n, at] = cells
+    join = lambda n, k: np.concatenate([np.zeros(0, U64), *(p[k] for p in parts if p[0] == n)])
+    return Loaded(join(1, 2), join(1, 3), tuple((join(n, 4), np.concatenate([[0], sizes[n].cumsum()])) for n in range(2, order + 1)))
 
 
 def interpolated(share: np.ndarray, found: list[tuple[np.ndarray, np.ndarray, np.ndarray]], weights: tuple[np.ndarray, ...]) -> np.ndarray:
@@ -365,7 +381,7 @@ def _here(rows: DataFrame, model: Model, keep: list[str], each: Callable, schema
 
     rows: keep columns and __text; keep columns come back where there are any: then each() gives a row for each text.
     """
-    sent = rows.sparkSession.sparkContext.broadcast(load(model))
+    sent = send(model)
     bare, names = replace(model, table=None), _names(schema)
 
     def looked_up(m: Loaded, keys: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, list[tuple]]:
@@ -379,7 +395,7 @@ def _here(rows: DataFrame, model: Model, keep: list[str], each: Callable, schema
         return count, found
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, told = sent.value, []
+        m, told = load([p.value for p in sent], bare.order, bare.buckets), []
         for batch in batches:
             data, off = utf8(batch.column(len(keep)))
             for lo, hi in blocks(off):
