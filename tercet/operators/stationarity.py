@@ -7,58 +7,52 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tercet.functions.expressions import adf_p_value
+from tercet.functions.expressions import adf_p_value, correlation, null_if_nan
 from tercet.guards import require
+from tercet.operators.linear import TINY, square
 from tercet.operators.ordered import running
+from tercet.sources.stages import stored
 
 GROUP = ["triplet_id", "method"]
 # Critical values with a constant.
 CRITICAL = {"critical_value_1pct": -3.43, "critical_value_5pct": -2.86, "critical_value_10pct": -2.57}
 
 
-def _design(d: np.ndarray, level: np.ndarray, start: int, lag: int) -> np.ndarray:
-    return np.column_stack([np.ones(len(d) - start), level[start:], *(d[start - i : len(d) - i] for i in range(1, lag + 1))])
-
-
-def adf(series: np.ndarray, max_lag: int | None = None) -> tuple[float | None, int, int] | None:
-    """tau, the lag of the least AIC, and the rows used; None for fewer than 20 finite values or too many lags.
+def adf_by_group(df: DataFrame, value: str = "residual", by: list[str] | None = None, order: str = "date", max_lag: int | None = None) -> DataFrame:
+    """by columns, adf_statistic, adf_p_value, lag_used, n_obs, critical values; groups too short to test are left out.
 
-    All lags, and the final regression, use the rows that the largest lag leaves.
+    One sort makes the lags, one aggregation the cross products of differences at all lags, the level and the difference; one
+    elimination of the lags, in order, gives all nested models: after lag k is out, what is left of level and difference holds both
+    the residual sum and tau of the model with k lags.  All lags use the rows that the largest leaves; the first of least AIC wins.
+    Groups need 20 finite values.  A level that the lags explain wholly has no tau (p-value 1).
     """
-    v = series[np.isfinite(series)]
-    if len(v) < 20:
-        return None
-    level, d = v[:-1], np.diff(v)
-    top = int(np.floor(12 * (len(v) / 100) ** 0.25)) if max_lag is None else max_lag
-    top = max(0, min(top, len(d) - 3))
-    y = d[top:]
-    best, lag = np.inf, 0
-    for k in range(top + 1) if top else ():
-        a = _design(d, level, top, k)
-        rss = float(((y - a @ np.linalg.lstsq(a, y, rcond=None)[0]) ** 2).sum())
-        if rss <= 0 or len(y) <= a.shape[1]:
-            continue
-        aic = len(y) * np.log(rss / len(y)) + 2 * a.shape[1]
-        if aic < best:
-            best, lag = aic, k
-    a = _design(d, level, top, lag)
-    if len(y) - a.shape[1] <= 0:
-        return None
-    beta = np.linalg.lstsq(a, y, rcond=None)[0]
-    var = float(((y - a @ beta) ** 2).sum()) / (len(y) - a.shape[1]) * np.linalg.pinv(a.T @ a)[1, 1]
-    return (float(beta[1] / np.sqrt(var)) if var > 0 else None), lag, len(y)
-
-
-def adf_by_group(df: DataFrame, value: str = "residual", by: list[str] | None = None, order: str = "date", max_lag: int | None = None) -> DataFrame:
-    """by columns, adf_statistic, adf_p_value, lag_used, n_obs, critical values; groups too short to test are left out."""
     by = by or GROUP
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        cols = [*by, "adf_statistic", "lag_used", "n_obs"]
-        got = adf(pdf.sort_values(order)[value].to_numpy(float), max_lag)
-        return pd.DataFrame([(*pdf[by].iloc[0], *got)] if got else [], columns=cols)
-
-    got = df.select(*by, order, value).groupBy(*by).applyInPandas(run, ", ".join([*(f"{c} string" for c in by), "adf_statistic double, lag_used int, n_obs int"]))
+    path = Window.partitionBy(*by).orderBy(order)
+    v = df.select(*by, order, F.col(value).cast("double").alias("v")).where(null_if_nan("v").isNotNull())
+    v = v.select(*by, order, F.lag("v").over(path).alias("level"), (F.col("v") - F.lag("v").over(path)).alias("d"), F.row_number().over(path).alias("rn"), F.count("*").over(Window.partitionBy(*by)).alias("total")).where("total >= 20")
+    ceiling = F.floor(12 * F.pow(F.col("total") / 100.0, F.lit(0.25))) if max_lag is None else F.lit(max_lag)
+    v = stored(v.withColumn("top", F.greatest(F.lit(0), F.least(ceiling, F.col("total") - 4)).cast("int")))
+    most = v.agg(F.max("top")).first()[0] or 0
+    shift = F.avg("level").over(Window.partitionBy(*by))
+    z = v.select(*by, "rn", "top", *(F.coalesce(F.lag("d", i + 1).over(path), F.lit(0.0)).alias(f"z{i}") for i in range(most)), (F.col("level") - shift).alias(f"z{most}"), F.col("d").alias(f"z{most + 1}"))
+    used, m = z.where(F.col("rn") >= F.col("top") + 2), most + 2
+    cell = lambda i, j: f"sum(z{i} * z{j}) - sum(z{i}) * sum(z{j}) / count(*)"
+    sums = used.groupBy(*by, "top").agg(F.count("*").alias("n_obs"), F.expr(square(m, cell)).alias("c"))
+    pivot, level, diff = "s.m[i - 1][i - 1]", most, most + 1
+    block = lambda m: f"named_struct('ll', {m}[{level}][{level}], 'ly', {m}[{level}][{diff}], 'yy', {m}[{diff}][{diff}])"
+    without = f"IF({pivot} > {TINY}D * c[i - 1][i - 1], transform(s.m, row -> zip_with(row, s.m[i - 1], (a, b) -> a - row[i - 1] * b / {pivot})), s.m)"
+    steps = "IF(top = 0, cast(array() AS array<int>), sequence(1, top))"
+    seen = f"concat(s.out, array({block('s.m')}))"  # a model's block is noted before the next lag goes
+    none = "cast(array() AS array<struct<ll: double, ly: double, yy: double>>)"
+    states = f"aggregate({steps}, named_struct('m', c, 'out', {none}), (s, i) -> named_struct('m', {without}, 'out', {seen}), s -> {seen})"
+    tiny = f"{TINY}D * c[{level}][{level}]"
+    rss = f"(x.yy - IF(x.ll > {tiny}, x.ly * x.ly / x.ll, 0D))"
+    aic = f"IF({rss} > 0 AND n_obs > k + 2, n_obs * ln({rss} / n_obs) + 2 * (k + 2), NULL)"
+    got = sums.withColumn("states", F.expr(states)).withColumn("aic", F.expr(f"transform(states, (x, k) -> {aic})"))
+    got = got.withColumn("lag_used", F.expr("coalesce(array_position(aic, array_min(aic)) - 1, 0L)").cast("int"))
+    got = got.withColumn("x", F.expr("states[lag_used]")).withColumn("dof", F.expr("n_obs - lag_used - 2")).where("dof > 0")
+    se = f"sqrt({rss} / dof / x.ll)"
+    got = got.select(*by, F.expr(f"IF(x.ll > {tiny} AND {rss} > 0, x.ly / x.ll / {se}, NULL)").alias("adf_statistic"), "lag_used", F.col("n_obs").cast("int").alias("n_obs"))
     p = F.when(F.col("adf_statistic").isNull(), F.lit(1.0)).otherwise(adf_p_value("adf_statistic"))
     return got.withColumn("adf_p_value", p).withColumns({k: F.lit(v) for k, v in CRITICAL.items()})
 
@@ -108,23 +102,14 @@ def fractional_diff(df: DataFrame, d: float, value: str = "log_price", by: str =
 
 def minimum_stationary_d(df: DataFrame, grid: tuple[float, ...] = tuple(k / 10 for k in range(11)), significance: float = 0.05, value: str = "log_price", by: str = "symbol", order: str = "date", threshold: float = 1e-3) -> DataFrame:
     """by, d, adf_p_value, correlation_with_level of the least d whose series passes the ADF test; null d if none does."""
-    weights = {d: np.array(fractional_weights(d, threshold)) for d in sorted(grid)}
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf.sort_values(order)[value].to_numpy(float)
-        out = []
-        for d, w in weights.items():
-            y = np.full(len(x), np.nan)
-            if len(x) >= len(w):
-                y[len(w) - 1 :] = np.convolve(x, w, "valid")
-            got = adf(y) if np.isfinite(y).sum() >= 20 else None
-            ok = np.isfinite(y)
-            corr = float(np.corrcoef(x[ok], y[ok])[0, 1]) if ok.sum() > 2 and y[ok].std() > 0 and x[ok].std() > 0 else None
-            out.append((pdf[by].iloc[0], d, got[0] if got else None, corr))
-        return pd.DataFrame(out, columns=[by, "d", "tau", "correlation_with_level"])
-
-    tried = df.select(by, order, value).groupBy(by).applyInPandas(run, f"{by} string, d double, tau double, correlation_with_level double").withColumn("adf_p_value", F.when(F.col("tau").isNotNull(), adf_p_value("tau")))
-    first = tried.where(F.col("adf_p_value") <= significance).groupBy(by).agg(F.min_by(F.struct("d", "adf_p_value", "correlation_with_level"), "d").alias("x"))
+    tried = None
+    for d in sorted(grid):  # a column expression each; the test runs once, over all of them
+        one = fractional_diff(df.select(by, order, value), d, value, by, order, threshold, out="y").where("y IS NOT NULL").withColumn("d", F.lit(float(d)))
+        tried = one if tried is None else tried.unionByName(one)
+    tried = stored(tried)
+    corr = tried.groupBy(by, "d").agg(correlation(F.col(value), F.col("y")).alias("correlation_with_level"))
+    tests = adf_by_group(tried, "y", [by, "d"], order).where("adf_statistic IS NOT NULL").join(corr, [by, "d"])
+    first = tests.where(F.col("adf_p_value") <= significance).groupBy(by).agg(F.min_by(F.struct("d", "adf_p_value", "correlation_with_level"), "d").alias("x"))
     return df.select(by).distinct().join(first, by, "left").select(by, "x.d", "x.adf_p_value", "x.correlation_with_level")
 
 
