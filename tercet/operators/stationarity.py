@@ -26,10 +26,11 @@ def adf_by_group(df: DataFrame, value: str = "residual", by: list[str] | None =
     the residual sum and tau of the model with k lags.  All lags use the rows that the largest leaves; the first of least AIC wins.
     Groups need 20 finite values.  A level that the lags explain wholly has no tau (p-value 1).
     """
-    by = by or GROUP
-    path = Window.partitionBy(*by).orderBy(order)
-    v = df.select(*by, order, F.col(value).cast("double").alias("v")).where(null_if_nan("v").isNotNull())
-    v = v.select(*by, order, F.lag("v").over(path).alias("level"), (F.col("v") - F.lag("v").over(path)).alias("d"), F.row_number().over(path).alias("rn"), F.count("*").over(Window.partitionBy(*by)).alias("total")).where("total >= 20")
+    named = by or GROUP
+    by = [f"__by_{c}" for c in named]  # no name of a group's columns can clash with those in between
+    path = Window.partitionBy(*by).orderBy("o")
+    v = df.select(*(F.col(c).alias(b) for c, b in zip(named, by, strict=True)), F.col(order).alias("o"), F.col(value).cast("double").alias("v")).where(null_if_nan("v").isNotNull())
+    v = v.select(*by, "o", F.lag("v").over(path).alias("level"), (F.col("v") - F.lag("v").over(path)).alias("d"), F.row_number().over(path).alias("rn"), F.count("*").over(Window.partitionBy(*by)).alias("total")).where("total >= 20")
     ceiling = F.floor(12 * F.pow(F.col("total") / 100.0, F.lit(0.25))) if max_lag is None else F.lit(max_lag)
     v = stored(v.withColumn("top", F.greatest(F.lit(0), F.least(ceiling, F.col("total") - 4)).cast("int")))
     most = v.agg(F.max("top")).first()[0] or 0
@@ -52,7 +53,7 @@ def adf_by_group(df: DataFrame, value: str = "residual", by: list[str] | None =
     got = got.withColumn("lag_used", F.expr("coalesce(array_position(aic, array_min(aic)) - 1, 0L)").cast("int"))
     got = got.withColumn("x", F.expr("states[lag_used]")).withColumn("dof", F.expr("n_obs - lag_used - 2")).where("dof > 0")
     se = f"sqrt({rss} / dof / x.ll)"
-    got = got.select(*by, F.expr(f"IF(x.ll > {tiny} AND {rss} > 0, x.ly / x.ll / {se}, NULL)").alias("adf_statistic"), "lag_used", F.col("n_obs").cast("int").alias("n_obs"))
+    got = got.select(*(F.col(b).alias(c) for c, b in zip(named, by, strict=True)), F.expr(f"IF(x.ll > {tiny} AND {rss} > 0, x.ly / x.ll / {se}, NULL)").alias("adf_statistic"), "lag_used", F.col("n_obs").cast("int").alias("n_obs"))
     p = F.when(F.col("adf_statistic").isNull(), F.lit(1.0)).otherwise(adf_p_value("adf_statistic"))
     return got.withColumn("adf_p_value", p).withColumns({k: F.lit(v) for k, v in CRITICAL.items()})
 

@@ -201,15 +201,11 @@ _KEYS = "triplet_id, target_symbol, hedge_symbol_1, hedge_symbol_2, date, method
 register("kf3_kalman_states", lambda f: kalman.states_and_residuals(kalman.kalman_regression(f.obs))[0], f"SELECT {_KEYS}, {r(*kalman.NUMBERS[:6], *kalman.NUMBERS[10:])}, {_NOISE} FROM c_filtered")
 register("kf4_kalman_residuals", lambda f: kalman.states_and_residuals(kalman.kalman_regression(f.obs))[1], f"SELECT {_KEYS}, {r(*kalman.NUMBERS[6:10])}, {_NOISE} FROM c_filtered")
 register("kf5_kalman_vs_rolling", lambda f: kalman.compare_with_rolling(kalman.kalman_regression(f.obs), f.residuals).drop("static_residual_std", "static_abs_mean", "std_ratio_vs_static", "abs_mean_ratio_vs_static"), f"SELECT triplet_id, method, n_obs, {r(*SUMMARY)} FROM c_both_summary")
-register("st1_adf", lambda f: stationarity.adf_by_group(f.residuals))
 register("st3_adf_p_values", lambda f: f.spark.sql("SELECT explode(array(-6.0D, -3.43D, -3.0D, -2.86D, -2.6D, -2.57D, -1.0D, 0.0D, 2.0D)) AS tau").select("tau", x.adf_p_value("tau").alias("p")), f"SELECT tau::DOUBLE AS tau, {r('CASE WHEN tau <= -3.43 THEN greatest(0.001, 0.01 + (tau + 3.43) * 0.04 / 0.57) WHEN tau <= -2.86 THEN 0.01 + (tau + 3.43) * 0.04 / 0.57 WHEN tau <= -2.57 THEN 0.05 + (tau + 2.86) * 0.05 / 0.29 ELSE least(0.995, 0.05 + (tau + 2.86) * 0.05 / 0.29) END AS p')} FROM (SELECT unnest([-6.0, -3.43, -3.0, -2.86, -2.6, -2.57, -1.0, 0.0, 2.0]::DOUBLE[]) AS tau)")
 register("st4_benjamini_hochberg", lambda f: stationarity.benjamini_hochberg(f.predictions.select("event_id", (1 - F.col(models.P)).alias("p")), "p", 0.3).select("event_id", "fdr_reject"), "SELECT event_id, coalesce(1 - predicted_reversion_probability <= (SELECT max(p) FROM (SELECT 1 - predicted_reversion_probability AS p, row_number() OVER (ORDER BY 1 - predicted_reversion_probability) AS k, count(*) OVER () AS n FROM c_preds) WHERE p <= k * 0.3 / n), false) AS fdr_reject FROM c_preds")
-register("st5_cointegration_report", lambda f: stationarity.cointegration_report(f.residuals))
-register("st6_cointegration_gate", lambda f: stationarity.cointegration_gate(f.residuals, stationarity.cointegration_report(f.residuals)).groupBy(*GROUP).count())
 _W = stationarity.fractional_weights(0.4, 1e-2)
 register("st7_fractional_weights", lambda f: f.spark.createDataFrame(list(enumerate(stationarity.fractional_weights(0.5, 1e-3))), "k int, w double"), f"SELECT k, {r('w')} FROM (WITH RECURSIVE g(k, w) AS (SELECT 0, 1.0::DOUBLE UNION ALL SELECT k + 1, -w * (0.5 - k) / (k + 1) FROM g WHERE k < 1000 AND abs(-w * (0.5 - k) / (k + 1)) >= 1e-3) SELECT * FROM g)")
 register("st8_fractional_diff", lambda f: stationarity.fractional_diff(f.panel, 0.4, threshold=1e-2).select("symbol", "date", "fractional_diff"), f"SELECT symbol, date, round({' + '.join(f'{w!r} * lag(log_price, {k}) OVER o' for k, w in enumerate(_W))}, 6) + 0.0 AS fractional_diff FROM c_panel WINDOW o AS (PARTITION BY symbol ORDER BY date)")
-register("st9_minimum_stationary_d", lambda f: stationarity.minimum_stationary_d(f.panel))
 register("st10_null_hypothesis_check", lambda f: stationarity.null_hypothesis_check(f.spark))
 register("hm4_regime_parameters", lambda f: regimes.regime_parameters(f.scored))
 register("hm8_regime_probabilities", lambda f: regimes.regime_probabilities(f.scored))

@@ -43,6 +43,10 @@ def dates_as_text(select: str) -> str:
     return "".join(out) + select[at:]
 
 
+#: Parts that several others read: computed once.
+SHARED = ("c_panel", "c_obs", "c_scored", "c_n", "c_events", "c_paths", "c_labels")
+
+
 def query(select: str) -> str:
     """`select` with the common table expressions it needs."""
     select = dates_as_text(select)
@@ -56,7 +60,7 @@ def query(select: str) -> str:
 
     visit(select)
     recursive = "RECURSIVE " if any("/*recursive*/" in PARTS[n] for n in need) else ""
-    return f"WITH {recursive}" + ",\n".join(f"{n} AS ({PARTS[n]})" for n in need) + f"\n{select}" if need else select
+    return f"WITH {recursive}" + ",\n".join(f"{n} AS {'MATERIALIZED ' if n in SHARED else ''}({PARTS[n]})" for n in need) + f"\n{select}" if need else select
 
 
 K = "triplet_id, target_symbol, hedge_symbol_1, hedge_symbol_2"

@@ -79,3 +79,17 @@ def observations(panel: DataFrame, triplets: DataFrame, value: str = "log_price"
     leg = lambda role, out: v.select(F.col("symbol").alias(role), "date", F.col(value).alias(out))
     got = keep.join(leg("target_symbol", "y"), "target_symbol").join(leg("hedge_symbol_1", "x1"), ["hedge_symbol_1", "date"]).join(leg("hedge_symbol_2", "x2"), ["hedge_symbol_2", "date"])
     return got.select("triplet_id", "target_symbol", "hedge_symbol_1", "hedge_symbol_2", "date", "y", "x1", "x2")
+
+
+def baskets(panel: DataFrame, k: int, value: str = "log_price") -> DataFrame:
+    """target, date, y, x1..xk: every symbol beside the k symbols that follow it by name, around, on dates that all of them have.
+
+    A date's values meet in one map, with as many entries as there are symbols; baskets are read from it without a join.
+    """
+    names = [row.symbol for row in panel.select("symbol").distinct().orderBy("symbol").collect()]  # symbols, a small dimension
+    if len(names) <= k:
+        raise ValueError("a basket needs more symbols than hedges")
+    wide = panel.where(F.col(value).isNotNull()).groupBy("date").agg(F.map_from_entries(F.collect_list(F.struct("symbol", value))).alias("m"))
+    legs = [[names[(i + j) % len(names)] for j in range(k + 1)] for i in range(len(names))]
+    rows = F.explode(F.array(*(F.struct(F.lit(own[0]).alias("target"), *(F.col("m")[s].alias("y" if j == 0 else f"x{j}") for j, s in enumerate(own))) for own in legs)))
+    return wide.select("date", rows.alias("r")).select("r.target", "date", "r.y", *(f"r.x{j + 1}" for j in range(k))).dropna()
