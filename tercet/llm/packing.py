@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tercet.llm.common import small_batches, utf8
+from tercet.llm.common import release, small_batches, utf8
 
 SCHEMA = "sequence_id long, n_tokens int, ids binary, cu_seqlens array<int>, position_resets array<int>, doc_ids array<long>, doc_offsets array<long>"
 _NAMES = [x.split()[0] for x in SCHEMA.split(", ")]
@@ -149,6 +149,8 @@ def pack(tokens: DataFrame, length: int = 2048, pad: int = 0, end: int | None =
                     docs, parts, held = [], [], 0
         if parts:
             yield out(docs, parts)
+        docs = parts = None
+        release()
 
     return tokens.select(F.col(f"`{id}`").cast("long"), F.col(f"`{ids}`")).mapInArrow(run, SCHEMA)
 
