@@ -218,6 +218,7 @@ class Model:
     """A trained model: its table (MODEL, a row for each length and bucket), and what is known of all rows.
 
     weights: for each length from 2 on, the weight of the n-gram's own term by the power of two of its context's count.
+    sent: the broadcast parts of a model that was not too large for that.
     """
 
     table: DataFrame
@@ -227,6 +228,7 @@ class Model:
     types: int
     n_bytes: int
     weights: tuple[np.ndarray, ...] = ()
+    sent: tuple[Broadcast, ...] = ()
 
 
 def train(docs: DataFrame, text: str = "text", order: int = 2, most_bytes: int = MOST_BYTES) -> Model:
@@ -239,8 +241,10 @@ def train(docs: DataFrame, text: str = "text", order: int = 2, most_bytes: int =
     found = {r.n: r for r in table.groupBy("n").agg(F.sum("total").alias("total"), F.sum("types").alias("types"), F.sum(size_of).alias("size")).collect()}
     one = found.get(1)
     model = Model(table, order, buckets, one.total if one else 0, one.types if one else 0, sum(r.size for r in found.values()))
+    if model.n_bytes <= most_bytes:
+        model = replace(model, sent=tuple(send(model)))
     for _ in range(2, order + 1):  # a longer n-gram is weighed against what the shorter ones say
-        got = _with_counts(docs.select(F.col(f"`{text}`").alias("__text")), model, [], most_bytes, _ratios, "power int, ratio int, times long")
+        got = _with_counts(docs.select(F.col(f"`{text}`").alias("__text")), model, [], _ratios, "power int, ratio int, times long")
         seen = np.zeros((POWERS, RATIOS))
         for r in got.groupBy("power", "ratio").agg(F.sum("times").alias("times")).collect():  # POWERS * RATIOS rows at most
             seen[r.power, r.ratio] = r.times
@@ -291,7 +295,8 @@ def send(model: Model) -> list[Broadcast]:
         here = (F.col("n") == sizes[at].n) & F.col("bucket").between(sizes[at].bucket, sizes[to - 1].bucket)
         rows = sorted(model.table.where(here).select("bucket", "keys", "counts", "cells").collect(), key=lambda r: r.bucket)
         join = lambda k, kind: np.concatenate([np.frombuffer(getattr(r, k) or b"", kind) for r in rows])  # noqa: E731, B023
-        out.append(context.broadcast((sizes[at].n, [r.bucket for r in rows], join("keys", U64), join("counts", "<u8"), join("cells", U64), [len(r.cells or b"") // 8 for r in rows])))
+        narrow = lambda c: c.astype("<u4") if c.max(initial=0) < 1 << 32 else c
+        out.append(context.broadcast((sizes[at].n, [r.bucket for r in rows], join("keys", U64), narrow(join("counts", "<u8")), join("cells", U64), [len(r.cells or b"") // 8 for r in rows])))
         at = to
     return out
 
@@ -301,7 +306,7 @@ def load(parts: list[tuple], order: int, buckets: int) -> Loaded:
     sizes = np.zeros((order + 1, buckets), np.int64)
     for n, at, _, _, _, cells in parts:
         sizes[n, at] = cells
-    join = lambda n, k: np.concatenate([np.zeros(0, U64), *(p[k] for p in parts if p[0] == n)])
+    join = lambda n, k: np.concatenate([p[k] for p in parts if p[0] == n] or [np.zeros(0, U64)])
     return Loaded(join(1, 2), join(1, 3), tuple((join(n, 4), np.concatenate([[0], sizes[n].cumsum()])) for n in range(2, order + 1)))
 
 
@@ -354,13 +359,13 @@ def context_counts(level: np.ndarray) -> np.ndarray:
 SUMS = "n_tokens long, n_known long, base_score double, score double"
 
 
-def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), text: str = "text", most_bytes: int = MOST_BYTES) -> DataFrame:
+def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
     """keep columns, n_tokens, n_known long, base_score, score double (log10 probabilities of the whole text)."""
     kinds = dict(docs.dtypes)
     held = {f"__k{i}": c for i, c in enumerate(keep)}
     rows = docs.select(*(F.col(f"`{c}`").alias(k) for k, c in held.items()), F.col(f"`{text}`").alias("__text"))
     back = [F.col(k).alias(c) for k, c in held.items()]
-    if model.n_bytes <= most_bytes:
+    if model.sent:
         schema = ", ".join([*(f"{k} {kinds[c]}" for k, c in held.items()), SUMS])
         return _here(rows, model, list(held), _sums, schema).select(*back, *_names(SUMS))
     rows = stored(rows.withColumn("__row", F.monotonically_increasing_id()))
@@ -372,8 +377,8 @@ def _names(schema: str) -> list[str]:
     return [x.split()[0] for x in schema.split(", ")]
 
 
-def _with_counts(rows: DataFrame, model: Model, keep: list[str], most_bytes: int, each: Callable, schema: str) -> DataFrame:
-    return (_here if model.n_bytes <= most_bytes else _apart)(rows, model, keep, each, schema)
+def _with_counts(rows: DataFrame, model: Model, keep: list[str], each: Callable, schema: str) -> DataFrame:
+    return (_here if model.sent else _apart)(rows, model, keep, each, schema)
 
 
 def _here(rows: DataFrame, model: Model, keep: list[str], each: Callable, schema: str) -> DataFrame:
@@ -381,8 +386,7 @@ def _here(rows: DataFrame, model: Model, keep: list[str], each: Callable, schema
 
     rows: keep columns and __text; keep columns come back where there are any: then each() gives a row for each text.
     """
-    sent = send(model)
-    bare, names = replace(model, table=None), _names(schema)
+    sent, bare, names = model.sent, replace(model, table=None, sent=()), _names(schema)
 
     def looked_up(m: Loaded, keys: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, list[tuple]]:
         u, back = np.unique(keys, return_inverse=True)
@@ -421,7 +425,7 @@ def _apart(rows: DataFrame, model: Model, keep: list[str], each: Callable, schem
 
     A text's distinct n-grams are rows; the distinct keys of all texts are answered by the buckets, and joined back.
     """
-    order, buckets, bare, out_names = model.order, model.buckets, replace(model, table=None), _names(schema)
+    order, buckets, bare, out_names = model.order, model.buckets, replace(model, table=None, sent=()), _names(schema)
     ask = ["w0", *(x for n in range(2, order + 1) for x in (f"c{n}", f"w{n}"))]  # word; context and n-gram of each length
     names = [*keep, *ask, "inside", "times"]
 
