@@ -4,13 +4,12 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tercet.functions.expressions import over, wilson
+from tercet.functions.expressions import null_if_nan, over, wilson
 from tercet.guards import require, require_columns
+from tercet.operators.ordered import running
 from tercet.sources.stages import stored
 
 
@@ -112,56 +111,87 @@ def wilson_intervals(trades: DataFrame, by: list[str] | None = None, confidence:
     return g.select(*by, "successes", "n", over("successes", "n").alias("rate"), low.alias("ci_low"), high.alias("ci_high"), F.lit(confidence).alias("confidence"))
 
 
-def _interval(values: np.ndarray, confidence: float) -> tuple[float, float]:
-    tail = (1 - confidence) / 2
-    return float(np.quantile(values, tail)), float(np.quantile(values, 1 - tail))
+def draws(rows: DataFrame, by: list[str], resamples: int, seed: int, count: Column, size: Column) -> DataFrame:
+    """by, resample, draw, at: `count` whole numbers from 0 to `size` - 1 for each resample of each row of `rows`.
+
+    A draw is a number of its own: 32 bits of the MD5 of seed, resample and draw, so that any task, and any other engine, makes the
+    same ones.  One MD5 gives four draws.
+    """
+    each = rows.select(*by, count.alias("count"), size.alias("size"), F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("resample"))
+    each = each.where("count > 0").withColumn("four", F.explode(F.expr("sequence(0L, floor((count - 1) / 4))")))
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("resample").cast("string"), F.col("four").cast("string")).cast("binary"))
+    each = each.withColumn("digest", digest).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(3))))
+    bits = F.conv(F.substring(F.col("digest"), F.col("k") * 8 + 1, F.lit(8)), 16, 10).cast("double")
+    got = each.select(*by, "resample", (F.col("four") * 4 + F.col("k")).alias("draw"), "count", F.floor(bits / 4294967296.0 * F.col("size")).alias("at"))
+    return got.where("draw < count").drop("count")
 
 
 def bootstrap_interval(trades: DataFrame, metric: str = "mean_pnl", resamples: int = 2000, confidence: float = 0.90, seed: int = 0, by: str = "strategy", pnl: str = "net_pnl", order: list[str] | None = None) -> DataFrame:
-    """by, metric, estimate, ci_low, ci_high, n: resampled trades, one by one, of each group; seeded.
+    """by, metric, estimate, ci_low, ci_high, n: trades of each group, resampled one by one, as many as it has; see draws().
 
-    A group's trade results are held by one task (a number for each trade); metrics are win_rate and mean_pnl.
+    Metrics are win_rate and mean_pnl.  Trades are numbered in ranges and joined to the draws of their numbers; no task holds a
+    group.  Groups with fewer than two trades have no interval.
     """
     require(metric in ("win_rate", "mean_pnl"), "metric must be win_rate or mean_pnl")
     keys = [c for c in (order or ["pnl_date", "event_id"]) if c in trades.columns]
+    value = F.when(F.col(pnl) > 0, 1.0).otherwise(0.0) if metric == "win_rate" else F.col(pnl)
+    values = trades.where(null_if_nan(pnl).isNotNull()).select(by, value.alias("x"), *keys)
+    numbered = running(values, [by], keys or ["x"], {"rank": F.lit(1)}).select(by, (F.col("rank") - 1).alias("at"), "x")
+    totals = numbered.groupBy(by).agg(F.avg("x").alias("estimate"), F.count("*").alias("n"))
+    picked = draws(totals.where("n > 1"), [by], resamples, seed, F.col("n"), F.col("n")).join(numbered, [by, "at"])
+    means = picked.groupBy(by, "resample").agg(F.avg("x").alias("mean"))
+    return _with_interval(totals, means, "mean", metric, confidence, by)
+
+
+def _with_interval(totals: DataFrame, values: DataFrame, value: str, metric: str, confidence: float, by: str) -> DataFrame:
+    """The percentile interval of `value` beside each group's estimate; there are as many values as resamples."""
+    tail = (1 - confidence) / 2
+    ends = values.groupBy(by).agg(F.percentile(value, F.array(F.lit(tail), F.lit(1 - tail))).alias("ends"))
+    got = totals.join(ends, by, "left")
+    return got.select(by, F.lit(metric).alias("metric"), "estimate", F.col("ends")[0].alias("ci_low"), F.col("ends")[1].alias("ci_high"), "n")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf.sort_values(keys)[pnl].to_numpy(float) if keys else pdf[pnl].to_numpy(float)
-        x = (x > 0).astype(float) if metric == "win_rate" else x
-        rng = np.random.default_rng(seed)
-        low, high = _interval(np.array([x[rng.integers(0, len(x), len(x))].mean() for _ in range(resamples)]), confidence)
-        return pd.DataFrame([(pdf[by].iloc[0], metric, x.mean(), low, high, len(x))], columns=[by, "metric", "estimate", "ci_low", "ci_high", "n"])
 
-    return trades.select(by, pnl, *keys).groupBy(by).applyInPandas(run, f"{by} string, metric string, estimate double, ci_low double, ci_high double, n long")
+_NOTHING = "named_struct('s', 0D, 'q', 0D, 'top', cast('-Infinity' AS double), 'low', cast('Infinity' AS double), 'fall', 0D)"
 
 
-def path_metric(pnl: np.ndarray, metric: str) -> float:
-    """max_drawdown (from the first equity on) or the annualised sharpe of a path."""
-    if metric == "max_drawdown":
-        equity = np.cumsum(pnl)
-        return float((equity - np.maximum.accumulate(equity)).min())
-    s = pnl.std(ddof=1)
-    return float(np.sqrt(252) * pnl.mean() / s) if s > 0 else float("nan")
+def _summed(values: str) -> str:
+    """SQL: of an array of daily results its sum, sum of squares, highest and lowest point of the running sum, and deepest fall."""
+    top = "greatest(a.top, a.s + x)"
+    step = f"named_struct('s', a.s + x, 'q', a.q + x * x, 'top', {top}, 'low', least(a.low, a.s + x), 'fall', least(a.fall, a.s + x - {top}))"
+    return f"aggregate({values}, {_NOTHING}, (a, x) -> {step})"
+
+
+def _joined(parts: str) -> str:
+    """SQL: the same of stretches put one after another."""
+    step = "named_struct('s', a.s + b.s, 'q', a.q + b.q, 'top', greatest(a.top, a.s + b.top), 'low', least(a.low, a.s + b.low), 'fall', least(a.fall, b.fall, a.s + b.low - a.top))"
+    return f"aggregate({parts}, {_NOTHING}, (a, b) -> {step})"
 
 
 def block_bootstrap_interval(daily: DataFrame, metric: str = "max_drawdown", block: int = 20, resamples: int = 1000, confidence: float = 0.90, seed: int = 0, by: str = "strategy") -> DataFrame:
-    """As bootstrap_interval(), of a path of daily_pnl resampled in moving blocks; null for paths shorter than a block or 10."""
-    require(metric in ("max_drawdown", "sharpe"), "metric must be max_drawdown or sharpe")
+    """As bootstrap_interval(), of a path of daily_pnl resampled in moving blocks; null for paths shorter than a block or 10.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf.sort_values("date")["daily_pnl"].to_numpy(float)
-        row = [pdf[by].iloc[0], metric, path_metric(x, metric) if len(x) > 1 else None, None, None, len(x)]
-        if len(x) >= max(10, block):
-            rng = np.random.default_rng(seed)
-            starts = rng.integers(0, len(x) - block + 1, (resamples, -(-len(x) // block)))
-            paths = x[(starts[:, :, None] + np.arange(block)).reshape(resamples, -1)[:, : len(x)]]
-            got = np.array([path_metric(p, metric) for p in paths])
-            got = got[np.isfinite(got)]
-            if len(got):
-                row[3:5] = _interval(got, confidence)
-        return pd.DataFrame([row], columns=[by, "metric", "estimate", "ci_low", "ci_high", "n"])
-
-    return daily.select(by, "date", "daily_pnl").groupBy(by).applyInPandas(run, f"{by} string, metric string, estimate double, ci_low double, ci_high double, n long")
+    Metrics are max_drawdown (from the first equity on) and the annualised sharpe.  A stretch of days is known by five numbers,
+    which put together give those of a path: a resample is as many rows as it has blocks, and its days are never laid out.  The
+    last block of a path is cut to the path's length.
+    """
+    require(metric in ("max_drawdown", "sharpe"), "metric must be max_drawdown or sharpe")
+    days = daily.where(null_if_nan("daily_pnl").isNotNull()).select(by, "date", F.col("daily_pnl").alias("x"))
+    days = running(days, [by], ["date"], {"rank": F.lit(1)}, {"n": "rank"}).select(by, (F.col("rank") - 1).alias("at"), "x", "n")
+    pieces = F.ceil(F.col("n") / block)
+    ahead = Window.partitionBy(by).orderBy("at").rowsBetween(0, block - 1)
+    held = days.withColumn("xs", F.collect_list("x").over(ahead)).withColumn("part", (F.col("n") - (pieces - 1) * block).cast("int"))
+    held = stored(held.select(by, "at", "n", F.expr(_summed("xs")).alias("whole"), F.expr(_summed("slice(xs, 1, part)")).alias("cut")))
+    lengths = held.groupBy(by).agg(F.max("n").alias("n")).withColumn("pieces", pieces)
+    drawn = draws(lengths.where(F.col("n") >= max(10, block)), [by], resamples, seed, F.col("pieces"), F.col("n") - block + 1).select(by, "resample", "draw", "at")
+    itself = lengths.select(by, F.lit(-1).alias("resample"), F.explode(F.expr("sequence(0L, pieces - 1)")).alias("draw")).select("*", (F.col("draw") * block).alias("at"))
+    last = F.ceil(F.col("n") / block) - 1
+    rows = drawn.unionByName(itself).join(held, [by, "at"]).select(by, "resample", "n", "draw", F.when(F.col("draw") == last, F.col("cut")).otherwise(F.col("whole")).alias("p"))
+    paths = rows.groupBy(by, "resample", "n").agg(F.expr(_joined("transform(array_sort(collect_list(struct(draw, p))), y -> y.p)")).alias("p"))
+    variance = (F.col("p.q") - F.col("p.s") * F.col("p.s") / F.col("n")) / (F.col("n") - 1)
+    sharpe = F.when((F.col("n") > 1) & (variance > 1e-14 * F.col("p.q") / F.col("n")), math.sqrt(252) * F.col("p.s") / F.col("n") / F.sqrt(variance))
+    paths = stored(paths.select(by, "resample", "n", (F.col("p.fall") if metric == "max_drawdown" else sharpe).alias("value")))
+    estimate = paths.where("resample = -1").select(by, F.when(F.col("n") > 1, F.col("value")).alias("estimate"), "n")
+    return _with_interval(estimate, paths.where("resample >= 0"), "value", metric, confidence, by)
 
 
 def volatility_target(volatility: Column | str, target: float = 0.02, cap: float = 3.0, floor: float = 1e-6) -> Column:

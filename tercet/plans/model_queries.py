@@ -169,11 +169,22 @@ register("pf4_calendar_sharpe", lambda f: portfolio.calendar_sharpe(f.trades, ["
 register("pf6_shared_leg_clusters", lambda f: _clusters(f), "SELECT 0 AS cluster_id, string_agg(triplet_id, ';' ORDER BY triplet_id) AS triplets, count(*) AS cluster_size, (SELECT string_agg(DISTINCT s, ';' ORDER BY s) FROM (SELECT unnest([hedge_symbol_1, hedge_symbol_2]) AS s FROM c_triplets)) AS shared_legs, false AS independent_bet FROM c_triplets UNION ALL SELECT 1, 'X_P_Q', 1, '', true")
 _P = "successes / n"
 register("pf7_wilson_intervals", lambda f: portfolio.wilson_intervals(f.trades), f"SELECT strategy, successes, n, 0.9::DOUBLE AS confidence, {r(f'{_P} AS rate', f'greatest(0, ({_P} + z * z / (2 * n) - z * sqrt(({_P} * (1 - {_P}) + z * z / (4 * n)) / n)) / (1 + z * z / n)) AS ci_low', f'least(1, ({_P} + z * z / (2 * n) + z * sqrt(({_P} * (1 - {_P}) + z * z / (4 * n)) / n)) / (1 + z * z / n)) AS ci_high')} FROM (SELECT strategy, count(CASE WHEN net_pnl > 0 THEN 1 END) AS successes, count(*) AS n, 1.6448536269514722::DOUBLE AS z FROM c_trades GROUP BY strategy)")
-register("pf8_bootstrap_intervals", lambda f: portfolio.bootstrap_interval(f.trades, "mean_pnl"))
-register("pf9_block_bootstrap_intervals", lambda f: portfolio.block_bootstrap_interval(portfolio.equity_curve(f.trades)))
+part("c_draws", "SELECT strategy, n, i, floor((CAST('0x' || substr(md5('0|' || q || '|' || (i // 4)), (i % 4 * 8 + 1)::INTEGER, 8) AS BIGINT)) / 4294967296.0 * n)::BIGINT AS place, q FROM (SELECT strategy, n, q, unnest(range(n)) AS i FROM (SELECT strategy, count(*) AS n FROM c_trades GROUP BY strategy HAVING count(*) > 1), (SELECT unnest(range(2000)) AS q))")
+part("c_placed_trades", "SELECT strategy, net_pnl, row_number() OVER (PARTITION BY strategy ORDER BY pnl_date, event_id) - 1 AS place FROM c_trades")
+part("c_mean_intervals", "SELECT strategy, quantile_cont(m, 0.05) AS low, quantile_cont(m, 0.95) AS high FROM (SELECT d.strategy, d.q, avg(t.net_pnl) AS m FROM c_draws d JOIN c_placed_trades t USING (strategy, place) GROUP BY d.strategy, d.q) GROUP BY strategy")
+part("c_means", "SELECT strategy, avg(net_pnl) AS estimate, count(*) AS n FROM c_trades GROUP BY strategy")
+part("c_days", "SELECT strategy, daily_pnl AS x, row_number() OVER (PARTITION BY strategy ORDER BY date) - 1 AS place, count(*) OVER (PARTITION BY strategy) AS n FROM c_equity")
+part("c_block_draws", "SELECT strategy, n, q, i, floor((CAST('0x' || substr(md5('0|' || q || '|' || (i // 4)), (i % 4 * 8 + 1)::INTEGER, 8) AS BIGINT)) / 4294967296.0 * (n - 19))::BIGINT AS place FROM (SELECT strategy, n, q, unnest(range(ceil(n / 20)::BIGINT)) AS i FROM (SELECT DISTINCT strategy, n FROM c_days WHERE n >= 20), (SELECT unnest(range(1000)) AS q))")
+part("c_block_paths", "SELECT b.strategy, b.q, b.i * 20 + k AS t, d.x FROM c_block_draws b JOIN (SELECT unnest(range(20)) AS k) ON b.i * 20 + k < b.n JOIN c_days d ON d.strategy = b.strategy AND d.place = b.place + k UNION ALL SELECT strategy, -1, place, x FROM c_days")
+part("c_block_equity", "SELECT strategy, q, t, sum(x) OVER (PARTITION BY strategy, q ORDER BY t) AS e FROM c_block_paths")
+part("c_block_falls", "SELECT strategy, q, min(e - peak) AS v FROM (SELECT *, max(e) OVER (PARTITION BY strategy, q ORDER BY t) AS peak FROM c_block_equity) GROUP BY strategy, q")
+register("pf8_bootstrap_intervals", lambda f: portfolio.bootstrap_interval(f.trades, "mean_pnl"), f"SELECT strategy, 'mean_pnl' AS metric, {r('estimate', 'low AS ci_low', 'high AS ci_high')}, n FROM c_means LEFT JOIN c_mean_intervals USING (strategy)")
+part("c_fall_intervals", "SELECT strategy, max(CASE WHEN q = -1 THEN v END) AS estimate, quantile_cont(CASE WHEN q >= 0 THEN v END, 0.05) AS low, quantile_cont(CASE WHEN q >= 0 THEN v END, 0.95) AS high FROM c_block_falls GROUP BY strategy")
+register("pf9_block_bootstrap_intervals", lambda f: portfolio.block_bootstrap_interval(portfolio.equity_curve(f.trades)), f"SELECT strategy, 'max_drawdown' AS metric, round(estimate, 6) + 0.0 AS estimate, round(low, 6) + 0.0 AS ci_low, round(high, 6) + 0.0 AS ci_high, n FROM c_fall_intervals JOIN (SELECT strategy, count(*) AS n FROM c_days GROUP BY strategy) USING (strategy)")
 _DAYS = "(SELECT strategy, unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS d FROM (SELECT DISTINCT strategy FROM c_trades), (SELECT min(pnl_date) AS lo, max(pnl_date) AS hi FROM c_trades))"
 register("pf2_calendar_pnl", lambda f: portfolio.calendar_pnl(f.trades), f"SELECT strategy, CAST(CAST(d AS DATE) AS VARCHAR) AS day, {r('coalesce(p, 0) AS daily_pnl')} FROM {_DAYS} LEFT JOIN (SELECT strategy, pnl_date AS d, sum(net_pnl) AS p FROM c_trades GROUP BY ALL) USING (strategy, d) WHERE isodow(d) < 6".replace("AS day", "AS date"))
-register("pf16_confidence_table", lambda f: portfolio.confidence_table(f.trades))
+_WILSON = SQL["pf7_wilson_intervals"].rsplit("\nSELECT", 1)[1]
+register("pf16_confidence_table", lambda f: portfolio.confidence_table(f.trades), f"SELECT strategy, 'win_rate' AS metric, 'wilson_score' AS method, rate AS point_estimate, ci_low, ci_high, confidence, n AS n_trades FROM (SELECT{_WILSON}) UNION ALL SELECT strategy, 'mean_pnl', 'percentile_bootstrap', {r('estimate')}, {r('low')}, {r('high')}, 0.9::DOUBLE, n FROM c_means LEFT JOIN c_mean_intervals USING (strategy)")
 _U = "(CAST('0x' || substr(md5(event_id || '|{k}'), 1, 8) AS BIGINT) + 0.5) / 4294967296.0"
 register("pf17_placeholder_predictions", lambda f: models.placeholder_predictions(f.labels), f"SELECT event_id, triplet_id, method, event_date, 'placeholder' AS split, {r('p AS predicted_reversion_probability')}, 0.6::DOUBLE AS classification_threshold, CAST(p >= 0.6 AS INTEGER) AS predicted_label, label FROM (SELECT *, least(0.95, greatest(0.05, 0.38 + 0.32 * label + 0.16 * sqrt(-2 * ln({_U.format(k=0)})) * cos(2 * pi() * {_U.format(k=1)}))) AS p FROM c_labels)")
 register("pf10_volatility_targeting", lambda f: _targeted(f), f"SELECT event_id, strategy, {r('size AS position_size', 'size * spread_pnl_units AS gross_pnl', 'size * spread_pnl_units - 0.05 * size AS net_pnl', '2 * size AS turnover')} FROM (SELECT t.event_id, t.strategy, t.spread_pnl_units, least(3.0, greatest(0.0, 0.02 / greatest(m.residual_volatility, 1e-6))) AS size FROM c_trades t JOIN c_matrix m USING (event_id) WHERE m.residual_volatility IS NOT NULL)")
