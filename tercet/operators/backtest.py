@@ -43,6 +43,7 @@ class Cost:
 DEFAULT_COSTS = (Cost("zero_cost"), Cost("low_cost", 0.005, 0.01, 0.005), Cost("base_cost", 0.01, 0.025, 0.015), Cost("high_cost", 0.02, 0.05, 0.03))
 
 
+# The default grid.
 @dataclass(frozen=True)
 class Grid:
     """Thresholds to combine; every stop level must exceed every entry threshold that it meets."""

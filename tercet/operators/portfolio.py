@@ -215,22 +215,42 @@ def buy_and_hold(prices: DataFrame, value: str = "adj_close") -> DataFrame:
     return daily.select("date", "daily_return", (F.exp(F.sum(F.log1p("daily_return")).over(w)) - 1).alias("cumulative_return"))
 
 
+def components(edges: DataFrame, most: int = 60) -> DataFrame:
+    """node, root: the least node that each node of `edges` (a, b) reaches; an edge from a node to itself makes it a node.
+
+    Each round every node takes the least root next to it, roots pass on the least that theirs have seen, and all jump to their
+    root's root: rounds grow with the logarithm of a chain's length.  An error, not a wrong result, where `most` do not suffice.
+    """
+    both = stored(edges.select("a", "b").union(edges.select("b", "a")).distinct())
+    label = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root"))
+    for _ in range(most):
+        near = both.join(label, F.col("b") == F.col("node")).groupBy("a").agg(F.min("root").alias("near"))
+        seen = label.join(near, F.col("node") == F.col("a")).select("node", "root", F.least("root", "near").alias("least"))
+        hooks = seen.groupBy(F.col("root").alias("r")).agg(F.min("least").alias("hook"))
+        hooked = stored(seen.join(hooks, F.col("root") == F.col("r")).select("node", F.col("root").alias("was"), F.least("least", "hook").alias("root")))
+        up = hooked.select(F.col("node").alias("r"), F.col("root").alias("further"))
+        label = stored(hooked.join(up, F.col("root") == F.col("r")).select("node", "was", F.least("root", "further").alias("root")))
+        if label.where("root <> was").isEmpty():
+            return label.select("node", "root")
+        label = label.select("node", "root")
+    raise RuntimeError("components did not settle")
+
+
 def shared_leg_clusters(triplets: DataFrame) -> DataFrame:
     """cluster_id (from 0, by least member), triplets, cluster_size, shared_legs, independent_bet.
 
-    Triplets that share a hedge leg are one cluster, also through others.  The least label spreads over legs and
-    triplets in turn, each round a stage table, until no label changes.  Legs shared by all members are listed, or all
-    legs where none is; a cluster of one lists none.  Ids with fewer than three parts are left out.
+    Triplets that share a hedge leg are one cluster, also through others: the components of the legs, of which there are as many
+    as symbols, with an edge between the legs of a triplet.  Legs shared by all members are listed, or all legs where none is; a
+    cluster of one lists none.  Ids with fewer than three parts are left out.
     """
     parts = F.split("triplet_id", "_")
     t = triplets.select("triplet_id").distinct().where(F.size(parts) >= 3)
-    legs = stored(t.select("triplet_id", F.explode(F.array_distinct(F.slice(parts, 2, 1000))).alias("leg")))
-    label, changes = legs.select("triplet_id", F.col("triplet_id").alias("c")).distinct(), True
-    while changes:  # labels only fall, so this ends
-        by_leg = legs.join(label, "triplet_id").groupBy("leg").agg(F.min("c").alias("c"))
-        now = stored(legs.join(by_leg, "leg").groupBy("triplet_id").agg(F.min("c").alias("c")).join(label.select("triplet_id", F.col("c").alias("was")), "triplet_id"))
-        changes = not now.where("c <> was").isEmpty()
-        label = now.select("triplet_id", "c")
+    held = t.select("triplet_id", F.array_distinct(F.slice(parts, 2, 1000)).alias("own"))
+    legs = stored(held.select("triplet_id", F.explode("own").alias("leg"), F.array_min("own").alias("least")))
+    roots = components(legs.select(F.col("least").alias("a"), F.col("leg").alias("b")).distinct())
+    joined = legs.where("leg = least").join(roots, F.col("leg") == F.col("node"))
+    first = joined.groupBy("root").agg(F.min("triplet_id").alias("c"))
+    label = stored(joined.join(first, "root").select("triplet_id", "c"))
     sizes = label.groupBy("c").agg(F.count("*").alias("cluster_size"), F.array_sort(F.collect_list("triplet_id")).alias("triplets"))
     by_leg = legs.join(label, "triplet_id").groupBy("c", "leg").agg(F.count_distinct("triplet_id").alias("k")).join(sizes.select("c", "cluster_size"), "c")
     both = by_leg.groupBy("c").agg(F.array_sort(F.collect_list(F.when(F.col("k") == F.col("cluster_size"), F.col("leg")))).alias("shared"), F.array_sort(F.collect_list("leg")).alias("legs"))

@@ -77,3 +77,19 @@ def test_no_trades_and_flat_paths(spark, trades):
     flat = spark.createDataFrame([("s", DAY + dt.timedelta(t), 0.1) for t in range(30)], "strategy string, date date, daily_pnl double")
     r = portfolio.block_bootstrap_interval(flat, "sharpe", resamples=5).first()
     assert (r.estimate, r.ci_low, r.n) == (None, None, 30) and portfolio.block_bootstrap_interval(flat, resamples=5).first().estimate == 0.0
+
+
+def test_components_of_chains_and_stars(spark):
+    """A long chain in mixed order, a ring, a star, a node alone; then clusters that hang together through such chains."""
+    order = np.random.default_rng(3).permutation(70)
+    chain = [(f"n{order[k]:02d}", f"n{order[k + 1]:02d}") for k in range(69)]
+    edges = [*chain, *((f"r{k}", f"r{(k + 1) % 9}") for k in range(9)), *(("s5", f"s{k}") for k in range(10)), ("z", "z")]
+    got = {r.node: r.root for r in portfolio.components(spark.createDataFrame(edges, "a string, b string").repartition(3), most=12).collect()}
+    want = {n: r for names, r in (([f"n{k:02d}" for k in range(70)], "n00"), ([f"r{k}" for k in range(9)], "r0"), ([f"s{k}" for k in range(10)], "s0"), (["z"], "z")) for n in names}
+    assert got == want
+    ids = [(f"T{k}_L{k:02d}_L{k + 1:02d}",) for k in range(30)] + [("A_P_P",), ("B_P_Q",), ("C_X_Y",), ("D_Y_X",)]
+    rows = portfolio.shared_leg_clusters(spark.createDataFrame(ids, "triplet_id string")).orderBy("cluster_id").collect()
+    assert [(r.cluster_id, len(r.triplets), r.shared_legs if r.cluster_size < 30 else len(r.shared_legs)) for r in rows] == [(0, 2, ["P"]), (1, 2, ["X", "Y"]), (2, 30, 31)]
+    with pytest.raises(RuntimeError):
+        portfolio.components(spark.createDataFrame(edges, "a string, b string"), most=1)
+    assert portfolio.shared_leg_clusters(spark.createDataFrame([], "triplet_id string")).count() == 0
