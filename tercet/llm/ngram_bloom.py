@@ -43,7 +43,7 @@ FLUSH, BUCKET = 2_000_000, 4_000_000
 #: A model of up to this size is broadcast.
 MOST_BYTES = 256 << 20
 #: Of a model that is broadcast, what passes through the driver at once.
-PART_BYTES = 16 << 20
+PART_BYTES = 8 << 20
 #: What a word is counted more than it was seen.
 ADD = 0.1
 #: Sizes of the histogram that weights come from: powers of two of a context's count; ratios, a quarter of an octave each.
@@ -266,19 +266,42 @@ def weigh(seen: np.ndarray, rounds: int = 200) -> np.ndarray:
     return np.minimum(w, 1 - 1e-6)[nearest]
 
 
+Part = tuple[int, list[int], np.ndarray, np.ndarray, np.ndarray, list[int]]  # n, buckets, keys, counts, cells, cells a bucket
+
+
+def exact_counts(keys: np.ndarray, words: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The count of each key among sorted `words`, or 0."""
+    if not len(words):
+        return np.zeros(len(keys), np.int64)
+    at = np.minimum(np.searchsorted(words, keys), len(words) - 1)
+    return np.where(words[at] == keys, counts[at], 0).astype(np.int64)
+
+
 @dataclass(frozen=True)
 class Loaded:
-    """A model's arrays, as workers hold them."""
+    """A model's parts, as workers hold them: each answers for the keys of its buckets, where it lies."""
+
+    parts: list[Part]
+    buckets: int
 
-    words: np.ndarray
-    counts: np.ndarray
-    filters: tuple[tuple[np.ndarray, np.ndarray], ...]
+    def _answers(self, n: int, keys: np.ndarray, answer: Callable) -> np.ndarray:
+        out, bucket = np.zeros(len(keys), np.int64), _bucket(keys, self.buckets)
+        for p in self.parts:
+            if p[0] == n:
+                own = np.flatnonzero((bucket >= p[1][0]) & (bucket <= p[1][-1]))
+                out[own] = answer(p, keys[own], bucket[own])
+        return out
 
     def count(self, keys: np.ndarray) -> np.ndarray:
-        if not len(self.words):
-            return np.zeros(len(keys), np.int64)
-        at = np.minimum(np.searchsorted(self.words, keys), len(self.words) - 1)
-        return np.where(self.words[at] == keys, self.counts[at], 0).astype(np.int64)
+        return self._answers(1, keys, lambda p, k, _: exact_counts(k, p[2], p[3]))
+
+    def level(self, n: int, keys: np.ndarray) -> np.ndarray:
+        def answer(p: Part, k: np.ndarray, bucket: np.ndarray) -> np.ndarray:
+            sizes = np.zeros(p[1][-1] - p[1][0] + 1, np.int64)
+            sizes[np.array(p[1]) - p[1][0]] = p[5]
+            return probe(k, p[4], np.concatenate([[0], sizes.cumsum()]), bucket - p[1][0])
+
+        return self._answers(n, keys, answer)
 
 
 def send(model: Model) -> list[Broadcast]:
@@ -301,15 +324,6 @@ def send(model: Model) -> list[Broadcast]:
     return out
 
 
-def load(parts: list[tuple], order: int, buckets: int) -> Loaded:
-    """A model from its parts, which come in the order of lengths and buckets."""
-    sizes = np.zeros((order + 1, buckets), np.int64)
-    for n, at, _, _, _, cells in parts:
-        sizes[n, at] = cells
-    join = lambda n, k: np.concatenate([p[k] for p in parts if p[0] == n] or [np.zeros(0, U64)])
-    return Loaded(join(1, 2), join(1, 3), tuple((join(n, 4), np.concatenate([[0], sizes[n].cumsum()])) for n in range(2, order + 1)))
-
-
 def interpolated(share: np.ndarray, found: list[tuple[np.ndarray, np.ndarray, np.ndarray]], weights: tuple[np.ndarray, ...]) -> np.ndarray:
     """The probability of each token from its smoothed share and, for each longer length, the n-gram's count, its context's count,
     and whether it lies within the text."""
@@ -392,14 +406,14 @@ def _here(rows: DataFrame, model: Model, keep: list[str], each: Callable, schema
         u, back = np.unique(keys, return_inverse=True)
         count = m.count(u)[back]
         found, context = [], np.concatenate([m.count(np.array([END])), count[:-1]]).astype(float)
-        for (longer, inside), (cells, offsets) in zip(ngrams(keys, first, bare.order), m.filters, strict=True):
-            level = probe(longer, cells, offsets, _bucket(longer, bare.buckets))
+        for n, (longer, inside) in enumerate(ngrams(keys, first, bare.order), 2):
+            level = m.level(n, longer)
             found.append((read_counts(level), context, inside))
             context = np.concatenate([[0.0], context_counts(level)[:-1]])
         return count, found
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, told = load([p.value for p in sent], bare.order, bare.buckets), []
+        m, told = Loaded([p.value for p in sent], bare.buckets), []
         for batch in batches:
             data, off = utf8(batch.column(len(keep)))
             for lo, hi in blocks(off):
@@ -458,7 +472,7 @@ def _apart(rows: DataFrame, model: Model, keep: list[str], each: Callable, schem
             if theirs.num_rows and len(k):
                 r = {c: theirs.column(c)[0].as_py() for c in ("keys", "counts", "cells")}
                 if n == 1:
-                    value = Loaded(np.frombuffer(r["keys"], U64), np.frombuffer(r["counts"], "<u8"), ()).count(k)
+                    value = exact_counts(k, np.frombuffer(r["keys"], U64), np.frombuffer(r["counts"], "<u8"))
                 else:
                     cells = np.frombuffer(r["cells"], U64)
                     value = probe(k, cells, np.array([0, len(cells)]), np.zeros(len(k), np.int64)).astype(np.int64)
