@@ -12,12 +12,14 @@ from tercet.operators import backtest, features, kalman, metrics, models, portfo
 from tercet.operators.residuals import GROUP
 from tercet.plans.frames import FEATURES, Frames, rounded
 from tercet.sources.stages import stored
-from tercet.plans.oracle import CORR, PERFORMANCE, RULE, SUMMARY, part, query, r
+from tercet.plans.oracle import CORR, PERFORMANCE, REGIME, RULE, SUMMARY, part, query, r
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 COSTS = (*backtest.DEFAULT_COSTS, backtest.Cost("borrow", 0.01, 0.025, 0.015, 2.0))
 GRID = backtest.Grid()
+#: Events begin at extreme z-scores, where a reversion is never likely at once: the threshold that tells their days apart.
+EVENT_REGIME = 0.01
 NUMERIC = ["entry_z_score", "entry_abs_z", "z_score", "residual", *features.RESIDUAL_FEATURES, *features.COEFFICIENT_FEATURES, *features.MARKET_FEATURES]
 MODEL_COLUMNS = ["entry_abs_z", "residual_change", "residual_volatility", "residual_autocorrelation", "rolling_r_squared", "target_return_volatility", "market_return", "anchor_correlation", "recent_drawdown", "volume_shock"]
 
@@ -219,16 +221,16 @@ register("st7_fractional_weights", lambda f: f.spark.createDataFrame(list(enumer
 register("st8_fractional_diff", lambda f: stationarity.fractional_diff(f.panel, 0.4, threshold=1e-2).select("symbol", "date", "fractional_diff"), f"SELECT symbol, date, round({' + '.join(f'{w!r} * lag(log_price, {k}) OVER o' for k, w in enumerate(_W))}, 6) + 0.0 AS fractional_diff FROM c_panel WINDOW o AS (PARTITION BY symbol ORDER BY date)")
 register("st10_null_hypothesis_check", lambda f: stationarity.null_hypothesis_check(f.spark))
 register("hm4_regime_parameters", lambda f: regimes.regime_parameters(f.scored))
-register("hm8_regime_probabilities", lambda f: regimes.regime_probabilities(f.scored))
+_PROBABILITIES = [*(f"state_{i}_probability" for i in range(3)), *(f"{n}_probability" for n in regimes.REGIMES)]
+register("hm8_regime_probabilities", lambda f: regimes.regime_probabilities(f.scored, model=REGIME), f"SELECT triplet_id, method, date, {r('feature_value', *_PROBABILITIES, 'log_likelihood')}, most_likely_state, most_likely_regime, viterbi_state, viterbi_regime FROM c_regimes")
+register("hm8_fitted_regimes", lambda f: regimes.regime_probabilities(f.scored))
 register("hm9_regimes_by_triplet", lambda f: regimes.regime_probabilities(f.scored, by=["triplet_id"]).groupBy("triplet_id", "viterbi_regime").count())
-register("hm11_regime_filter", lambda f: _filtered(f).select("event_id", "mean_reverting_probability", "allowed_by_regime_filter"), f"SELECT event_id, {r('p AS mean_reverting_probability')}, coalesce(p > 0.6, false) AS allowed_by_regime_filter FROM (SELECT event_id, CASE WHEN e.method = 'rolling_ols' AND abs(z_score) IS NOT NULL THEN 1 / (1 + abs(z_score) / 4) END AS p FROM c_events e)")
-register("hm12_performance_by_regime", lambda f: regimes.performance_by_regime(f.trades.join(_filtered(f).select("event_id", "mean_reverting_probability"), "event_id")), f"SELECT strategy, CASE WHEN coalesce(p > 0.6, false) THEN 'above_threshold' ELSE 'below_threshold' END AS regime_bucket, count(*) AS trade_count, {r('avg(p) AS average_mean_reverting_probability', 'sum(label) / count(label) AS success_rate', 'sum(net_pnl) AS net_pnl', 'avg(net_pnl) AS average_net_pnl', 'sum(turnover) AS turnover', digits=5)}, 0.6::DOUBLE AS regime_probability_threshold FROM (SELECT t.*, CASE WHEN t.method = 'rolling_ols' THEN 1 / (1 + entry_abs_z / 4) END AS p FROM c_trades t) GROUP BY 1, 2", 5)
+register("hm11_regime_filter", lambda f: _filtered(f).select("event_id", "mean_reverting_probability", "most_likely_regime", "viterbi_regime", "allowed_by_regime_filter"),
+         f"SELECT event_id, {r('mean_reverting_probability')}, most_likely_regime, viterbi_regime, coalesce(mean_reverting_probability > {EVENT_REGIME}, false) AS allowed_by_regime_filter FROM c_events e LEFT JOIN c_regimes g ON g.triplet_id = e.triplet_id AND g.method = e.method AND g.date = e.event_date")
+register("hm12_performance_by_regime", lambda f: regimes.performance_by_regime(f.trades.join(_filtered(f).select("event_id", "mean_reverting_probability"), "event_id"), EVENT_REGIME),
+         f"SELECT strategy, CASE WHEN coalesce(p > {EVENT_REGIME}, false) THEN 'above_threshold' ELSE 'below_threshold' END AS regime_bucket, count(*) AS trade_count, {r('avg(p) AS average_mean_reverting_probability', 'sum(label) / count(label) AS success_rate', 'sum(net_pnl) AS net_pnl', 'avg(net_pnl) AS average_net_pnl', 'sum(turnover) AS turnover', digits=5)}, {EVENT_REGIME}::DOUBLE AS regime_probability_threshold FROM (SELECT t.*, g.mean_reverting_probability AS p FROM c_trades t JOIN c_events e USING (event_id) LEFT JOIN c_regimes g ON g.triplet_id = e.triplet_id AND g.method = e.method AND g.date = e.event_date) GROUP BY 1, 2", 5)
 
 
 def _filtered(f: Frames) -> DataFrame:
-    """Events beside stand-in regimes of one method: the nearer the z-score to zero, the likelier a reversion."""
-    p = 1 / (1 + F.abs("z_score") / 4)
-    days = f.scored.where("method = 'rolling_ols' and z_score is not null").select(*GROUP, "date", p.alias("mean_reverting_probability"), F.lit("x").alias("most_likely_regime"), F.lit("x").alias("viterbi_regime"))
-    return regimes.trade_filter(f.events, days)
-
-
+    """Events beside the regimes of their day."""
+    return regimes.trade_filter(f.events, regimes.regime_probabilities(f.scored_table, model=REGIME), EVENT_REGIME)

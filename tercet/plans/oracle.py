@@ -4,6 +4,10 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
+
+from tercet.operators.regimes import HMM, REGIMES, regime_labels, sticky
+
 #: Common table expressions; each may use those above it.
 PARTS: dict[str, str] = {}
 
@@ -44,7 +48,7 @@ def dates_as_text(select: str) -> str:
 
 
 #: Parts that several others read: computed once.
-SHARED = ("c_panel", "c_obs", "c_scored", "c_n", "c_events", "c_paths", "c_labels")
+SHARED = ("c_panel", "c_obs", "c_scored", "c_n", "c_events", "c_paths", "c_labels", "c_hmm_x", "c_hmm_f")
 
 
 def query(select: str) -> str:
@@ -147,6 +151,23 @@ part("c_both_resid", "SELECT triplet_id, method, date, residual FROM c_filtered
 part("c_both_lagged", "SELECT *, lag(residual) OVER (PARTITION BY triplet_id, method ORDER BY date) AS l FROM c_both_resid")
 part("c_both_summary", PARTS["c_summary"].replace("c_lagged", "c_both_lagged"))
 
+# Regimes of a given model: forward weights and best scores, then backward weights and the best path, a row further a step
+REGIME = HMM(np.full(3, 1 / 3), sticky(3, 0.9), np.array([0.1, 1.5, -0.2]), np.array([0.4, 0.6, 5.0]))
+_S, _N, _T = (1, 2, 3), regime_labels(REGIME.mean, REGIME.variance), REGIME.transition
+_lowest = lambda *v: f"CASE WHEN {v[0]} >= {v[1]} AND {v[0]} >= {v[2]} THEN 0 WHEN {v[1]} >= {v[2]} THEN 1 ELSE 2 END"
+_each = lambda text: ", ".join(text(i) for i in _S)
+_option = lambda i, j: f"d{i} + ln({float(_T[i - 1, j - 1])!r}::DOUBLE)"
+part("c_hmm_x", f"""SELECT triplet_id, method, date, z_score AS x, row_number() OVER (PARTITION BY triplet_id, method ORDER BY date, z_score) AS t, count(*) OVER (PARTITION BY triplet_id, method) AS n,
+  {_each(lambda i: f"greatest(exp(-0.5 * (z_score - {float(REGIME.mean[i - 1])!r}) ** 2 / {float(REGIME.variance[i - 1])!r}) / sqrt(2 * pi() * {float(REGIME.variance[i - 1])!r}), 1e-300) AS e{i}")} FROM c_scored WHERE z_score IS NOT NULL""")
+part("c_hmm_f", f"""/*recursive*/ SELECT triplet_id, method, t, n, {_each(lambda i: f"e{i}")}, (e1 + e2 + e3) / 3 AS s, {_each(lambda i: f"e{i} / (e1 + e2 + e3) AS a{i}")}, {_each(lambda i: f"ln(1 / 3) + ln(e{i}) AS d{i}")}, [0, 0, 0] AS back FROM c_hmm_x WHERE t = 1 AND n >= 9
+  UNION ALL SELECT triplet_id, method, t, n, {_each(lambda i: f"e{i}")}, p1 + p2 + p3, {_each(lambda i: f"p{i} / (p1 + p2 + p3)")}, {_each(lambda j: f"greatest({_each(lambda i: _option(i, j))}) + ln(e{j})")}, [{_each(lambda j: _lowest(*(_option(i, j) for i in _S)))}]
+  FROM (SELECT o.*, d1, d2, d3, {_each(lambda j: f"({' + '.join(f'a{i} * {float(_T[i - 1, j - 1])!r}' for i in _S)}) * o.e{j} AS p{j}")} FROM c_hmm_f f JOIN c_hmm_x o ON o.triplet_id = f.triplet_id AND o.method = f.method AND o.t = f.t + 1)""")
+part("c_hmm_b", f"""/*recursive*/ SELECT *, {_each(lambda i: f"1.0::DOUBLE AS b{i}")}, {_lowest("d1", "d2", "d3")} AS path FROM c_hmm_f WHERE t = n
+  UNION ALL SELECT f.*, {_each(lambda i: f"({' + '.join(f'{float(_T[i - 1, j - 1])!r} * b.e{j} * b.b{j}' for j in _S)}) / b.s")}, b.back[b.path + 1] FROM c_hmm_b b JOIN c_hmm_f f ON f.triplet_id = b.triplet_id AND f.method = b.method AND f.t = b.t - 1""")
+part("c_regimes", f"""SELECT triplet_id, method, date, x AS feature_value, {_each(lambda i: f"g{i} AS state_{i - 1}_probability")}, {", ".join(f"g{_N.index(n) + 1} AS {n}_probability" for n in REGIMES)}, top AS most_likely_state, ({_N!r})[top + 1] AS most_likely_regime,
+  path AS viterbi_state, ({_N!r})[path + 1] AS viterbi_regime, sum(ln(s)) OVER (PARTITION BY triplet_id, method) AS log_likelihood
+  FROM (SELECT *, {_lowest("g1", "g2", "g3")} AS top FROM (SELECT b.*, o.date, o.x, {_each(lambda i: f"a{i} * b{i} / (a1 * b1 + a2 * b2 + a3 * b3) AS g{i}")} FROM c_hmm_b b JOIN c_hmm_x o USING (triplet_id, method, t)))""")
+
 # Features
 part("c_market", "SELECT symbol, date, vwap / lag(vwap) OVER (PARTITION BY symbol ORDER BY date) - 1 AS simple_return, log_price, volume FROM c_panel")
 part("c_coef", """SELECT triplet_id, 'rolling_ols' AS method, date, beta_1, beta_2 FROM c_ols UNION ALL SELECT triplet_id, 'rolling_ridge', date, beta_1, beta_2 FROM c_ridge""")

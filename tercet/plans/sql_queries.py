@@ -1,7 +1,4 @@
-"""Overviews, reports and checks as queries over tables with planted faults, and their SQL.
-
-Tables that sequential models fill (filter states, regimes, tree splits) have stand-ins here that SQL can make, too.
-"""
+"""Overviews, reports and checks as queries over tables with planted faults, and their SQL."""
 
 from __future__ import annotations
 
@@ -11,16 +8,16 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tercet.operators import cleaning, features, hedges, metrics, models, portfolio, reports, residuals
+from tercet.operators import cleaning, features, hedges, kalman, metrics, models, portfolio, regimes, reports, residuals
 from tercet.plans.frames import Frames, rounded
-from tercet.plans.model_queries import _ALL_BUCKETS, _EVALUATION
-from tercet.plans.oracle import SUMMARY, part, query, r
+from tercet.plans.model_queries import _ALL_BUCKETS, _EVALUATION, _M, _NOISE, MODEL_COLUMNS
+from tercet.plans.oracle import REGIME, SUMMARY, part, query, r
 from tercet.sources import catalog
+from tercet.sources.stages import stored
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
-SPLITS = [("entry_abs_z", 0.03), ("volume_shock", 0.02), ("entry_abs_z", 0.01), ("market_return", 0.005)]
 # The same tables in SQL: assets lack a symbol, prices have repeated days, returns a stray day, and so on.
 _TABLES = {
     "assets": "SELECT symbol, 'equity' AS asset_type FROM c_symbols WHERE symbol <> 'ECONOMY'",
@@ -33,10 +30,10 @@ _TABLES = {
     "residual_diagnostics": "SELECT s.*, autocorr_1 AS residual_autocorr_1, h.half_life_estimate FROM c_summary s JOIN (SELECT triplet_id, method, arg_max_null(half_life_estimate, date) AS half_life_estimate FROM c_resid_panel GROUP BY triplet_id, method) h USING (triplet_id, method)",
     "residual_method_summary": "SELECT s.*, s.residual_std / nullif(b.residual_std, 0) AS std_ratio_vs_static, s.residual_abs_mean / nullif(b.residual_abs_mean, 0) AS abs_mean_ratio_vs_static FROM c_summary s LEFT JOIN c_summary b ON b.triplet_id = s.triplet_id AND b.method = 'static_ols_initial_window'",
     "hedge_ratios": "SELECT triplet_id, method, date, beta_1, beta_2 FROM c_coef",
-    "kalman_states": "SELECT triplet_id, method, date, 0.5 AS process_noise, 2.0 AS measurement_noise, alpha, beta_1, beta_2, abs(beta_1) AS state_cov_trace FROM (SELECT *, 'rolling_ols' AS method FROM c_ols UNION ALL SELECT *, 'rolling_ridge' FROM c_ridge)",
-    "kalman_residuals": "SELECT triplet_id, method, date, 0.5 AS process_noise, 2.0 AS measurement_noise, residual ** 2 AS residual_variance FROM c_resid WHERE method = 'rolling_ols'",
-    "regime_probabilities": "SELECT triplet_id, date, 1 / (1 + abs(z_score) / 4) AS mean_reverting_probability, 1 - 1 / (1 + abs(z_score) / 4) AS volatile_breakdown_probability FROM c_scored WHERE z_score IS NOT NULL",
-    "tree_splits": "SELECT * FROM (VALUES " + ", ".join(f"('{f}', {g}::DOUBLE)" for f, g in SPLITS) + ") t(feature, information_gain)",
+    "kalman_states": f"SELECT triplet_id, method, date, {_NOISE}, alpha, beta_1, beta_2, state_cov_trace FROM c_filtered",
+    "kalman_residuals": f"SELECT triplet_id, method, date, {_NOISE}, residual_variance FROM c_filtered WHERE triplet_id <> 'LARGE_ECONOMY_MEDIUM'",
+    "regime_probabilities": "SELECT triplet_id, date, mean_reverting_probability, volatile_breakdown_probability FROM c_regimes",
+    "tree_splits": f"SELECT [{', '.join(repr(c) for c in _M)}][f] AS feature, gain AS information_gain FROM c_tree_nodes WHERE f IS NOT NULL",
     "candidate_events": "SELECT event_id, triplet_id, method, event_date FROM c_events WHERE entry_abs_z < 3.2",
     "event_features": "SELECT event_id, triplet_id, event_date, method, label FROM c_matrix",
     "event_labels": "SELECT * FROM c_labels",
@@ -70,8 +67,8 @@ class CanonicalTables(Mapping):
         return getattr(self, name)()
 
     @cached_property
-    def noise(self) -> list:
-        return [F.lit(0.5).alias("process_noise"), F.lit(2.0).alias("measurement_noise")]
+    def filtered(self) -> DataFrame:
+        return stored(kalman.kalman_regression(self.f.obs))
 
     def assets(self) -> DataFrame:
         return cleaning.assets_table(self.f.triplets).where("symbol <> 'ECONOMY'").select("symbol", "asset_type")
@@ -106,17 +103,16 @@ class CanonicalTables(Mapping):
         return self.f.coefficients.select("triplet_id", "method", "date", "beta_1", "beta_2")
 
     def kalman_states(self) -> DataFrame:
-        return self.f.coefficients.select("triplet_id", "method", "date", *self.noise, "alpha", "beta_1", "beta_2", F.abs("beta_1").alias("state_cov_trace"))
+        return self.filtered.select("triplet_id", "method", "date", "process_noise", "measurement_noise", "alpha", "beta_1", "beta_2", "state_cov_trace")
 
     def kalman_residuals(self) -> DataFrame:
-        return self.f.scored_table.where("method = 'rolling_ols'").select("triplet_id", "method", "date", *self.noise, (F.col("residual") ** 2).alias("residual_variance"))
+        return self.filtered.where("triplet_id <> 'LARGE_ECONOMY_MEDIUM'").select("triplet_id", "method", "date", "process_noise", "measurement_noise", "residual_variance")
 
     def regime_probabilities(self) -> DataFrame:
-        p = 1 / (1 + F.abs("z_score") / 4)
-        return self.f.scored_table.where("z_score is not null").select("triplet_id", "date", p.alias("mean_reverting_probability"), (1 - p).alias("volatile_breakdown_probability"))
+        return regimes.regime_probabilities(self.f.scored_table, model=REGIME).select("triplet_id", "date", "mean_reverting_probability", "volatile_breakdown_probability")
 
     def tree_splits(self) -> DataFrame:
-        return self.f.spark.createDataFrame(SPLITS, "feature string, information_gain double")
+        return models.train_tree(self.f.matrix, MODEL_COLUMNS)["splits"].select("feature", "information_gain")
 
     def candidate_events(self) -> DataFrame:
         return self.f.events.where("entry_abs_z < 3.2").select("event_id", "triplet_id", "method", "event_date")
