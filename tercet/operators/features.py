@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tercet.functions.expressions import correlation, over, rows
 from tercet.guards import require, require_columns
-from tercet.operators.ordered import quantiles
+from tercet.operators.ordered import as_of, quantiles
 from tercet.sources.stages import dealt
 
 GROUP = ["triplet_id", "method"]
@@ -110,10 +110,8 @@ def pair_panel(grid: DataFrame, pairs: DataFrame, config: FeatureConfig = Featur
 
 
 def as_of_dates(events: DataFrame, grid: DataFrame) -> DataFrame:
-    """event_date, as_of: the last calendar date not after each event date (dates only, so few rows)."""
-    d = grid.select(F.col("date").alias("d"), F.col("date").alias("c")).distinct().union(events.select("event_date", F.lit(None).cast("date")).distinct())
-    got = d.groupBy("d").agg(F.max("c").alias("c"), F.lit(0).alias("one"))
-    return got.select(F.col("d").alias("event_date"), F.max("c").over(Window.partitionBy("one").orderBy("d")).alias("as_of"))
+    """event_date, as_of: the last calendar date not after each event date."""
+    return as_of(events.select("event_date").distinct(), grid.select("date").distinct(), [], "event_date", "date", [])
 
 
 def market_features(events: DataFrame, market: DataFrame, config: FeatureConfig = FeatureConfig(), keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:

@@ -54,3 +54,38 @@ def quantiles(df: DataFrame, by: list[str], value: str, shares: dict[str, float]
     same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__by_{c}")) for c in by])
     return keys.join(out.select(*(F.col(c).alias(f"__by_{c}") for c in by), *shares), same, "left").select(*by, *shares)
 
+
+def carried(df: DataFrame, by: list[str], order: list[str], what: str, out: str) -> DataFrame:
+    """`df` with `out`: the last value of `what` that is not null in rows of the same `by` up to and with this one, in `order`.
+
+    As in running(), no task holds a group: a range adds the last value of a group's earlier ranges.
+    """
+    dealt = stored(df.repartitionByRange(*by, *order).withColumn("__piece", F.spark_partition_id()))
+    there = F.when(F.col(what).isNotNull(), F.struct(*order))
+    pieces = dealt.groupBy(*by, "__piece").agg(F.max_by(what, there).alias("__last"))
+    before = Window.partitionBy(*(by or [F.lit(0)])).orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1)
+    parts = pieces.select(*(F.col(c).alias(f"__by_{c}") for c in by), F.col("__piece").alias("__at"), F.last("__last", True).over(before).alias("__before"))
+    inside = Window.partitionBy(*by, "__piece").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    got = dealt.withColumn("__in", F.last(what, True).over(inside))
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__by_{c}")) for c in by], F.col("__piece") == F.col("__at"))
+    return got.join(parts, same).select(*(F.col(f"`{c}`") for c in df.columns), F.coalesce("__in", "__before").alias(out))
+
+
+def as_of(left: DataFrame, right: DataFrame, by: list[str], time: str, right_time: str, columns: list[str], within: str | None = None) -> DataFrame:
+    """`left` with `columns` of the last row of `right` with the same `by` that is not later than it, and its time as `as_of`.
+
+    Times may be dates or timestamps, on either side.  Of rows of `right` at one time the greatest by `columns` counts; rows without
+    a time are seen by none and see none; nulls in `by` are a key.  within: an interval ('7 days'), beyond which nothing is seen.
+    """
+    clock = lambda c: F.col(f"`{c}`").cast("timestamp")
+    seen = F.struct(F.col(f"`{right_time}`").alias("as_of"), *(F.col(f"`{c}`") for c in columns))
+    rows = F.struct(*(F.col(f"`{c}`") for c in left.columns))
+    ours = left.select(*by, clock(time).alias("__t"), F.lit(1).alias("__side"), F.lit(None).alias("__seen"), rows.alias("__row"))
+    theirs = right.where(F.col(right_time).isNotNull()).select(*by, clock(right_time).alias("__t"), F.lit(0).alias("__side"), seen.alias("__seen"), F.lit(None).alias("__row"))
+    both = theirs.unionByName(ours)
+    got = carried(both, by, ["__t", "__side", "__seen"], "__seen", "__found").where("__side = 1")
+    near = F.col("__t").isNotNull()
+    if within is not None:
+        near = near & (F.col("__found.as_of").cast("timestamp") >= F.col("__t") - F.expr(f"INTERVAL {within}"))
+    found = F.when(near, F.col("__found"))
+    return got.select("__row.*", found.alias("__found")).select(*(F.col(f"`{c}`") for c in left.columns), "__found.*")

@@ -92,22 +92,64 @@ def fractional_weights(d: float, threshold: float = 1e-5, max_size: int = 10_000
     return w
 
 
-def fractional_diff(df: DataFrame, d: float, value: str = "log_price", by: str = "symbol", order: str = "date", threshold: float = 1e-5, max_size: int = 10_000, out: str = "fractional_diff") -> DataFrame:
-    """`df` with `out`: the weighted sum of a value and those before it; null for the first rows and beside nulls."""
-    w = fractional_weights(d, threshold, max_size)
-    frame = Window.partitionBy(by).orderBy(order).rowsBetween(-(len(w) - 1), 0)
-    back = F.array(*(F.lit(x) for x in reversed(w)))
-    total = F.aggregate(F.zip_with(F.collect_list(value).over(frame), back, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    return df.withColumn(out, F.when(F.count(value).over(frame) == len(w), total))
-
-
-def minimum_stationary_d(df: DataFrame, grid: tuple[float, ...] = tuple(k / 10 for k in range(11)), significance: float = 0.05, value: str = "log_price", by: str = "symbol", order: str = "date", threshold: float = 1e-3) -> DataFrame:
+def filtered(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """The sum of w[k] * x[t - k]; NaN for the first rows and where one of them is not finite.  Long filters go by Fourier transforms."""
+    n, m, whole = len(x), len(w), np.isfinite(x)
+    if n < m:
+        return np.full(n, np.nan)
+    level = np.where(whole, x, 0.0)
+    if m <= 64:
+        y = np.convolve(level, w)[:n]
+    else:
+        size = 1 << (n + m - 2).bit_length()
+        y = np.fft.irfft(np.fft.rfft(level, size) * np.fft.rfft(w, size), size)[:n]
+    held = np.concatenate([[0], np.cumsum(whole)])
+    y[: m - 1] = np.nan
+    y[m - 1 :][held[m:] - held[:-m] < m] = np.nan
+    return y
+
+
+def _by_block(w: np.ndarray):
+    @F.pandas_udf("array<double>")
+    def run(xs: pd.Series) -> pd.Series:
+        return pd.Series([filtered(np.asarray(x, float), w) for x in xs])
+
+    return run
+
+
+def fractional_diffs(df: DataFrame, ds: dict[str, float], value: str = "log_price", by: str = "symbol", order: str = "date", threshold: float = 1e-5, max_size: int = 10_000, block: int = 4096) -> DataFrame:
+    """`df` with a column for each d of `ds`: the weighted sum of a value and those before it; null for the first rows and beside
+    values that are not finite.
+
+    A series is filtered in blocks of `block` rows (or as many as there are weights), each after the rows before it that its first
+    weights reach, so that a row is in two blocks at most, and a series may be of any length.  All d are one pass.
+    """
+    weights = {out: np.array(fractional_weights(d, threshold, max_size)) for out, d in ds.items()}
+    reach = max(len(w) for w in weights.values()) - 1
+    size = max(block, reach)
+    rows = running(df, [by], [order], {"__rank": F.lit(1)})
+    at, own = F.col("__rank") - 1, F.floor((F.col("__rank") - 1) / size)
+    blocks = F.when(at % size >= size - reach, F.array(own, own + 1)).otherwise(F.array(own))
+    spread = rows.withColumn("__block", F.explode(blocks))
+    kept = F.when(F.col("__block") == own, F.struct(*(F.col(f"`{c}`") for c in df.columns)))
+    row = F.struct("__rank", F.col(value).cast("double").alias("__x"), kept.alias("__row"))
+    packed = spread.groupBy(by, "__block").agg(F.array_sort(F.collect_list(row)).alias("__rows"))
+    made = packed.select(F.col("__rows.__row").alias("__row"), *(_by_block(w)(F.col("__rows.__x")).alias(out) for out, w in weights.items()))
+    each = made.select(F.explode(F.arrays_zip("__row", *weights)).alias("__at")).where("__at.__row IS NOT NULL")
+    return each.select(*(F.col(f"__at.__row.`{c}`") for c in df.columns), *(null_if_nan(f"__at.`{out}`").alias(out) for out in weights))
+
+
+def fractional_diff(df: DataFrame, d: float, value: str = "log_price", by: str = "symbol", order: str = "date", threshold: float = 1e-5, max_size: int = 10_000, out: str = "fractional_diff", block: int = 4096) -> DataFrame:
+    """fractional_diffs() of one d."""
+    return fractional_diffs(df, {out: d}, value, by, order, threshold, max_size, block)
+
+
+def minimum_stationary_d(df: DataFrame, grid: tuple[float, ...] = tuple(k / 10 for k in range(11)), significance: float = 0.05, value: str = "log_price", by: str = "symbol", order: str = "date", threshold: float = 1e-5) -> DataFrame:
     """by, d, adf_p_value, correlation_with_level of the least d whose series passes the ADF test; null d if none does."""
-    tried = None
-    for d in sorted(grid):  # a column expression each; the test runs once, over all of them
-        one = fractional_diff(df.select(by, order, value), d, value, by, order, threshold, out="y").where("y IS NOT NULL").withColumn("d", F.lit(float(d)))
-        tried = one if tried is None else tried.unionByName(one)
-    tried = stored(tried)
+    ds = {f"__d{k}": float(d) for k, d in enumerate(sorted(grid))}  # one pass; the test runs once, over all of them
+    wide = fractional_diffs(df.select(by, order, value), ds, value, by, order, threshold)
+    each = F.explode(F.array(*(F.struct(F.lit(d).alias("d"), F.col(c).alias("y")) for c, d in ds.items()))).alias("tried")
+    tried = stored(wide.select(by, order, value, each).select(by, order, value, "tried.*").where("y IS NOT NULL"))
     corr = tried.groupBy(by, "d").agg(correlation(F.col(value), F.col("y")).alias("correlation_with_level"))
     tests = adf_by_group(tried, "y", [by, "d"], order).where("adf_statistic IS NOT NULL").join(corr, [by, "d"])
     first = tests.where(F.col("adf_p_value") <= significance).groupBy(by).agg(F.min_by(F.struct("d", "adf_p_value", "correlation_with_level"), "d").alias("x"))

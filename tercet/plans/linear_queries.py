@@ -113,7 +113,7 @@ adf_parts("c_fadf", "SELECT concat_ws('|', symbol, d::VARCHAR) AS g, date AS o,
 part("c_fadf_p", f"SELECT split_part(g, '|', 1) AS symbol, split_part(g, '|', 2)::DOUBLE AS d, {P_VALUE} AS p FROM c_fadf WHERE tau IS NOT NULL")
 register(
     "st9_minimum_stationary_d",
-    lambda f: stationarity.minimum_stationary_d(f.panel),
+    lambda f: stationarity.minimum_stationary_d(f.panel, threshold=1e-3),
     f"SELECT s.symbol, b.d, {r('b.p AS adf_p_value', 'b.c AS correlation_with_level', digits=5)} FROM c_symbols s LEFT JOIN (SELECT * FROM (SELECT p.symbol, p.d, p.p, corr(f.log_price, f.v) AS c FROM c_fadf_p p JOIN c_fractional f ON f.symbol = p.symbol AND f.d = p.d AND f.v IS NOT NULL WHERE p.p <= 0.05 GROUP BY p.symbol, p.d, p.p) QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY d) = 1) b USING (symbol)",
     5,
 )

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tercet.functions import expressions as x
 from tercet.operators import backtest, features, kalman, metrics, models, portfolio, regimes, stationarity
+from tercet.operators.ordered import as_of
 from tercet.operators.residuals import GROUP
 from tercet.plans.frames import FEATURES, Frames, rounded
 from tercet.sources.stages import stored
@@ -36,6 +37,9 @@ register("fe2_residual_features", lambda f: features.residual_panel(f.scored, FE
 register("fe7_coefficient_features", lambda f: features.coefficient_panel(f.coefficients, FEATURES), f"SELECT triplet_id, method, date, {r(*features.COEFFICIENT_FEATURES, digits=5)} FROM c_coef_panel", 5)
 register("fe8_market_features", lambda f: features.market_features(f.events, f.market, FEATURES, stored), f"SELECT event_id, {r(*features.MARKET_FEATURES)} FROM c_market_features")
 register("fe9_as_of_dates", lambda f: _off_calendar(f), "SELECT (event_date + 3)::DATE AS event_date, event_date AS as_of FROM (SELECT DISTINCT event_date FROM c_events)".replace("(event_date + 3)::DATE AS event_date, event_date AS as_of", "CAST(event_date + 3 AS VARCHAR) AS shifted, CAST(event_date AS VARCHAR) AS as_of"))
+register("fe9_as_of_prices", lambda f: _seen_prices(f), f"""SELECT event_id, symbol, strftime(moment, '%Y-%m-%d %H:%M') AS moment, CASE WHEN near THEN CAST(as_of AS VARCHAR) END AS as_of, {r('CASE WHEN near THEN adj_close END AS seen_price')} FROM (
+  SELECT e.*, p.date AS as_of, p.adj_close, p.date::TIMESTAMP >= moment - INTERVAL 1 DAY AS near FROM (SELECT event_id, target_symbol AS symbol, event_date::TIMESTAMP + to_hours(event_row % 12 * 24 + event_row % 24) AS moment FROM c_events) e
+  ASOF LEFT JOIN (SELECT symbol, date, adj_close FROM c_clean WHERE quality_flag = 'clean') p ON e.symbol = p.symbol AND e.moment >= p.date::TIMESTAMP)""")
 register("fe22_feature_outputs", lambda f: _outputs(f), f"SELECT 'feature_matrix' AS output, count(*) AS rows FROM c_matrix UNION ALL SELECT * FROM (VALUES ('feature_summary_statistics', {len(NUMERIC)}), ('feature_missingness_report', {len(NUMERIC) + len(features.METADATA) + len(features.LABELS)}), ('feature_correlation_matrix', {len(NUMERIC) * (len(NUMERIC) + 1) // 2}))")
 register("fe1_feature_matrix", lambda f: f.matrix, f"SELECT event_id, triplet_id, method, event_date, target_symbol, hedge_symbol_1, hedge_symbol_2, side, {r(*NUMERIC, digits=4)}, label, outcome, exit_reason, holding_period FROM c_matrix", 4)
 _STATS = " UNION ALL ".join(f"SELECT '{c}' AS feature, count({c}) AS count, {r(f'avg({c}) AS mean', f'stddev_samp({c}) AS std', f'min({c}) AS min', f'quantile_cont({c}, 0.25) AS p25', f'quantile_cont({c}, 0.5) AS median', f'quantile_cont({c}, 0.75) AS p75', f'max({c}) AS max', digits=4)} FROM c_matrix" for c in NUMERIC)
@@ -60,8 +64,15 @@ def _outputs(f: Frames) -> DataFrame:
 def _off_calendar(f: Frames) -> DataFrame:
     """The calendar date that events on Thursdays, three days after their week began, see."""
     late = f.events.withColumn("event_date", F.date_add("event_date", 3))
-    got = features.as_of_dates(late, features.market_grid(f.market)).join(late.select("event_date").distinct(), "event_date", "left_semi")
-    return got.select(F.col("event_date").alias("shifted"), "as_of")
+    return features.as_of_dates(late, features.market_grid(f.market)).select(F.col("event_date").alias("shifted"), "as_of")
+
+
+def _seen_prices(f: Frames) -> DataFrame:
+    """The price of its target that an event sees some days and hours after its week began; at most a day old."""
+    moment = F.col("event_date").cast("timestamp") + F.make_dt_interval(F.col("event_row") % 12, F.col("event_row") % 24)
+    late = f.events.select("event_id", F.col("target_symbol").alias("symbol"), moment.alias("moment"))
+    gaps = f.clean.where("quality_flag = 'clean'")
+    return as_of(late, gaps, ["symbol"], "moment", "date", ["adj_close"], "1 days").select("event_id", "symbol", F.date_format("moment", "yyyy-MM-dd HH:mm").alias("moment"), "as_of", F.col("adj_close").alias("seen_price"))
 
 
 # Models: splits, imputation, scoring; trained models have no SQL
@@ -216,9 +227,10 @@ register("kf4_kalman_residuals", lambda f: kalman.states_and_residuals(kalman.ka
 register("kf5_kalman_vs_rolling", lambda f: kalman.compare_with_rolling(kalman.kalman_regression(f.obs), f.residuals).drop("static_residual_std", "static_abs_mean", "std_ratio_vs_static", "abs_mean_ratio_vs_static"), f"SELECT triplet_id, method, n_obs, {r(*SUMMARY)} FROM c_both_summary")
 register("st3_adf_p_values", lambda f: f.spark.sql("SELECT explode(array(-6.0D, -3.43D, -3.0D, -2.86D, -2.6D, -2.57D, -1.0D, 0.0D, 2.0D)) AS tau").select("tau", x.adf_p_value("tau").alias("p")), f"SELECT tau::DOUBLE AS tau, {r('CASE WHEN tau <= -3.43 THEN greatest(0.001, 0.01 + (tau + 3.43) * 0.04 / 0.57) WHEN tau <= -2.86 THEN 0.01 + (tau + 3.43) * 0.04 / 0.57 WHEN tau <= -2.57 THEN 0.05 + (tau + 2.86) * 0.05 / 0.29 ELSE least(0.995, 0.05 + (tau + 2.86) * 0.05 / 0.29) END AS p')} FROM (SELECT unnest([-6.0, -3.43, -3.0, -2.86, -2.6, -2.57, -1.0, 0.0, 2.0]::DOUBLE[]) AS tau)")
 register("st4_benjamini_hochberg", lambda f: stationarity.benjamini_hochberg(f.predictions.select("event_id", (1 - F.col(models.P)).alias("p")), "p", 0.3).select("event_id", "fdr_reject"), "SELECT event_id, coalesce(1 - predicted_reversion_probability <= (SELECT max(p) FROM (SELECT 1 - predicted_reversion_probability AS p, row_number() OVER (ORDER BY 1 - predicted_reversion_probability) AS k, count(*) OVER () AS n FROM c_preds) WHERE p <= k * 0.3 / n), false) AS fdr_reject FROM c_preds")
-_W = stationarity.fractional_weights(0.4, 1e-2)
+_W = stationarity.fractional_weights(0.4)
 register("st7_fractional_weights", lambda f: f.spark.createDataFrame(list(enumerate(stationarity.fractional_weights(0.5, 1e-3))), "k int, w double"), f"SELECT k, {r('w')} FROM (WITH RECURSIVE g(k, w) AS (SELECT 0, 1.0::DOUBLE UNION ALL SELECT k + 1, -w * (0.5 - k) / (k + 1) FROM g WHERE k < 1000 AND abs(-w * (0.5 - k) / (k + 1)) >= 1e-3) SELECT * FROM g)")
-register("st8_fractional_diff", lambda f: stationarity.fractional_diff(f.panel, 0.4, threshold=1e-2).select("symbol", "date", "fractional_diff"), f"SELECT symbol, date, round({' + '.join(f'{w!r} * lag(log_price, {k}) OVER o' for k, w in enumerate(_W))}, 6) + 0.0 AS fractional_diff FROM c_panel WINDOW o AS (PARTITION BY symbol ORDER BY date)")
+register("st8_fractional_diff", lambda f: stationarity.fractional_diff(f.clean.where("quality_flag = 'clean'").select("symbol", "date", F.ln("adj_close").alias("log_price")), 0.4, block=1024).select("symbol", "date", "fractional_diff"),
+         f"SELECT symbol, date, round(CASE WHEN len(w) = {len(_W)} THEN list_inner_product(w, {_W[::-1]!r}) END, 6) + 0.0 AS fractional_diff FROM (SELECT symbol, date, list(ln(adj_close)) OVER (PARTITION BY symbol ORDER BY date ROWS BETWEEN {len(_W) - 1} PRECEDING AND CURRENT ROW) AS w FROM c_clean WHERE quality_flag = 'clean')")
 register("st10_null_hypothesis_check", lambda f: stationarity.null_hypothesis_check(f.spark))
 register("hm4_regime_parameters", lambda f: regimes.regime_parameters(f.scored))
 _PROBABILITIES = [*(f"state_{i}_probability" for i in range(3)), *(f"{n}_probability" for n in regimes.REGIMES)]
