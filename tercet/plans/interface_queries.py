@@ -4,19 +4,20 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tercet import guards
-from tercet.operators import backtest, events, features, hedges, metrics, portfolio, residuals
+from tercet.operators import backtest, cleaning, events, features, hedges, metrics, portfolio, residuals
 from tercet.plans.frames import CONFIG, WINDOW, Frames, rounded
 from tercet.plans.market_queries import _EVENT
 from tercet.plans.model_queries import _PERF, COSTS, GRID, NUMERIC
-from tercet.plans.oracle import query, r
+from tercet.plans.oracle import part, query, r
 from tercet.plans.sql_queries import NAMED, CanonicalTables
-from tercet.sources import catalog, panel
+from tercet.sources import catalog, panel, typed
 from tercet.sources.stages import shared_dir, stored
 
 QUERIES: dict = {}
@@ -62,6 +63,40 @@ def _catalogued(f: Frames) -> DataFrame:
         f.spark.sql(f"DROP DATABASE {c.database} CASCADE")
 
 
+def _typed_stores(f: Frames) -> DataFrame:
+    """step, outcome and rows of stores that plant faults: a symbol that assets lack, negative sizes, text for numbers, repeated keys;
+    then of labels stored again; at last the sum of what the labels' table holds."""
+    c = typed.TypedCatalog(f.spark, f"tercet_{uuid.uuid4().hex[:12]}")
+    late = F.when(F.col("holding_period") == 2, "two").otherwise(F.col("holding_period").cast("string"))
+    faulty = f.labels.withColumn("holding_period", late).withColumn("not_of_the_table", F.lit(1))
+    steps = {
+        "assets": ("assets", cleaning.assets_table(f.triplets).where("symbol <> 'ECONOMY'")),
+        "triplets": ("triplets", f.triplets),
+        "candidate_events": ("candidate_events", f.events.withColumn("entry_abs_z", F.when(F.col("entry_abs_z") > 3.2, -F.col("entry_abs_z")).otherwise(F.col("entry_abs_z")))),
+        "event_labels": ("event_labels", faulty.unionByName(faulty.where("holding_period = '3'"))),
+        "event_labels again": ("event_labels", f.labels.where("holding_period = 4").withColumn("holding_period", F.col("holding_period") + 100)),
+    }
+    try:
+        out = [c.merge(df, table).select(F.lit(step).alias("step"), "outcome", "rows") for step, (table, df) in steps.items()]
+        out.append(c.table("event_labels").agg(F.lit("held").alias("step"), F.lit("holding_period").alias("outcome"), F.sum("holding_period").alias("rows")))
+        return stored(reduce(DataFrame.unionByName, out))
+    finally:
+        f.spark.sql(f"DROP DATABASE {c.database} CASCADE")
+
+
+_LACKS = " ".join(f"WHEN {c} = 'ECONOMY' THEN 'reference {c}'" for c in ("target_symbol", "hedge_symbol_1", "hedge_symbol_2"))
+part("c_typed_triplets", f"SELECT triplet_id, CASE {_LACKS} END AS refusal FROM c_triplets")
+part("c_typed_events", "SELECT event_id, CASE WHEN entry_abs_z > 3.2 THEN 'range entry_abs_z' WHEN triplet_id NOT IN (SELECT triplet_id FROM c_typed_triplets WHERE refusal IS NULL) THEN 'reference triplet_id' END AS refusal FROM c_events")
+_NEEDED = " ".join(f"WHEN {c} IS NULL THEN 'missing {c}'" for c in typed.SPECS["event_labels"].needed)
+part("c_typed_labels", f"""SELECT holding_period, CASE {_NEEDED} WHEN holding_period = 2 THEN 'type holding_period' WHEN event_id NOT IN (SELECT event_id FROM c_typed_events WHERE refusal IS NULL) THEN 'reference event_id' WHEN holding_period = 3 THEN 'repeated key' END AS refusal
+  FROM (SELECT *, unnest(range(CASE WHEN holding_period = 3 THEN 2 ELSE 1 END)) AS copy FROM c_labels)""")
+part("c_typed", """SELECT 'assets' AS step, NULL AS refusal FROM d_assets UNION ALL SELECT 'triplets', refusal FROM c_typed_triplets UNION ALL SELECT 'candidate_events', refusal FROM c_typed_events
+  UNION ALL SELECT 'event_labels', refusal FROM c_typed_labels UNION ALL SELECT 'event_labels again', refusal FROM c_typed_labels WHERE holding_period = 4""")
+register("io5_typed_stores", _typed_stores, """SELECT step, refusal AS outcome, count(*) AS rows FROM c_typed WHERE refusal IS NOT NULL GROUP BY step, refusal
+  UNION ALL SELECT step, outcome, CASE WHEN (outcome = 'replaced') = (step = 'event_labels again') THEN n ELSE 0 END FROM (SELECT step, count(*) - count(refusal) AS n FROM c_typed GROUP BY step), (SELECT unnest(['added', 'replaced']) AS outcome)
+  UNION ALL SELECT 'held', 'holding_period', CAST(sum(holding_period + CASE WHEN holding_period = 4 THEN 100 ELSE 0 END) AS BIGINT) FROM c_typed_labels WHERE refusal IS NULL""")
+
+
 def _refused(f: Frames) -> DataFrame:
     """Settings and inputs that are refused, and whether they are."""
     frame = f.spark.sql("SELECT 1 AS label, 1.5D AS predicted_reversion_probability, 'up' AS side, 1.0D AS entry_z_score, 0.0D AS exit_z_score, CAST('NaN' AS DOUBLE) AS x")
