@@ -15,6 +15,7 @@ from tercet.operators import backtest, cleaning, events, features, hedges, metri
 from tercet.plans.frames import CONFIG, WINDOW, Frames, rounded
 from tercet.plans.market_queries import _EVENT
 from tercet.plans.model_queries import _PERF, COSTS, GRID, NUMERIC
+from tercet.plans.model_queries import SQL as MODEL_SQL
 from tercet.plans.oracle import part, query, r
 from tercet.plans.sql_queries import NAMED, CanonicalTables
 from tercet.sources import catalog, panel, typed
@@ -97,6 +98,12 @@ register("io5_typed_stores", _typed_stores, """SELECT step, refusal AS outcome,
   UNION ALL SELECT 'held', 'holding_period', CAST(sum(holding_period + CASE WHEN holding_period = 4 THEN 100 ELSE 0 END) AS BIGINT) FROM c_typed_labels WHERE refusal IS NULL""")
 
 
+def _faulty_matrix(f: Frames) -> DataFrame:
+    """The feature matrix with its successes twice, and without the ids of events held for two rows."""
+    twice = f.matrix.unionByName(f.matrix.where("label = 1"))
+    return twice.withColumn("event_id", F.when(F.col("holding_period") == 2, None).otherwise(F.col("event_id")))
+
+
 def _refused(f: Frames) -> DataFrame:
     """Settings and inputs that are refused, and whether they are."""
     frame = f.spark.sql("SELECT 1 AS label, 1.5D AS predicted_reversion_probability, 'up' AS side, 1.0D AS entry_z_score, 0.0D AS exit_z_score, CAST('NaN' AS DOUBLE) AS x")
@@ -141,7 +148,9 @@ register(
 )
 register("ml11_feature_columns", lambda f: f.spark.createDataFrame([(c,) for c in features.numeric_features(f.matrix)], "feature string"), "SELECT unnest([" + ", ".join(f"'{c}'" for c in NUMERIC) + "]) AS feature")
 register("pf5_ordered_strategies", lambda f: _ordered(f), f"SELECT strategy, {_PERF} FROM c_perf WHERE strategy <> 'baseline_rule_based'", 5)
-register("bt13_robustness", lambda f: backtest.robustness(f.traded, COSTS, GRID, 0.5)["summary"].select("strategy", "threshold_scenarios", "cost_scenarios"), "SELECT unnest(['baseline_rule_based', 'ml_filtered', 'ml_probability_sized']) AS strategy, (SELECT count(*) FROM c_rules) AS threshold_scenarios, (SELECT count(*) FROM c_costs) AS cost_scenarios")
+# The middle cost scenario is the cost of pf12's grid, so both are one table in SQL.
+QUERIES["bt13_robustness"] = lambda spark, sf_dir: rounded(backtest.robustness(Frames(spark, sf_dir).traded, COSTS, GRID, 0.5)["summary"], 5)
+SQL["bt13_robustness"] = MODEL_SQL["pf12_robustness_summary"]
 
 
 def _ordered(f: Frames) -> DataFrame:
@@ -168,3 +177,5 @@ STAGES = (
     "model_calibration_curve ml_backtest_trade_log ml_backtest_equity_curve ml_backtest_summary avoided_bad_trades_analysis transaction_cost_sensitivity"
 ).split()
 register("io8_stage_table_keys", lambda f: catalog.key_checks(_stage_tables(f)), "SELECT unnest([" + ", ".join(f"'{t}'" for t in STAGES) + "]) AS table_name, 0 AS repeated_keys, 0 AS null_keys")
+register("io8_faulty_keys", lambda f: catalog.key_checks({"event_feature_matrix": _faulty_matrix(f)}), """SELECT 'event_feature_matrix' AS table_name, count(*) FILTER (n > 1) AS repeated_keys, count(*) FILTER (k IS NULL) AS null_keys
+  FROM (SELECT k, count(*) AS n FROM (SELECT CASE WHEN holding_period = 2 THEN NULL ELSE event_id END AS k FROM (SELECT * FROM c_matrix UNION ALL SELECT * FROM c_matrix WHERE label = 1)) GROUP BY k)""")
