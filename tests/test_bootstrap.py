@@ -42,6 +42,13 @@ def test_trades_one_by_one(trades, metric):
         portfolio.bootstrap_interval(frame, "other")
 
 
+def test_draws_are_never_broadcast(trades):
+    """Draws come from one row a group, so that Spark takes them for few; the side they are joined to may be sent, not they."""
+    plan = portfolio.bootstrap_interval(trades[1], resamples=40)._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line.split("Join ")[1] for line in plan.splitlines() if "Join " in line and "__piece" not in line]
+    assert len(joins) == 2 and all(line.startswith("LeftOuter") for line in joins)
+
+
 def fall(path):
     equity = path.cumsum()
     return (equity - np.maximum.accumulate(equity)).min()
