@@ -49,6 +49,15 @@ def test_draws_are_never_broadcast(trades):
     assert len(joins) == 2 and all(line.startswith("LeftOuter") for line in joins)
 
 
+def test_draws_stay_in_the_tasks_that_make_them(trades):
+    """Draws come from one row a group, but not in one task; where trades are few, draws are not shuffled to them, nor sorted."""
+    rows = portfolio.draws(trades[1].groupBy("strategy").count(), ["strategy"], 40, 0, portfolio.F.col("count"), portfolio.F.col("count"))
+    assert rows.select(portfolio.F.spark_partition_id()).distinct().count() > 1
+    got = portfolio.bootstrap_interval(trades[1], resamples=40)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and got.count() == 3
+
+
 def fall(path):
     equity = path.cumsum()
     return (equity - np.maximum.accumulate(equity)).min()
