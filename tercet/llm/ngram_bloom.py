@@ -13,9 +13,9 @@ both terms, so one pass leaves a histogram of ratios for each w, of fixed size,
 Counts of n-grams are rounded down and those of contexts, where they are not exact, up: probabilities of all words sum up to one
 at most, but for false positives.
 
-The model (12 bytes a word, about 1.6 an n-gram) is broadcast if it takes `most_bytes` at most.  A larger one stays where it is,
-in the buckets of its table: distinct keys go to the buckets, are answered by the same probes, and are joined back.  Both ways
-give the same scores.
+The model (12 bytes a word, about 1.6 an n-gram) is a stage table.  If it takes `most_bytes` at most, tasks read it whole from
+the shared folder; it never passes through the driver.  A larger one, or one in a folder that tasks cannot open, stays in its
+buckets: distinct keys go to the buckets, are answered by the same probes, and are joined back.  Both ways give the same scores.
 
 Defined results: null and empty texts are one token, the end; a text without an id is scored and not learned from; words are
 maximal runs of other than white space, A-Z lowered; repeated rows count each time; where nothing is learned from, N = V = 0
@@ -30,7 +30,8 @@ from dataclasses import dataclass, replace
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import Broadcast
+import pyarrow.dataset as ds
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,9 +41,9 @@ from tercet.llm.common import BLOCK_BYTES, U64, blocks, lower_ascii, mix, releas
 BITS, HASHES = 10, 5
 #: Tokens counted in a task before they are sent on, and about as many as a bucket may get in all.
 FLUSH, BUCKET = 2_000_000, 4_000_000
-#: A model of up to this size is broadcast.
+#: A model of up to this size is read whole by tasks.
 MOST_BYTES = 256 << 20
-#: Of a model that is broadcast, what passes through the driver at once.
+#: Of such a model, what answers together.
 PART_BYTES = 8 << 20
 #: What a word is counted more than it was seen.
 ADD = 0.1
@@ -218,7 +219,7 @@ class Model:
     """A trained model: its table (MODEL, a row for each length and bucket), and what is known of all rows.
 
     weights: for each length from 2 on, the weight of the n-gram's own term by the power of two of its context's count.
-    sent: the broadcast parts of a model that was not too large for that.
+    sent: the folder that tasks read a model from which is not too large for that, else empty.
     """
 
     table: DataFrame
@@ -228,7 +229,7 @@ class Model:
     types: int
     n_bytes: int
     weights: tuple[np.ndarray, ...] = ()
-    sent: tuple[Broadcast, ...] = ()
+    sent: str = ""
 
 
 def train(docs: DataFrame, text: str = "text", order: int = 2, most_bytes: int = MOST_BYTES) -> Model:
@@ -241,8 +242,8 @@ def train(docs: DataFrame, text: str = "text", order: int = 2, most_bytes: int =
     found = {r.n: r for r in table.groupBy("n").agg(F.sum("total").alias("total"), F.sum("types").alias("types"), F.sum(size_of).alias("size")).collect()}
     one = found.get(1)
     model = Model(table, order, buckets, one.total if one else 0, one.types if one else 0, sum(r.size for r in found.values()))
-    if model.n_bytes <= most_bytes:
-        model = replace(model, sent=tuple(send(model)))
+    if model.n_bytes <= most_bytes and reachable(table.stored_at):
+        model = replace(model, sent=table.stored_at)
     for _ in range(2, order + 1):  # a longer n-gram is weighed against what the shorter ones say
         got = _with_counts(docs.select(F.col(f"`{text}`").alias("__text")), model, [], _ratios, "power int, ratio int, times long")
         seen = np.zeros((POWERS, RATIOS))
@@ -304,23 +305,30 @@ class Loaded:
         return self._answers(n, keys, answer)
 
 
-def send(model: Model) -> list[Broadcast]:
-    """The model of bounded size, broadcast in parts of about PART_BYTES: the driver holds one part at a time."""
-    context, out = model.table.sparkSession.sparkContext, []
-    size_of = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in ("keys", "counts", "cells")), F.lit(0))
-    sizes = model.table.select("n", "bucket", size_of.alias("size")).orderBy("n", "bucket").collect()  # a row a bucket
-    at = 0
-    while at < len(sizes):
-        to, held = at + 1, sizes[at].size
-        while to < len(sizes) and sizes[to].n == sizes[at].n and held + sizes[to].size <= PART_BYTES:
-            held += sizes[to].size
-            to += 1
-        here = (F.col("n") == sizes[at].n) & F.col("bucket").between(sizes[at].bucket, sizes[to - 1].bucket)
-        rows = sorted(model.table.where(here).select("bucket", "keys", "counts", "cells").collect(), key=lambda r: r.bucket)
-        join = lambda k, kind: np.concatenate([np.frombuffer(getattr(r, k) or b"", kind) for r in rows])  # noqa: E731, B023
-        narrow = lambda c: c.astype("<u4") if c.max(initial=0) < 1 << 32 else c
-        out.append(context.broadcast((sizes[at].n, [r.bucket for r in rows], join("keys", U64), narrow(join("counts", "<u8")), join("cells", U64), [len(r.cells or b"") // 8 for r in rows])))
-        at = to
+def reachable(folder: str) -> bool:
+    """Whether tasks can open a stage table's folder without Spark's readers."""
+    try:
+        where, path = fs.FileSystem.from_uri(folder)
+        return where.get_file_info(path).type == fs.FileType.Directory
+    except (pa.ArrowException, OSError):
+        return False
+
+
+def load(folder: str) -> list[Part]:
+    """The model in `folder`, file by file, in parts of about PART_BYTES: buckets that follow one another."""
+    where, path = fs.FileSystem.from_uri(folder)
+    rows = [r for file in ds.dataset(path, format="parquet", filesystem=where).get_fragments() for r in file.to_table(columns=["n", "bucket", "keys", "counts", "cells"]).to_pylist()]
+    rows.sort(key=lambda r: (r["n"], r["bucket"]), reverse=True)
+    narrow = lambda c: c.astype("<u4") if c.max(initial=0) < 1 << 32 else c
+    out, size_of = [], lambda r: sum(len(r[c] or b"") for c in ("keys", "counts", "cells"))
+    while rows:
+        here = [rows.pop()]
+        held = size_of(here[0])
+        while rows and rows[-1]["n"] == here[0]["n"] and held + size_of(rows[-1]) <= PART_BYTES:
+            held += size_of(rows[-1])
+            here.append(rows.pop())
+        join = lambda k, kind: np.concatenate([np.frombuffer(r[k] or b"", kind) for r in here])  # noqa: E731, B023
+        out.append((here[0]["n"], [r["bucket"] for r in here], join("keys", U64), narrow(join("counts", "<u8")), join("cells", U64), [len(r["cells"] or b"") // 8 for r in here]))
     return out
 
 
@@ -396,11 +404,11 @@ def _with_counts(rows: DataFrame, model: Model, keep: list[str], each: Callable,
 
 
 def _here(rows: DataFrame, model: Model, keep: list[str], each: Callable, schema: str) -> DataFrame:
-    """Rows of each(model, count, found, times, starts) over blocks of whole texts, with the model broadcast.
+    """Rows of each(model, count, found, times, starts) over blocks of whole texts, with the model read by every task.
 
     rows: keep columns and __text; keep columns come back where there are any: then each() gives a row for each text.
     """
-    sent, bare, names = model.sent, replace(model, table=None, sent=()), _names(schema)
+    folder, bare, names = model.sent, replace(model, table=None), _names(schema)
 
     def looked_up(m: Loaded, keys: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, list[tuple]]:
         u, back = np.unique(keys, return_inverse=True)
@@ -413,7 +421,7 @@ def _here(rows: DataFrame, model: Model, keep: list[str], each: Callable, schema
         return count, found
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, told = Loaded([p.value for p in sent], bare.buckets), []
+        m, told = Loaded(load(folder), bare.buckets), []
         for batch in batches:
             data, off = utf8(batch.column(len(keep)))
             for lo, hi in blocks(off):
@@ -439,7 +447,7 @@ def _apart(rows: DataFrame, model: Model, keep: list[str], each: Callable, schem
 
     A text's distinct n-grams are rows; the distinct keys of all texts are answered by the buckets, and joined back.
     """
-    order, buckets, bare, out_names = model.order, model.buckets, replace(model, table=None, sent=()), _names(schema)
+    order, buckets, bare, out_names = model.order, model.buckets, replace(model, table=None), _names(schema)
     ask = ["w0", *(x for n in range(2, order + 1) for x in (f"c{n}", f"w{n}"))]  # word; context and n-gram of each length
     names = [*keep, *ask, "inside", "times"]
 

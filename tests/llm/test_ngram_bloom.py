@@ -75,6 +75,21 @@ def test_both_places_of_a_model(spark, texts, order):
     assert all(r[5] <= 0 for r in here) and (order > 1 or np.allclose([r[4] for r in here], [r[5] for r in here]))
 
 
+def test_a_model_never_passes_through_the_driver(spark, texts, monkeypatch):
+    """Tasks read it from the shared folder; where they cannot, it stays in its buckets."""
+
+    def never(*_):
+        raise AssertionError("a broadcast goes through the driver")
+
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", never)
+    docs = frame(spark, list(enumerate(texts)))
+    model = ngram_bloom.train(docs)
+    assert model.sent and ngram_bloom.score(docs, model).count() == len(texts)
+    whole = ngram_bloom.load(model.sent)
+    assert [p[0] for p in whole] == [1, 2] and sum(len(p[2]) for p in whole) == model.types and sum(int(p[3].sum()) for p in whole) == model.total
+    assert not ngram_bloom.reachable("viewfs://store/none") and not ngram_bloom.reachable("/none/at/all")
+
+
 def test_nothing_learned_and_nothing_scored(spark):
     docs = frame(spark, [(1, "a b"), (2, None)])
     for most in (1 << 30, 0):
