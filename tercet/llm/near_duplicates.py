@@ -27,11 +27,14 @@ from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.dataset as ds
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tercet.llm.common import U64, blocks, gone, lower_ascii, map_text, mix, ranges, release, slice_hashes, stored, words
+from tercet.llm.common import U64, blocks, gone, lower_ascii, map_text, mix, ranges, reachable, release, slice_hashes, stored, words
 from tercet.llm.components import components
 
 CHUNKS, CHUNK = 19, 5
@@ -40,6 +43,8 @@ SYMBOLS = CHUNKS * CHUNK
 DISTANCE = CHUNKS * 2 - 1
 #: Members of a bucket, and shingles of their sets, in one block; pairs confirmed in one piece; pairs compared at once.
 BUCKET_BLOCK, BUCKET_SHINGLES, FAN, PAIRS = 2048, 500_000, 512, 1 << 17
+#: Bits of a bitmap for each row that is wanted: of the others one in SIFT at most passes.
+SIFT = 16
 
 WORDS, EVEN = (SYMBOLS + 31) // 32, U64(0x5555555555555555)
 SKETCH = [f"s{k}" for k in range(WORDS)]
@@ -192,13 +197,42 @@ def memberships(classes: DataFrame) -> DataFrame:
     return dealt.mapInArrow(shared, "key long, v byte, node long, leader long, pair boolean")
 
 
+def _sifted(src: DataFrame, rows: DataFrame) -> DataFrame:
+    """`src` without most of those whose `row` is not in `rows`, and with all others, by a bitmap of SIFT bits a row.
+
+    Tasks read the bitmap, a stage table, from the shared folder; where they cannot, `src` stays as it is.
+    """
+    place = F.pmod(F.xxhash64("row"), F.lit(max(1, SIFT * rows.count()))) + 1  # bitmap functions number places from 1
+    bits = stored(rows.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits")))
+    folder = bits.stored_at
+    if not reachable(folder):
+        return src
+
+    @F.pandas_udf("boolean")
+    def wanted(places: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        where, path = fs.FileSystem.from_uri(folder)
+        found = ds.dataset(path, format="parquet", filesystem=where, schema=pa.schema([("bucket", pa.int64()), ("bits", pa.binary())])).to_table()
+        bucket = found.column("bucket").to_numpy()
+        whole = np.zeros((int(bucket.max(initial=0)) + 1, 4096), np.uint8)
+        for b, x in zip(bucket.tolist(), found.column("bits").to_pylist(), strict=True):
+            whole[b - 1] = np.frombuffer(x, np.uint8)
+        whole = whole.ravel()
+        for p in places:
+            at = p.to_numpy() - 1
+            there = at >> 3 < len(whole)
+            yield pd.Series((whole[np.where(there, at >> 3, 0)] >> (at & 7).astype(np.uint8) & 1).astype(bool) & there)
+
+    return src.where(wanted(place))
+
+
 def _texts(docs: DataFrame, rows: DataFrame, id: str, text: str) -> DataFrame:
     """node, t: one text of each node (more where rows repeat).  The only step that moves documents.
 
-    The rows wanted grow with the documents, so both sides are shuffled at every size, and neither is ever broadcast.
+    The rows wanted grow with the documents, so both sides are shuffled at every size, and neither is ever broadcast; most
+    documents that are not wanted are left out before.
     """
     src = docs.select(F.xxhash64(F.col(f"`{id}`").cast("long"), F.col(f"`{text}`").cast("string")).alias("row"), F.col(f"`{text}`").cast("string").alias("t"))
-    return src.hint("merge").join(rows, "row").select("node", "t")
+    return _sifted(src, rows).hint("merge").join(rows, "row").select("node", "t")
 
 
 def _sets(texts: DataFrame, need: DataFrame, keep: list[str], n: int) -> DataFrame:

@@ -35,7 +35,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tercet.llm.common import BLOCK_BYTES, U64, blocks, lower_ascii, mix, release, small_batches, stored, utf8, words
+from tercet.llm.common import BLOCK_BYTES, U64, blocks, lower_ascii, mix, reachable, release, small_batches, stored, utf8, words
 
 #: Bits of the filter for each entry, and how many of a 64-bit cell an entry sets.
 BITS, HASHES = 10, 5
@@ -305,15 +305,6 @@ class Loaded:
         return self._answers(n, keys, answer)
 
 
-def reachable(folder: str) -> bool:
-    """Whether tasks can open a stage table's folder without Spark's readers."""
-    try:
-        where, path = fs.FileSystem.from_uri(folder)
-        return where.get_file_info(path).type == fs.FileType.Directory
-    except (pa.ArrowException, OSError):
-        return False
-
-
 def load(folder: str) -> list[Part]:
     """The model in `folder`, file by file, in parts of about PART_BYTES: buckets that follow one another."""
     where, path = fs.FileSystem.from_uri(folder)
