@@ -13,9 +13,11 @@ both terms, so one pass leaves a histogram of ratios for each w, of fixed size,
 Counts of n-grams are rounded down and those of contexts, where they are not exact, up: probabilities of all words sum up to one
 at most, but for false positives.
 
-The model (12 bytes a word, about 1.6 an n-gram) is a stage table.  If it takes `most_bytes` at most, tasks read it whole from
-the shared folder; it never passes through the driver.  A larger one, or one in a folder that tasks cannot open, stays in its
-buckets: distinct keys go to the buckets, are answered by the same probes, and are joined back.  Both ways give the same scores.
+The model (12 bytes a word, about 1.6 an n-gram) is a stage table in the shared folder, which tasks read; it never passes through
+the driver.  If it takes `most_bytes` at most, a task holds it whole.  Of a larger one a task holds one bucket at a time: it
+collects and sorts the keys of ASKED tokens, and each bucket that it reads answers those that are its own.  Nothing is shuffled for
+that, and nothing written.  Where tasks cannot open the folder, the model stays in its buckets: distinct keys go to the buckets, are
+answered by the same probes, and are joined back.  All three ways give the same scores.
 
 Defined results: null and empty texts are one token, the end; a text without an id is scored and not learned from; words are
 maximal runs of other than white space, A-Z lowered; repeated rows count each time; where nothing is learned from, N = V = 0
@@ -31,6 +33,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.dataset as ds
+import pyarrow.parquet as pq
 from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -45,6 +48,8 @@ FLUSH, BUCKET = 2_000_000, 4_000_000
 MOST_BYTES = 256 << 20
 #: Of such a model, what answers together.
 PART_BYTES = 8 << 20
+#: Tokens that a task asks a larger one for at once, while it reads it.
+ASKED = 4_000_000
 #: What a word is counted more than it was seen.
 ADD = 0.1
 #: Sizes of the histogram that weights come from: powers of two of a context's count; ratios, a quarter of an octave each.
@@ -219,7 +224,9 @@ class Model:
     """A trained model: its table (MODEL, a row for each length and bucket), and what is known of all rows.
 
     weights: for each length from 2 on, the weight of the n-gram's own term by the power of two of its context's count.
-    sent: the folder that tasks read a model from which is not too large for that, else empty.
+    folder: the folder that tasks read the model from, if they can open it, else empty.
+    sent: the same for a model that is small enough to be read whole, else empty.
+    asked: tokens that a task asks a larger one for at once.
     """
 
     table: DataFrame
@@ -230,6 +237,8 @@ class Model:
     n_bytes: int
     weights: tuple[np.ndarray, ...] = ()
     sent: str = ""
+    folder: str = ""
+    asked: int = ASKED
 
 
 def train(docs: DataFrame, text: str = "text", order: int = 2, most_bytes: int = MOST_BYTES) -> Model:
@@ -242,8 +251,8 @@ def train(docs: DataFrame, text: str = "text", order: int = 2, most_bytes: int =
     found = {r.n: r for r in table.groupBy("n").agg(F.sum("total").alias("total"), F.sum("types").alias("types"), F.sum(size_of).alias("size")).collect()}
     one = found.get(1)
     model = Model(table, order, buckets, one.total if one else 0, one.types if one else 0, sum(r.size for r in found.values()))
-    if model.n_bytes <= most_bytes and reachable(table.stored_at):
-        model = replace(model, sent=table.stored_at)
+    if reachable(table.stored_at):
+        model = replace(model, folder=table.stored_at, sent=table.stored_at if model.n_bytes <= most_bytes else "")
     for _ in range(2, order + 1):  # a longer n-gram is weighed against what the shorter ones say
         got = _with_counts(docs.select(F.col(f"`{text}`").alias("__text")), model, [], _ratios, "power int, ratio int, times long")
         seen = np.zeros((POWERS, RATIOS))
@@ -305,10 +314,18 @@ class Loaded:
         return self._answers(n, keys, answer)
 
 
-def load(folder: str) -> list[Part]:
-    """The model in `folder`, file by file, in parts of about PART_BYTES: buckets that follow one another."""
+def _rows(folder: str) -> Iterator[dict]:
+    """n, bucket, keys, counts, cells of each bucket of the model in `folder`, read one by one."""
     where, path = fs.FileSystem.from_uri(folder)
-    rows = [r for file in ds.dataset(path, format="parquet", filesystem=where).get_fragments() for r in file.to_table(columns=["n", "bucket", "keys", "counts", "cells"]).to_pylist()]
+    for file in ds.dataset(path, format="parquet", filesystem=where).files:
+        with where.open_input_file(file) as f, pq.ParquetFile(f) as own:
+            for batch in own.iter_batches(1, columns=["n", "bucket", "keys", "counts", "cells"], use_threads=False):
+                yield from batch.to_pylist()
+
+
+def load(folder: str) -> list[Part]:
+    """The model in `folder`, in parts of about PART_BYTES: buckets that follow one another."""
+    rows = list(_rows(folder))
     rows.sort(key=lambda r: (r["n"], r["bucket"]), reverse=True)
     narrow = lambda c: c.astype("<u4") if c.max(initial=0) < 1 << 32 else c
     out, size_of = [], lambda r: sum(len(r[c] or b"") for c in ("keys", "counts", "cells"))
@@ -323,6 +340,29 @@ def load(folder: str) -> list[Part]:
     return out
 
 
+def answered(n: int, keys: np.ndarray, row: dict) -> np.ndarray:
+    """What a bucket's row of the model says of `keys`: exact counts of words (n = 1), or levels of n-grams."""
+    if n == 1:
+        return exact_counts(keys, np.frombuffer(row["keys"], U64), np.frombuffer(row["counts"], "<u8"))
+    cells = np.frombuffer(row["cells"], U64)
+    return probe(keys, cells, np.array([0, len(cells)]), np.zeros(len(keys), np.int64))
+
+
+def ask(folder: str, buckets: int, keys: list[np.ndarray]) -> list[np.ndarray]:
+    """The answers to the `keys` of each length, in any order, of which one bucket of the model in `folder` is held at a time."""
+    orders = [np.argsort(k) for k in keys]
+    keys = [k[order] for k, order in zip(keys, orders, strict=True)]
+    values = [np.zeros(len(k), np.int8 if n else np.int64) for n, k in enumerate(keys)]
+    cuts = [np.searchsorted(_bucket(k, buckets), np.arange(buckets + 1)) for k in keys]
+    for row in _rows(folder):
+        n, b = row["n"], row["bucket"]
+        own = slice(cuts[n - 1][b], cuts[n - 1][b + 1])
+        values[n - 1][own] = answered(n, keys[n - 1][own], row)
+    for order, value in zip(orders, values, strict=True):
+        value[order] = value.copy()
+    return values
+
+
 def interpolated(share: np.ndarray, found: list[tuple[np.ndarray, np.ndarray, np.ndarray]], weights: tuple[np.ndarray, ...]) -> np.ndarray:
     """The probability of each token from its smoothed share and, for each longer length, the n-gram's count, its context's count,
     and whether it lies within the text."""
@@ -378,7 +418,7 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), te
     held = {f"__k{i}": c for i, c in enumerate(keep)}
     rows = docs.select(*(F.col(f"`{c}`").alias(k) for k, c in held.items()), F.col(f"`{text}`").alias("__text"))
     back = [F.col(k).alias(c) for k, c in held.items()]
-    if model.sent:
+    if model.folder:
         schema = ", ".join([*(f"{k} {kinds[c]}" for k, c in held.items()), SUMS])
         return _here(rows, model, list(held), _sums, schema).select(*back, *_names(SUMS))
     rows = stored(rows.withColumn("__row", F.monotonically_increasing_id()))
@@ -391,42 +431,71 @@ def _names(schema: str) -> list[str]:
 
 
 def _with_counts(rows: DataFrame, model: Model, keep: list[str], each: Callable, schema: str) -> DataFrame:
-    return (_here if model.sent else _apart)(rows, model, keep, each, schema)
+    return (_here if model.folder else _apart)(rows, model, keep, each, schema)
 
 
 def _here(rows: DataFrame, model: Model, keep: list[str], each: Callable, schema: str) -> DataFrame:
-    """Rows of each(model, count, found, times, starts) over blocks of whole texts, with the model read by every task.
+    """Rows of each(model, count, found, times, starts) over blocks of whole texts, with the model read by every task: once, to be
+    held whole, or once for each `asked` tokens, a bucket at a time.
 
     rows: keep columns and __text; keep columns come back where there are any: then each() gives a row for each text.
     """
-    folder, bare, names = model.sent, replace(model, table=None), _names(schema)
+    bare, names = replace(model, table=None), _names(schema)
 
-    def looked_up(m: Loaded, keys: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, list[tuple]]:
-        u, back = np.unique(keys, return_inverse=True)
-        count = m.count(u)[back]
-        found, context = [], np.concatenate([m.count(np.array([END])), count[:-1]]).astype(float)
-        for n, (longer, inside) in enumerate(ngrams(keys, first, bare.order), 2):
-            level = m.level(n, longer)
-            found.append((read_counts(level), context, inside))
+    def told(own: list, first: np.ndarray, inside: list[np.ndarray], end: int, values: list[np.ndarray]) -> pa.RecordBatch:
+        count, context, found = values[0], np.concatenate([[end], values[0][:-1]]).astype(float), []
+        for level, within in zip(values[1:], inside, strict=True):
+            found.append((read_counts(level), context, within))
             context = np.concatenate([[0.0], context_counts(level)[:-1]])
-        return count, found
+        got = each(bare, count, found, np.ones(len(count), np.int64), first[:-1])
+        return pa.RecordBatch.from_arrays([*own, *pa.RecordBatch.from_pandas(got, preserve_index=False).columns], names)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, told = Loaded(load(folder), bare.buckets), []
+    def of_whole(m: Loaded, keys: np.ndarray, longer: list[np.ndarray]) -> list[np.ndarray]:
+        u, back = np.unique(keys, return_inverse=True)
+        return [m.count(u)[back], *(m.level(n, k) for n, k in enumerate(longer, 2))]
+
+    def of_buckets(held: list[tuple], asked: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        asked[0].append(np.array([END]))
+        joined = [np.concatenate(asked.pop(0)) for _ in range(len(asked))]  # what is joined is not held twice
+        values, lo = ask(bare.folder, bare.buckets, joined), 0
+        del joined
+        for own, first, inside in held:
+            yield told(own, first, inside, values[0][-1], [v[lo : lo + first[-1]].astype(np.int64) for v in values])
+            lo += first[-1]
+
+    def answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole = Loaded(load(bare.sent), bare.buckets) if bare.sent else None
+        held, asked, n_asked = [], [[] for _ in range(bare.order)], 0
         for batch in batches:
             data, off = utf8(batch.column(len(keep)))
             for lo, hi in blocks(off):
                 keys, first = tokens(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
-                got = each(bare, *looked_up(m, keys, first), np.ones(len(keys), np.int64), first[:-1])
-                if keep:
-                    own = pa.RecordBatch.from_pandas(got, preserve_index=False)
-                    yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns[: len(keep)], *own.columns], names)
-                else:
-                    told.append(got)
-                    told = [pd.concat(told).groupby(names[:-1], as_index=False).sum()] if len(told) > 50 else told
-        if told:
-            whole = pd.concat(told).groupby(names[:-1], as_index=False).sum()
-            yield pa.RecordBatch.from_arrays([pa.array(whole[c], pa.int64() if c == names[-1] else pa.int32()) for c in names], names)
+                longer = ngrams(keys, first, bare.order)
+                own, inside = batch.slice(lo, hi - lo).columns[: len(keep)], [within for _, within in longer]
+                if whole:
+                    yield told(own, first, inside, whole.count(np.array([END]))[0], of_whole(whole, keys, [k for k, _ in longer]))
+                    continue
+                held.append((own, first, inside))
+                for into, k in zip(asked, [keys, *(k for k, _ in longer)], strict=True):
+                    into.append(k)
+                n_asked += len(keys)
+                if n_asked >= bare.asked:
+                    yield from of_buckets(held, asked)
+                    held, asked, n_asked = [], [[] for _ in range(bare.order)], 0
+        if held:
+            yield from of_buckets(held, asked)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if keep:
+            yield from answers(batches)
+        else:
+            parts = []
+            for got in answers(batches):
+                parts.append(got.to_pandas())
+                parts = [pd.concat(parts).groupby(names[:-1], as_index=False).sum()] if len(parts) > 50 else parts
+            if parts:
+                whole = pd.concat(parts).groupby(names[:-1], as_index=False).sum()
+                yield pa.RecordBatch.from_arrays([pa.array(whole[c], pa.int64() if c == names[-1] else pa.int32()) for c in names], names)
         release()
 
     small_batches(rows.sparkSession)
@@ -469,12 +538,7 @@ def _apart(rows: DataFrame, model: Model, keep: list[str], each: Callable, schem
             k = mine.column(column).to_numpy().view(U64)
             value = np.zeros(len(k), np.int64)
             if theirs.num_rows and len(k):
-                r = {c: theirs.column(c)[0].as_py() for c in ("keys", "counts", "cells")}
-                if n == 1:
-                    value = exact_counts(k, np.frombuffer(r["keys"], U64), np.frombuffer(r["counts"], "<u8"))
-                else:
-                    cells = np.frombuffer(r["cells"], U64)
-                    value = probe(k, cells, np.array([0, len(cells)]), np.zeros(len(k), np.int64)).astype(np.int64)
+                value = answered(n, k, {c: theirs.column(c)[0].as_py() for c in ("keys", "counts", "cells")}).astype(np.int64)
             return pa.table({column: k.view(np.int64), out: value})
 
         return keys.groupBy("bucket").cogroup(own.groupBy("bucket")).applyInArrow(reply, f"{column} long, {out} long")

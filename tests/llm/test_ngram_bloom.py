@@ -4,6 +4,7 @@ import math
 import random
 import re
 from collections import Counter
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -90,6 +91,35 @@ def test_a_model_never_passes_through_the_driver(spark, texts, monkeypatch):
     assert not ngram_bloom.reachable("viewfs://store/none") and not ngram_bloom.reachable("/none/at/all")
 
 
+@pytest.mark.parametrize("order", [1, 2, 3])
+def test_a_model_too_large_to_be_held_is_read_by_buckets(spark, texts, order, monkeypatch):
+    """No row is made of a text's n-grams, so that nothing of a size with them is written or shuffled; scores are the same in all three ways."""
+    docs = frame(spark, [*enumerate(texts), (7, None), (None, "a the")]).repartition(4)
+    by_key = lambda m: sorted((r.doc_id or -1, r.n_tokens, r.n_known, r.base_score, r.score) for r in ngram_bloom.score(docs, m).collect())
+    sent = ngram_bloom.train(docs.where("doc_id < 40"), order=order)
+    apart = ngram_bloom.train(docs.where("doc_id < 40"), order=order, most_bytes=0)
+    whole, joined = by_key(sent), by_key(replace(apart, folder=""))
+
+    def never(*_):
+        raise AssertionError("rows of n-grams")
+
+    monkeypatch.setattr(ngram_bloom, "_apart", never)
+    large = ngram_bloom.train(docs.where("doc_id < 40"), order=order, most_bytes=0)
+    assert large.folder and not large.sent and all(np.allclose(a, b, atol=1e-9) for a, b in zip(sent.weights, large.weights, strict=True))
+    assert by_key(sent) == by_key(replace(sent, sent="", asked=500)) == whole
+    assert [r[:3] for r in by_key(large)] == [r[:3] for r in joined] == [r[:3] for r in whole] and np.allclose([r[3:] for r in joined], [r[3:] for r in whole])
+
+
+def test_buckets_answer_as_a_whole_model_does(spark, texts):
+    model = ngram_bloom.train(frame(spark, list(enumerate(texts))))
+    whole = ngram_bloom.Loaded(ngram_bloom.load(model.folder), model.buckets)
+    words = np.concatenate([p[2] for p in whole.parts if p[0] == 1])
+    keys = [np.concatenate([words, mix(np.arange(1000, dtype=U64)), words[:9]]), mix(np.arange(50_000, dtype=U64))]
+    counts, levels = ngram_bloom.ask(model.folder, model.buckets, keys)
+    assert (counts == whole.count(keys[0])).all() and (counts[: len(words)] > 0).all() and (counts[-9:] == counts[:9]).all()
+    assert (levels == whole.level(2, keys[1])).all() and (levels > 0).any()
+
+
 def test_nothing_learned_and_nothing_scored(spark):
     docs = frame(spark, [(1, "a b"), (2, None)])
     for most in (1 << 30, 0):
