@@ -246,7 +246,7 @@ def train(docs: DataFrame, text: str = "text", order: int = 2, most_bytes: int =
     size = docs.agg(F.sum(F.octet_length(F.col(f"`{text}`")) + 8)).first()[0] or 0
     buckets = max(8, -(-size // (4 * BUCKET)))  # at least four bytes a token
     rows = counted(docs, text, order, buckets)
-    table = stored(rows.groupBy("n", "bucket").applyInArrow(_merged, MODEL))
+    table = stored(rows.groupBy("n", "bucket").applyInArrow(_merged, MODEL), "none")  # keys and cells hardly shrink, and are read often
     size_of = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in ("keys", "counts", "cells")), F.lit(0))
     found = {r.n: r for r in table.groupBy("n").agg(F.sum("total").alias("total"), F.sum("types").alias("types"), F.sum(size_of).alias("size")).collect()}
     one = found.get(1)
